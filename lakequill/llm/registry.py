@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+from lakequill.llm.decontaminate import op1_decontaminate
 from lakequill.llm.line_dedup import OP3_SQL, op3_line_dedup
 from lakequill.llm.mixing import OP7_SQL, op7_mix_sources
 from lakequill.llm.simhash import op10_simhash_near_dedup
+from lakequill.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op7_mix_sources, op10_simhash_near_dedup)}
+    found = {f.__name__: f for f in (op1_decontaminate, op3_line_dedup, op6_toxicity, op7_mix_sources, op10_simhash_near_dedup)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
