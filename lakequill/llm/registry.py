@@ -12,12 +12,14 @@ from lakequill.llm.line_dedup import OP3_SQL, op3_line_dedup
 from lakequill.llm.mixing import OP7_SQL, op7_mix_sources
 from lakequill.llm.simhash import op10_simhash_near_dedup
 from lakequill.llm.toxicity import op6_toxicity
+from lakequill.llm.url_filter import OP4_SQL, op4_url_filter
+from lakequill.llm.warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_decontaminate, op3_line_dedup, op6_toxicity, op7_mix_sources, op10_simhash_near_dedup)}
+    found = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_line_dedup, op4_url_filter, op6_toxicity, op7_mix_sources, op10_simhash_near_dedup)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op7_mix_sources": OP7_SQL}
+    return {"op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_mix_sources": OP7_SQL}
