@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +34,19 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def show_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if they can't find it elsewhere."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+
+
 class Store:
     """Tables written to the shared folder. They cut lineage, and survive the loss of any executor."""
 
     def __init__(self, spark: SparkSession, label: str):
         bound_batches(spark)
+        show_package(spark)
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
 
     def path(self, name: str) -> str:
@@ -67,7 +77,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
                 yield b.slice(i, step)
         elif b.num_rows:
             yield b
-
-
-def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)

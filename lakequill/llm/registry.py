@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from lakequill.llm.decontaminate import op1_decontaminate
+from lakequill.llm.embedding_dedup import op8_embedding_dedup
 from lakequill.llm.html_extract import op9_html_extract
 from lakequill.llm.line_dedup import OP3_SQL, op3_line_dedup
 from lakequill.llm.mixing import OP7_SQL, op7_mix_sources
@@ -18,7 +19,7 @@ from lakequill.llm.warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_line_dedup, op4_url_filter, op6_toxicity, op7_mix_sources, op9_html_extract, op10_simhash_near_dedup)}
+    found = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_line_dedup, op4_url_filter, op6_toxicity, op7_mix_sources, op8_embedding_dedup, op9_html_extract, op10_simhash_near_dedup)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
