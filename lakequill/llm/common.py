@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -58,6 +59,11 @@ class Store:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def free_shuffles(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of plans that are done; it acts when the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

@@ -13,13 +13,14 @@ from lakequill.llm.html_extract import op9_html_extract
 from lakequill.llm.line_dedup import OP3_SQL, op3_line_dedup
 from lakequill.llm.mixing import OP7_SQL, op7_mix_sources
 from lakequill.llm.simhash import op10_simhash_near_dedup
+from lakequill.llm.suffix_dedup import op5_suffix_dedup
 from lakequill.llm.toxicity import op6_toxicity
 from lakequill.llm.url_filter import OP4_SQL, op4_url_filter
 from lakequill.llm.warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_line_dedup, op4_url_filter, op6_toxicity, op7_mix_sources, op8_embedding_dedup, op9_html_extract, op10_simhash_near_dedup)}
+    found = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_line_dedup, op4_url_filter, op5_suffix_dedup, op6_toxicity, op7_mix_sources, op8_embedding_dedup, op9_html_extract, op10_simhash_near_dedup)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
