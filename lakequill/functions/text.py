@@ -155,7 +155,7 @@ def only_superseded(premises: Column, needle: str, marker: str) -> Column:
 
 def conclusion(claims: Column, none: str = "No conclusion.") -> Column:
     """Claim texts joined by '; ', without their full stops."""
-    return F.when(F.size(claims) > 0, F.concat(F.array_join(F.transform(claims, lambda x: F.rtrim(F.lit(" ."), x)), "; "), F.lit("."))).otherwise(F.lit(none))
+    return F.when(F.size(claims) > 0, F.concat(F.array_join(F.transform(claims, lambda x: F.rtrim(x, F.lit(" ."))), "; "), F.lit("."))).otherwise(F.lit(none))
 
 
 def words_count(c: Column) -> Column:
