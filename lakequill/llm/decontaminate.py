@@ -99,5 +99,5 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark"), Store(spark, "leaks-stage")).select(F.col("doc_id").alias("_leaks")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_leaks"), "left_anti")
+    found = leaks(docs, table(spark, sf_dir, "benchmark"), Store(spark, "leaks-stage")).select(F.col("doc_id").alias("__leaks")).distinct()
+    return docs.join(found, F.col("doc_id") == F.col("__leaks"), "left_anti")

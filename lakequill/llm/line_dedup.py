@@ -6,9 +6,10 @@ joined with the runs against entries that are settled (frequent already, with a
 would change a decision), and what is left becomes a run of level 0. When a level has `fanout` runs they are merged into
 one run of the next level, so that runs stay few and each entry is rewritten a logarithmic number of times.
 
-Defined results: null and empty texts have one empty line; rows that repeat a doc_id count as one document; documents
-without doc_id count one each for frequency, own nothing, and lose the frequent lines that another document owns; an empty table
-gives an empty table. Only the id and text columns are read, the others pass through.
+Defined results: null and empty texts have one empty line; rows that repeat a doc_id count as one document; rows
+without doc_id count together as one document, own nothing, and lose the frequent lines that another document owns; an empty
+table gives an empty table. Only the id and text columns are read, the others pass through; columns named n_lines and
+n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -103,14 +104,14 @@ def drop_frequent_lines(docs: DataFrame, store: Store, min_points: int = MIN_POI
     A frequent line stays in the largest doc_id that holds it, with all its repeats there. Documents go to batches by a hash
     of doc_id, so that all rows of one doc_id meet in one batch.
     """
+    docs = docs.drop("n_lines", "n_dropped")
     lines = store.save(entries(docs, min_points).distinct().withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "lines")
-    # a document without id counts once for each row: its lines were made distinct only against others without id
     runs = LineStore(store, min_docs, fanout)
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k).select("h", "doc_id"))
     frequent = store.save(runs.frequent(), "frequent")
     gone = lines.join(frequent, "h").where(F.coalesce(F.col("doc_id") < F.col("owner"), F.col("owner").isNotNull()))
-    by_doc = gone.groupBy("doc_id").agg(F.collect_set("h").alias("gone")).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"))
+    by_doc = gone.groupBy("doc_id").agg(F.collect_set("h").alias("gone")).select(F.col("doc_id").alias("__doc"), F.col("gone").alias("__gone"))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     names = docs.columns
 
@@ -132,7 +133,7 @@ def drop_frequent_lines(docs: DataFrame, store: Store, min_points: int = MIN_POI
             columns = [pa.array(texts, b.schema.field(at).type) if i == at else b.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
-    joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
     return joined.mapInArrow(run, schema)
 
 

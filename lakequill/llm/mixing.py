@@ -7,7 +7,7 @@ are dealt to partitions and sorted by a hash of seed, doc_id and copy number, wh
 
 Sources that are not named share the weight `other` as one source (weight 0 leaves them out), a null source among them. A null
 doc_id hashes like the text 'null'; rows that repeat a doc_id repeat its count; an empty table gives no rows. All columns
-pass through, copy and shuffle_key are added.
+pass through, copy and shuffle_key are added or replaced.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ def poisson_count(u: Column, rate: float) -> Column:
 
 def mix(docs: DataFrame, weights: dict[str, float], other: float = 0.0, total: int | None = None, seed: int = SEED) -> DataFrame:
     """docs exploded by their Poisson counts, globally shuffled. The driver sees one count for each named source at most."""
+    docs = docs.drop("copy", "shuffle_key")
     group = F.when(F.col("source").isin(list(weights)), F.col("source"))  # null: the others
     sizes = {r["g"]: r["n"] for r in docs.groupBy(group.alias("g")).agg(F.count("*").alias("n")).collect()}
     share = {g: (other if g is None else weights[g]) for g in sizes}
@@ -49,10 +50,10 @@ def mix(docs: DataFrame, weights: dict[str, float], other: float = 0.0, total: i
     u, count = uniform(F.col("doc_id"), seed), F.lit(0)
     for g in sorted((g for g in sizes if share[g] > 0), key=lambda g: (g is None, str(g))):
         rate = share[g] / whole * (total or mixed) / sizes[g]
-        count = F.when(group.isNull() if g is None else F.col("source") == g, poisson_count(F.col("_u"), rate)).otherwise(count)
-    copies = docs.withColumn("_u", u).withColumn("_n", count).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+        count = F.when(group.isNull() if g is None else F.col("source") == g, poisson_count(F.col("__u"), rate)).otherwise(count)
+    copies = docs.withColumn("__u", u).withColumn("__n", count).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     key = F.md5(F.concat(F.lit(f"{seed}:shuffle:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("copy").cast("string")))
-    return copies.drop("_u", "_n").withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id")
+    return copies.drop("__u", "__n").withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,5 +228,5 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows without a doc_id stay; rows that repeat a doc_id share its fate.
     """
-    drop = group(docs, Store(spark, "simhash-stage"), words=5).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop"))
-    return docs.join(drop, F.col("doc_id") == F.col("_drop"), "left_anti")
+    drop = group(docs, Store(spark, "simhash-stage"), words=5).where("doc_id <> component_id").select(F.col("doc_id").alias("__drop"))
+    return docs.join(drop, F.col("doc_id") == F.col("__drop"), "left_anti")

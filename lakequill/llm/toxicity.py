@@ -10,7 +10,7 @@ its features are bounded by `max_features`. Scoring reads every text whole. Labe
 
 Defined results: null and empty texts get the score of a text without evidence; a null doc_id is scored, held_out is null;
 rows that repeat a doc_id are scored one by one; null labels count as unknown; without confirmed positives every score is 0;
-an empty table gives no rows.
+an empty table gives no rows. Other columns pass through; one named score is replaced.
 """
 
 from __future__ import annotations
@@ -136,6 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, store: Store, max_positive: int =
 
 def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray, float] | None) -> DataFrame:
     """docs with score, a double from 0 to 1."""
+    docs = docs.drop("score")
     if model is None:
         return docs.withColumn("score", F.lit(0.0))
     weights, theta, bias = model

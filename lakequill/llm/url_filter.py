@@ -12,7 +12,8 @@ pass `max_bytes`, keys are joined with the rules instead (judge_by_join).
 
 Defined results: a null url, or one without '://', has an empty host and path and fits no rule; without a fitting rule the
 url is in no list, and the verdict is allow; a key in both lists is blocked; repeated rows are judged alike; an empty table
-gives no rows. Only page_id and url are read.
+gives no rows. Only url is read; other columns pass through, columns named host, path, rule
+and verdict are replaced.
 """
 
 from __future__ import annotations
@@ -146,6 +147,7 @@ def universe_of(pages: DataFrame, lengths: list[int]) -> DataFrame:
 
 def judge(pages: DataFrame, rules: DataFrame, store: Store, max_bytes: int = MAX_BYTES) -> DataFrame:
     """pages with host, path, rule and verdict. rules: (verdict, rule), distinct; the lengths of their paths come to the driver."""
+    pages = pages.drop("host", "path", "rule", "verdict")
     rules = store.save(rules.select("verdict", "rule").distinct(), "rules")
     path = F.when(F.col("rule").contains("/"), F.length(F.expr("substring(rule, locate('/', rule))"))).otherwise(0)
     lengths = sorted((r[0] for r in rules.select(path).distinct().collect()), reverse=True)
@@ -178,8 +180,8 @@ def judge_by_join(pages: DataFrame, rules: DataFrame, lengths: list[int]) -> Dat
     urls = pages.select("url").distinct().withColumn("s", split("url")).select("url", "s.*")
     asked = urls.withColumn("rule", F.explode(keys("host", "path")))
     best = asked.join(rules, "rule").groupBy("url").agg(F.min(F.struct((-F.length("rule")).alias("n"), "rule", (F.col("verdict") == "allow").alias("ok"))).alias("b"))
-    urls = urls.join(best, "url", "left").select(F.col("url").alias("_url"), "host", "path", F.col("b.rule").alias("rule"), F.when(F.coalesce("b.ok", F.lit(True)), "allow").otherwise("block").alias("verdict"))
-    return pages.join(urls, F.col("url").eqNullSafe(F.col("_url")), "left").drop("_url")
+    urls = urls.join(best, "url", "left").select(F.col("url").alias("__url"), "host", "path", F.col("b.rule").alias("rule"), F.when(F.coalesce("b.ok", F.lit(True)), "allow").otherwise("block").alias("verdict"))
+    return pages.join(urls, F.col("url").eqNullSafe(F.col("__url")), "left").drop("__url")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
