@@ -8,10 +8,11 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal tail; Spark has no error function."""
     return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)))
@@ -19,8 +20,8 @@ def two_sided_p(z: pd.Series) -> pd.Series:
 
 def pooled_z(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
     """z of two proportions with pooled variance; 0 where the variance is 0."""
-    p = (x1 + x2) / (n1 + n2)
-    se = F.sqrt(p * (1 - p) * (1 / n1 + 1 / n2))
+    p = F.try_divide(x1 + x2, n1 + n2)
+    se = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1), n1) + F.try_divide(F.lit(1), n2)))
     return F.when(se > 0, (x1 / n1 - x2 / n2) / se).otherwise(F.lit(0.0))
 
 
@@ -93,14 +94,14 @@ def cochran_armitage(df: DataFrame, score: str, successes: str, trials: str) ->
     """Trend statistic over ordered groups (score, successes, trials); 0 without variance."""
     n, x, s = F.col(trials).cast("double"), F.col(successes).cast("double"), F.col(score).cast("double")
     t = df.agg(F.sum(n).alias("n"), F.sum(x).alias("x"), F.sum(s * x).alias("sx"), F.sum(s * n).alias("sn"), F.sum(s * s * n).alias("ssn"))
-    p = F.col("x") / F.col("n")
-    variance = p * (1 - p) * (F.col("ssn") - F.col("sn") * F.col("sn") / F.col("n"))
+    p = F.try_divide("x", "n")
+    variance = p * (1 - p) * (F.col("ssn") - F.try_divide(F.col("sn") * F.col("sn"), F.col("n")))
     return t.select(F.col("n").cast("long").alias("trials"), F.col("x").cast("long").alias("successes"), F.when(variance > 0, (F.col("sx") - p * F.col("sn")) / F.sqrt(variance)).otherwise(0.0).alias("z"))
 
 
 def monotone(df: DataFrame, score: str, successes: str, trials: str, tolerance: float = 0.0) -> DataFrame:
     """(trials, successes, z, rising, passes): a positive trend whose rates rise from each group to the next."""
-    rate = F.col(successes) / F.col(trials)
+    rate = F.try_divide(successes, trials)
     step = df.withColumn("_d", rate - F.lag(rate).over(Window.orderBy(score)))
     rising = step.agg(F.bool_and(F.coalesce(F.col("_d") > -tolerance if tolerance else F.col("_d") > 0, F.lit(True))).alias("rising"))
     return cochran_armitage(df, score, successes, trials).crossJoin(F.broadcast(rising)).withColumn("passes", (F.col("z") > 0) & F.col("rising"))
@@ -127,8 +128,7 @@ def auroc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
 
 def pearson(x: Column, y: Column) -> Column:
     """Null where either side is constant or there are fewer than two rows."""
-    flat = (F.coalesce(F.var_pop(x), F.lit(0.0)) == 0) | (F.coalesce(F.var_pop(y), F.lit(0.0)) == 0)
-    return F.when(~flat, F.corr(x, y))
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
