@@ -42,12 +42,13 @@ def template_tokens(text: Column, names: bool = True, values: bool = False) -> C
 
 
 def _hashed(df: DataFrame, key: str, window: int) -> DataFrame:
-    """(key, names, h): the windows of both forms, with placeholders for names and with the names themselves.
+    """(key, names, h): the windows of both forms, with placeholders for names and with the names themselves; one form without names.
 
     The second form finds passages in texts that are capitalised throughout, or whose first word now stands inside a sentence.
     """
     form = lambda names: F.struct(F.lit(names).alias("names"), template_tokens(F.col("text"), names).alias("t"))
-    forms = df.select(key, F.explode(F.array(form(True), form(False))).alias("f")).select(key, "f.names", "f.t").where(F.size("t") >= window)
+    forms = F.when(F.col("text").rlike(_NAME), F.array(form(True), form(False))).otherwise(F.array(form(False)))
+    forms = df.select(key, F.explode(forms).alias("f")).select(key, "f.names", "f.t").where(F.size("t") >= window)
     hashes = F.transform(F.sequence(F.lit(1), F.size("t") - window + 1), lambda i: F.xxhash64(F.slice("t", i, window), F.col("names")))
     return forms.select(key, "names", F.explode(hashes).alias("h"))
 
