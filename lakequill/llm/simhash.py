@@ -4,6 +4,7 @@ Texts become fingerprints of `bits` bits; equal fingerprints form one class (a p
 copies costs one row). Classes are laid out in tiles by population count. Every tile meets the tiles whose population counts
 lie within the radius; other tile pairs are skipped, as each differing bit changes the population count by one at most. A
 tile pair yields a spanning forest of its links, never all pairs of a group, and components of these forests are the groups.
+Where a similarity of texts is asked for rather than a radius, links are verified on the shingle sets themselves.
 
 Defined results: null and empty texts, and texts of white space only, have the fingerprint zero and link like any other;
 repeated rows share fingerprint and component; a null doc_id gets a fingerprint, and its component is the smallest doc_id
@@ -109,17 +110,19 @@ class _Forest:
     def __init__(self, n: int):
         self.label, self.edges = np.arange(n), []
 
-    def link(self, i: int, others: np.ndarray) -> None:
+    def link(self, i: int, others: np.ndarray, more: int = 0) -> None:
+        """Join i with others, nearest first: a link to the nearest of each group that is new to i, and to the `more` nearest."""
+        self.edges += [(i, int(x)) for x in others[:more]]
         roots, at = np.unique(self.label[others], return_index=True)
         own = self.label[i]
         new = roots != own
         if new.any():
-            self.edges += [(i, int(others[k])) for k in at[new]]
+            self.edges += [(i, int(others[k])) for k in at[new] if k >= more]
             least = min(own, roots[0])
             self.label[np.isin(self.label, np.append(roots, own))] = least
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
+def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, more: int = 0) -> list[tuple[int, int]]:
     """Spanning links between the rows of a and b (members of one tile if `same`); both are sorted by population count."""
     forest = _Forest(len(a) if same else len(a) + len(b))
     shift = 0 if same else len(a)
@@ -140,21 +143,23 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tu
         x, y = np.nonzero(far <= radius)
         if not len(x):
             continue
+        d = far[x, y].astype(np.int32)
         y += lo
         if a.shape[1] > 3:
-            near = np.bitwise_count(rows[x] ^ b[y]).sum(1, dtype=np.int32) <= radius
-            x, y = x[near], y[near]
-        if same:
-            later = y > x + i
-            x, y = x[later], y[later]
+            d = np.bitwise_count(rows[x] ^ b[y]).sum(1, dtype=np.int32)
+        keep = (d <= radius) & ((y > x + i) if same else True)
+        x, y, d = x[keep], y[keep], d[keep]
+        if more:
+            order = np.lexsort((d, x))
+            x, y = x[order], y[order]
         cut = np.searchsorted(x, np.arange(len(rows) + 1))
         for k in range(len(rows)):
             if cut[k] < cut[k + 1]:
-                forest.link(i + k, y[cut[k] : cut[k + 1]] + shift)
+                forest.link(i + k, y[cut[k] : cut[k + 1]] + shift, more)
     return forest.edges
 
 
-def similar_classes(classes: DataFrame, bits: int, radius: int, tile: int = TILE) -> DataFrame:
+def similar_classes(classes: DataFrame, bits: int, radius: int, tile: int = TILE, more: int = 0) -> DataFrame:
     """Edges (a, b) of fingerprints that differ in `radius` bits at most, enough of them to span each group.
 
     classes: (fp, ones), distinct. The driver gets a histogram of `ones` only, which has bits + 1 rows at most.
@@ -191,7 +196,7 @@ def similar_classes(classes: DataFrame, bits: int, radius: int, tile: int = TILE
         rows = sorted(zip(t.column("second").to_pylist(), t.column("fps").to_pylist(), strict=True))
         raw = [np.frombuffer(x, ">u8").astype(np.uint64).reshape(-1, lanes) for _, x in rows]
         same = len(raw) == 1
-        found = tile_links(raw[0], raw[-1], radius, same)
+        found = tile_links(raw[0], raw[-1], radius, same, more)
         every = rows[0][1] if same else rows[0][1] + rows[1][1]
         get = lambda i: every[8 * lanes * i : 8 * lanes * (i + 1)]
         return pa.table({"a": pa.array([get(i) for i, _ in found], pa.binary()), "b": pa.array([get(j) for _, j in found], pa.binary())})
@@ -199,18 +204,43 @@ def similar_classes(classes: DataFrame, bits: int, radius: int, tile: int = TILE
     return sides.groupBy("t", "u").applyInArrow(compare, "a binary, b binary")
 
 
-def radius_for(similarity: float, bits: int) -> int:
-    """Differing bits at which shingle sets of this Jaccard similarity (cosine 2s / (1 + s)) still link, with one standard deviation of room."""
+def radius_for(similarity: float, bits: int, deviations: float = 2.5) -> int:
+    """Differing bits within which all but a few in a thousand pairs of this Jaccard similarity (cosine 2s / (1 + s)) lie."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+    return round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
-def group(docs: DataFrame, store: Store, words: int = 5, bits: int = 512, radius: int | None = None, similarity: float = 0.8, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs."""
-    radius = radius_for(similarity, bits) if radius is None else radius
+def verified(edges: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The edges whose shingle sets have the Jaccard similarity, each class shown by its smallest doc_id's text."""
+    least = classes.select("fp", "least")
+    pairs = edges.join(least.select(F.col("fp").alias("a"), F.col("least").alias("i")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("j")), "b")
+    asked = pairs.select(F.col("i").alias("__id")).union(pairs.select("j")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(asked, F.col("id") == F.col("__id"), "left_semi")
+    sets = texts.mapInArrow(run, "id long, shingles array<bigint>").groupBy("id").agg(F.min("shingles").alias("shingles"))
+    both = pairs.join(sets.select(F.col("id").alias("i"), F.col("shingles").alias("s")), "i").join(sets.select(F.col("id").alias("j"), F.col("shingles").alias("t")), "j")
+    common = F.size(F.array_intersect("s", "t"))
+    return both.where(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b")
+
+
+def group(docs: DataFrame, store: Store, words: int = 5, bits: int = 512, radius: int | None = None, similarity: float = 0.8, tile: int = TILE, more: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs.
+
+    With a radius, fingerprints link at that many differing bits. Without, the radius follows from the similarity, and links
+    are verified on the shingle sets: those that span each group, and those to the `more` nearest fingerprints of a tile.
+    """
+    verify, radius = radius is None, radius_for(similarity, bits) if radius is None else radius
     prints = store.save(fingerprints(docs, words, bits, id_col, text_col), "prints")
     classes = store.save(prints.groupBy("fp", "ones").agg(F.min("doc_id").alias("least")), "classes")
-    roots = connected_components(similar_classes(classes.select("fp", "ones"), bits, radius, tile), store)
+    edges = similar_classes(classes.select("fp", "ones"), bits, radius, tile, more if verify else 0)
+    if verify:
+        edges = verified(store.save(edges, "near"), classes, docs, words, similarity, id_col, text_col)
+    roots = connected_components(edges, store)
     rooted = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = rooted.join(least, "root").select("fp", "component_id")
@@ -224,7 +254,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops all but the smallest doc_id of each group of texts whose five-word shingles are 0.8 similar or more, as SimHash sees it.
+    """Drops all but the smallest doc_id of each group of texts whose five-word shingles are 0.8 similar or more.
 
     Rows without a doc_id stay; rows that repeat a doc_id share its fate.
     """
