@@ -76,40 +76,52 @@ def runs(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[
 
 
 class Construction:
-    """Transform and common prefixes of a collection, built column by column from the right."""
+    """Transform and common prefixes of a collection, built column by column from the right.
+
+    A symbol is `gram` bytes, given by its rank among those of the collection; each piece takes part once for each of its
+    `gram` phases, so that every byte position starts one suffix and the rounds are fewer by that factor.
+    """
 
     def __init__(self, pieces: list[bytes], length: int = LENGTH, spill_bytes: int = SPILL):
-        self.cap, self.spill = length, spill_bytes
-        sizes = np.array([len(p) for p in pieces])
-        text = np.frombuffer(b"".join(pieces), np.uint8) + np.uint8(1)  # UTF-8 has no byte above 0xf7; 0 ends a member
-        begin, n = np.concatenate([[0], np.cumsum(sizes)[:-1]]), len(pieces)
+        gram = 4 if length % 4 == 0 else 1
+        self.spill, whole_symbols = spill_bytes, length // gram
+        lengths = np.array([len(p) for p in pieces])
+        raw = np.frombuffer(b"".join(pieces) + bytes(gram), np.uint8).astype(np.uint32)
+        packed = raw[: len(raw) - gram].copy()
+        for k in range(1, gram):
+            packed = packed << np.uint32(8) | raw[k : len(raw) - gram + k]
+        distinct, text = np.unique(packed, return_inverse=True)
+        kind = np.uint8 if len(distinct) < 255 else np.uint16 if len(distinct) < 65535 else np.uint32
+        text = (text + 1).astype(kind)  # 0 ends a member
+        piece, phase = np.repeat(np.arange(len(pieces)), gram), np.tile(np.arange(gram), len(pieces))
+        sizes = np.maximum(0, (lengths[piece] - phase) // gram)
+        begin, n = np.concatenate([[0], np.cumsum(lengths)[:-1]])[piece] + phase, len(piece)
+        at_symbol = lambda rows, k: text[begin[rows] + gram * k]
         with tempfile.TemporaryDirectory(prefix="columns-") as folder:
             self.folder = Path(folder)
-            symbol = np.zeros(n, np.uint8)
-            symbol[sizes > 0] = text[begin[sizes > 0] + sizes[sizes > 0] - 1]
-            lcp, member, depth = np.zeros(n, np.uint8), np.arange(n, dtype=np.int32), np.zeros(n, np.uint8)
-            active, at = np.nonzero(sizes > 0)[0], np.nonzero(sizes > 0)[0]
+            symbol, active = np.zeros(n, kind), np.nonzero(sizes > 0)[0]
+            symbol[active] = at_symbol(active, sizes[active] - 1)
+            lcp, member, depth, at = np.zeros(n, np.uint8), np.arange(n, dtype=np.int32), np.zeros(n, np.uint8), active
             column = 0
             while len(active):
                 column += 1
                 order = np.argsort(symbol, kind="stable")
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
-                shift = n - int(np.count_nonzero(symbol == 0))
                 mine, c = rank[at], symbol[at]
-                new = mine + shift
+                new = mine + (n - int(np.count_nonzero(symbol == 0)))
                 old_rows = np.ones(len(symbol) + len(at), bool)
                 old_rows[new] = False
                 more = sizes[active] > column
-                ahead = np.zeros(len(active), np.uint8)
-                ahead[more] = text[begin[active[more]] + sizes[active[more]] - column - 1]
+                ahead = np.zeros(len(active), kind)
+                ahead[more] = at_symbol(active[more], sizes[active[more]] - column - 1)
                 # common prefixes with the rows before and behind that start with the same symbol
                 before, behind = order[np.maximum(mine - 1, 0)], order[np.minimum(mine + 1, len(order) - 1)]
                 has_before, has_behind = (mine > 0) & (symbol[before] == c), (mine + 1 < len(order)) & (symbol[behind] == c)
                 least = _RangeMin(lcp)
                 from_before = np.zeros(len(at), np.uint8)
-                from_before[has_before] = np.minimum(least(before[has_before] + 1, at[has_before]).astype(np.int16) + 1, self.cap)
-                to_behind = np.minimum(least(at[has_behind] + 1, behind[has_behind]).astype(np.int16) + 1, self.cap)
+                from_before[has_before] = np.minimum(least(before[has_before] + 1, at[has_before]).astype(np.int16) + 1, whole_symbols)
+                to_behind = np.minimum(least(at[has_behind] + 1, behind[has_behind]).astype(np.int16) + 1, whole_symbols)
                 out = {}
                 for name, was, now in (("symbol", symbol, ahead), ("lcp", lcp, from_before), ("member", member, active.astype(np.int32)), ("depth", depth, np.full(len(at), column, np.uint8))):
                     grown = np.empty(len(old_rows), was.dtype)
@@ -119,9 +131,10 @@ class Construction:
                 out["lcp"][new[has_behind] + 1] = to_behind
                 symbol, lcp, member, depth = (self._keep(f"{name}-{column % 2}", a) for name, a in out.items())
                 active, at = active[more], new[more]
-            whole = depth >= length
-            self.group = np.cumsum(np.asarray(lcp) < length)[whole]
-            self.member, self.offset = np.asarray(member)[whole], sizes[np.asarray(member)[whole]] - np.asarray(depth)[whole].astype(np.int64)
+            whole = np.asarray(depth) >= whole_symbols
+            own = np.asarray(member)[whole]
+            self.group = np.cumsum(np.asarray(lcp) < whole_symbols)[whole]
+            self.member, self.offset = piece[own], phase[own] + gram * (sizes[own] - np.asarray(depth)[whole].astype(np.int64))
 
     def _keep(self, name: str, a: np.ndarray) -> np.ndarray:
         if a.nbytes * 7 <= self.spill:
@@ -156,8 +169,24 @@ def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [b.column(c).to_numpy(zero_copy_only=False) for c in names]
 
 
+def _combine(t: pa.Table) -> pa.Table:
+    """Rows whose piece stands earlier among these rows are marked done, and dealt out by a hash of their place instead of their anchor."""
+    m, piece, absent, doc, alt, place = (t.column(c).to_numpy() for c in ("m", "piece", "absent", "doc_id", "alt", "place"))
+    order = np.argsort(piece)
+    same = piece[order[1:]] == piece[order[:-1]]
+    shared = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    shared = shared[np.lexsort((place[shared], alt[shared], doc[shared], absent[shared], piece[shared]))]
+    late = shared[1:][piece[shared[1:]] == piece[shared[:-1]]]
+    done, m = np.zeros(len(m), np.int32), m.copy()
+    done[late] = 1
+    mixed = ((place[late] ^ doc[late]).view(np.uint64) * _M1 ^ piece[late].view(np.uint64)) * _M2
+    m[late] = (mixed >> np.uint64(_LOW_BITS)).astype(np.int64)
+    return t.set_column(0, "m", pa.array(m)).append_column("done", pa.array(done))
+
+
 def anchored(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(m, piece, absent, doc_id, alt, place): place is 128 * first window + number of windows - 1; absent marks a null doc_id."""
+    """(m, piece, absent, doc_id, alt, place, done): place is 128 * first window + number of windows - 1; absent marks a null
+    doc_id; done marks repeats of a piece that the same task has earlier, so that hot pieces shrink before they are dealt out."""
     names = ["m", "piece", "absent", "doc_id", "alt", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,13 +203,13 @@ def anchored(docs: DataFrame, length: int, anchor: int) -> DataFrame:
         for b in run(batches):
             held.append(b)
             n += b.num_rows
-            if n > 50_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            if n > 200_000:
+                yield from _combine(pa.Table.from_batches(held).combine_chunks()).combine_chunks().to_batches(50_000)
                 held, n = [], 0
         if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            yield from _combine(pa.Table.from_batches(held).combine_chunks()).combine_chunks().to_batches(50_000)
 
-    return docs.select("absent", "doc_id", "alt", "data").mapInArrow(joined, "m long, piece long, absent int, doc_id long, alt long, place long")
+    return docs.select("absent", "doc_id", "alt", "data").mapInArrow(joined, "m long, piece long, absent int, doc_id long, alt long, place long, done int")
 
 
 _PLACE = "absent int, doc_id long, alt long, place long"
@@ -193,10 +222,10 @@ def settled(rows: DataFrame) -> DataFrame:
     def flush(t: pa.Table) -> pa.RecordBatch:
         m, piece = (t.column(c).to_numpy() for c in ("m", "piece"))
         head = np.concatenate([[True], m[1:] != m[:-1]])
-        first = head | np.concatenate([[True], piece[1:] != piece[:-1]])
+        done = t.column("done").to_numpy() == 1
+        first = (head | np.concatenate([[True], piece[1:] != piece[:-1]])) & ~done
         group = np.cumsum(head) - 1
-        pieces = np.bincount(group, weights=first).astype(np.int64)[group]
-        pieces = np.where(first, pieces, 0)
+        pieces = np.where(first, np.bincount(group, weights=first).astype(np.int64)[group], 0)
         t = t.select(["absent", "doc_id", "alt", "place", "m"]).append_column("pieces", pa.array(pieces))
         return t.filter(pa.array(pieces != 1)).combine_chunks()
 
@@ -214,7 +243,7 @@ def settled(rows: DataFrame) -> DataFrame:
         if held:
             yield from flush(pa.Table.from_batches(held)).to_batches()
 
-    dealt = rows.repartition("m").sortWithinPartitions("m", "piece", "absent", "doc_id", "alt", "place")
+    dealt = rows.repartition("m").sortWithinPartitions("m", "piece", "done", "absent", "doc_id", "alt", "place")
     return dealt.mapInArrow(run, f"{_PLACE}, m long, pieces long")
 
 
