@@ -207,8 +207,8 @@ def consensus_labels(t: Tables) -> DataFrame:
 
 @query(f"""
 WITH {_LABELLED}, g AS (SELECT lang, count(*) AS n, count(*) FILTER (quality = 1 - toxic) AS agree, sum(quality) / count(*) AS pa, sum(1 - toxic) / count(*) AS pb FROM m GROUP BY 1)
-SELECT lang, n, agree, round((agree / n - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))), 6) AS kappa,
-       (agree / n - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))) >= 0.6 AS passes FROM g
+SELECT lang, n, agree, round(k, 6) AS kappa, k >= 0.6 AS passes
+FROM (SELECT *, CASE WHEN pe = 1 THEN CASE WHEN agree = n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE (agree / n - pe) / (1 - pe) END AS k FROM (SELECT *, pa * pb + (1 - pa) * (1 - pb) AS pe FROM g))
 """)
 def cohens_kappa(t: Tables) -> DataFrame:
     rows = _labelled(t).withColumn("clean", 1 - F.col("toxic"))
