@@ -127,6 +127,8 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, more: int
     forest = _Forest(len(a) if same else len(a) + len(b))
     shift = 0 if same else len(a)
     ones_a, ones_b = np.bitwise_count(a).sum(1, dtype=np.int32), np.bitwise_count(b).sum(1, dtype=np.int32)
+    # so many lanes are compared in full that unrelated fingerprints, which differ in half their bits, hardly ever come within the radius
+    dense = next((m for m in range(1, a.shape[1]) if 32 * m - 16 * m**0.5 > radius), a.shape[1])
     columns, step = [np.ascontiguousarray(b[:, k]) for k in range(b.shape[1])], 16
     for i in range(0, len(a), step):
         rows = a[i : i + step]
@@ -136,16 +138,14 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, more: int
         if lo >= hi:
             continue
         far = np.bitwise_count(rows[:, :1] ^ columns[0][None, lo:hi])
-        if a.shape[1] > 1:  # three lanes settle most pairs, the others are compared on what is left
-            far = far.astype(np.uint8)
-            for k in (1, 2)[: a.shape[1] - 1]:
-                far += np.bitwise_count(rows[:, k : k + 1] ^ columns[k][None, lo:hi])
+        for k in range(1, dense):  # a byte wraps beyond 255 only, which the exact comparison below finds out
+            far += np.bitwise_count(rows[:, k : k + 1] ^ columns[k][None, lo:hi])
         x, y = np.nonzero(far <= radius)
         if not len(x):
             continue
         d = far[x, y].astype(np.int32)
         y += lo
-        if a.shape[1] > 3:
+        if a.shape[1] > 1:
             d = np.bitwise_count(rows[x] ^ b[y]).sum(1, dtype=np.int32)
         keep = (d <= radius) & ((y > x + i) if same else True)
         x, y, d = x[keep], y[keep], d[keep]
