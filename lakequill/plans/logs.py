@@ -286,7 +286,7 @@ def first_two_labelers(t: Tables) -> DataFrame:
 @query("""
 WITH c AS (SELECT event_type, count(*) FILTER (value > 60) AS x, count(*) AS n FROM events GROUP BY 1)
 SELECT event_type, threshold, margin, CASE WHEN n < 100 THEN 'PENDING' WHEN x / n > threshold + margin THEN 'BREAK' WHEN x / n < threshold - margin THEN 'HOLD' ELSE 'UNCLEAR' END AS branch
-FROM c, (VALUES (0.25), (0.3), (0.35)) a(threshold), (VALUES (0.0), (0.05)) b(margin)
+FROM c, (VALUES (0.25::DOUBLE), (0.3::DOUBLE), (0.35::DOUBLE)) a(threshold), (VALUES (0.0::DOUBLE), (0.05::DOUBLE)) b(margin)
 """)
 def threshold_sweep(t: Tables) -> DataFrame:
     counts = t.events.groupBy("event_type").agg(V.count_if(F.col("value") > 60).alias("x"), F.count("*").alias("n"))
