@@ -158,24 +158,37 @@ def logistic(df: DataFrame, vector: str, label: str, c: float = 1.0, steps: int
     return theta[:-1], float(theta[-1])
 
 
-def bootstrap_auroc_difference(df: DataFrame, a: str, b: str, label: str, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """(observed, low, high): percentile interval of AUROC(a) - AUROC(b) over paired resamples.
-
-    Resampling weighs rows by hashed Poisson(1) counts, so replicates need no row to move: every row adds its weights to the
-    score's counts, and only counts by distinct score are ranked. Replicates with a single class are left out.
-    """
-    from lakequill.operators.stats import auroc
-
-    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(label).isNotNull()).select(a, b, label, F.monotonically_increasing_id().alias("_id"))
-    draws = known.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+def _resampled(known: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """known once for each replicate r (0 is the data itself), rows repeated by hashed Poisson(1) counts; no row has to be moved."""
+    draws = known.withColumn("_id", F.monotonically_increasing_id()).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     u = F.pmod(F.xxhash64("_id", "r", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    cdf, p, total = [], float(np.exp(-1)), 0.0
+    weight, p, total = F.lit(0), float(np.exp(-1)), 0.0
     for k in range(1, 12):
         total += p
-        cdf.append(total)
+        weight = weight + F.when(u >= total, 1).otherwise(0)
         p /= k
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cdf), F.lit(0))
-    draws = draws.withColumn("w", F.when(F.col("r") == 0, 1).otherwise(weight)).where("w > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("w"))))
-    x, y = auroc(draws, ["r"], a, label), auroc(draws, ["r"], b, label)
-    both = x.select("r", F.col("auroc").alias("x")).join(y.select("r", F.col("auroc").alias("y")), "r").where("x IS NOT NULL AND y IS NOT NULL").select("r", (F.col("x") - F.col("y")).alias("d"))
-    return both.agg(F.max(F.when(F.col("r") == 0, F.col("d"))).alias("observed"), F.percentile(F.when(F.col("r") > 0, F.col("d")), F.lit(0.025)).alias("low"), F.percentile(F.when(F.col("r") > 0, F.col("d")), F.lit(0.975)).alias("high"))
+    return draws.withColumn("_w", F.when(F.col("r") == 0, 1).otherwise(weight)).where("_w > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_w")))).drop("_id", "_w", "_k")
+
+
+def _interval(by_replicate: DataFrame, x: str) -> DataFrame:
+    """(observed, low, high): the data's own value and the percentile interval of the replicates."""
+    drawn = F.when(F.col("r") > 0, F.col(x))
+    return by_replicate.where(F.col(x).isNotNull()).agg(F.max(F.when(F.col("r") == 0, F.col(x))).alias("observed"), F.percentile(drawn, F.lit(0.025)).alias("low"), F.percentile(drawn, F.lit(0.975)).alias("high"))
+
+
+def bootstrap_auroc(df: DataFrame, score: str, label: str, replicates: int = 200, seed: int = 0) -> DataFrame:
+    """(observed, low, high) of one score's AUROC; replicates with a single class are left out."""
+    from lakequill.operators.stats import auroc
+
+    known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(score, label)
+    return _interval(auroc(_resampled(known, replicates, seed), ["r"], score, label), "auroc")
+
+
+def bootstrap_auroc_difference(df: DataFrame, a: str, b: str, label: str, replicates: int = 200, seed: int = 0) -> DataFrame:
+    """(observed, low, high) of AUROC(a) - AUROC(b) over paired resamples; replicates with a single class are left out."""
+    from lakequill.operators.stats import auroc
+
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(label).isNotNull()).select(a, b, label)
+    draws = _resampled(known, replicates, seed)
+    x, y = (auroc(draws, ["r"], c, label).select("r", F.col("auroc").alias(n)) for c, n in ((a, "x"), (b, "y")))
+    return _interval(x.join(y, "r").select("r", (F.col("x") - F.col("y")).alias("d")), "d")

@@ -325,6 +325,11 @@ def bootstrap_auroc_interval(t: Tables) -> DataFrame:
     return P.bootstrap_auroc_difference(_labelled(t).withColumn("other", F.col("doc_id") % 97), "n_chars", "other", "toxic", replicates=50)
 
 
+@query()
+def bootstrap_single_interval(t: Tables) -> DataFrame:
+    return P.bootstrap_auroc(_labelled(t), "n_chars", "toxic", replicates=50)
+
+
 @query("""
 WITH f AS (SELECT user_id::VARCHAR AS f, avg(value) FILTER (event_type = 'view') - avg(value) FILTER (event_type = 'click') AS d FROM events GROUP BY 1), g AS (SELECT * FROM f WHERE d IS NOT NULL),
 s AS (SELECT p, sum(CASE WHEN ('0x' || substr(md5('4:' || p::VARCHAR || ':' || f), 1, 1))::INT < 8 THEN d ELSE -d END) AS t FROM g, range(500) r(p) GROUP BY p)

@@ -132,3 +132,11 @@ class TestProbes:
             z = z - z.mean(0)
             z /= np.linalg.norm(z, axis=1, keepdims=True)
             assert got[g] == pytest.approx(np.linalg.slogdet(z @ z.T + 1e-3 * np.eye(len(z)))[1], rel=1e-6)
+
+    def test_bootstrap_covers_the_observed_value(self, spark):
+        _, _, df = self.table(spark)
+        df = df.withColumn("s", stats.F.col("v")[0])
+        one = probes.bootstrap_auroc(df, "s", "c", replicates=60).first()
+        assert one.low < one.observed < one.high and one.high - one.low < 0.4
+        same = probes.bootstrap_auroc_difference(df, "s", "s", "c", replicates=20).first()
+        assert (same.observed, same.low, same.high) == (0.0, 0.0, 0.0)
