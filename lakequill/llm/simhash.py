@@ -4,7 +4,8 @@ Texts become fingerprints of `bits` bits; equal fingerprints form one class (a p
 copies costs one row). Classes are laid out in tiles by population count. Every tile meets the tiles whose population counts
 lie within the radius; other tile pairs are skipped, as each differing bit changes the population count by one at most. A
 tile pair yields a spanning forest of its links, never all pairs of a group, and components of these forests are the groups.
-Where a similarity of texts is asked for rather than a radius, links are verified on the shingle sets themselves.
+Where a similarity of texts is asked for rather than a radius, fingerprints are those of shingle sets, only equal sets form a
+class, and links are verified on the sets themselves.
 
 Defined results: null and empty texts, and texts of white space only, have the fingerprint zero and link like any other;
 repeated rows share fingerprint and component; a null doc_id gets a fingerprint, and its component is the smallest doc_id
@@ -80,8 +81,16 @@ def majority_bits(hashes: list[np.ndarray], lanes: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int, bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp binary, ones int): fp is big-endian by 64-bit lanes, ones its population count."""
+def set_digest(shingles: np.ndarray) -> bytes:
+    """128 bits that stand for a sorted set of shingle hashes."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
+def fingerprints(docs: DataFrame, words: int, bits: int, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
+    """(doc_id, fp binary, ones int, key binary): fp is big-endian by 64-bit lanes, ones its population count.
+
+    The key is what makes a class: the fingerprint, or with `sets` the digest of the shingle set, whose members then count once.
+    """
     lanes = bits // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,18 +99,18 @@ def fingerprints(docs: DataFrame, words: int, bits: int, id_col: str = "doc_id",
             while i < b.num_rows:  # about a million hashes at a time
                 held, n, j = [], 0, i
                 while j < b.num_rows and n < 1 << 20:
-                    held.append(shingle_hashes(texts[j].as_py(), words))
+                    h = shingle_hashes(texts[j].as_py(), words)
+                    held.append(np.unique(h) if sets else h)
                     n, j = n + len(held[-1]), j + 1
                 fps = majority_bits(held, lanes)
                 ones = np.bitwise_count(fps).sum(1, dtype=np.int32)
                 raw = fps.astype(">u8").tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array([raw[k : k + 8 * lanes] for k in range(0, len(raw), 8 * lanes)], pa.binary()), pa.array(ones, pa.int32())],
-                    names=["doc_id", "fp", "ones"],
-                )
+                fp = pa.array([raw[k : k + 8 * lanes] for k in range(0, len(raw), 8 * lanes)], pa.binary())
+                key = pa.array([set_digest(h) for h in held], pa.binary()) if sets else fp
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), fp, pa.array(ones, pa.int32()), key], names=["doc_id", "fp", "ones", "key"])
                 i = j
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp binary, ones int")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp binary, ones int, key binary")
 
 
 class _Forest:
@@ -160,9 +169,9 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, more: int
 
 
 def similar_classes(classes: DataFrame, bits: int, radius: int, tile: int = TILE, more: int = 0) -> DataFrame:
-    """Edges (a, b) of fingerprints that differ in `radius` bits at most, enough of them to span each group.
+    """Edges (a, b) of keys whose fingerprints differ in `radius` bits at most, enough of them to span each group.
 
-    classes: (fp, ones), distinct. The driver gets a histogram of `ones` only, which has bits + 1 rows at most.
+    classes: (key, fp, ones), distinct keys of one length. The driver gets a histogram of `ones` only, which has bits + 1 rows at most.
     """
     lanes = bits // 64
     counts = {r["ones"]: r["n"] for r in classes.groupBy("ones").agg(F.count("*").alias("n")).collect()}
@@ -180,26 +189,25 @@ def similar_classes(classes: DataFrame, bits: int, radius: int, tile: int = TILE
     last = [max(u for u, (lo, _) in enumerate(span) if lo <= hi + radius) for _, hi in span]
     begin = [min(u for u, (_, hi) in enumerate(span) if hi >= lo - radius) for lo, _ in span]
     look = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("ones") + 1)
-    placed = classes.select("fp", (look(first) + F.pmod(F.xxhash64("fp"), look(split)).cast("int")).alias("tile"), "ones")
+    placed = classes.select(F.concat("fp", "key").alias("row"), (look(first) + F.pmod(F.xxhash64("key"), look(split)).cast("int")).alias("tile"), "ones")
 
     def pack(t: pa.Table) -> pa.Table:
         # by population count
         order = np.argsort(t.column("ones").to_numpy(), kind="stable")
-        return pa.table({"tile": t.column("tile").slice(0, 1).combine_chunks(), "fps": pa.array([b"".join(t.column("fp").take(pa.array(order)).to_pylist())], pa.binary())})
+        return pa.table({"tile": t.column("tile").slice(0, 1).combine_chunks(), "n": pa.array([len(order)], pa.int32()), "rows": pa.array([b"".join(t.column("row").take(pa.array(order)).to_pylist())], pa.binary())})
 
-    tiles = placed.groupBy("tile").applyInArrow(pack, "tile int, fps binary")
+    tiles = placed.groupBy("tile").applyInArrow(pack, "tile int, n int, rows binary")
     at_tile = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("tile") + 1)
-    sides = tiles.select("tile", "fps", F.explode(F.sequence(at_tile(begin), at_tile(last))).alias("other"))
-    sides = sides.select(F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), (F.col("tile") > F.col("other")).alias("second"), "fps")
+    sides = tiles.select("tile", "n", "rows", F.explode(F.sequence(at_tile(begin), at_tile(last))).alias("other"))
+    sides = sides.select(F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), (F.col("tile") > F.col("other")).alias("second"), "n", "rows")
 
     def compare(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t.column("second").to_pylist(), t.column("fps").to_pylist(), strict=True))
-        raw = [np.frombuffer(x, ">u8").astype(np.uint64).reshape(-1, lanes) for _, x in rows]
-        same = len(raw) == 1
-        found = tile_links(raw[0], raw[-1], radius, same, more)
-        every = rows[0][1] if same else rows[0][1] + rows[1][1]
-        get = lambda i: every[8 * lanes * i : 8 * lanes * (i + 1)]
-        return pa.table({"a": pa.array([get(i) for i, _ in found], pa.binary()), "b": pa.array([get(j) for _, j in found], pa.binary())})
+        sides = sorted(zip(*(t.column(c).to_pylist() for c in ("second", "n", "rows")), strict=True))
+        raw = [np.frombuffer(x, np.uint8).reshape(n, -1) for _, n, x in sides]
+        fps = [np.ascontiguousarray(x[:, : 8 * lanes]).view(">u8").astype(np.uint64) for x in raw]
+        keys = np.concatenate([x[:, 8 * lanes :] for x in raw])
+        found = tile_links(fps[0], fps[-1], radius, len(raw) == 1, more)
+        return pa.table({"a": pa.array([keys[i].tobytes() for i, _ in found], pa.binary()), "b": pa.array([keys[j].tobytes() for _, j in found], pa.binary())})
 
     return sides.groupBy("t", "u").applyInArrow(compare, "a binary, b binary")
 
@@ -210,20 +218,24 @@ def radius_for(similarity: float, bits: int, deviations: float = 2.5) -> int:
     return round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
-def verified(edges: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The edges whose shingle sets have the Jaccard similarity, each class shown by its smallest doc_id's text."""
-    least = classes.select("fp", "least")
-    pairs = edges.join(least.select(F.col("fp").alias("a"), F.col("least").alias("i")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("j")), "b")
-    asked = pairs.select(F.col("i").alias("__id")).union(pairs.select("j")).distinct()
+def shingle_sets(edges: DataFrame, classes: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, shingles) of the classes with an edge."""
+    asked = edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct()
+    ids = classes.join(asked, "key", "left_semi").select(F.col("least").alias("__id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            sets = [np.unique(shingle_hashes(t, words)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_digest, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(ids, F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    sets = texts.select("t").mapInArrow(run, "key binary, shingles array<bigint>").join(asked, "key", "left_semi")
+    return sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
+
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(asked, F.col("id") == F.col("__id"), "left_semi")
-    sets = texts.mapInArrow(run, "id long, shingles array<bigint>").groupBy("id").agg(F.min("shingles").alias("shingles"))
-    both = pairs.join(sets.select(F.col("id").alias("i"), F.col("shingles").alias("s")), "i").join(sets.select(F.col("id").alias("j"), F.col("shingles").alias("t")), "j")
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges whose shingle sets have the Jaccard similarity."""
+    both = edges.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("t")), "b")
     common = F.size(F.array_intersect("s", "t"))
     return both.where(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b")
 
@@ -235,16 +247,17 @@ def group(docs: DataFrame, store: Store, words: int = 5, bits: int = 512, radius
     are verified on the shingle sets: those that span each group, and those to the `more` nearest fingerprints of a tile.
     """
     verify, radius = radius is None, radius_for(similarity, bits) if radius is None else radius
-    prints = store.save(fingerprints(docs, words, bits, id_col, text_col), "prints")
-    classes = store.save(prints.groupBy("fp", "ones").agg(F.min("doc_id").alias("least")), "classes")
-    edges = similar_classes(classes.select("fp", "ones"), bits, radius, tile, more if verify else 0)
+    prints = store.save(fingerprints(docs, words, bits, id_col, text_col, verify), "prints")
+    classes = store.save(prints.groupBy("key", "fp", "ones").agg(F.min("doc_id").alias("least")), "classes")
+    edges = similar_classes(classes.select("key", "fp", "ones"), bits, radius, tile, more if verify else 0)
     if verify:
-        edges = verified(store.save(edges, "near"), classes, docs, words, similarity, id_col, text_col)
+        near = store.save(edges, "near")
+        edges = verified(near, store.save(shingle_sets(near, classes, docs, words, id_col, text_col), "sets"), similarity)
     roots = connected_components(edges, store)
-    rooted = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = rooted.join(least, "root").select("fp", "component_id")
-    return prints.select("doc_id", "fp").join(by_class, "fp").select("doc_id", "fp", "component_id")
+    by_class = rooted.join(least, "root").select("key", "component_id")
+    return prints.select("doc_id", "fp", "key").join(by_class, "key").select("doc_id", "fp", "component_id")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,6 +141,15 @@ class TestSimHash:
         kept = {r.doc_id for r in simhash.simhash_stage(spark, spark.createDataFrame(rows, DOC), "").collect()}
         assert kept == {0, 1, 2, 3, 4, 5}
 
+    def test_stage_compares_sets_of_shingles(self, spark):
+        rng = random.Random(4)
+        word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+        ruled = [" ".join(["0"] * 300 + [word() for _ in range(100)]) for _ in range(2)]  # one shingle is over half of all
+        w = [word() for _ in range(300)]
+        rows = list(enumerate([*ruled, " ".join(w), " ".join(w[:150] + w[100:150] * 20 + w[150:])]))
+        kept = {r.doc_id for r in simhash.simhash_stage(spark, spark.createDataFrame(rows, DOC), "").collect()}
+        assert kept == {0, 1, 2}
+
 
 class TestSuffixes:
     def brute(self, docs, n=100):
