@@ -3,7 +3,7 @@
 Texts become fingerprints of `bits` bits; equal fingerprints form one class (a partial aggregate, so that a group of exact
 copies costs one row). Classes are laid out in tiles by population count. Every tile meets the tiles whose population counts
 lie within the radius; other tile pairs are skipped, as each differing bit changes the population count by one at most. A
-tile pair yields a spanning forest of its links, never all pairs of a group, and components of these forests are the groups.
+tile pair yields a spanning forest of its links, not all pairs of a group, and components of these forests are the groups.
 Where a similarity of texts is asked for rather than a radius, fingerprints are those of shingle sets, only equal sets form a
 class, and links are verified on the sets themselves.
 
@@ -33,6 +33,8 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 #: Classes in a tile; a tile pair is the unit of work.
 TILE = 16384
+#: Of classes that ask again, in a tile; it may return all its pairs (32 bytes each). And how many they ask for at first.
+APART_TILE, NEAREST = 2048, 32
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -168,9 +170,34 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, more: int
     return forest.edges
 
 
-def similar_classes(classes: DataFrame, bits: int, radius: int, tile: int = TILE, more: int = 0) -> DataFrame:
+def apart_links(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, radius: int, same: bool, most: int | None) -> np.ndarray:
+    """(links, 2): of each row of a the `most` nearest rows of b (all if None) within the radius that are in another group.
+
+    Numbered like tile_links numbers them: rows of b come after those of a unless both are one tile.
+    """
+    out, step = [np.empty((0, 2), np.int64)], max(1, (1 << 21) // len(b))
+    for i in range(0, len(a), step):
+        d = np.zeros((len(a[i : i + step]), len(b)), np.int32)
+        for k in range(a.shape[1]):
+            d += np.bitwise_count(a[i : i + step, k : k + 1] ^ b[None, :, k])
+        x, y = np.nonzero((d <= radius) & (group_a[i : i + step, None] != group_b[None, :]))
+        if same:
+            x, y = x[y > x + i], y[y > x + i]
+        if most is not None:
+            order = np.lexsort((d[x, y], x))
+            x, y = x[order], y[order]
+            keep = np.arange(len(x)) - np.searchsorted(x, x) < most
+            x, y = x[keep], y[keep]
+        out.append(np.stack([x + i, y + (0 if same else len(a))], 1))
+    return np.concatenate(out)
+
+
+def similar_classes(classes: DataFrame, bits: int, radius: int, tile: int = TILE, more: int = 0, apart: bool = False, most: int | None = None) -> DataFrame:
     """Edges (a, b) of keys whose fingerprints differ in `radius` bits at most, enough of them to span each group.
 
+    With `apart`, classes have a column group as long as the key, and the edges are all those between different groups, or
+    for each fingerprint those to its `most` nearest in a tile.
+
     classes: (key, fp, ones), distinct keys of one length. The driver gets a histogram of `ones` only, which has bits + 1 rows at most.
     """
     lanes = bits // 64
@@ -189,7 +216,7 @@ def similar_classes(classes: DataFrame, bits: int, radius: int, tile: int = TILE
     last = [max(u for u, (lo, _) in enumerate(span) if lo <= hi + radius) for _, hi in span]
     begin = [min(u for u, (_, hi) in enumerate(span) if hi >= lo - radius) for lo, _ in span]
     look = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("ones") + 1)
-    placed = classes.select(F.concat("fp", "key").alias("row"), (look(first) + F.pmod(F.xxhash64("key"), look(split)).cast("int")).alias("tile"), "ones")
+    placed = classes.select(F.concat("fp", "key", *(["group"] if apart else [])).alias("row"), (look(first) + F.pmod(F.xxhash64("key"), look(split)).cast("int")).alias("tile"), "ones")
 
     def pack(t: pa.Table) -> pa.Table:
         # by population count
@@ -206,7 +233,12 @@ def similar_classes(classes: DataFrame, bits: int, radius: int, tile: int = TILE
         raw = [np.frombuffer(x, np.uint8).reshape(n, -1) for _, n, x in sides]
         fps = [np.ascontiguousarray(x[:, : 8 * lanes]).view(">u8").astype(np.uint64) for x in raw]
         keys = np.concatenate([x[:, 8 * lanes :] for x in raw])
-        found = tile_links(fps[0], fps[-1], radius, len(raw) == 1, more)
+        if apart:
+            keys, groups = np.split(keys, 2, axis=1)
+            _, groups = np.unique(np.ascontiguousarray(groups).view(f"V{groups.shape[1]}").ravel(), return_inverse=True)
+            found = apart_links(fps[0], fps[-1], groups[: len(fps[0])], groups[-len(fps[-1]) :], radius, len(raw) == 1, most)
+        else:
+            found = tile_links(fps[0], fps[-1], radius, len(raw) == 1, more)
         return pa.table({"a": pa.array([keys[i].tobytes() for i, _ in found], pa.binary()), "b": pa.array([keys[j].tobytes() for _, j in found], pa.binary())})
 
     return sides.groupBy("t", "u").applyInArrow(compare, "a binary, b binary")
@@ -240,20 +272,47 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b")
 
 
+def verified_groups(classes: DataFrame, docs: DataFrame, store: Store, words: int, bits: int, radius: int, similarity: float, tile: int, more: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, root) of the classes joined by links that verification accepts, as if every candidate had been verified.
+
+    The first round asks for links that span the candidates' groups. Where a link failed between two verified groups, the
+    members ask again: for the nearest of each in another group, then for all of them. Candidates within a verified group
+    are the only ones left out, as their ends are joined already.
+    """
+    near = store.save(similar_classes(classes.select("key", "fp", "ones"), bits, radius, tile, more), "near")
+    sets = store.save(shingle_sets(near, classes, docs, words, id_col, text_col), "sets")
+    edges = store.save(verified(near, sets, similarity), "verified")
+    roots = connected_components(edges, store)
+    members = sets.select("key").join(classes, "key").select("key", "fp", "ones")  # whatever has a candidate has a link of the first round
+    for most in (NEAREST, None):
+        grouped = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "fp", "ones", F.coalesce("root", "key").alias("group"))
+        grouped = store.save(grouped, "grouped")
+        at = lambda c: grouped.select(F.col("key").alias(c), F.col("group").alias(f"{c}_group"))  # noqa: B023, E731
+        failed = near.join(at("a"), "a").join(at("b"), "b").where("a_group <> b_group")
+        open_groups = failed.select(F.col("a_group").alias("group")).union(failed.select("b_group")).distinct()
+        asking = store.save(grouped.join(open_groups, "group", "left_semi"), "asking")
+        if asking.isEmpty():
+            break
+        found = similar_classes(asking.select("key", "fp", "ones", "group"), bits, radius, min(tile, APART_TILE), apart=True, most=most)
+        edges = store.save(edges.union(verified(found, sets, similarity)), "verified")
+        roots = connected_components(edges, store)
+    return roots
+
+
 def group(docs: DataFrame, store: Store, words: int = 5, bits: int = 512, radius: int | None = None, similarity: float = 0.8, tile: int = TILE, more: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs.
 
     With a radius, fingerprints link at that many differing bits. Without, the radius follows from the similarity, and links
-    are verified on the shingle sets: those that span each group, and those to the `more` nearest fingerprints of a tile.
+    are verified on the shingle sets: first those that span each group and those to the `more` nearest fingerprints of a tile,
+    then all between groups that are still apart.
     """
     verify, radius = radius is None, radius_for(similarity, bits) if radius is None else radius
     prints = store.save(fingerprints(docs, words, bits, id_col, text_col, verify), "prints")
     classes = store.save(prints.groupBy("key", "fp", "ones").agg(F.min("doc_id").alias("least")), "classes")
-    edges = similar_classes(classes.select("key", "fp", "ones"), bits, radius, tile, more if verify else 0)
     if verify:
-        near = store.save(edges, "near")
-        edges = verified(near, store.save(shingle_sets(near, classes, docs, words, id_col, text_col), "sets"), similarity)
-    roots = connected_components(edges, store)
+        roots = verified_groups(classes, docs, store, words, bits, radius, similarity, tile, more, id_col, text_col)
+    else:
+        roots = connected_components(similar_classes(classes.select("key", "fp", "ones"), bits, radius, tile), store)
     rooted = classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = rooted.join(least, "root").select("key", "component_id")

@@ -141,6 +141,24 @@ class TestSimHash:
         kept = {r.doc_id for r in simhash.simhash_stage(spark, spark.createDataFrame(rows, DOC), "").collect()}
         assert kept == {0, 1, 2, 3, 4, 5}
 
+    def test_stage_asks_past_rejected_links(self, spark):
+        rng = random.Random(9)
+        word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+        cut = lambda w, *at: [word() if i in at else x for i, x in enumerate(w)]
+        rows = []
+        for _ in range(6):
+            a = [word() for _ in range(204)]
+            # copies lie 20 or more shingles from the last text, a itself is 0.8 similar to it and no nearer than they are
+            rows += [a, *(cut(a, 10 + 20 * k) for k in range(8)), cut(a, 20, 60, 100, 140)]
+        rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+        sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+        expected = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+        df = spark.createDataFrame(rows, DOC)
+        for tile in (simhash.TILE, 16):
+            got = {r.doc_id: r.component_id for r in simhash.group(df, Store(spark, "t"), tile=tile, more=1).collect()}
+            assert [got[i] for i in range(len(rows))] == expected
+        assert len(set(expected)) == 6
+
     def test_stage_compares_sets_of_shingles(self, spark):
         rng = random.Random(4)
         word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
