@@ -244,10 +244,24 @@ def similar_classes(classes: DataFrame, bits: int, radius: int, tile: int = TILE
     return sides.groupBy("t", "u").applyInArrow(compare, "a binary, b binary")
 
 
-def radius_for(similarity: float, bits: int, deviations: float = 2.5) -> int:
-    """Differing bits within which all but a few in a thousand pairs of this Jaccard similarity (cosine 2s / (1 + s)) lie."""
+def disagreement(common: int, own_a: int, own_b: int) -> float:
+    """Probability that a bit differs between majorities over sets with so many common and own random hashes."""
+    chance = lambda n: [math.comb(n, k) / 2**n for k in range(n + 1)]
+    over = lambda k, own: sum(p for j, p in enumerate(chance(own)) if 2 * (k + j) > common + own)
+    either = [(p, over(k, own_a), over(k, own_b)) for k, p in enumerate(chance(common))]
+    return sum(p * (x * (1 - y) + y * (1 - x)) for p, x, y in either)
+
+
+def radius_for(similarity: float, bits: int, deviations: float = 5) -> int:
+    """Differing bits within which pairs of sets of this Jaccard similarity lie, but for about one in a million at any size.
+
+    Large sets follow the angle of cosine 2s / (1 + s); small sets differ in more bits, so those are counted out.
+    """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
+    for common in range(1, 49):
+        own = int(common / similarity - common + 1e-9)
+        share = max([share, *(disagreement(common, k, own - k) for k in range(own // 2 + 1))])
+    return min(bits, math.ceil(bits * share + deviations * math.sqrt(bits * share * (1 - share))))
 
 
 def shingle_sets(edges: DataFrame, classes: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:

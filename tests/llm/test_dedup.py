@@ -141,6 +141,14 @@ class TestSimHash:
         kept = {r.doc_id for r in simhash.simhash_stage(spark, spark.createDataFrame(rows, DOC), "").collect()}
         assert kept == {0, 1, 2, 3, 4, 5}
 
+    def test_stage_finds_short_texts(self, spark):
+        rng = random.Random(6)
+        word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+        base = [[word() for _ in range(8)] for _ in range(60)]
+        rows = list(enumerate([" ".join(w) for w in base] + [" ".join([*w, word()]) for w in base]))  # four shingles of five are common
+        kept = {r.doc_id for r in simhash.simhash_stage(spark, spark.createDataFrame(rows, DOC), "").collect()}
+        assert kept == set(range(60))
+
     def test_stage_asks_past_rejected_links(self, spark):
         rng = random.Random(9)
         word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
