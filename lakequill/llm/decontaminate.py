@@ -4,7 +4,9 @@ Numbers, names and units become typed placeholders, so that a question with othe
 of the one it was made from. Benchmark items are cut into windows of five template words; the documents' windows are hash-
 joined with them. Where a document holds `coverage` of an item's distinct windows, the values that fill the placeholders are
 aligned: on each alignment (a constant distance of word positions) one value of the item has to stand for one value of the
-document and the other way round. Pairs whose slots contradict each other aren't leaks.
+document and the other way round. A pair leaks if its slots agree over all alignments, if alignments that agree each for
+itself leave `coverage` of the windows, or if the document holds `coverage` of the windows with equal values. Others, whose
+slots contradict each other on every alignment that would cover the item, aren't leaks.
 
 Defined results: items with a null or empty text or with fewer than five template words have no windows and match nothing,
 as do such documents; rows that repeat a doc_id or item_id count together; a document without doc_id can't be named and
@@ -53,6 +55,13 @@ def _hashed(df: DataFrame, key: str, window: int) -> DataFrame:
     return forms.select(key, "names", F.explode(hashes).alias("h"))
 
 
+def _verbatim(df: DataFrame, key: str, window: int) -> DataFrame:
+    """(key, h): the windows of words with their names, numbers and units as they are."""
+    held = df.select(key, template_tokens(F.col("text"), names=False, values=True).alias("t")).where(F.size("t") >= window)
+    hashes = F.transform(F.sequence(F.lit(1), F.size("t") - window + 1), lambda i: F.xxhash64(F.slice("t", i, window)))
+    return held.select(key, F.explode(hashes).alias("h")).distinct()
+
+
 def _slot_windows(df: DataFrame, key: str, window: int) -> DataFrame:
     """(key, h, pos, slots) of the windows that hold a placeholder; slots: (position in the window, kind, value)."""
     held = df.select(key, template_tokens(F.col("text"), values=True).alias("raw"))
@@ -78,19 +87,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, store: Store, window: int = WIN
     pairs = forms.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*").where(F.col("coverage") >= coverage)
     pairs = store.save(pairs, "pairs")
     slot_items = store.save(_slot_windows(benchmark, "item_id", window).select("item_id", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")), "slot-items")
-    in_doc = _slot_windows(docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", window)
-    both = in_doc.join(sized(slot_items), "h").join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
-    both = both.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    held = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    both = _slot_windows(held, "doc_id", window).join(sized(slot_items), "h").join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
+    both = both.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "h", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
     slot = F.struct(F.col("s.slots.kind").alias("kind"), F.col("s.item_slots.value").alias("mine"), F.col("s.slots.value").alias("theirs"))
-    aligned = both.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(slot).alias("pairs"))  # no more than an item has slots
+    aligned = both.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(slot).alias("pairs"), F.collect_set("h").alias("hs"))  # no more than an item has slots and windows
     clash = lambda p, q: (q["kind"] == p["kind"]) & ((q["mine"] == p["mine"]) != (q["theirs"] == p["theirs"]))
     good = F.filter("pairs", lambda p: ~F.exists("pairs", lambda q: clash(p, q)))
-    slots = aligned.groupBy("doc_id", "item_id").agg(F.sum(F.size("pairs")).alias("n_slots"), F.sum(F.size(good)).alias("n_consistent"))
-    out = pairs.join(slots, ["doc_id", "item_id"], "left").select(
+    aligned = aligned.select("doc_id", "item_id", "hs", F.size("pairs").alias("n"), F.size(good).alias("good")).withColumn("agrees", F.col("good") >= F.lit(consistent) * F.col("n"))
+    aligned = store.save(aligned, "aligned")
+    agreed = lambda c: F.sum(F.when(F.col("agrees"), F.col(c)).otherwise(0))
+    slots = aligned.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_all"), F.sum("good").alias("good_all"), agreed("n").alias("n_agreed"), agreed("good").alias("good_agreed"))
+    windows = aligned.select("doc_id", "item_id", "agrees", F.explode("hs").alias("h")).groupBy("doc_id", "item_id", "h").agg(F.max("agrees").alias("agrees"))
+    lost = windows.groupBy("doc_id", "item_id").agg(F.count_if(~F.col("agrees")).alias("lost"))  # windows that only contradicting alignments hold
+    plain_items = store.save(_verbatim(benchmark, "item_id", window), "plain-items")
+    plain_sizes = plain_items.groupBy("item_id").agg(F.count("*").alias("n_plain"))
+    plain = _verbatim(held, "doc_id", window).join(sized(plain_items), "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_equal"))
+    plain = plain.join(sized(plain_sizes), "item_id").where(F.col("n_equal") >= F.lit(coverage) * F.col("n_plain")).select("doc_id", "item_id", F.lit(True).alias("equal"))
+    judged = pairs.join(slots, ["doc_id", "item_id"], "left").join(lost, ["doc_id", "item_id"], "left").join(plain, ["doc_id", "item_id"], "left")
+    whole = F.coalesce(F.col("good_all") >= F.lit(consistent) * F.col("n_all"), F.lit(True))
+    parts = F.col("n_matched") - F.col("lost") >= F.lit(coverage) * F.col("n_windows")
+    return judged.where(whole | parts | F.col("equal")).select(
         "doc_id", "item_id", "n_windows", "n_matched", "coverage",
-        F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_consistent", F.lit(0)).alias("n_consistent"),
+        F.coalesce(F.when(whole, F.col("n_all")).otherwise(F.col("n_agreed")), F.lit(0)).alias("n_slots"),
+        F.coalesce(F.when(whole, F.col("good_all")).otherwise(F.col("good_agreed")), F.lit(0)).alias("n_consistent"),
     )
-    return out.where(F.col("n_consistent") >= F.lit(consistent) * F.col("n_slots"))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,14 @@ class TestDecontamination:
         assert {d for d, _ in found} >= {1, 2, 5} and not {d for d, _ in found} & {3, 6, 7, 8, 9, None}
         assert found[2, 1].n_slots > 0 and found[2, 1].n_consistent == found[2, 1].n_slots
 
+    def test_chance_alignments_do_not_outvote(self, spark):
+        item = "What is 12 plus 12 plus 15 plus 15"
+        numbers = "the list holds 4 and 4 and 9 and 7 and 4 and 9 in the end"
+        others = " ".join(f"What is {i} plus {i + 3} plus {i + 1} plus {i + 9}" for i in range(20, 40))
+        docs = [(1, item), (2, f"{others} {item} {others}"), (3, item.replace("12", "31").replace("15", "40")), (4, "What is 1 plus 2 plus 3 plus 4"), (5, others), (6, numbers)]
+        found = self.leaks(spark, docs, [(1, item), (2, numbers)])
+        assert set(found) == {(1, 1), (2, 1), (3, 1), (6, 2)}
+
     def test_against_brute_force(self, spark):
         items = [(i, say(rng.randint(3, 25))) for i in range(12)]
         docs = []
