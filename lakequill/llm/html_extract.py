@@ -31,6 +31,8 @@ _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Elements whose text is never shown, or belongs to a form field.
 _SILENT = {"script", "style", "template", "noscript", "title", "textarea", "select", "svg", "iframe", "object", "option"}
+#: Elements whose content has no tags but their own end tag.
+_RAW = {k: re.compile(rf"</{k}(?=[\s/>])", re.I) for k in ("script", "style", "noscript", "title", "textarea", "iframe")}
 _BLOCK = set(
     "html head body nav header footer aside main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption form fieldset legend button details summary dialog address hgroup menu center noframes".split()
@@ -49,7 +51,7 @@ class Node:
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes in document order (node 0 is the root), and the runs of text as (node, text)."""
     nodes, runs, held = [Node("root", (), -1)], [], []
-    stack, links, silent = [0], 0, ""
+    stack, links, silent, inside, at = [0], 0, "", [], 0
 
     def flush() -> None:
         if held:
@@ -61,8 +63,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 n.last = text[-1]
                 runs.append((stack[-1], text))
 
-    for m in _TOKEN.finditer(page):
-        name = m[2]
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at, name = m.end(), m[2]
         if name is None:
             text = m[0]
             if silent or text.startswith(("<!", "<?")):
@@ -73,6 +76,16 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 nodes[stack[-1]].linked += len(text.split())
             continue
         name = name.lower()
+        if name in _RAW and not m[1] and silent != "svg" and not m[3].endswith("/"):
+            end = _RAW[name].search(page, at)
+            at = end.start() if end else len(page)
+        if silent == "option":  # its end tag may be left out
+            if not m[1] and name in _BLOCK:
+                inside.append(name)
+            elif m[1] and name in inside:
+                inside.remove(name)
+            elif m[1] and (name in ("datalist", "select", "optgroup") or any(nodes[i].tag == name for i in stack)):
+                silent = ""
         if silent:
             if m[1] and name == silent:
                 silent = ""
@@ -91,6 +104,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if name in _SILENT:
             if not m[3].endswith("/"):
                 silent = name
+                inside.clear()
         elif name in ("br", "hr"):
             flush()
         elif name == "a":

@@ -96,6 +96,14 @@ class TestHtml:
     def test_page(self):
         assert html_extract.extract(self.page, html_extract.trained()) == "The heading First bold text of the story, it goes on. Next line <here>. Second paragraph with a link in it."
 
+    def test_text_after_scripts_and_options(self):
+        said = lambda page: [t for _, t in html_extract.parse(page)[1]]
+        for part in (
+            "<script>for(i=0;i<n;i++){go()}</script>", "<script>s='<!--'</script>", "<style>a:after{content:'<b'}</style>", "<textarea>a <b c</textarea>", "<SCRIPT>x<y</Script >",
+            "<template><script>i<n</script></template>", "<datalist><option value=a><option value=b></datalist>", "<datalist><option>a<p>b</p>c</datalist>", "<div><option>a<div>b</div>c</div>",
+        ):
+            assert said(f"<p>before</p>{part}<article><p>It goes on.</article>") == ["before", "It goes on."], part
+
     def test_held_out_pages(self):
         model, wrong, n = html_extract.trained(), 0, 0
         for page, labels in html_extract.labelled_pages(80, 991):
