@@ -12,6 +12,8 @@ pass through, copy and shuffle_key are added or replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,15 +31,17 @@ def uniform(key: Column, seed: int) -> Column:
 
 
 def poisson_count(u: Column, rate: float) -> Column:
-    """The least k with u below the distribution function at k; the series ends where no more 52-bit number can lie above it."""
-    n = int(rate + 12 * rate**0.5 + 30)
-    if rate > 600:
-        raise ValueError(f"a mean rate of {rate:.0f} copies is beyond exp's range; lower the source's weight or the total")
-    start = F.struct(F.lit(0).alias("k"), F.exp(F.lit(-rate)).alias("p"), F.exp(F.lit(-rate)).alias("cdf"))
+    """The least k with u below the distribution function at k; the series ends where no more 52-bit number can lie above it.
+
+    Large rates, for which exp(-rate) is beyond the range of doubles, start where less than any 52-bit number lies below.
+    """
+    n, first = int(rate + 12 * rate**0.5 + 30), 0 if rate <= 600 else int(rate - 12 * rate**0.5)
+    p = F.exp(F.lit(-rate)) if not first else F.lit(math.exp(first * math.log(rate) - rate - math.lgamma(first + 1)))
+    start = F.struct(F.lit(first).alias("k"), p.alias("p"), p.alias("cdf"))
     step = lambda a, i: F.when(u < a["cdf"], a).otherwise(
         F.struct(i.cast("int").alias("k"), (a["p"] * F.lit(rate) / i).alias("p"), (a["cdf"] + a["p"] * F.lit(rate) / i).alias("cdf"))
     )
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step)["k"]
+    return F.aggregate(F.sequence(F.lit(first + 1), F.lit(n)), start, step)["k"]
 
 
 def mix(docs: DataFrame, weights: dict[str, float], other: float = 0.0, total: int | None = None, seed: int = SEED) -> DataFrame:

@@ -120,6 +120,16 @@ class TestMixing:
         again = mixing.mix(spark.createDataFrame(docs, DOC).repartition(3), {"a": 0.5, "b": 0.5}).collect()
         assert sorted(r.shuffle_key for r in again) == sorted(r.shuffle_key for r in got)
 
+    def test_large_rates(self, spark):
+        u = [(i + 0.5) / 2000 for i in range(2000)]
+        for rate in (599.0, 650.0, 5000.0):
+            got = [r.k for r in spark.createDataFrame([(x,) for x in u], "u double").select(mixing.poisson_count(mixing.F.col("u"), rate).alias("k")).collect()]
+            mean = sum(got) / len(got)
+            assert got == sorted(got) and abs(mean - rate) < 0.02 * rate**0.5 and abs(sum((k - mean) ** 2 for k in got) / len(got) / rate - 1) < 0.02
+        docs = [(i, "t", "en", "a" if i else "b", 1) for i in range(3000)]
+        got = Counter(r.source for r in mixing.mix(spark.createDataFrame(docs, DOC), {"a": 0.5, "b": 0.5}).collect())
+        assert abs(got["a"] - 1500) < 200 and abs(got["b"] - 1500) < 200
+
     def test_edge_cases(self, spark):
         docs = [(None, None, None, None, None)] * 3 + [(i, "t", "en", "z", 1) for i in range(50)] + [(4, "t", "en", "z", 1)]
         df = spark.createDataFrame(docs, DOC).withColumn("copy", mixing.F.lit("old")).withColumn("__x", mixing.F.lit(1))
