@@ -1,7 +1,7 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page becomes the tree of its block elements. Each node is content or not; a node's potentials come from its tag, class, id
-and role words, text length, link density and closing punctuation, an edge's from the pair of states. Sum-product messages
+and role words, the length, link density and closing punctuation of its text, length and link density of all it contains, an edge's from the pair of states. Sum-product messages
 passed upward and downward give every node's exact marginal. Weights are trained on labelled pages by the gradient of the
 exact log-likelihood, which needs those same marginals; labelled_pages() makes the pages from labelled building blocks.
 
@@ -38,14 +38,19 @@ _BLOCK = set(
     "blockquote pre figure figcaption form fieldset legend button details summary dialog address hgroup menu center noframes".split()
 )
 _ENDS_P = _BLOCK - {"html", "head", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "button", "legend", "summary"}
+#: Tags that end a drawing or a list of options which was not closed, as browsers take them.
+_BREAKS = set("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head li menu ol p pre table ul article main section header footer nav aside".split())
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
 class Node:
-    __slots__ = ("tag", "marks", "parent", "own", "linked", "last")
+    """own and linked: words of its text, and those of them in links; below and below_linked: with all that it contains."""
+
+    __slots__ = ("tag", "marks", "parent", "own", "linked", "last", "below", "below_linked")
 
     def __init__(self, tag: str, marks: tuple[str, ...], parent: int):
         self.tag, self.marks, self.parent, self.own, self.linked, self.last = tag, marks, parent, 0, 0, ""
+        self.below = self.below_linked = 0
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -79,13 +84,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if name in _RAW and not m[1] and silent != "svg" and not m[3].endswith("/"):
             end = _RAW[name].search(page, at)
             at = end.start() if end else len(page)
-        if silent == "option":  # its end tag may be left out
-            if not m[1] and name in _BLOCK:
-                inside.append(name)
-            elif m[1] and name in inside:
+        if silent and name != silent and silent not in _RAW:  # its end tag may be left out
+            if m[1] and name in inside:
                 inside.remove(name)
-            elif m[1] and (name in ("datalist", "select", "optgroup") or any(nodes[i].tag == name for i in stack)):
+            elif m[1] and (silent == "option" and name in ("datalist", "select", "optgroup") or any(nodes[i].tag == name for i in stack)):
                 silent = ""
+            elif not m[1] and silent in ("svg", "select") and name in _BREAKS and not inside:
+                silent = ""
+            elif not m[1] and (name in _BLOCK or name == "foreignobject"):
+                inside.append(name)
         if silent:
             if m[1] and name == silent:
                 silent = ""
@@ -126,6 +133,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             stack.append(len(nodes) - 1)
             links = 0
     flush()
+    for n in reversed(nodes):
+        n.below += n.own
+        n.below_linked += n.linked
+        if n.parent >= 0:
+            nodes[n.parent].below += n.below
+            nodes[n.parent].below_linked += n.below_linked
     return nodes, runs
 
 
@@ -133,6 +146,8 @@ def features(n: Node) -> tuple[str, ...]:
     words = n.own
     size = "none" if not words else "few" if words < 5 else "some" if words < 15 else "many"
     out = ["bias", "t:" + n.tag, "n:" + size, *("m:" + m for m in n.marks)]
+    if n.below > words and n.below >= 40 and n.below_linked < 0.1 * n.below and n.tag not in ("root", "html", "body"):  # these hold the whole page
+        out.append("holds text")
     if words:
         share = n.linked / words
         out.append("l:" + ("none" if share < 0.1 else "part" if share < 0.6 else "all"))
@@ -195,7 +210,7 @@ def extract(page: str | None, model: Model) -> str:
 _GOOD, _BAD = "\x01", "\x02"
 
 
-def labelled_pages(count: int = 160, seed: int = 7) -> list[tuple[str, list[int]]]:
+def labelled_pages(count: int = 320, seed: int = 7) -> list[tuple[str, list[int]]]:
     """Pages built from labelled parts: (html, label of each block node in document order, the root included)."""
     rng = np.random.default_rng(seed)
     pick = lambda *x: x[rng.integers(len(x))]
@@ -228,14 +243,18 @@ def labelled_pages(count: int = 160, seed: int = 7) -> list[tuple[str, list[int]
             parts.insert(rng.integers(1, len(parts) + 1), advert())
         if maybe(0.2):
             parts.append(share())
+        if maybe(0.35):
+            parts.append(pick(comments, comments, comments, side, form, notice)())
         inner = "".join(parts)
-        shape = rng.integers(6)
+        shape = rng.integers(7)
         if shape < 3:
             return el("article", 1, inner, pick("", "", "post", "entry", "story"))
         if shape == 3:
             return el("main", 1, pick(inner, el("article", 1, inner), el("section", 1, inner)), pick("", "main", "content"), "id")
         if shape == 4:
             return el("div", 1, inner, pick("content", "post-content", "entry-content", "article-body", "story text", "main-content", "post body"), pick("class", "id"))
+        if shape == 5:  # a name that tells nothing, or none
+            return el("div", 1, inner, pick("", words(1, 2)), pick("class", "id"))
         return el("article", 1, el("div", 1, inner, pick("body", "article-body", "text", "content")))
 
     menu = lambda: el("ul", 0, "".join(el("li", 0, link()) for _ in range(rng.integers(2, 9))), pick("", "menu", "nav-list", "links"))
@@ -250,12 +269,14 @@ def labelled_pages(count: int = 160, seed: int = 7) -> list[tuple[str, list[int]
 
     def comments() -> str:
         one = lambda: el(pick("div", "li", "article"), 0, el("p", 0, line(4, 30)) + (el("p", 0, line(3, 20)) if maybe(0.4) else ""), pick("comment", "comment-body", "reply", "comment"))
-        return el(pick("section", "div", "ol"), 0, el("h3", 0, words(1, 3)) + "".join(one() for _ in range(rng.integers(1, 5))), pick("comments", "comment-list", "responses", "discussion", "disqus", "replies"), pick("class", "id"))
+        return el(pick("section", "div", "ol"), 0, el(pick("h2", "h3", "h3", "h4"), 0, words(1, 3)) + "".join(one() for _ in range(rng.integers(1, 5))), pick("comments", "comments", "comment-list", "user-comments", "responses", "discussion", "disqus", "replies"), pick("class", "id"))
 
     out = []
     for _ in range(count):
         before = [f() for f in (header, nav, notice, advert, form) if maybe(0.5)]
         after = [f() for f in (side, advert, share, comments, form, notice) if maybe(0.4)] + ([footer()] if maybe(0.85) else [])
+        if maybe(0.15):  # hardly anything but the article
+            before, after = before[:1], [pick(footer, comments, share)()]
         core = article()
         if maybe(0.3):
             core = el("div", 1, core, pick("container", "wrapper", "page", "layout", "row", "site"), pick("class", "id"))

@@ -34,6 +34,41 @@ class TestWarc:
         low, high = warc.url_key("http://h2.example.com/"), warc.url_key("http://h3.example.com/")
         assert {r.page_id for r in archive.captures(low, high).collect()} == {i for i, u, _ in rows if low <= warc.url_key(u) < high}
 
+    def test_query_reads_through_both_levels(self, spark, tmp_path, monkeypatch):
+        import shutil
+
+        rows = [*self.rows(), *((100 + i, "http://hot.example.com/", f"{i % 9}" * 200) for i in range(400)), *((600 + i, f"http://h{i}.example.com/", None) for i in range(50))]
+        pages = spark.createDataFrame(rows, PAGE)
+        archive = warc.write(pages, Store(spark, "t"), block_lines=8)
+        scan = sorted(map(tuple, archive.captures(payload=False).drop("key").collect()), key=repr)
+        found = archive.lookup(pages.select("url"), payload=False)
+        assert sorted(map(tuple, found.drop("key").collect()), key=repr) == scan and len(scan) == len(rows)
+        assert found.rdd.getNumPartitions() >= 4  # the hot key's blocks are dealt out
+        index = archive.root.removeprefix("file://") + "/index"
+        names = [n for n in __import__("os").listdir(index) if n.endswith(".directory")]
+        assert len(names) == len(archive.shards)
+        shutil.move(f"{index}/{names[0]}", tmp_path / "away")
+        for read in (archive.captures(), archive.lookup(pages.select("url"))):
+            try:
+                read.count()
+            except Exception:  # noqa: S112
+                continue
+            raise AssertionError("read without the directory")
+
+    def test_revisits_are_resolved(self, spark):
+        pages = spark.createDataFrame(self.rows(), PAGE)
+        archive = warc.write(pages, Store(spark, "t"), block_lines=2)
+        got = {r.page_id: bytes(r.payload) for r in archive.resolved(archive.captures()).collect()}
+        assert got == {i: (h or "").encode() for i, _, h in self.rows()}
+
+    def test_long_payloads_come_in_small_batches(self, spark, tmp_path):
+        out, long = warc.FileWriter(f"file://{tmp_path}", "warc.gz"), "x" * (7 << 20)
+        lines = [["k", *out.write(warc._compress(warc.record(i, "http://a.org/", long.encode(), hashlib.sha256(long.encode()).hexdigest(), None), warc._GZIP))] for i in range(7)]
+        out.close()
+        got = [b.num_rows for b in warc._records(warc.RangeReader(f"file://{tmp_path}", "warc.gz"), lines, True)]
+        assert got == [3, 3, 1]
+        assert [b.num_rows for b in warc._records(warc.RangeReader(f"file://{tmp_path}", "warc.gz"), lines, False)] == [7]
+
     def test_repeated_rows_and_empty_table(self, spark):
         twice = [(1, "http://a.org/", "x" * 200)] * 2
         assert [r.record_type for r in warc.write(spark.createDataFrame(twice, PAGE), Store(spark, "t")).captures().collect()] == ["response"] * 2
@@ -104,6 +139,37 @@ class TestHtml:
         ):
             assert said(f"<p>before</p>{part}<article><p>It goes on.</article>") == ["before", "It goes on."], part
 
+    def written_pages(self):
+        """Pages written by hand, apart from the module's own: (html, text of the article)."""
+        story = "The river rose by two metres during the night, and the lower town was under water by dawn."
+        more = "Nobody was hurt. The mayor said that the old dam had held, as it had in the floods of the last century."
+        third = "Repairs to the bridge will take until spring, and buses go round by the hills until then."
+        long = f"{story} {more}"
+        head = "<!DOCTYPE html><html lang=en><head><meta charset=utf-8><title>Floods</title><script>for(i=0;i<n;i++){w('<p>')}</script></head>"
+        return [
+            # main with comments inside, names of classes that no other page has
+            (f"{head}<body><div class=topbar><a href=/>Home</a> <a href=/w>World</a> <a href=/s>Sport</a></div><main><h1>Flood in the valley</h1><p>{story}</p><p>{more}</p><div id=reader-comments><h2>3 replies</h2><p class=comment>I saw it from my window.</p><p class=comment>Terrible news, stay safe everyone.</p></div></main><footer>All rights reserved</footer></body></html>", f"Flood in the valley {long}"),
+            # no semantic tags at all
+            (f"{head}<body><div id=hd><ul><li><a href=1>News</a><li><a href=2>Maps</a><li><a href=3>Shop</a></ul></div><div id=c1><h2>Valley flooded</h2><p>{long}</p><p>{third}</p></div><div id=sb class=sidebar><h4>Most read</h4><ul><li><a href=4>Ten facts about rain</a><li><a href=5>Where the otters went</a></ul></div></body></html>", f"Valley flooded {long} {third}"),
+            # article in wrappers, a promo between paragraphs, a newsletter form after it
+            (f"{head}<body class=site><div class=wrap><header class=mast><a href=/>The Valley Post</a><nav><a href=/a>A</a> <a href=/b>B</a></nav></header><div class=grid><article class=entry-x9><h1>After the flood</h1><p>{story}</p><div class='promo sponsored'><p>Buy rubber boots at half the price.</p></div><p>{more}</p><blockquote><p>{third}</p></blockquote></article><form class=newsletter><p>Get our letter every morning.</p><input><button>Join</button></form></div></div><footer><p>Contact us</p></footer></body></html>", f"After the flood {long} {third}"),
+            # a cookie notice before everything, a table and a list in the article
+            (f"{head}<body><div class=cookie-consent><p>We value your privacy and use cookies on this site.</p><button>Accept</button></div><article><h1>Figures of the flood</h1><p>{story}</p><ul><li>Two metres in one night</li><li>Forty houses damp</li></ul><table><tr><td>Monday</td><td>3 m</td></tr></table></article><section class=comments><h3>Comments</h3><div class=comment><p>Thanks for the figures, they help a lot.</p></div></section></body></html>", f"Figures of the flood {story} Two metres in one night Forty houses damp Monday 3 m"),
+            # unclosed paragraphs, an aside inside the article
+            (f"{head}<body><nav><ul><li><a href=1>One<li><a href=2>Two</a></ul></nav><article><h1>Dawn<aside class=related><h3>Also read</h3><a href=9>The great drought of last year</a></aside><p>{story}<p>{more}</article><div class=footer-links><a href=7>Imprint</a> <a href=8>Terms</a></div></body></html>", f"Dawn {long}"),
+            # an unclosed vector drawing before the article
+            (f"{head}<body><header><svg viewBox='0 0 1 1'><path d='M0 0'></header><article><h1>Bridge closed</h1><p>{third}</p><p>{more}</p></article></body></html>", f"Bridge closed {third} {more}"),
+        ]
+
+    def test_pages_written_by_hand(self):
+        right = [html_extract.extract(page, html_extract.trained()) == text for page, text in self.written_pages()]
+        assert all(right), right
+
+    def test_long_pages(self):
+        page = "<html><body><article><h1>Long</h1>" + "".join(f"<p>This is paragraph {i} of a very long page, which goes on.</p>" for i in range(20_000)) + "</article><footer>End</footer></body></html>"
+        text = html_extract.extract(page, html_extract.trained())
+        assert text.startswith("Long This is paragraph 0 of") and text.endswith("paragraph 19999 of a very long page, which goes on.")
+
     def test_held_out_pages(self):
         model, wrong, n = html_extract.trained(), 0, 0
         for page, labels in html_extract.labelled_pages(80, 991):
