@@ -1,15 +1,19 @@
 """Suffix-array dedup of byte strings by column-wise multi-document construction.
 
 A collection's Burrows-Wheeler transform is built one column at a time: each round inserts one symbol of every member, found
-by the last-to-first mapping of the transform so far, and updates the common prefixes of the rows it touches; the columns are
-streamed from and to sequential external files once they outgrow `spill_bytes`. Rows that share `length` bytes with the row
-before are repeats; the earliest place of such a group stays, the others are removed.
+by the last-to-first mapping of the transform so far, and updates the common prefixes of the rows it touches; once the columns
+outgrow `spill_bytes`, each is read from and written to a sequential file of the shared folder, one at a time. Rows that share
+`length` bytes with the row before are repeats; the earliest place of such a group stays, the others are removed.
 
 To work on many machines, the collection is dealt out by content: every window of `length` bytes goes by the least hash of
 the `anchor`-byte strings in it, so equal windows meet whatever document they come from. Neighbouring windows with one anchor
 travel as one piece; equal pieces are settled by their hash (the first stays, later ones repeat all of it), and only pieces
 that share an anchor with a different piece enter the construction. An anchor with more than `hot` pieces is dealt out anew,
-window by window. Texts that are wholly equal to an earlier one are settled before all this.
+window by window, and a task settles equal windows among its own before it deals them out: a passage that very many texts hold
+between other neighbours comes to its bucket once for each batch of windows. So a bucket has `bucket` bytes and the pieces of
+one anchor at most. Texts that are wholly equal to an earlier one are settled before all this.
+
+Pieces are taken for equal by 108 bits of their hashes; windows that meet in a construction are compared byte by byte.
 
 Defined results: null and empty texts have no bytes; texts shorter than `length` lose nothing; a null doc_id comes after all
 others; rows that repeat doc_id and text are one document and share its result, other texts under one doc_id are ordered by
@@ -19,17 +23,21 @@ checksum; an empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakequill.llm.common import Store, table
 
 LENGTH, ANCHOR, HOT, BUCKET, SPILL = 100, 32, 20_000, 1 << 19, 256 << 20
+#: Windows of hot anchors that a task settles among themselves before they are dealt out.
+WINDOWS = 50_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Positions inside a slice of text fit the low bits of a packed hash.
 _LOW_BITS = 20
@@ -82,9 +90,15 @@ class Construction:
     `gram` phases, so that every byte position starts one suffix and the rounds are fewer by that factor.
     """
 
-    def __init__(self, pieces: list[bytes], length: int = LENGTH, spill_bytes: int = SPILL):
+    def __init__(self, pieces: list[bytes], length: int = LENGTH, spill_bytes: int = SPILL, folder: str | None = None):
+        """folder: one that all executors share, for the columns' files; a temporary one of this machine if none is given."""
+        with tempfile.TemporaryDirectory(prefix="columns-") if folder is None else _Folder(folder) as own:
+            self._columns = _Columns(own, spill_bytes)
+            self._build(pieces, length)
+
+    def _build(self, pieces: list[bytes], length: int) -> None:
         gram = 4 if length % 4 == 0 else 1
-        self.spill, whole_symbols = spill_bytes, length // gram
+        whole_symbols = length // gram
         lengths = np.array([len(p) for p in pieces])
         raw = np.frombuffer(b"".join(pieces) + bytes(gram), np.uint8).astype(np.uint32)
         packed = raw[: len(raw) - gram].copy()
@@ -97,51 +111,94 @@ class Construction:
         sizes = np.maximum(0, (lengths[piece] - phase) // gram)
         begin, n = np.concatenate([[0], np.cumsum(lengths)[:-1]])[piece] + phase, len(piece)
         at_symbol = lambda rows, k: text[begin[rows] + gram * k]
-        with tempfile.TemporaryDirectory(prefix="columns-") as folder:
-            self.folder = Path(folder)
-            symbol, active = np.zeros(n, kind), np.nonzero(sizes > 0)[0]
-            symbol[active] = at_symbol(active, sizes[active] - 1)
-            lcp, member, depth, at = np.zeros(n, np.uint8), np.arange(n, dtype=np.int32), np.zeros(n, np.uint8), active
-            column = 0
-            while len(active):
-                column += 1
-                order = np.argsort(symbol, kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                mine, c = rank[at], symbol[at]
-                new = mine + (n - int(np.count_nonzero(symbol == 0)))
-                old_rows = np.ones(len(symbol) + len(at), bool)
-                old_rows[new] = False
-                more = sizes[active] > column
-                ahead = np.zeros(len(active), kind)
-                ahead[more] = at_symbol(active[more], sizes[active[more]] - column - 1)
-                # common prefixes with the rows before and behind that start with the same symbol
-                before, behind = order[np.maximum(mine - 1, 0)], order[np.minimum(mine + 1, len(order) - 1)]
-                has_before, has_behind = (mine > 0) & (symbol[before] == c), (mine + 1 < len(order)) & (symbol[behind] == c)
-                least = _RangeMin(lcp)
-                from_before = np.zeros(len(at), np.uint8)
-                from_before[has_before] = np.minimum(least(before[has_before] + 1, at[has_before]).astype(np.int16) + 1, whole_symbols)
-                to_behind = np.minimum(least(at[has_behind] + 1, behind[has_behind]).astype(np.int16) + 1, whole_symbols)
-                out = {}
-                for name, was, now in (("symbol", symbol, ahead), ("lcp", lcp, from_before), ("member", member, active.astype(np.int32)), ("depth", depth, np.full(len(at), column, np.uint8))):
-                    grown = np.empty(len(old_rows), was.dtype)
-                    grown[old_rows] = was
-                    grown[new] = now
-                    out[name] = grown
-                out["lcp"][new[has_behind] + 1] = to_behind
-                symbol, lcp, member, depth = (self._keep(f"{name}-{column % 2}", a) for name, a in out.items())
-                active, at = active[more], new[more]
-            whole = np.asarray(depth) >= whole_symbols
-            own = np.asarray(member)[whole]
-            self.group = np.cumsum(np.asarray(lcp) < whole_symbols)[whole]
-            self.member, self.offset = piece[own], phase[own] + gram * (sizes[own] - np.asarray(depth)[whole].astype(np.int64))
-
-    def _keep(self, name: str, a: np.ndarray) -> np.ndarray:
-        if a.nbytes * 7 <= self.spill:
+        keep, read = self._columns.keep, self._columns.read
+        symbol, active = np.zeros(n, kind), np.nonzero(sizes > 0)[0]
+        symbol[active] = at_symbol(active, sizes[active] - 1)
+        at, column = active, 0
+        for name, a in (("symbol", symbol), ("lcp", np.zeros(n, np.uint8)), ("member", np.arange(n, dtype=np.int32)), ("depth", np.zeros(n, np.uint8))):
+            keep(name, a, column)
+        while len(active):
+            column += 1
+            symbol = read("symbol")
+            order = np.argsort(symbol, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            mine, c = rank[at], symbol[at]
+            new = mine + (n - int(np.count_nonzero(symbol == 0)))
+            old_rows = np.ones(len(symbol) + len(at), bool)
+            old_rows[new] = False
+            more = sizes[active] > column
+            ahead = np.zeros(len(active), kind)
+            ahead[more] = at_symbol(active[more], sizes[active[more]] - column - 1)
+            # common prefixes with the rows before and behind that start with the same symbol
+            before, behind = order[np.maximum(mine - 1, 0)], order[np.minimum(mine + 1, len(order) - 1)]
+            has_before, has_behind = (mine > 0) & (symbol[before] == c), (mine + 1 < len(order)) & (symbol[behind] == c)
+            del order, rank
+
+            def grown(was: np.ndarray, now: np.ndarray, old_rows: np.ndarray = old_rows, new: np.ndarray = new) -> np.ndarray:
+                out = np.empty(len(old_rows), was.dtype)
+                out[old_rows] = was
+                out[new] = now
+                return out
+
+            keep("symbol", grown(symbol, ahead), column)
+            lcp = read("lcp")
+            least = _RangeMin(lcp)
+            from_before = np.zeros(len(at), np.uint8)
+            from_before[has_before] = np.minimum(least(before[has_before] + 1, at[has_before]).astype(np.int16) + 1, whole_symbols)
+            to_behind = np.minimum(least(at[has_behind] + 1, behind[has_behind]).astype(np.int16) + 1, whole_symbols)
+            lcp = grown(lcp, from_before)
+            lcp[new[has_behind] + 1] = to_behind
+            keep("lcp", lcp, column)
+            keep("member", grown(read("member"), active.astype(np.int32)), column)
+            keep("depth", grown(read("depth"), np.full(len(at), column, np.uint8)), column)
+            active, at = active[more], new[more]
+        depth = read("depth")
+        whole = depth >= whole_symbols
+        own = read("member")[whole]
+        self.group = np.cumsum(read("lcp") < whole_symbols)[whole]
+        self.member, self.offset = piece[own], phase[own] + gram * (sizes[own] - depth[whole].astype(np.int64))
+
+
+class _Folder:
+    """A folder of its own below a shared one, removed at the end."""
+
+    def __init__(self, shared: str):
+        self.uri = f"{shared}/{uuid.uuid4().hex}"
+
+    def __enter__(self) -> str:
+        return self.uri
+
+    def __exit__(self, *_: object) -> None:
+        files, path = fs.FileSystem.from_uri(self.uri)
+        if files.get_file_info(path).type == fs.FileType.Directory:
+            files.delete_dir(path)
+
+
+class _Columns:
+    """The columns of a construction: in memory, or beyond `spill` bytes in files that are written and read from end to end."""
+
+    def __init__(self, folder: str, spill: int):
+        self.folder, self.spill, self.held = folder if "://" in folder else f"file://{folder}", spill, {}
+
+    def keep(self, name: str, a: np.ndarray, column: int) -> None:
+        if a.nbytes * 7 > self.spill * a.itemsize:  # four columns take seven bytes a row
+            files, path = fs.FileSystem.from_uri(self.folder)
+            files.create_dir(path, recursive=True)
+            file = f"{path}/{name}-{column % 2}"
+            with files.open_output_stream(file, compression=None) as out:
+                out.write(np.ascontiguousarray(a))
+            self.held[name] = files, file, a.dtype
+        else:
+            self.held[name] = a
+
+    def read(self, name: str) -> np.ndarray:
+        a = self.held[name]
+        if isinstance(a, np.ndarray):
             return a
-        path = self.folder / name
-        a.tofile(path)
-        return np.memmap(path, a.dtype, "r")
+        files, file, kind = a
+        with files.open_input_stream(file, compression=None) as stream:
+            return np.frombuffer(stream.read(), kind)
 
 
 class _RangeMin:
@@ -175,8 +232,8 @@ def _combine(t: pa.Table) -> pa.Table:
     order = np.argsort(piece)
     same = piece[order[1:]] == piece[order[:-1]]
     shared = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-    shared = shared[np.lexsort((place[shared], alt[shared], doc[shared], absent[shared], piece[shared]))]
-    late = shared[1:][piece[shared[1:]] == piece[shared[:-1]]]
+    shared = shared[np.lexsort((place[shared], alt[shared], doc[shared], absent[shared], m[shared], piece[shared]))]
+    late = shared[1:][(piece[shared[1:]] == piece[shared[:-1]]) & (m[shared[1:]] == m[shared[:-1]])]
     done, m = np.zeros(len(m), np.int32), m.copy()
     done[late] = 1
     mixed = ((place[late] ^ doc[late]).view(np.uint64) * _M1 ^ piece[late].view(np.uint64)) * _M2
@@ -215,59 +272,92 @@ def anchored(docs: DataFrame, length: int, anchor: int) -> DataFrame:
 _PLACE = "absent int, doc_id long, alt long, place long"
 
 
-def settled(rows: DataFrame) -> DataFrame:
+def settled(rows: DataFrame, hot: int) -> DataFrame:
     """From anchored rows: (absent, doc_id, alt, place, m, pieces). pieces is 0 for a repeat of an earlier equal piece, and else
-    the number of different pieces of its anchor, if that is over 1; all other rows go."""
-
-    def flush(t: pa.Table) -> pa.RecordBatch:
-        m, piece = (t.column(c).to_numpy() for c in ("m", "piece"))
-        head = np.concatenate([[True], m[1:] != m[:-1]])
-        done = t.column("done").to_numpy() == 1
-        first = (head | np.concatenate([[True], piece[1:] != piece[:-1]])) & ~done
-        group = np.cumsum(head) - 1
-        pieces = np.where(first, np.bincount(group, weights=first).astype(np.int64)[group], 0)
-        t = t.select(["absent", "doc_id", "alt", "place", "m"]).append_column("pieces", pa.array(pieces))
-        return t.filter(pa.array(pieces != 1)).combine_chunks()
+    the number of different pieces of its anchor, if that is over 1 (hot + 1 where there are more); all other rows go."""
+
+    def told(t: pa.Table, pieces: np.ndarray) -> list[pa.RecordBatch]:
+        return t.select(["absent", "doc_id", "alt", "place", "m"]).append_column("pieces", pa.array(pieces.astype(np.int64))).combine_chunks().to_batches()
+
+    def flush(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        """First pieces of whole anchors."""
+        t = pa.Table.from_batches(held)
+        _, group, n = np.unique(t.column("m").to_numpy(), return_inverse=True, return_counts=True)
+        several = n[group] > 1
+        return told(t.filter(pa.array(several)), n[group][several])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # first pieces of the last anchor, as long as they are no more than `hot`
+        n, over, anchor, last = 0, False, None, None
         for b in batches:
             if not b.num_rows:
                 continue
-            m = b.column("m").to_numpy()
-            last = int(np.searchsorted(m, m[-1], "left"))  # rows of the last anchor wait for the next batch
-            if last or (held and held[-1].column("m")[-1].as_py() != m[0]):
-                yield from flush(pa.Table.from_batches([*held, b.slice(0, last)])).to_batches()
-                held = []
-            held.append(b.slice(last))
+            m, piece, done = _columns(b, "m", "piece", "done")
+            new = np.concatenate([[(m[0], piece[0]) != last], (m[1:] != m[:-1]) | (piece[1:] != piece[:-1])])
+            first, last = new & (done == 0), (m[-1], piece[-1])
+            yield from told(pa.Table.from_batches([b.filter(pa.array(~first))]), np.zeros(int((~first).sum())))
+            b, m = b.filter(pa.array(first)), m[first]
+            if not len(m):
+                continue
+            if m[0] != anchor:
+                if held:
+                    yield from flush(held)
+                held, n, over = [], 0, False
+            same = int(np.searchsorted(m, anchor, "right")) if over else 0
+            if same:
+                yield from told(pa.Table.from_batches([b.slice(0, same)]), np.full(same, hot + 1))
+                b, m = b.slice(same), m[same:]
+            if not len(m):
+                continue
+            tail = int(np.searchsorted(m, m[-1], "left"))
+            if tail:
+                yield from flush([*held, b.slice(0, tail)])
+                held, n, over = [], 0, False
+            elif over:
+                over = False
+            held.append(b.slice(tail))
+            n, anchor = n + len(m) - tail, m[-1]
+            if n > hot:
+                yield from told(pa.Table.from_batches(held), np.full(n, hot + 1))
+                held, n, over = [], 0, True
         if held:
-            yield from flush(pa.Table.from_batches(held)).to_batches()
+            yield from flush(held)
 
     dealt = rows.repartition("m").sortWithinPartitions("m", "piece", "done", "absent", "doc_id", "alt", "place")
     return dealt.mapInArrow(run, f"{_PLACE}, m long, pieces long")
 
 
-def constructed(docs: DataFrame, chosen: DataFrame, length: int, hot: int, bucket: int, spill_bytes: int) -> DataFrame:
-    """(absent, doc_id, alt, place) of the windows that another, earlier piece holds too."""
+def constructed(docs: DataFrame, chosen: DataFrame, folder: str, length: int, hot: int, bucket: int, spill_bytes: int) -> DataFrame:
+    """(absent, doc_id, alt, place) of the windows that another, earlier piece holds too. folder: for the files of columns."""
     wanted = chosen.groupBy("absent", "doc_id", "alt").agg(F.collect_list(F.struct("place", "m", "pieces")).alias("cut"))
 
+    def dealt(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["route", "absent", "doc_id", "alt", "place", "data"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: dict[bytes, tuple] = {}  # the earliest place of each window of hot anchors
         for b in batches:
             for absent, doc, alt, data, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                routes, places, pieces = [], [], []
+                out = []
                 for p in parts:
                     at, n = p["place"] >> 7, (p["place"] & 127) + 1
                     if p["pieces"] <= hot:
-                        routes.append(p["m"])
-                        places.append(p["place"])
-                        pieces.append(data[at : at + n + length - 1])
-                    else:
-                        own = [data[i : i + length] for i in range(at, at + n)]
-                        routes += [hash_window(x) for x in own]
-                        places += [i << 7 for i in range(at, at + n)]
-                        pieces += own
-                k = len(routes)
-                yield pa.RecordBatch.from_arrays([pa.array(routes, pa.int64()), pa.array([absent] * k, pa.int32()), pa.array([doc] * k, pa.int64()), pa.array([alt] * k, pa.int64()), pa.array(places, pa.int64()), pa.array(pieces, pa.binary())], names=["route", "absent", "doc_id", "alt", "place", "data"])
+                        out.append((p["m"], absent, doc, alt, p["place"], data[at : at + n + length - 1]))
+                        continue
+                    for i in range(at, at + n):
+                        place, held = (absent, doc, alt, i << 7), windows.get(x := data[i : i + length])
+                        if held is None or place < held:
+                            windows[x] = place
+                        if held is not None:  # the later of both is a repeat, and goes its way without bytes
+                            late = max(place, held)
+                            out.append((hash_window(repr(late).encode()), *late, None))
+                yield dealt(out)
+                if len(windows) >= WINDOWS:
+                    yield dealt([(hash_window(x), *place, x) for x, place in windows.items()])
+                    windows.clear()
+        if windows:
+            yield dealt([(hash_window(x), *place, x) for x, place in windows.items()])
 
     pieces = docs.join(wanted, ["absent", "doc_id", "alt"]).select("absent", "doc_id", "alt", "data", "cut").mapInArrow(cut, f"route long, {_PLACE}, data binary")
 
@@ -275,15 +365,17 @@ def constructed(docs: DataFrame, chosen: DataFrame, length: int, hot: int, bucke
         held: list[tuple] = []
         size, route = 0, None
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            late = b.column("data").is_null()
+            yield b.filter(late).select(["absent", "doc_id", "alt", "place"])
+            for row in zip(*(c.to_pylist() for c in b.filter(pc.invert(late)).columns), strict=True):
                 if size >= bucket and row[0] != route:
-                    yield later_windows(held, length, spill_bytes)
+                    yield later_windows(held, length, spill_bytes, folder)
                     held, size = [], 0
                 route = row[0]
                 held.append(row)
                 size += len(row[5])
         if held:
-            yield later_windows(held, length, spill_bytes)
+            yield later_windows(held, length, spill_bytes, folder)
 
     return pieces.repartition("route").sortWithinPartitions("route").mapInArrow(build, _PLACE)
 
@@ -294,9 +386,9 @@ def hash_window(x: bytes) -> int:
     return xxhash.xxh64_intdigest(x) - (1 << 63)
 
 
-def later_windows(rows: list[tuple], length: int, spill_bytes: int) -> pa.RecordBatch:
+def later_windows(rows: list[tuple], length: int, spill_bytes: int, folder: str | None = None) -> pa.RecordBatch:
     """rows: (route, absent, doc_id, alt, place, bytes). Windows that aren't the earliest of their group, as runs."""
-    c = Construction([r[5] for r in rows], length, spill_bytes)
+    c = Construction([r[5] for r in rows], length, spill_bytes, folder)
     absent, doc, alt, place = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 4))
     at = (place[c.member] >> 7) + c.offset
     order = np.lexsort((at, alt[c.member], doc[c.member], absent[c.member], c.group))
@@ -337,9 +429,9 @@ def remove_repeats(docs: DataFrame, store: Store, length: int = LENGTH, anchor:
     marked = base.join(marks, ["absent", "doc_id", "sum"], "left")
     marked = marked.select("absent", "doc_id", F.when(F.col("shared"), F.col("sum")).otherwise(0).alias("alt"), "data", F.coalesce("copy", F.lit(False)).alias("copy"))
     single = marked.where("NOT copy").drop("copy")
-    places = store.save(settled(anchored(single, length, anchor)), "places")
+    places = store.save(settled(anchored(single, length, anchor), hot), "places")
     store.free_shuffles()
-    late = store.save(constructed(single, places.where("pieces > 1"), length, hot, bucket, spill_bytes), "late")
+    late = store.save(constructed(single, places.where("pieces > 1"), store.path("columns"), length, hot, bucket, spill_bytes), "late")
     store.free_shuffles()
     by_doc = places.where("pieces = 0").select("absent", "doc_id", "alt", "place").union(late).groupBy("absent", "doc_id", "alt").agg(F.collect_list("place").alias("places"))
 
