@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so that a question with other numbers and names still has the template
 of the one it was made from. Benchmark items are cut into windows of five template words; the documents' windows are hash-
-joined with them. Where a document holds `coverage` of an item's distinct windows, the values that fill the placeholders are
+joined with them. Pairs come from an item's rarest windows, of which a document with `coverage` of all has to hold one, so
+that windows which many items share (rows of numbers) make no pairs. Where a document holds `coverage` of an item's distinct windows, the values that fill the placeholders are
 aligned: on each alignment (a constant distance of word positions) one value of the item has to stand for one value of the
 document and the other way round. A pair leaks if its slots agree over all alignments, if alignments that agree each for
 itself leave `coverage` of the windows, or if the document holds `coverage` of the windows with equal values. Others, whose
@@ -17,12 +18,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lakequill.llm.common import Store, table
 
 WINDOW, COVERAGE, CONSISTENT = 5, 0.8, 0.8
-#: Rows of benchmark windows (16 bytes each) that may be broadcast; beyond that both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows of benchmark windows (16 bytes each), and bytes of their slots, that may be broadcast; beyond that both sides are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 UNITS = (
     "km|cm|mm|nm|m|kg|mg|g|lb|lbs|oz|ml|l|s|ms|sec|secs|second|seconds|min|mins|minute|minutes|h|hr|hrs|hour|hours|day|days|week|weeks|month|months|"
     "year|years|meter|meters|metre|metres|mile|miles|inch|inches|foot|feet|yard|yards|gram|grams|kilogram|kilograms|pound|pounds|liter|liters|litre|litres|"
@@ -78,17 +80,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, store: Store, window: int = WIN
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     benchmark = benchmark.where("item_id IS NOT NULL").select("item_id", "text")
     items = store.save(_hashed(benchmark, "item_id", window).distinct().coalesce(8), "items")
-    small = items.count() <= BROADCAST_ROWS
-    sized = F.broadcast if small else lambda df: df
+    sized = F.broadcast if items.count() <= BROADCAST_ROWS else lambda df: df
     sizes = items.groupBy("item_id", "names").agg(F.count("*").alias("n_windows"))
-    hits = _hashed(docs, "doc_id", window).select("doc_id", "h").join(sized(items.select("h").distinct()), "h", "left_semi").distinct()
-    forms = hits.join(sized(items), "h").groupBy("doc_id", "item_id", "names").agg(F.count("*").alias("n_matched")).join(sized(sizes), ["item_id", "names"])
+    # the windows of which a document with `coverage` of the item holds one at least, those in the fewest items
+    spread = items.join(items.groupBy("h").agg(F.count("*").alias("n_items")), "h").join(sizes, ["item_id", "names"])
+    rank = F.row_number().over(W.partitionBy("item_id", "names").orderBy("n_items", "h"))
+    rare = spread.withColumn("rank", rank).where(F.col("rank") <= F.col("n_windows") - F.ceil(F.lit(coverage) * F.col("n_windows") - 1e-9) + 1)
+    rare = store.save(rare.select("h", "item_id", "names"), "rare")
+    hits = store.save(_hashed(docs, "doc_id", window).select("doc_id", "h").join(sized(items.select("h").distinct()), "h", "left_semi").distinct(), "hits")
+    asked = hits.join(sized(rare), "h").select("doc_id", "item_id", "names").distinct()
+    forms = asked.join(sized(items), ["item_id", "names"]).join(hits, ["doc_id", "h"])
+    forms = forms.groupBy("doc_id", "item_id", "names").agg(F.count("*").alias("n_matched")).join(sized(sizes), ["item_id", "names"])
     best = F.max(F.struct((F.col("n_matched") / F.col("n_windows")).alias("coverage"), "n_matched", "n_windows")).alias("best")
     pairs = forms.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*").where(F.col("coverage") >= coverage)
     pairs = store.save(pairs, "pairs")
     slot_items = store.save(_slot_windows(benchmark, "item_id", window).select("item_id", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")), "slot-items")
+    slot_bytes = slot_items.agg(F.coalesce(F.sum(F.length(F.to_json("item_slots")) + 24), F.lit(0))).first()[0]
+    slot_sized = F.broadcast if slot_bytes <= BROADCAST_BYTES else lambda df: df
     held = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    both = _slot_windows(held, "doc_id", window).join(sized(slot_items), "h").join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
+    both = _slot_windows(held, "doc_id", window).join(slot_sized(slot_items), "h").join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
     both = both.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "h", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
     slot = F.struct(F.col("s.slots.kind").alias("kind"), F.col("s.item_slots.value").alias("mine"), F.col("s.slots.value").alias("theirs"))
     aligned = both.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(slot).alias("pairs"), F.collect_set("h").alias("hs"))  # no more than an item has slots and windows
@@ -102,7 +112,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, store: Store, window: int = WIN
     lost = windows.groupBy("doc_id", "item_id").agg(F.count_if(~F.col("agrees")).alias("lost"))  # windows that only contradicting alignments hold
     plain_items = store.save(_verbatim(benchmark, "item_id", window), "plain-items")
     plain_sizes = plain_items.groupBy("item_id").agg(F.count("*").alias("n_plain"))
-    plain = _verbatim(held, "doc_id", window).join(sized(plain_items), "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_equal"))
+    plain = _verbatim(held, "doc_id", window).join(sized(plain_items), "h").join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_equal"))
     plain = plain.join(sized(plain_sizes), "item_id").where(F.col("n_equal") >= F.lit(coverage) * F.col("n_plain")).select("doc_id", "item_id", F.lit(True).alias("equal"))
     judged = pairs.join(slots, ["doc_id", "item_id"], "left").join(lost, ["doc_id", "item_id"], "left").join(plain, ["doc_id", "item_id"], "left")
     whole = F.coalesce(F.col("good_all") >= F.lit(consistent) * F.col("n_all"), F.lit(True))

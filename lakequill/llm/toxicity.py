@@ -1,6 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning with numpy.
 
-Confirmed toxic rows are the positives; training rows whose labels are hidden are the unlabelled text. Words and word
+Confirmed toxic rows are the positives; training rows whose labels are hidden are the unlabelled text. They are drawn from the
+rows that were reviewed at all, as positives come from these too: which documents were reviewed goes by language, so that text
+drawn from all documents would make words of the languages reviewed most look toxic. Words and word
 beginnings are weighed by how much likelier positives hold them than unlabelled text does, less `z` standard errors; a
 document becomes a few numbers (its strongest weights, their sum and density); a logistic classifier is trained on them with
 the class-prior-corrected risk pi R_p(+) + max(0, R_u(-) - pi R_p(-)), whose negative part is undone by an ascent step.
