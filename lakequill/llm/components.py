@@ -36,5 +36,15 @@ def connected_components(edges: DataFrame, store: Store) -> DataFrame:
     out = steps[-1]
     for step in reversed(steps[:-1]):
         later = out.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        out = step.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+        out = store.save(step.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")), "roots")
     return out
+
+
+def least_members(members: DataFrame, salts: int = 16) -> DataFrame:
+    """(node, least): the least value of the node's component. members: (node, root, value).
+
+    The values of a component are reduced by a partial aggregate; a component of any size takes its result back in `salts` shares.
+    """
+    least = members.groupBy("root").agg(F.min("value").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = members.select("node", "root", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int").alias("salt"))
+    return dealt.join(least, ["root", "salt"]).select("node", "least")

@@ -2,10 +2,14 @@
 
 Texts become fingerprints of `bits` bits; equal fingerprints form one class (a partial aggregate, so that a group of exact
 copies costs one row). Classes are laid out in tiles by population count. Every tile meets the tiles whose population counts
-lie within the radius; other tile pairs are skipped, as each differing bit changes the population count by one at most. A
-tile pair yields a spanning forest of its links, not all pairs of a group, and components of these forests are the groups.
-Where a similarity of texts is asked for rather than a radius, fingerprints are those of shingle sets, only equal sets form a
-class, and links are verified on the sets themselves.
+lie within the radius; other tile pairs are skipped, as each differing bit changes the population count by one at most. Each tile
+is first compared with itself and its groups are noted, so that a pair of tiles only has to tell which of their groups are
+linked: it yields a spanning forest of those links, not all pairs of a group, and components of all forests are the groups.
+
+Where a similarity of texts is asked for rather than a radius, fingerprints are those of shingle sets, and only equal sets
+form a class. The sets lie in files of the shared folder, and a tile task verifies its candidates on them, nearest first, by
+range reads: a link counts once the sets have the similarity, and candidates are passed over only if verified links join them
+already. Memory is that of two tiles and a bounded cache of sets, whatever the size of a group.
 
 Defined results: null and empty texts, and texts of white space only, have the fingerprint zero and link like any other;
 repeated rows share fingerprint and component; a null doc_id gets a fingerprint, and its component is the smallest doc_id
@@ -16,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -25,16 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import Store, table
-from lakequill.llm.components import connected_components
+from lakequill.llm.common import FileWriter, RangeReader, Store, table
+from lakequill.llm.components import connected_components, least_members
 
 _LOW = np.uint64(0x0101010101010101)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 #: Classes in a tile; a tile pair is the unit of work.
-TILE = 16384
-#: Of classes that ask again, in a tile; it may return all its pairs (32 bytes each). And how many they ask for at first.
-APART_TILE, NEAREST = 2048, 32
+TILE = 8192
+#: Bytes of shingle sets that a task keeps, and shingles that it checks at once.
+CACHE, AT_ONCE = 64 << 20, 1 << 20
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -88,14 +92,19 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def fingerprints(docs: DataFrame, words: int, bits: int, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
-    """(doc_id, fp binary, ones int, key binary): fp is big-endian by 64-bit lanes, ones its population count.
+_PRINTS = "doc_id long, fp binary, ones int, key binary, file long, at long, n long"
+
+
+def fingerprints(docs: DataFrame, words: int, bits: int, id_col: str = "doc_id", text_col: str = "text", sets: str | None = None) -> DataFrame:
+    """(doc_id, fp, ones, key, file, at, n): fp is big-endian by 64-bit lanes, ones its population count.
 
-    The key is what makes a class: the fingerprint, or with `sets` the digest of the shingle set, whose members then count once.
+    The key is what makes a class: the fingerprint, or with a folder for `sets` the digest of the shingle set, whose members
+    then count once and are written to the folder (file and byte offset of the n hashes).
     """
     lanes = bits // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = FileWriter(sets, "sets") if sets else None
         for b in batches:
             ids, texts, i = b.column(0), b.column(1), 0
             while i < b.num_rows:  # about a million hashes at a time
@@ -108,140 +117,232 @@ def fingerprints(docs: DataFrame, words: int, bits: int, id_col: str = "doc_id",
                 ones = np.bitwise_count(fps).sum(1, dtype=np.int32)
                 raw = fps.astype(">u8").tobytes()
                 fp = pa.array([raw[k : k + 8 * lanes] for k in range(0, len(raw), 8 * lanes)], pa.binary())
-                key = pa.array([set_digest(h) for h in held], pa.binary()) if sets else fp
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), fp, pa.array(ones, pa.int32()), key], names=["doc_id", "fp", "ones", "key"])
+                sizes = np.array([len(h) for h in held], np.int64)
+                if out:
+                    key = pa.array([set_digest(h) for h in held], pa.binary())
+                    file, start, _ = out.write(np.concatenate(held).astype("<u8").tobytes())
+                    at = start + 8 * (np.cumsum(sizes) - sizes)
+                else:
+                    key, file, at = fp, 0, np.zeros(len(held), np.int64)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), fp, pa.array(ones, pa.int32()), key, pa.array(np.full(len(held), file)), pa.array(at), pa.array(sizes)], names=[x.split()[0] for x in _PRINTS.split(", ")])
                 i = j
+        if out:
+            out.close()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp binary, ones int, key binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _PRINTS)
 
 
 class _Forest:
-    """Labels of the members of one tile pair, and the links that joined them."""
-
-    def __init__(self, n: int):
-        self.label, self.edges = np.arange(n), []
-
-    def link(self, i: int, others: np.ndarray, more: int = 0) -> None:
-        """Join i with others, nearest first: a link to the nearest of each group that is new to i, and to the `more` nearest."""
-        self.edges += [(i, int(x)) for x in others[:more]]
-        roots, at = np.unique(self.label[others], return_index=True)
-        own = self.label[i]
-        new = roots != own
-        if new.any():
-            self.edges += [(i, int(others[k])) for k in at[new] if k >= more]
-            least = min(own, roots[0])
-            self.label[np.isin(self.label, np.append(roots, own))] = least
-
-
-def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, more: int = 0) -> list[tuple[int, int]]:
-    """Spanning links between the rows of a and b (members of one tile if `same`); both are sorted by population count."""
-    forest = _Forest(len(a) if same else len(a) + len(b))
-    shift = 0 if same else len(a)
+    """Labels of the members of a tile or a tile pair, and the links that joined them."""
+
+    def __init__(self, label: np.ndarray | int):
+        self.label, self.edges = np.arange(label) if isinstance(label, int) else label, []
+
+    def _join(self, i: int, j: int) -> None:
+        a, b = self.label[i], self.label[j]
+        if a != b:
+            self.edges.append((i, j))
+            self.label[self.label == max(a, b)] = min(a, b)
+
+    def link(self, i: int, others: np.ndarray, accept: Callable[[int, np.ndarray], np.ndarray] | None = None, step: int = 4) -> None:
+        """Join i with those of others that it is not joined with; with `accept`, only where that is true, asked for the
+        first `step` of others and then for ever more of those still apart."""
+        while len(others := others[self.label[others] != self.label[i]]):
+            if accept is None:
+                for k in np.unique(self.label[others], return_index=True)[1]:
+                    self._join(i, int(others[k]))
+                return
+            asked, others = others[:step], others[step:]
+            for j in asked[accept(i, asked)]:
+                self._join(i, int(j))
+            step *= 4
+
+
+def _dense(lanes: int, radius: int) -> int:
+    """So many lanes that unrelated fingerprints, which differ in half their bits, hardly ever come within the radius on them."""
+    return next((m for m in range(1, lanes) if 32 * m - 16 * m**0.5 > radius), lanes)
+
+
+def _walk(forest: _Forest, a: np.ndarray, b: np.ndarray, radius: int, same: bool, screen: tuple[int, int] | None = None, accept: Callable[[int, np.ndarray], np.ndarray] | None = None, more: int = 4) -> list[tuple[int, int]]:
+    """Links of the rows of a with those of b within the radius, as far as the forest has not joined them. Rows of b come
+    after those of a unless both are one tile; both are sorted by population count. `screen`: lanes that are compared in
+    full, and the differing bits allowed on them."""
+    shift, step = 0 if same else len(a), 16
     ones_a, ones_b = np.bitwise_count(a).sum(1, dtype=np.int32), np.bitwise_count(b).sum(1, dtype=np.int32)
-    # so many lanes are compared in full that unrelated fingerprints, which differ in half their bits, hardly ever come within the radius
-    dense = next((m for m in range(1, a.shape[1]) if 32 * m - 16 * m**0.5 > radius), a.shape[1])
-    columns, step = [np.ascontiguousarray(b[:, k]) for k in range(b.shape[1])], 16
+    dense, limit = screen or (_dense(a.shape[1], radius), radius)
+    columns = [np.ascontiguousarray(b[:, k]) for k in range(dense)]
     for i in range(0, len(a), step):
         rows = a[i : i + step]
-        lo = np.searchsorted(ones_b, ones_a[i] - radius, "left")
-        hi = np.searchsorted(ones_b, ones_a[min(i + step, len(a)) - 1] + radius, "right")
+        lo = int(np.searchsorted(ones_b, ones_a[i] - radius, "left"))
+        hi = int(np.searchsorted(ones_b, ones_a[min(i + step, len(a)) - 1] + radius, "right"))
         lo = max(lo, i + 1) if same else lo
         if lo >= hi:
             continue
         far = np.bitwise_count(rows[:, :1] ^ columns[0][None, lo:hi])
         for k in range(1, dense):  # a byte wraps beyond 255 only, which the exact comparison below finds out
             far += np.bitwise_count(rows[:, k : k + 1] ^ columns[k][None, lo:hi])
-        x, y = np.nonzero(far <= radius)
+        x, y = np.nonzero(far <= min(limit, 255))
         if not len(x):
             continue
-        d = far[x, y].astype(np.int32)
         y += lo
+        keep = forest.label[i + x] != forest.label[y + shift]
+        if same:
+            keep &= y > x + i
+        x, y = x[keep], y[keep]
         if a.shape[1] > 1:
             d = np.bitwise_count(rows[x] ^ b[y]).sum(1, dtype=np.int32)
-        keep = (d <= radius) & ((y > x + i) if same else True)
-        x, y, d = x[keep], y[keep], d[keep]
-        if more:
+            x, y, d = x[d <= radius], y[d <= radius], d[d <= radius]
             order = np.lexsort((d, x))
             x, y = x[order], y[order]
         cut = np.searchsorted(x, np.arange(len(rows) + 1))
         for k in range(len(rows)):
             if cut[k] < cut[k + 1]:
-                forest.link(i + k, y[cut[k] : cut[k + 1]] + shift, more)
+                forest.link(i + k, y[cut[k] : cut[k + 1]] + shift, accept, more)
     return forest.edges
 
 
-def apart_links(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, radius: int, same: bool, most: int | None) -> np.ndarray:
-    """(links, 2): of each row of a the `most` nearest rows of b (all if None) within the radius that are in another group.
+def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
+    """Spanning links between the rows of a and b (members of one tile if `same`); both are sorted by population count."""
+    return _walk(_Forest(len(a) if same else len(a) + len(b)), a, b, radius, same)
+
+
+class _Sets:
+    """Shingle sets by (file, offset, number), the last CACHE bytes of them kept."""
+
+    def __init__(self, folder: str):
+        self.reader, self.held, self.bytes = RangeReader(folder, "sets"), {}, 0
+
+    def __getitem__(self, ref: tuple[int, int, int]) -> np.ndarray:
+        got = self.held.pop(ref, None)
+        if got is None:
+            file, at, n = ref
+            got = np.frombuffer(self.reader.read(file, at, 8 * n), "<u8")
+            self.bytes += got.nbytes
+        self.held[ref] = got
+        while self.bytes > CACHE and len(self.held) > 1:
+            self.bytes -= self.held.pop(next(iter(self.held))).nbytes
+        return got
+
+    def similar(self, refs: np.ndarray, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of others (row numbers of refs) have the Jaccard similarity with row i."""
+        out, mine = np.zeros(len(others), bool), self[tuple(refs[i].tolist())]
+        n = refs[others, 2]
+        fits = np.nonzero(np.minimum(n, len(mine)) >= similarity * np.maximum(n, len(mine)))[0]
+        fits = fits[n[fits] > 0]
+        room = np.cumsum(n[fits]) // AT_ONCE
+        for part in np.unique(room):
+            rows = fits[room == part]
+            sets = [self[tuple(refs[j].tolist())] for j in others[rows]]
+            every = np.concatenate(sets)
+            held = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+            common = np.add.reduceat(held, np.cumsum(n[rows]) - n[rows], dtype=np.int64)
+            out[rows] = common >= similarity * (n[rows] + len(mine) - common)
+        return out
+
 
-    Numbered like tile_links numbers them: rows of b come after those of a unless both are one tile.
-    """
-    out, step = [np.empty((0, 2), np.int64)], max(1, (1 << 21) // len(b))
-    for i in range(0, len(a), step):
-        d = np.zeros((len(a[i : i + step]), len(b)), np.int32)
-        for k in range(a.shape[1]):
-            d += np.bitwise_count(a[i : i + step, k : k + 1] ^ b[None, :, k])
-        x, y = np.nonzero((d <= radius) & (group_a[i : i + step, None] != group_b[None, :]))
-        if same:
-            x, y = x[y > x + i], y[y > x + i]
-        if most is not None:
-            order = np.lexsort((d[x, y], x))
-            x, y = x[order], y[order]
-            keep = np.arange(len(x)) - np.searchsorted(x, x) < most
-            x, y = x[keep], y[keep]
-        out.append(np.stack([x + i, y + (0 if same else len(a))], 1))
-    return np.concatenate(out)
+class _Tile:
+    """Members of a tile, in the order of their population counts."""
 
+    def __init__(self, raw: bytes, n: int, lanes: int, key_size: int):
+        cuts = np.cumsum([0, 8 * lanes * n, key_size * n, 24 * n, 4 * n])
+        part = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.fp = np.frombuffer(part[0], "<u8").reshape(n, lanes).astype(np.uint64)
+        self.keys = [part[1][k : k + key_size] for k in range(0, key_size * n, key_size)]
+        self.refs = np.frombuffer(part[2], "<i8").reshape(n, 3)
+        self.label = np.frombuffer(part[3], "<i4").astype(np.int64) if part[3] else None
 
-def similar_classes(classes: DataFrame, bits: int, radius: int, tile: int = TILE, more: int = 0, apart: bool = False, most: int | None = None) -> DataFrame:
-    """Edges (a, b) of keys whose fingerprints differ in `radius` bits at most, enough of them to span each group.
 
-    With `apart`, classes have a column group as long as the key, and the edges are all those between different groups, or
-    for each fingerprint those to its `most` nearest in a tile.
+_TILE = "tile int, file long, n int, hi int"
 
-    classes: (key, fp, ones), distinct keys of one length. The driver gets a histogram of `ones` only, which has bits + 1 rows at most.
-    """
-    lanes = bits // 64
-    counts = {r["ones"]: r["n"] for r in classes.groupBy("ones").agg(F.count("*").alias("n")).collect()}
-    first, split, span, at, room = [0] * (bits + 1), [1] * (bits + 1), [], -1, 0
+
+def tile_numbers(counts: dict[int, int], bits: int, tile: int) -> tuple[list[int], list[int]]:
+    """First tile of each population count, and the number of tiles over which its members are dealt out."""
+    first, split, at, room = [0] * (bits + 1), [1] * (bits + 1), -1, 0
     for ones in range(bits + 1):
         n = counts.get(ones, 0)
         if n > room or at < 0:  # a new tile, or several for a frequent count
             split[ones] = max(1, -(-n // tile))
             first[ones], at = at + 1, at + split[ones]
-            span += [(ones, ones)] * split[ones]
             room = tile - n if split[ones] == 1 else 0
         else:
             first[ones], room = at, room - n
-            span[at] = (span[at][0], ones)
-    last = [max(u for u, (lo, _) in enumerate(span) if lo <= hi + radius) for _, hi in span]
-    begin = [min(u for u, (_, hi) in enumerate(span) if hi >= lo - radius) for lo, _ in span]
-    look = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("ones") + 1)
-    placed = classes.select(F.concat("fp", "key", *(["group"] if apart else [])).alias("row"), (look(first) + F.pmod(F.xxhash64("key"), look(split)).cast("int")).alias("tile"), "ones")
+    return first, split
 
-    def pack(t: pa.Table) -> pa.Table:
-        # by population count
-        order = np.argsort(t.column("ones").to_numpy(), kind="stable")
-        return pa.table({"tile": t.column("tile").slice(0, 1).combine_chunks(), "n": pa.array([len(order)], pa.int32()), "rows": pa.array([b"".join(t.column("row").take(pa.array(order)).to_pylist())], pa.binary())})
-
-    tiles = placed.groupBy("tile").applyInArrow(pack, "tile int, n int, rows binary")
-    at_tile = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("tile") + 1)
-    sides = tiles.select("tile", "n", "rows", F.explode(F.sequence(at_tile(begin), at_tile(last))).alias("other"))
-    sides = sides.select(F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), (F.col("tile") > F.col("other")).alias("second"), "n", "rows")
-
-    def compare(t: pa.Table) -> pa.Table:
-        sides = sorted(zip(*(t.column(c).to_pylist() for c in ("second", "n", "rows")), strict=True))
-        raw = [np.frombuffer(x, np.uint8).reshape(n, -1) for _, n, x in sides]
-        fps = [np.ascontiguousarray(x[:, : 8 * lanes]).view(">u8").astype(np.uint64) for x in raw]
-        keys = np.concatenate([x[:, 8 * lanes :] for x in raw])
-        if apart:
-            keys, groups = np.split(keys, 2, axis=1)
-            _, groups = np.unique(np.ascontiguousarray(groups).view(f"V{groups.shape[1]}").ravel(), return_inverse=True)
-            found = apart_links(fps[0], fps[-1], groups[: len(fps[0])], groups[-len(fps[-1]) :], radius, len(raw) == 1, most)
-        else:
-            found = tile_links(fps[0], fps[-1], radius, len(raw) == 1, more)
-        return pa.table({"a": pa.array([keys[i].tobytes() for i, _ in found], pa.binary()), "b": pa.array([keys[j].tobytes() for _, j in found], pa.binary())})
 
-    return sides.groupBy("t", "u").applyInArrow(compare, "a binary, b binary")
+def similar_classes(classes: DataFrame, store: Store, bits: int, radius: int, tile: int = TILE, similarity: float | None = None, sets: str | None = None, more: int = 4) -> DataFrame:
+    """Edges (a, b) of keys that span the groups of classes whose fingerprints differ in `radius` bits at most, and whose
+    shingle sets have the similarity, if one is given.
+
+    classes: (key, fp, ones, file, at, n), distinct keys of one length. The driver gets a histogram of `ones` only, which has
+    bits + 1 rows at most. Tiles are files of the shared folder; tasks get pairs of file names, in as many partitions as the
+    number of pairs asks for.
+    """
+    lanes, key_size = bits // 64, 16 if similarity else bits // 8
+    counts = {r["ones"]: r["n"] for r in classes.groupBy("ones").agg(F.count("*").alias("n")).collect()}
+    first, split = tile_numbers(counts, bits, tile)
+    look = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at + 1)
+    last = [first[o] + split[o] - 1 for o in (min(bits, hi + radius) for hi in range(bits + 1))]
+    share = F.pmod(F.xxhash64("key"), look(split, F.col("ones"))).cast("int")
+    placed = classes.select((look(first, F.col("ones")) + share).alias("tile"), "key", "fp", "ones", "file", "at", "n")
+    folder, screen = store.path("tiles"), None
+    if similarity and lanes > 2:
+        screen = 2, radius_for(similarity, 128)
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("ones", "ascending"), ("key", "ascending")])
+        fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), ">u8").astype("<u8")
+        refs = np.stack([t.column(c).to_numpy() for c in ("file", "at", "n")], 1).astype("<i8")
+        out = FileWriter(folder, "tile")
+        file, _, _ = out.write(fps.tobytes() + b"".join(t.column("key").to_pylist()) + refs.tobytes())
+        out.close()
+        return pa.table({"tile": t.column("tile").slice(0, 1).combine_chunks(), "file": pa.array([file]), "n": pa.array([t.num_rows], pa.int32()), "hi": t.column("ones").slice(t.num_rows - 1).combine_chunks()})
+
+    tiles = store.save(placed.groupBy("tile").applyInArrow(pack, _TILE), "tiles")
+    n_tiles, n_pairs = tiles.agg(F.count("*"), F.coalesce(F.sum(look(last, F.col("hi")) - F.col("tile")), F.lit(0))).first()
+
+    def accept(refs: np.ndarray, held: _Sets) -> Callable[[int, np.ndarray], np.ndarray] | None:
+        return (lambda i, others: held.similar(refs, i, others, similarity)) if similarity else None
+
+    def links(keys: list[bytes], edges: list[tuple[int, int]], *first_row: object) -> pa.RecordBatch:
+        columns = [[x] + [None] * len(edges) for x in first_row]
+        a, b = [keys[i] for i, _ in edges], [keys[j] for _, j in edges]
+        gap = [None] if first_row else []
+        arrays = [pa.array(gap + a, pa.binary()), pa.array(gap + b, pa.binary())]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=False)), *arrays], names=[*(x.split()[0] for x in _TILE.split(", "))][: len(columns)] + ["a", "b"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, out, held = RangeReader(folder, "tile"), FileWriter(folder, "tile"), _Sets(sets) if sets else None
+        for batch in batches:
+            for row in batch.to_pylist():
+                raw = reader.whole(row["file"])
+                t = _Tile(raw, row["n"], lanes, key_size)
+                forest = _Forest(len(t.keys))
+                _walk(forest, t.fp, t.fp, radius, True, screen, accept(t.refs, held), more)
+                out.close()  # a file for each tile
+                file, _, _ = out.write(raw + forest.label.astype("<i4").tobytes())
+                yield links(t.keys, forest.edges, row["tile"], file, row["n"], row["hi"])
+        out.close()
+
+    own = store.save(tiles.repartitionByRange(max(1, n_tiles), "tile").mapInArrow(within, f"{_TILE}, a binary, b binary"), "within")
+    grouped = own.where("file IS NOT NULL").select("tile", "file", "n", "hi")
+    beyond = grouped.withColumn("last", look(last, F.col("hi"))).where("last > tile")
+    left = beyond.select("tile", F.col("file").alias("file_a"), F.col("n").alias("n_a"), F.explode(F.sequence(F.col("tile") + 1, F.col("last"))).alias("other"))
+    pairs = left.join(grouped.select(F.col("tile").alias("other"), F.col("file").alias("file_b"), F.col("n").alias("n_b")), "other")
+    parts = max(1, min(n_pairs, max(4 * store.spark.sparkContext.defaultParallelism, n_pairs // 16)))
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, held, a_file, a = RangeReader(folder, "tile"), _Sets(sets) if sets else None, None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["file_a"] != a_file:
+                    a_file, a = row["file_a"], _Tile(reader.whole(row["file_a"]), row["n_a"], lanes, key_size)
+                b = _Tile(reader.whole(row["file_b"]), row["n_b"], lanes, key_size)
+                forest = _Forest(np.concatenate([a.label, b.label + len(a.label)]))
+                _walk(forest, a.fp, b.fp, radius, False, screen, accept(np.concatenate([a.refs, b.refs]), held), more)
+                yield links(a.keys + b.keys, forest.edges)
+
+    across = pairs.select("tile", "other", "file_a", "n_a", "file_b", "n_b").repartitionByRange(parts, "tile", "other").sortWithinPartitions("tile", "other")
+    return own.where("a IS NOT NULL").select("a", "b").union(across.mapInArrow(between, "a binary, b binary"))
 
 
 def disagreement(common: int, own_a: int, own_b: int) -> float:
@@ -264,72 +365,24 @@ def radius_for(similarity: float, bits: int, deviations: float = 5) -> int:
     return min(bits, math.ceil(bits * share + deviations * math.sqrt(bits * share * (1 - share))))
 
 
-def shingle_sets(edges: DataFrame, classes: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(key, shingles) of the classes with an edge."""
-    asked = edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct()
-    ids = classes.join(asked, "key", "left_semi").select(F.col("least").alias("__id"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t, words)) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(map(set_digest, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "shingles"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(ids, F.col("id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = texts.select("t").mapInArrow(run, "key binary, shingles array<bigint>").join(asked, "key", "left_semi")
-    return sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
-
-
-def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The edges whose shingle sets have the Jaccard similarity."""
-    both = edges.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("t")), "b")
-    common = F.size(F.array_intersect("s", "t"))
-    return both.where(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b")
-
-
-def verified_groups(classes: DataFrame, docs: DataFrame, store: Store, words: int, bits: int, radius: int, similarity: float, tile: int, more: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, root) of the classes joined by links that verification accepts, as if every candidate had been verified.
-
-    The first round asks for links that span the candidates' groups. Where a link failed between two verified groups, the
-    members ask again: for the nearest of each in another group, then for all of them. Candidates within a verified group
-    are the only ones left out, as their ends are joined already.
-    """
-    near = store.save(similar_classes(classes.select("key", "fp", "ones"), bits, radius, tile, more), "near")
-    sets = store.save(shingle_sets(near, classes, docs, words, id_col, text_col), "sets")
-    edges = store.save(verified(near, sets, similarity), "verified")
-    roots = connected_components(edges, store)
-    members = sets.select("key").join(classes, "key").select("key", "fp", "ones")  # whatever has a candidate has a link of the first round
-    for most in (NEAREST, None):
-        grouped = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "fp", "ones", F.coalesce("root", "key").alias("group"))
-        grouped = store.save(grouped, "grouped")
-        at = lambda c: grouped.select(F.col("key").alias(c), F.col("group").alias(f"{c}_group"))  # noqa: B023, E731
-        failed = near.join(at("a"), "a").join(at("b"), "b").where("a_group <> b_group")
-        open_groups = failed.select(F.col("a_group").alias("group")).union(failed.select("b_group")).distinct()
-        asking = store.save(grouped.join(open_groups, "group", "left_semi"), "asking")
-        if asking.isEmpty():
-            break
-        found = similar_classes(asking.select("key", "fp", "ones", "group"), bits, radius, min(tile, APART_TILE), apart=True, most=most)
-        edges = store.save(edges.union(verified(found, sets, similarity)), "verified")
-        roots = connected_components(edges, store)
-    return roots
-
-
 def group(docs: DataFrame, store: Store, words: int = 5, bits: int = 512, radius: int | None = None, similarity: float = 0.8, tile: int = TILE, more: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs.
 
     With a radius, fingerprints link at that many differing bits. Without, the radius follows from the similarity, and links
-    are verified on the shingle sets: first those that span each group and those to the `more` nearest fingerprints of a tile,
-    then all between groups that are still apart.
+    are verified on the shingle sets: of each row first the `more` nearest candidates, then the others it is not yet joined with.
     """
     verify, radius = radius is None, radius_for(similarity, bits) if radius is None else radius
-    prints = store.save(fingerprints(docs, words, bits, id_col, text_col, verify), "prints")
-    classes = store.save(prints.groupBy("key", "fp", "ones").agg(F.min("doc_id").alias("least")), "classes")
-    if verify:
-        roots = verified_groups(classes, docs, store, words, bits, radius, similarity, tile, more, id_col, text_col)
-    else:
-        roots = connected_components(similar_classes(classes.select("key", "fp", "ones"), bits, radius, tile), store)
-    rooted = classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = rooted.join(least, "root").select("key", "component_id")
+    sets = store.path("sets") if verify else None
+    prints = store.save(fingerprints(docs, words, bits, id_col, text_col, sets), "prints")
+    where = F.min(F.struct("file", "at", "n")).alias("set")
+    classes = prints.groupBy("key", "fp", "ones").agg(F.min("doc_id").alias("least"), where).select("key", "fp", "ones", "least", "set.*")
+    classes = store.save(classes, "classes")
+    links = similar_classes(classes.drop("least"), store, bits, radius, tile, similarity if verify else None, sets, more)
+    roots = connected_components(links, store)
+    linked = classes.select(F.col("key").alias("node"), F.col("least").alias("value")).join(roots, "node")
+    grouped = store.save(least_members(linked), "grouped")
+    by_class = classes.select("key", "least").join(grouped.select(F.col("node").alias("key"), F.col("least").alias("joint")), "key", "left")
+    by_class = by_class.select("key", F.when(F.col("joint").isNull(), F.col("least")).otherwise(F.col("joint")).alias("component_id"))
     return prints.select("doc_id", "fp", "key").join(by_class, "key").select("doc_id", "fp", "component_id")
 
 
