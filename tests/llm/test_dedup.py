@@ -81,6 +81,41 @@ class TestLines:
             assert {r.doc_id: (r.n_lines, r.n_dropped, r.text or "") for r in got} == self.brute(rows)
         assert sum(v[1] for v in self.brute(rows).values()) > 50
 
+    def test_runs_are_merged_block_by_block(self, spark, tmp_path, monkeypatch):
+        monkeypatch.setattr(line_dedup, "BLOCK", 7)
+        rng, expected, folders = random.Random(8), defaultdict(lambda: [0, None]), []
+        for k in range(5):
+            hs = sorted(rng.sample([b"%03d" % i for i in range(200)], rng.choice([0, 3, 60, 150])))
+            rows = [(h, rng.randint(1, 9), rng.choice([None, rng.randint(-5, 99)])) for h in hs]
+            folders.append(f"file://{tmp_path}/run-{k}")
+            out = line_dedup._RunFile(folders[-1], 0)
+            out.write(line_dedup.pa.Table.from_pylist([dict(zip(("h", "n_docs", "owner"), r, strict=True)) for r in rows], line_dedup._ENTRY))
+            assert out.close() == len(rows)
+            for h, n, o in rows:
+                e = expected[h]
+                e[0], e[1] = e[0] + n, max((x for x in (e[1], o) if x is not None), default=None)
+        got = [(r["h"], r["n_docs"], r["owner"]) for t in line_dedup._merge(line_dedup._cursors(folders, 0)) for r in t.to_pylist()]
+        assert got == sorted((h, *e) for h, e in expected.items())
+
+    def test_compaction_comes_in_mid_course(self, spark):
+        store = line_dedup.LineStore(Store(spark, "t"), min_docs=3, fanout=2, parts=3)
+        rng = random.Random(4)
+        held = {(h, d) for d in range(70) for h in rng.sample([hashlib.md5(b"%d" % i).digest() for i in range(90)], 8)}
+        for k in range(7):
+            store.add(spark.createDataFrame([(h, d) for h, d in held if d % 7 == k], "h binary, doc_id long"))
+            assert all(len(level) < 2 for level in store.levels)
+        assert len(store.levels) == 3 and all(r.count() for r in store.runs())
+        owners = defaultdict(set)
+        for h, d in held:
+            owners[h].add(d)
+        assert {bytes(r.h): r.owner for r in store.frequent().collect()} == {h: max(v) for h, v in owners.items() if len(v) >= 3}
+
+    def test_very_long_texts(self, spark):
+        shared = "\n".join(f"shared line number {i} that is long enough to count" for i in range(20_000))
+        rows = [(i, shared + f"\nown line of document {i}, which is also long enough") for i in range(5)]
+        got = sorted(line_dedup.drop_frequent_lines(spark.createDataFrame(rows, DOC), Store(spark, "t")).collect())
+        assert [(r.n_lines, r.n_dropped) for r in got] == [(20_001, 20_000)] * 4 + [(20_001, 0)]
+
     def test_settled_lines_are_not_added_again(self, spark):
         store = line_dedup.LineStore(Store(spark, "t"), min_docs=2, fanout=9)
         line = lambda *docs: spark.createDataFrame([(b"x", d) for d in docs], "h binary, doc_id long")
@@ -167,6 +202,30 @@ class TestSimHash:
             assert [got[i] for i in range(len(rows))] == expected
         assert len(set(expected)) == 6
 
+    def test_stage_joins_a_large_group_as_all_pairs_do(self, spark):
+        rng = random.Random(1)
+        word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(6))
+        base, rows = [word() for _ in range(100)], []
+        for _ in range(1500):
+            w = list(base)
+            for _ in range(rng.randint(1, 5)):
+                w[rng.randrange(100)] = word()
+            rows.append(" ".join(w))
+        rows = list(enumerate(rows + [" ".join(word() for _ in range(100)) for _ in range(500)]))
+        rng.shuffle(rows)
+        sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+        expected = roots(2000, [(i, j) for i in range(1500) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+        got = {r.doc_id: r.component_id for r in simhash.group(spark.createDataFrame(rows, DOC), Store(spark, "t"), tile=256).collect()}
+        assert [got[i] for i in range(2000)] == expected
+        assert 501 < len(set(expected)) < 1500  # a large group, and copies that reach nothing
+
+    def test_clashing_columns_and_long_texts(self, spark):
+        long = " ".join(f"w{i}" for i in range(150_000))
+        rows = [(1, long, 1, "k"), (2, long + " and some more", 2, "k"), (3, "short text of a few words", 3, "k")]
+        df = spark.createDataFrame(rows, "doc_id long, text string, ones int, key string")
+        assert sorted(r.doc_id for r in simhash.simhash_stage(spark, df, "").collect()) == [1, 3]
+        assert simhash.simhash_stage(spark, df, "").columns == df.columns
+
     def test_stage_compares_sets_of_shingles(self, spark):
         rng = random.Random(4)
         word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
@@ -226,6 +285,27 @@ class TestSuffixes:
         assert len(set(same)) == 1
         assert suffix_dedup.remove_repeats(spark.createDataFrame([], DOC), Store(spark, "t")).count() == 0
 
+    def test_hot_passage_between_other_neighbours(self, spark, monkeypatch):
+        monkeypatch.setattr(suffix_dedup, "WINDOWS", 40)
+        rng = random.Random(3)
+        passage = "".join(rng.choice("abcdefgh ") for _ in range(130))
+        docs = [(i, "".join(rng.choice("ijklmnop") for _ in range(rng.randint(0, 150))) + passage + "".join(rng.choice("qrstuvw") for _ in range(rng.randint(0, 150)))) for i in rng.sample(range(1000), 120)]
+        expected = self.brute([(d, t.encode()) for d, t in docs])
+        for hot in (5, 20_000):
+            store = Store(spark, "t")
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+            got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, DOC), store, hot=hot, bucket=2000, spill_bytes=1 if hot == 5 else suffix_dedup.SPILL).collect()
+            assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == expected
+        assert sum(v[1] for v in expected.values()) >= 119 * 130
+
+    def test_texts_longer_than_a_slice(self, spark, monkeypatch):
+        monkeypatch.setattr(suffix_dedup, "_SLICE", 1 << 12)
+        rng = random.Random(5)
+        long = "".join(rng.choice("abcdef") for _ in range(20_000))
+        docs = [(1, long), (2, "x" * 50 + long[5000:12_000] + "y" * 300), (3, long[:99])]
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, DOC), Store(spark, "t")).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == self.brute([(d, t.encode()) for d, t in docs])
+
     def test_pieces_hold_every_window_once(self):
         rng = np.random.default_rng(0)
         data = rng.integers(97, 100, 5000).astype(np.uint8)
@@ -250,6 +330,32 @@ class TestEmbeddings:
         assert [got[i].component_id for i in range(400)] == expected
         assert [got[i].kept for i in range(400)] == [i == e for i, e in enumerate(expected)]
 
+    def test_blocks_of_64_dimensions_with_several_leaves(self, spark):
+        rng = np.random.default_rng(2)
+        x = rng.normal(size=(1500, 64))
+        x[500:900] = x[:400] + rng.normal(size=(400, 64)) * rng.choice([0.1, 0.45, 0.5], (400, 1))
+        x[900:1200] = x[3] + rng.normal(size=(300, 64)) * 0.45  # a group whose members lie on either side of the threshold
+        x[1200:1210] = x[5] * rng.uniform(0.1, 9, (10, 1))
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        link = u @ u.T >= 0.9
+        np.fill_diagonal(link, False)
+        expected = roots(1500, zip(*np.nonzero(link), strict=True))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {r.vec_id: r for r in embedding_dedup.group(df, Store(spark, "t"), tile=100, sample=300).collect()}
+        assert [got[i].n_links for i in range(1500)] == link.sum(1).tolist()
+        assert [got[i].component_id for i in range(1500)] == expected
+
+    def test_every_link_has_one_block_and_lies_within_its_budget(self):
+        rng = np.random.default_rng(3)
+        for dim, blocks in ((64, 8), (13, 5), (7, 8)):
+            x = rng.normal(size=(300, dim))
+            x[150:] = x[:150] + rng.normal(size=(150, dim)) * rng.uniform(0, 0.6, (150, 1))
+            u = embedding_dedup.unit(x)
+            grid, edges, most = embedding_dedup.on_grid(u), embedding_dedup.block_edges(dim, blocks), embedding_dedup.most_apart(dim, 0.9)
+            by = np.stack([embedding_dedup.distances(grid[:, lo:hi], grid[:, lo:hi]) / (hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)])
+            link = u @ u.T >= 0.9
+            assert (by.min(0)[link] <= most / dim).all() and link.sum() > 400
+
     def test_edge_cases(self, spark):
         nan, inf = float("nan"), float("inf")
         rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [1e200, 1.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (None, [5.0, 0.0]), (10, [-1.0, 0.0])]
