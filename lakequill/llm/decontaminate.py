@@ -97,7 +97,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, store: Store, window: int = WIN
     slot_items = store.save(_slot_windows(benchmark, "item_id", window).select("item_id", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")), "slot-items")
     slot_bytes = slot_items.agg(F.coalesce(F.sum(F.length(F.to_json("item_slots")) + 24), F.lit(0))).first()[0]
     slot_sized = F.broadcast if slot_bytes <= BROADCAST_BYTES else lambda df: df
-    held = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    # written, as the filters on tokens would else be pushed below the join and tokenise every document again
+    held = store.save(docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "held")
     both = _slot_windows(held, "doc_id", window).join(slot_sized(slot_items), "h").join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
     both = both.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "h", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
     slot = F.struct(F.col("s.slots.kind").alias("kind"), F.col("s.item_slots.value").alias("mine"), F.col("s.slots.value").alias("theirs"))
