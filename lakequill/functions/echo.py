@@ -1,6 +1,9 @@
 """Whether an output repeats a superseded value or verdict as live. All tests are Column expressions over one row.
 
-A statement names a quantity, its stale value and sometimes a threshold; the premises are an output's conclusion and claims.
+A text is read once into its measures, an array of numbers with the words on either side, and everything else is set and array
+operations on measures: the stale value of a statement is the first measure it assigns, an output repeats it if its premises
+hold a measure of that value, and each reason not to count the repetition (threshold, right value, other unit, label,
+retraction) is one entry of a list. No reason is left over for a value that is repeated as live.
 """
 
 from __future__ import annotations
@@ -20,13 +23,38 @@ VERDICTS = (
     "exceed", "fail", "falls short", "fall short", "below", "short of", "violat", "cannot", "not all", "may not", "does not meet", "doesn't meet", "not meet",
     "insufficient", "over the", "over capacity", "beyond", "too ", "meets", "within", "fits", "sufficient", "satisf",
 )
-_NUMBER = r"\$?\d[\d,]*(?:\.\d+)?"
+#: Words that assign the number after them, and units that tell a quantity without such a word.
+ASSIGNING = ("is", "of", "=", "total", "totals", "equals", "reaches")
+QUANTITY_UNITS = (
+    "tonne", "tonnes", "metre", "metres", "meter", "meters", "kw", "hour", "hours", "passenger", "passengers", "crate", "crates", "loaves", "cakes", "litre", "litres",
+    "liter", "liters", "unit", "units", "vehicle", "vehicles", "ride", "rides", "batch", "batches", "pascal", "pascals", "kn", "%", "°", "dollar", "dollars", "per",
+)
+#: Verbs before which a statement names its quantity.
+VERBS = ("is", "are", "was", "were", "exceed", "exceeds", "fail", "fails", "meet", "meets", "fits", "falls", "violates", "cannot", "below", "above")
+_NUMBER = r"\$?\d+(?:,\d+)*(?:\.\d+)?"
+#: A number with a possessive ending if it has one, a word, or any other sign.
+_TOKEN = rf"{_NUMBER}(?:['’]s\b)?|\p{{L}}[\p{{L}}\p{{N}}/'’-]*|\S"
+#: Words of a topic have so many letters at least, and are so many at most.
+_TOPIC_LETTERS, _TOPIC_WORDS = 4, 4
+
+
+def _tokens(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0))
+
+
+def measures(c: Column) -> Column:
+    """The numbers of a text in order: value, unit (the word or sign that follows directly, '' if none does), label (a possessive
+    ordinal like "Silo 4's") and lead (the word before). Currency signs and separators are dropped."""
+    words = _tokens(c)
+    number = lambda t: F.when(t.rlike(r"^\$?\d"), F.regexp_replace(t, r"[$,]|['’]s$", "").try_cast("double"))
+    unit = lambda t: F.when(t.rlike(r"^[\p{L}%°]"), F.lower(t)).otherwise("")
+    read = lambda t, i: F.struct(number(t).alias("value"), F.coalesce(unit(F.get(words, i + 1)), F.lit("")).alias("unit"), t.rlike("['’]s$").alias("label"), F.lower(F.get(words, i - 1)).alias("lead"))
+    return F.filter(F.transform(words, read), lambda m: m["value"].isNotNull())
 
 
 def money(c: Column) -> Column:
     """Numbers in order, with currency signs and separators dropped."""
-    found = F.regexp_extract_all(c, F.lit(_NUMBER), F.lit(0))
-    return F.filter(F.transform(found, lambda x: F.regexp_replace(x, "[$,]", "").try_cast("double")), lambda x: x.isNotNull())
+    return F.transform(measures(c), lambda m: m["value"])
 
 
 def _marked(c: Column, words: tuple[str, ...]) -> Column:
@@ -34,65 +62,64 @@ def _marked(c: Column, words: tuple[str, ...]) -> Column:
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
 
 
-def _holds(text: Column, value: Column) -> Column:
-    return F.coalesce(F.array_contains(money(text), value), F.lit(False))
-
-
-def units_after(text: Column, value: Column) -> Column:
-    """The words that directly follow the value; '' where a number stands without one."""
-    pairs = F.regexp_extract_all(text, F.lit(rf"{_NUMBER}\s*(?:[A-Za-z%°][\w%°/\-]*)?"), F.lit(0))
-    own = F.filter(pairs, lambda p: F.regexp_replace(F.regexp_extract(p, _NUMBER, 0), "[$,]", "").try_cast("double") == value)
-    return F.array_distinct(F.transform(own, lambda p: F.lower(F.trim(F.regexp_replace(p, rf"^{_NUMBER}", "")))))
-
-
-def label_only(text: Column, value: Column) -> Column:
-    """Every occurrence is a label's ordinal with a possessive ("Silo 4's")."""
-    found = F.regexp_extract_all(text, F.lit(rf"{_NUMBER}(?:['’]s)?"), F.lit(0))
-    own = F.filter(found, lambda p: F.regexp_replace(F.regexp_extract(p, _NUMBER, 0), "[$,]", "").try_cast("double") == value)
-    return (F.size(own) > 0) & F.forall(own, lambda p: p.rlike("['’]s$"))
+def _of(found: Column, value: Column) -> Column:
+    """The measures of one value."""
+    return F.filter(found, lambda m: m["value"] == value)
 
 
 def stale_value(statement: Column) -> Column:
-    """(value, threshold) of a statement: the first number that isn't a label's ordinal, and the number after a bound word."""
-    bare = F.regexp_replace(statement, r"\b[A-Z][a-z]+ \d+(?=['’]s|\b)", "")
-    threshold = F.regexp_extract(bare, rf"(?i)(?:limit|cap|capacity|minimum|maximum|least|most|threshold|budget|requirement)[^\d$]{{0,24}}({_NUMBER})", 1)
-    return F.struct(F.try_element_at(money(bare), F.lit(1)).alias("value"), F.regexp_replace(threshold, "[$,]", "").try_cast("double").alias("threshold"))
+    """(value, threshold): the first measure that the statement assigns, by a word before it or a unit after it, and the number
+    that comes next. A label's ordinal is no measure; a statement without an assignment has neither."""
+    found = measures(statement)
+    assigns = lambda m: ~m["label"] & (F.coalesce(m["lead"].isin(*ASSIGNING), F.lit(False)) | m["unit"].isin(*QUANTITY_UNITS))
+    at = F.array_position(F.transform(found, assigns), True).cast("int")
+    pick = lambda i: F.when(at > 0, F.get(found, i)["value"])
+    return F.struct(pick(at - 1).alias("value"), pick(at).alias("threshold"))
 
 
 def value_echo(statement: Column, premises: Column, correct: Column) -> Column:
-    """Struct of the value channel's tests. correct is the text of the right final state."""
+    """(value, threshold, mentions, reasons, echo): how often the premises hold the stale value, and why they don't repeat it as
+    live. correct is the text of the right final state."""
     stale = stale_value(statement)
-    value, threshold, text = stale["value"], stale["threshold"], F.array_join(premises, " ")
-    present = value.isNotNull() & _holds(text, value)
-    mine, theirs = units_after(statement, value), units_after(text, value)
-    unit_ok = (F.size(mine) == 0) | (F.size(theirs) == 0) | F.arrays_overlap(mine, theirs)
-    is_threshold, is_correct = F.coalesce(value == threshold, F.lit(False)), _holds(correct, value)
-    only_label = present & label_only(text, value)
-    live = present & ~is_threshold & ~is_correct & unit_ok & ~only_label
-    mentioning = F.filter(premises, lambda p: _holds(p, value))
-    retracted = live & (F.size(mentioning) > 0) & F.forall(mentioning, lambda p: _marked(p, SUPERSESSION))
-    named = {"value": value, "threshold": threshold, "present": present, "is_threshold": is_threshold, "is_correct": is_correct, "unit_ok": unit_ok, "label_only": only_label, "retracted": retracted, "echo": live & ~retracted}
-    return F.struct(*(c.alias(n) for n, c in named.items()))
-
-
-def anchor(statement: Column) -> Column:
-    """Up to four longer words before the first verb, which tie a verdict to its quantity."""
-    head = F.split(F.lower(statement), r"\b(?:is|are|exceeds?|fails?|meets?|fits|falls|violat|cannot|below|above)\b")[0]
-    stop = [*STOP_WORDS, "per", "total", "combined", "so", "not", "all"]
-    return F.slice(F.filter(F.regexp_extract_all(head, F.lit(r"[a-z][a-z'-]{3,}"), F.lit(0)), lambda w: ~w.isin(*stop)), 1, 4)
-
-
-def verdict_echo(statement: Column, premises: Column, value: Column) -> Column:
-    """A live premise that holds the stale value, one of the anchor's words and a verdict word. value: value_echo()'s struct."""
-    words = anchor(statement)
-    hit = lambda p: _holds(p, value["value"]) & ~_marked(p, SUPERSESSION) & ((F.size(words) == 0) | F.exists(words, lambda w: F.contains(F.lower(p), w))) & _marked(p, VERDICTS)
-    return value["echo"] & F.exists(premises, hit)
+    value = stale["value"]
+    said = F.transform(premises, measures)
+    mine, theirs = _of(measures(statement), value), _of(F.flatten(said), value)
+    units = lambda found: F.transform(found, lambda m: m["unit"])
+    holding = F.filter(premises, lambda p: F.size(_of(measures(p), value)) > 0)
+    reasons = {
+        "threshold": value == stale["threshold"],
+        "correct": F.size(_of(measures(correct), value)) > 0,
+        "unit": ~F.arrays_overlap(units(mine), units(theirs)),
+        "label": F.forall(theirs, lambda m: m["label"]),
+        "superseded": F.forall(holding, lambda p: _marked(p, SUPERSESSION)),
+    }
+    found = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in reasons.items())))
+    mentions = F.coalesce(F.size(theirs), F.lit(0))
+    kept = F.when(mentions > 0, found).otherwise(F.array().cast("array<string>"))
+    return F.struct(value.alias("value"), stale["threshold"].alias("threshold"), mentions.alias("mentions"), kept.alias("reasons"), ((mentions > 0) & (F.size(kept) == 0)).alias("echo"))
+
+
+def topic(statement: Column) -> Column:
+    """The first longer words before the statement's verb, which name what it is about."""
+    words = F.transform(_tokens(statement), lambda w: F.lower(w))
+    verb = F.array_min(F.filter(F.transform(words, lambda w, i: F.when(w.isin(*VERBS), i)), lambda i: i.isNotNull()))
+    named = F.filter(words, lambda w, i: F.coalesce(i < verb, F.lit(True)) & w.rlike(rf"^\p{{L}}{{{_TOPIC_LETTERS},}}") & ~w.isin(*STOP_WORDS, "total", "combined"))
+    return F.slice(named, 1, _TOPIC_WORDS)
+
+
+def verdict_echo(statement: Column, premises: Column, correct: Column) -> Column:
+    """A value repeated as live in a premise that also speaks of the statement's topic and gives a verdict."""
+    stale, about = value_echo(statement, premises, correct), topic(statement)
+    on_topic = lambda p: (F.size(about) == 0) | F.exists(about, lambda w: F.contains(F.lower(p), w))
+    judged = F.filter(premises, lambda p: _marked(p, VERDICTS) & ~_marked(p, SUPERSESSION) & on_topic(p))
+    return stale["echo"] & F.exists(judged, lambda p: F.size(_of(measures(p), stale["value"])) > 0)
 
 
 def classified(statement: Column, premises: Column, correct: Column) -> Column:
-    """REAL where the value is repeated as live, SUPERSESSION where it is only retracted, else INSTRUMENT (a false positive)."""
-    v = value_echo(statement, premises, correct)
-    return F.when(v["echo"] | verdict_echo(statement, premises, v), "REAL").when(v["retracted"], "SUPERSESSION").otherwise("INSTRUMENT")
+    """REAL where the value is repeated as live, SUPERSESSION where being retracted is all that speaks against it, else INSTRUMENT."""
+    found = value_echo(statement, premises, correct)
+    only_retracted = (F.size(found["reasons"]) == 1) & F.array_contains(found["reasons"], "superseded")
+    return F.when(found["echo"], "REAL").when(only_retracted, "SUPERSESSION").otherwise("INSTRUMENT")
 
 
 def acknowledged(premises: Column, source_ids: Column, superseded_ids: Column, corrections: Column) -> Column:

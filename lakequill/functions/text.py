@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 NUMBER_WORDS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
 ).split()
+#: Words that carry no content.
 STOP_WORDS = ("a an the of to in on at by for and or is are was were be it its this that with as from what which how many much does do did").split()
 _NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
 _FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -128,25 +129,6 @@ def worksheet(c: Column) -> Column:
     return F.map_from_arrays(F.transform(later, lambda p: p["k"]), F.transform(later, lambda p: p["v"].cast("double")))
 
 
-def unit_after(c: Column, number: Column) -> Column:
-    """The word that follows a number, by splitting into words rather than by a pattern for each row."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[a-z]+|\d[\d,]*(?:\.\d+)?"), F.lit(0))
-    at = F.array_position(F.transform(words, lambda w: F.regexp_replace(w, ",", "")), number.cast("string"))
-    word = F.try_element_at(words, (at + 1).cast("int"))
-    return F.when((at > 0) & word.rlike("^[a-z]+$"), word)
-
-
-def quantity_anchor(c: Column, verbs: str = "is|are|was|were|has|have|equals|costs") -> Column:
-    """Up to four content words before the first verb, which name what is measured."""
-    head = F.split(F.lower(c), rf"\b(?:{verbs})\b")[0]
-    words = F.filter(F.regexp_extract_all(head, F.lit("[a-z]+"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
-    return F.slice(words, 1, 4)
-
-
-def requirement_flipped(before: Column, after: Column, threshold: Column) -> Column:
-    return (before >= threshold) != (after >= threshold)
-
-
 def only_superseded(premises: Column, needle: str, marker: str) -> Column:
     """Every premise that mentions the needle has the marker; false when none mentions it."""
     found = F.filter(premises, lambda p: F.contains(F.lower(p), F.lit(needle)))
