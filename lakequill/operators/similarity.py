@@ -9,26 +9,30 @@ from lakequill.functions.text import content_tokens, norm_exact, tokens
 
 
 def jaccard_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, threshold: float) -> DataFrame:
-    """(left_id, right_id, jaccard) of token sets at or over the threshold, both sides as (id, tokens).
+    """(left_id, right_id, jaccard) of token sets at or over the threshold, both sides as (id, tokens); right is the smaller side.
 
-    Of a set of n tokens only the rarest n - ceil(t n) + 1 are indexed: two sets at or over the threshold share one of
-    these, so frequent tokens, the ones every text has, are hardly ever joined on. Empty sets match nothing.
+    Sets of left that are too short or too long for any of right drop out first. Of a set of n tokens only the rarest
+    n - ceil(t n) + 1 are indexed: two sets at or over the threshold share one of these, so frequent tokens, the ones every
+    text has, are hardly ever joined on. Frequencies are those of right, whose tokens alone are read of left: tokens that
+    right lacks are the rarest of all and match nothing. Empty sets match nothing.
     """
-    a = left.select(F.col(left_id).alias("a"), F.col("tokens").alias("ta")).where(F.size("ta") > 0)
-    b = right.select(F.col(right_id).alias("b"), F.col("tokens").alias("tb")).where(F.size("tb") > 0)
-    frequency = a.select(F.explode("ta").alias("w")).union(b.select(F.explode("tb").alias("w"))).groupBy("w").agg(F.count("*").alias("f"))
+    b = right.select(F.col(right_id).alias("b"), F.col("tokens").alias("tb"), F.size("tokens").alias("nb")).where("nb > 0")
+    span = b.agg((F.min("nb") * threshold - 1e-9).alias("_low"), (F.max("nb") / threshold + 1e-9).alias("_high"))
+    a = left.select(F.col(left_id).alias("a"), F.col("tokens").alias("ta"), F.size("tokens").alias("na")).where("na > 0")
+    a = a.crossJoin(F.broadcast(span)).where("na BETWEEN _low AND _high").select("a", "na", F.explode("ta").alias("w"))
+    frequency = b.select(F.explode("tb").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
 
-    def rare(df: DataFrame, key: str, words: str) -> DataFrame:
-        ranked = df.select(key, F.size(words).alias("n"), F.explode(words).alias("w")).join(frequency, "w")
-        first = ranked.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("ws"))
-        keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1
-        return first.select(key, F.explode(F.slice("ws", 1, keep)).alias("s")).select(key, "s.w")
+    def indexed(words: DataFrame, key: str, n: str) -> DataFrame:
+        """(key, n, ws, w): the tokens of right in each set, and each of the rarest."""
+        held = words.join(frequency, "w").groupBy(key, n).agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("s"))
+        keep = F.col(n) - F.ceil(F.lit(threshold) * F.col(n) - 1e-9).cast("int") + 1 - (F.col(n) - F.size("s"))
+        held = held.withColumn("k", keep).where("k > 0")
+        return held.select(key, n, F.col("s.w").alias(f"ws_{key}"), F.explode(F.slice("s.w", 1, F.col("k"))).alias("w"))
 
-    candidates = rare(a, "a", "ta").join(rare(b, "b", "tb"), "w").select("a", "b").distinct()
-    both = candidates.join(a, "a").join(b, "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    j = common / (F.size("ta") + F.size("tb") - common)
-    return both.select(F.col("a").alias(left_id), F.col("b").alias(right_id), j.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    both = indexed(a, "a", "na").join(indexed(b.select("b", "nb", F.explode("tb").alias("w")), "b", "nb"), "w")
+    common = F.size(F.array_intersect("ws_a", "ws_b"))
+    found = both.select("a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold).distinct()
+    return found.select(F.col("a").alias(left_id), F.col("b").alias(right_id), "jaccard")
 
 
 def audit(corpus: DataFrame, disposable: DataFrame, left_id: str = "doc_id", right_id: str = "item_id", open_j: float = 0.70, open_content: float = 0.55) -> DataFrame:
@@ -44,9 +48,18 @@ def audit(corpus: DataFrame, disposable: DataFrame, left_id: str = "doc_id", rig
     return exact.union(near.join(exact, [left_id, right_id], "left_anti"))
 
 
-def best_pair(corpus: DataFrame, disposable: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """The most similar pair of all, the first by ids on ties. Pairs that share no token have similarity 0."""
+def best_pair(corpus: DataFrame, disposable: DataFrame, left_id: str, right_id: str, thresholds: tuple[float, ...] = (0.8, 0.5, 0.3, 0.1)) -> DataFrame:
+    """The most similar pair of all, the first by ids on ties. Pairs that share no token have similarity 0.
+
+    Thresholds are tried from the highest: a pair over one of them is over all that follow. Only where no pair reaches the last
+    are all shared tokens counted.
+    """
+    order = [F.desc("jaccard"), left_id, right_id]
+    for t in thresholds:
+        best = jaccard_pairs(corpus, disposable, left_id, right_id, t).orderBy(*order).limit(1).collect()
+        if best:
+            return corpus.sparkSession.createDataFrame(best, f"{left_id} {corpus.schema[left_id].dataType.simpleString()}, {right_id} {disposable.schema[right_id].dataType.simpleString()}, jaccard double")
     index = lambda df, key: df.select(key, F.size("tokens").alias(f"n_{key}"), F.explode("tokens").alias("w"))
     shared = index(corpus, left_id).join(index(disposable, right_id), "w").groupBy(left_id, right_id, f"n_{left_id}", f"n_{right_id}").agg(F.count("*").alias("c"))
     j = F.col("c") / (F.col(f"n_{left_id}") + F.col(f"n_{right_id}") - F.col("c"))
-    return shared.select(left_id, right_id, j.alias("jaccard")).orderBy(F.desc("jaccard"), left_id, right_id).limit(1)
+    return shared.select(left_id, right_id, j.alias("jaccard")).orderBy(*order).limit(1)

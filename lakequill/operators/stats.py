@@ -115,10 +115,11 @@ def average_ranks(df: DataFrame, keys: list[str], x: str, name: str) -> DataFram
     return df.join(ranked, [*keys, x])
 
 
-def auroc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """(n_pos, n_neg, auroc) by Mann-Whitney over average ranks; null where there is a single class."""
-    known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*keys, score, label)
-    counts = known.groupBy(*keys, score).agg(F.count("*").alias("_c"), F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_p"))
+def auroc(df: DataFrame, keys: list[str], score: str, label: str, weight: str | None = None) -> DataFrame:
+    """(n_pos, n_neg, auroc) by Mann-Whitney over average ranks; null where there is a single class. A row of weight k counts
+    as k equal rows."""
+    known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn("_w", F.col(weight) if weight else F.lit(1))
+    counts = known.groupBy(*keys, score).agg(F.sum("_w").alias("_c"), F.sum(F.when(F.col(label) == 1, F.col("_w")).otherwise(0)).alias("_p"))
     w = Window.partitionBy(*keys).orderBy(score) if keys else Window.orderBy(score)
     ranked = counts.withColumn("_r", F.sum("_c").over(w) - (F.col("_c") - 1) / 2)
     out = ranked.groupBy(*keys).agg(F.sum("_p").alias("n_pos"), (F.sum("_c") - F.sum("_p")).alias("n_neg"), F.sum(F.col("_r") * F.col("_p")).alias("_s"))

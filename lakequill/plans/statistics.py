@@ -320,14 +320,31 @@ def logistic_median_split(t: Tables) -> DataFrame:
     return S.auroc(P.predict(rows, "embedding", w, b), [], "predicted", "high")
 
 
-@query()
+_LABELLED_SQL = "SELECT d.doc_id, d.n_chars, d.doc_id % 97 AS other, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic IS NOT NULL"
+_DRAWN_SQL = f"""
+k AS ({_LABELLED_SQL}), r AS (SELECT unnest(range(0, 51)) AS r),
+u AS (SELECT *, ('0x' || substr(md5('0:' || r::VARCHAR || ':' || doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM k, r),
+w AS (SELECT *, CASE WHEN r = 0 THEN 1 ELSE {" + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in P.poisson_steps())} END AS w FROM u)"""
+
+
+def _auroc_sql(score: str) -> str:
+    """AUROC of each replicate by weighted average ranks."""
+    return f"""(SELECT r, (sum(rank * p) - sum(p) * (sum(p) + 1) / 2) / nullif(sum(p) * (sum(c) - sum(p)), 0) AS auroc
+      FROM (SELECT r, c, p, sum(c) OVER (PARTITION BY r ORDER BY s) - (c - 1) / 2 AS rank FROM (SELECT r, {score} AS s, sum(w) AS c, sum(w * toxic) AS p FROM w WHERE w > 0 AND {score} IS NOT NULL GROUP BY ALL)) GROUP BY r)"""
+
+
+_INTERVAL_SQL = "SELECT round(max(x) FILTER (r = 0), 6) AS observed, round(quantile_cont(x, 0.025) FILTER (r > 0), 6) AS low, round(quantile_cont(x, 0.975) FILTER (r > 0), 6) AS high FROM d WHERE x IS NOT NULL"
+
+
+@query(f"WITH {_DRAWN_SQL}, d AS (SELECT a.r, a.auroc - b.auroc AS x FROM {_auroc_sql('n_chars')} a JOIN {_auroc_sql('other')} b ON a.r = b.r) {_INTERVAL_SQL}")
 def bootstrap_auroc_interval(t: Tables) -> DataFrame:
-    return P.bootstrap_auroc_difference(_labelled(t).withColumn("other", F.col("doc_id") % 97), "n_chars", "other", "toxic", replicates=50)
+    rows = _labelled(t).withColumn("other", F.col("doc_id") % 97)
+    return rounded(P.bootstrap_auroc_difference(rows, "n_chars", "other", "toxic", replicates=50, key="doc_id"), "observed", "low", "high")
 
 
-@query()
+@query(f"WITH {_DRAWN_SQL}, d AS (SELECT r, auroc AS x FROM {_auroc_sql('n_chars')}) {_INTERVAL_SQL}")
 def bootstrap_single_interval(t: Tables) -> DataFrame:
-    return P.bootstrap_auroc(_labelled(t), "n_chars", "toxic", replicates=50)
+    return rounded(P.bootstrap_auroc(_labelled(t), "n_chars", "toxic", replicates=50, key="doc_id"), "observed", "low", "high")
 
 
 @query("""

@@ -73,11 +73,11 @@ def canonical_scalar(t: Tables) -> DataFrame:
     return t.events.select("event_id", X.canonical_decimal(F.col("props")).cast("double").alias("value"))
 
 
-@query("SELECT p_partkey, list_aggregate(list_filter(regexp_extract_all(lower('The ' || p_name || ' twelve a two'), '[a-z0-9]+'), lambda w: w NOT IN ('a', 'an', 'the')), 'string_agg', ' ') AS raw FROM part")
+@query("SELECT p_partkey, list_aggregate(list_filter(regexp_extract_all(lower('The ' || p_name), '[a-z0-9]+'), lambda w: w NOT IN ('a', 'an', 'the')), 'string_agg', ' ') || ' 12 2 20 0' AS raw FROM part")
 def article_strip(t: Tables) -> DataFrame:
-    words = X.digitize(F.concat(F.lit("The "), F.col("p_name"), F.lit(" twelve a two")))
-    raw = F.replace(F.replace(F.array_join(words, " "), F.lit(" 12"), F.lit(" twelve")), F.lit(" 2"), F.lit(" two"))
-    return t.part.select("p_partkey", raw.alias("raw"))
+    """Number words become digits and articles go."""
+    words = X.digitize(F.concat(F.lit("The "), F.col("p_name"), F.lit(" twelve a two twenty an zero")))
+    return t.part.select("p_partkey", F.array_join(words, " ").alias("raw"))
 
 
 @query("SELECT p_partkey, contains(' ' || p_name || ' ', ' ring ') AS ring, contains(' ' || p_name || ' ', ' small bolt ') AS small_bolt FROM part")
@@ -94,12 +94,12 @@ def keyword_refusal(t: Tables) -> DataFrame:
 @query(f"""
 WITH b AS (SELECT item_id, {_TOKENS.format(x='text')} AS tb, {_NUMS.format(x='text')} AS nb FROM benchmark), d AS (SELECT doc_id, {_TOKENS.format(x='text')} AS td, {_NUMS.format(x='text')} AS nd FROM documents)
 SELECT doc_id, item_id, list_has_any(nb, nd) OR len(list_intersect(list_filter(tb, lambda w: NOT list_contains({_STOP}, w)), list_filter(td, lambda w: NOT list_contains({_STOP}, w)))) >= 2 AS present
-FROM d JOIN b ON doc_id = item_id
+FROM d JOIN b ON doc_id % (SELECT max(item_id) + 1 FROM benchmark) = item_id
 """)
 def presence_proxy(t: Tables) -> DataFrame:
-    """Each benchmark item against the document of its number, as a fixture of item and output pairs."""
-    d = t.documents.select("doc_id", F.col("text").alias("t"))
-    pairs = d.join(t.benchmark, F.col("doc_id") == F.col("item_id"))
+    """Each document against the benchmark item it is dealt to, as a fixture of item and output pairs."""
+    d = t.documents.select("doc_id", F.col("text").alias("t")).crossJoin(F.broadcast(t.benchmark.agg((F.max("item_id") + 1).alias("_n"))))
+    pairs = d.join(t.benchmark, F.col("doc_id") % F.col("_n") == F.col("item_id"))
     return pairs.select("doc_id", "item_id", X.presence_proxy(F.col("text"), F.col("t")).alias("present"))
 
 

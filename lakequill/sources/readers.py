@@ -79,6 +79,13 @@ def quarantine(df: DataFrame, checks: dict[str, F.Column]) -> tuple[DataFrame, D
     return marked.where(F.size("_reasons") == 0).drop("_reasons"), marked.where(F.size("_reasons") > 0).withColumnRenamed("_reasons", "reasons")
 
 
+def check_vectors(df: DataFrame, column: str, dim: int) -> tuple[DataFrame, DataFrame]:
+    """Rows whose vector has `dim` finite components, and the others with the reasons they can't be read."""
+    v = F.col(column)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return quarantine(df, {"missing": v.isNotNull(), "shape": F.size(v) == dim, "values": finite})
+
+
 def with_sequence(df: DataFrame, *order: str) -> DataFrame:
     """A dense _seq by the given order, for small logs that have none of their own."""
     return df.withColumn("_seq", F.row_number().over(Window.orderBy(*order)) - 1)

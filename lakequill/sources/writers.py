@@ -6,7 +6,7 @@ import hashlib
 import json
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,6 +16,18 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_record(spark: SparkSession, path: str, record: dict) -> None:
+    """One record as a file of its own name, which appears whole: it is written beside and then renamed."""
+    jvm, hidden = spark.sparkContext._jvm, re.sub(r"([^/]+)$", r"_\1.tmp", path)
+    place, temporary = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, hidden))
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = files.create(temporary, True)
+    out.write(json.dumps(record).encode())
+    out.close()
+    files.delete(place, False)
+    files.rename(temporary, place)
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
