@@ -20,7 +20,24 @@ def semantic_volume(df: DataFrame, key: str, vector: str, epsilon: float = 1e-3)
     moments before the shuffle and no group is ever gathered. Raw vectors enter twice: once for the mean, once centred.
     """
     known = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    means = known.select("k", F.posexplode("v").alias("i", "x")).groupBy("k", "i").agg(F.avg("x").alias("m")).groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+    field = known.schema["k"].dataType
+    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[field.simpleString()]
+
+    def sums(batches):
+        held: dict = {}
+        for b in batches:
+            keys, x = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), float)
+            for k in set(keys):
+                own = x[[i for i, y in enumerate(keys) if y == k]]
+                n, s = held.get(k, (0, 0.0))
+                held[k] = (n + len(own), s + own.sum(0))
+        ks = list(held)
+        yield pa.RecordBatch.from_arrays([pa.array(ks, kind), pa.array([held[k][0] for k in ks], pa.int64()), pa.array([held[k][1].tobytes() for k in ks], pa.binary())], names=["k", "n", "s"])
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": pdf.k[:1], "mean": [sum(np.frombuffer(x) for x in pdf.s) / pdf.n.sum()]})
+
+    means = known.mapInArrow(sums, f"k {field.simpleString()}, n long, s binary").groupBy("k").applyInPandas(mean, f"k {field.simpleString()}, mean array<double>")
 
     def gram(batches):
         sums: dict = {}
@@ -44,8 +61,6 @@ def semantic_volume(df: DataFrame, key: str, vector: str, epsilon: float = 1e-3)
         logdet = np.linalg.slogdet(g.reshape(d, d) + epsilon * np.eye(d))[1] + (n - d) * np.log(epsilon)
         return pd.DataFrame({key: pdf.k[:1], "n": [n], "volume": [logdet]})
 
-    field = known.schema["k"].dataType
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[field.simpleString()]
     parts = known.join(means, "k").select("k", "v", "mean").mapInArrow(gram, f"k {field.simpleString()}, n long, g binary")
     return parts.groupBy("k").applyInPandas(volume, f"{key} {field.simpleString()}, n long, volume double")
 

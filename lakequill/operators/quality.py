@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakequill.operators import ranks
 from lakequill.operators.votes import count_if
 
 
@@ -37,9 +38,6 @@ def shard_coverage(df: DataFrame, shard: str, key: str, expected: DataFrame) ->
 
 
 def running_total(df: DataFrame, keys: list[str], order: str, x: str) -> DataFrame:
-    """Sum so far and what remains."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = F.sum(x).over(Window.partitionBy(*keys))
-    return df.withColumn("so_far", F.sum(x).over(w)).withColumn("remaining", whole - F.col("so_far"))
+    """Sum so far and what remains. Rows of equal order come in any order."""
+    out = ranks.running(df, keys, [order], F.col(x), "so_far", "_whole")
+    return out.withColumn("remaining", F.col("_whole") - F.col("so_far")).drop("_whole")

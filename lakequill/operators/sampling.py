@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lakequill.operators import ranks
+
 
 def seeded(column: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string")))
@@ -13,23 +15,20 @@ def seeded(column: str, seed: int) -> Column:
 
 def even_stride(df: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
     """k rows of each stratum at even strides through its order; all of a smaller one."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
+    ranked = ranks.row_numbers(df, keys, [order], "_i", "_n").withColumn("_i", F.col("_i") - 1)
     # row i is taken if some j < k has floor(j n / k) = i
     j = F.ceil(F.col("_i") * k / F.col("_n"))
     return ranked.where((F.col("_n") <= k) | ((j < k) & (F.floor(j * F.col("_n") / k) == F.col("_i")))).drop("_i", "_n")
 
 
 def round_robin(df: DataFrame, keys: list[str], order: str, shards: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
-    return df.withColumn("shard", ((F.row_number().over(w) - 1) % shards).cast("int"))
+    return ranks.row_numbers(df, keys, [order], "_i").withColumn("shard", ((F.col("_i") - 1) % shards).cast("int")).drop("_i")
 
 
 def stratified(df: DataFrame, stratum: str, key: str, seed: int, fraction: float, least: int) -> DataFrame:
     """max(least, floor(n * fraction)) rows of each stratum."""
-    w = Window.partitionBy(stratum)
-    ranked = df.withColumn("_k", F.row_number().over(w.orderBy(seeded(key, seed), key))).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_k") <= F.greatest(F.lit(least), F.floor(F.col("_n") * fraction))).drop("_k", "_n")
+    ranked = ranks.row_numbers(df.withColumn("_h", seeded(key, seed)), [stratum], ["_h", key], "_k", "_n")
+    return ranked.where(F.col("_k") <= F.greatest(F.lit(least), F.floor(F.col("_n") * fraction))).drop("_h", "_k", "_n")
 
 
 def proportional(df: DataFrame, stratum: str, key: str, seed: int, n: int) -> DataFrame:
@@ -41,7 +40,7 @@ def proportional(df: DataFrame, stratum: str, key: str, seed: int, n: int) -> Da
     order = Window.orderBy(F.desc("_n"), F.col(stratum))
     fixed = quota.crossJoin(F.broadcast(drift)).withColumn("_r", F.row_number().over(order))
     fixed = fixed.withColumn("_q", F.col("_q") + F.when(F.col("_r") <= F.abs("_d"), F.signum("_d")).otherwise(0).cast("long")).select(stratum, "_q")
-    ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy(stratum).orderBy(seeded(key, seed), key)))
+    ranked = ranks.row_numbers(df.withColumn("_h", seeded(key, seed)), [stratum], ["_h", key], "_k")
     return ranked.join(fixed, stratum).where(F.col("_k") <= F.col("_q")).drop("_k", "_q").select(*df.columns)
 
 

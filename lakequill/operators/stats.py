@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lakequill.operators import ranks
+
 
 @F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
@@ -108,10 +110,9 @@ def monotone(df: DataFrame, score: str, successes: str, trials: str, tolerance:
 
 
 def average_ranks(df: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
-    """Mean ranks of ties. Counts by value are ranked, so the window holds distinct values, not rows."""
+    """Mean ranks of ties: counts by value are summed up to each value, bucket by bucket."""
     counts = df.groupBy(*keys, x).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(x) if keys else Window.orderBy(x)
-    ranked = counts.withColumn(name, F.sum("_c").over(w) - (F.col("_c") - 1) / 2).drop("_c")
+    ranked = ranks.running(counts, keys, [x], F.col("_c"), "_upto").select(*keys, x, (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
     return df.join(ranked, [*keys, x])
 
 
@@ -120,8 +121,7 @@ def auroc(df: DataFrame, keys: list[str], score: str, label: str, weight: str |
     as k equal rows."""
     known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn("_w", F.col(weight) if weight else F.lit(1))
     counts = known.groupBy(*keys, score).agg(F.sum("_w").alias("_c"), F.sum(F.when(F.col(label) == 1, F.col("_w")).otherwise(0)).alias("_p"))
-    w = Window.partitionBy(*keys).orderBy(score) if keys else Window.orderBy(score)
-    ranked = counts.withColumn("_r", F.sum("_c").over(w) - (F.col("_c") - 1) / 2)
+    ranked = ranks.running(counts, keys, [score], F.col("_c"), "_upto").withColumn("_r", F.col("_upto") - (F.col("_c") - 1) / 2)
     out = ranked.groupBy(*keys).agg(F.sum("_p").alias("n_pos"), (F.sum("_c") - F.sum("_p")).alias("n_neg"), F.sum(F.col("_r") * F.col("_p")).alias("_s"))
     u = F.col("_s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2
     return out.select(*keys, "n_pos", "n_neg", F.try_divide(u, F.col("n_pos") * F.col("n_neg")).alias("auroc"))

@@ -6,7 +6,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,5 +86,7 @@ def check_vectors(df: DataFrame, column: str, dim: int) -> tuple[DataFrame, Data
 
 
 def with_sequence(df: DataFrame, *order: str) -> DataFrame:
-    """A dense _seq by the given order, for small logs that have none of their own."""
-    return df.withColumn("_seq", F.row_number().over(Window.orderBy(*order)) - 1)
+    """A dense _seq by the given order, for logs that have none of their own."""
+    from lakequill.operators.ranks import row_numbers
+
+    return row_numbers(df, [], list(order), "_seq").withColumn("_seq", F.col("_seq") - 1)

@@ -8,7 +8,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -64,6 +63,7 @@ def row_hash(*columns: str) -> Column:
 
 
 def batches(df: DataFrame, size: int, *order: str, within: str | None = None) -> DataFrame:
-    """batch numbers of `size` rows each, in the given order; within a key, so that no single task orders everything."""
-    w = Window.partitionBy(within).orderBy(*order) if within else Window.orderBy(*order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    """batch numbers of `size` rows each, in the given order, within a key if one is given."""
+    from lakequill.operators.ranks import row_numbers
+
+    return row_numbers(df, [within] if within else [], list(order), "_i").withColumn("batch", F.floor((F.col("_i") - 1) / size).cast("int")).drop("_i")

@@ -140,3 +140,30 @@ class TestProbes:
         assert one.low < one.observed < one.high and one.high - one.low < 0.4
         same = probes.bootstrap_auroc_difference(df, "s", "s", "c", replicates=20).first()
         assert (same.observed, same.low, same.high) == (0.0, 0.0, 0.0)
+
+
+class TestRanks:
+    def test_row_numbers_and_sums(self, spark):
+        import random
+
+        from lakequill.operators import ranks
+
+        rng = random.Random(3)
+        rows = [(rng.choice(["a", "a", "a", None]), rng.choice([None, *range(400)]), f"{rng.random():.9f}", i) for i in range(3000)]
+        df = spark.createDataFrame(rows, "k string, x int, h string, id int")
+        for keys, order in ((["k"], ["x", "id"]), ([], ["x", "id"]), (["k"], ["h", "id"]), ([], ["id"])):
+            at = {"k": 0, "x": 1, "h": 2, "id": 3}
+            sort = lambda r: [(r[at[o]] is not None, r[at[o]] if r[at[o]] is not None else 0) for o in order]  # noqa: B023, E731
+            expected, seen, sums = {}, {}, {}
+            for r in sorted(rows, key=sort):
+                k = tuple(r[at[c]] for c in keys)
+                seen[k], sums[k] = seen.get(k, 0) + 1, sums.get(k, 0) + r[3]
+                expected[r[3]] = (seen[k], sums[k])
+            numbered = ranks.running(ranks.row_numbers(df, keys, order, "n", "total"), keys, order, stats.F.col("id"), "s").collect()
+            assert {r.id: (r.n, r.s) for r in numbered} == expected
+            assert all(r.total == seen[tuple(getattr(r, c) for c in keys)] for r in numbered)
+
+    def test_empty(self, spark):
+        from lakequill.operators import ranks
+
+        assert ranks.row_numbers(spark.createDataFrame([], "k string, x int"), ["k"], ["x"], "n").count() == 0
