@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 
 from lakequill.llm.common import Store, table
 
-LENGTH, ANCHOR, HOT, BUCKET, SPILL = 100, 32, 20_000, 1 << 19, 256 << 20
+LENGTH, ANCHOR, BUCKET, SPILL = 100, 32, 1 << 19, 256 << 20
+#: Pieces of one anchor that go to a bucket together: as many as fill one, at 168 bytes.
+HOT = BUCKET // 168
 #: Windows of hot anchors that a task settles among themselves before they are dealt out.
 WINDOWS = 50_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
