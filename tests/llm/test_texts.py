@@ -1,5 +1,6 @@
 """Decontamination, toxicity, mixing and the pipeline."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -140,6 +141,108 @@ class TestMixing:
         assert mixing.mix(spark.createDataFrame([], DOC), {"a": 1.0}).count() == 0
 
 
+def near_roots(texts):
+    """Least key of each group that all pairs of Jaccard 0.8 on five-word shingles make. texts: key -> text."""
+    sets, up = {}, {k: k for k in texts}
+    for k, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    keys = sorted(texts)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return {k: find(k) for k in keys}
+
+
+def copies_of(docs):
+    """doc_id -> copies, by going through the Poisson distribution with each document's own number. docs: doc_id -> source."""
+    weight = lambda s: mixing.WEIGHTS.get(s, mixing.OTHER)
+    group = lambda s: s if s in mixing.WEIGHTS else None
+    sizes = Counter(group(s) for s in docs.values())
+    whole, out = sum(weight(g) for g in sizes), {}
+    for d, s in docs.items():
+        rate = weight(s) / whole * len(docs) / sizes[group(s)]
+        u = int(hashlib.md5(f"{mixing.SEED}:{d}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        k, p = 0, exp(-rate)
+        below = p
+        while u >= below:
+            k += 1
+            p = p * rate / k
+            below += p
+        out[d] = k
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage against plain Python on its own input; what the classifier keeps is taken as it is."""
+    docs, labels = TestToxicity().corpus(260)
+    lines = [f"line {i} of forty or more characters stands in several of the documents" for i in range(4)]
+    items = [say(25) for _ in range(5)]
+    rows = [(i, "\n".join([*rng.sample(lines, rng.randint(0, 2)), t])) for i, t, *_ in docs]
+    base = [say(120).split() for _ in range(12)]
+    for i in range(300, 400):  # copies with up to eight words changed
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 8)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        rows.append((i, " ".join(w)))
+    for i in range(400, 430):  # passages of an item, from half of it to all
+        w = rng.choice(items).split()
+        rows.append((i, f"{say(rng.randint(0, 30))} {' '.join(w[: rng.randint(len(w) // 2, len(w))])} {say(rng.randint(0, 30))}"))
+    rows += [(430, None), (431, ""), (432, say(3)), (433, say(40_000)), (300, rows[280][1])]
+    rng.shuffle(rows)
+    d = str(tmp_path)
+    docs = [(i, t, "en", rng.choice(["src0", "src0", "src3", "elsewhere", None]), len(t or "")) for i, t in rows]
+    spark.createDataFrame(docs, DOC).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    df, seen = spark.read.parquet(f"{d}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, df, d).write.parquet(f"{d}/{name}")
+        df = spark.read.parquet(f"{d}/{name}")
+        seen[name] = df.collect()
+    pairs = lambda name: sorted((r.doc_id, r.text or "") for r in seen[name])
+
+    held = {}
+    for i, t in pairs("toxicity"):
+        for x in set(t.split("\n")):
+            if len(x.strip(" \t\n\x0b\x0c\r")) >= 40:
+                held.setdefault(x.strip(" \t\n\x0b\x0c\r").lower(), set()).add(i)
+    owner = {k: max(v) for k, v in held.items() if len(v) >= 5}
+    kept = [(i, "\n".join(x for x in t.split("\n") if i >= owner.get(x.strip(" \t\n\x0b\x0c\r").lower(), i))) for i, t in pairs("toxicity")]
+    assert pairs("line_dedup") == sorted(kept) and sum(len(a[1]) for a in pairs("toxicity")) > sum(len(a[1]) for a in kept)
+
+    texts = {(i, n): t for n, (i, t) in enumerate(pairs("line_dedup"))}
+    gone = {k[0] for k, r in near_roots(texts).items() if r[0] != k[0]}
+    assert pairs("simhash_near_dedup") == sorted((i, t) for (i, _), t in texts.items() if i not in gone) and len(gone) > 20
+
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[a-z]+", t)] for i in range(len(w) - 4)}
+    leaks = {i for i, t in pairs("simhash_near_dedup") for u in items if len(shingles(t) & shingles(u)) >= 0.8 * len(shingles(u))}
+    assert pairs("decontamination") == [(i, t) for i, t in pairs("simhash_near_dedup") if i not in leaks] and leaks
+
+    expected = copies_of({r.doc_id: r.source for r in seen["decontamination"]})
+    assert Counter(r.doc_id for r in seen["source_mixing"]) == Counter({i: k for i, k in expected.items() if k})
+    again = corpus_pipeline.run(spark, d).collect()
+    assert Counter((r.doc_id, r.copy, r.text) for r in again) == Counter((r.doc_id, r.copy, r.text) for r in seen["source_mixing"])
+
+
+def test_pipeline_of_empty_tables_and_nulls(spark, tmp_path):
+    for k, docs in enumerate(([], [(None, None, None, None, None)] * 2 + [(1, "a b c d e f", "en", "src1", 11)] * 2)):
+        d = f"{tmp_path}/{k}"
+        spark.createDataFrame(docs, DOC).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, d).collect()
+        assert (not got) if not docs else {r.doc_id for r in got} <= {None, 1}
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs, labels = TestToxicity().corpus(400)
     line = "this line of forty or more characters stands in many of the documents"
