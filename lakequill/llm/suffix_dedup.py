@@ -38,6 +38,8 @@ from lakequill.llm.common import Store, table
 LENGTH, ANCHOR, BUCKET, SPILL = 100, 32, 1 << 19, 256 << 20
 #: Pieces of one anchor that go to a bucket together: as many as fill one, at 168 bytes.
 HOT = BUCKET // 168
+#: Shares in which the copies of one text look up their first.
+SALTS = 16
 #: Windows of hot anchors that a task settles among themselves before they are dealt out.
 WINDOWS = 50_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -423,7 +425,10 @@ def remove_repeats(docs: DataFrame, store: Store, length: int = LENGTH, anchor:
     keys = store.save(base.select("absent", "doc_id", "sum", F.md5("data").alias("digest"), F.length("data").alias("n")), "keys")
     who = F.struct("absent", "doc_id", "sum")
     firsts = keys.groupBy("digest").agg(F.min(who).alias("first"), F.max(who).alias("last")).where("first <> last").select("digest", "first")
-    copies = keys.join(firsts, "digest").where(who != F.col("first")).select("absent", "doc_id", "sum").distinct().withColumn("copy", F.lit(True))
+    # a text with very many copies takes the place of its first in SALTS shares
+    salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = keys.withColumn("salt", F.pmod(F.xxhash64("absent", "doc_id", "sum"), F.lit(SALTS)).cast("int"))
+    copies = dealt.join(salted, ["digest", "salt"]).where(who != F.col("first")).select("absent", "doc_id", "sum").distinct().withColumn("copy", F.lit(True))
     shared = keys.groupBy("absent", "doc_id").agg(F.min("sum").alias("a"), F.max("sum").alias("b")).where("a <> b").select("absent", "doc_id")
     shared = keys.join(shared, ["absent", "doc_id"]).select("absent", "doc_id", "sum").distinct().withColumn("shared", F.lit(True))
     marks = copies.join(shared, ["absent", "doc_id", "sum"], "full")
