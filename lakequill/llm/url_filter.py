@@ -8,7 +8,8 @@ For every key of the universe the first level that misses tells exactly whether
 One cascade holds the allowed rules, one the blocked ones.
 
 The filters are broadcast with the judging code. They take about 1.44 log2(universe / rules) + 4 bits a rule; when that would
-pass `max_bytes`, keys are joined with the rules instead (judge_by_join).
+pass `max_bytes`, the keys are dealt out by their hash into parts of about `part_rules` rules, each with cascades of its own in
+the shared folder, and a url's keys go to the tasks that hold their parts (judge_in_parts).
 
 Defined results: a null url, or one without '://', has an empty host and path and fits no rule; without a fitting rule the
 url is in no list, and the verdict is allow; a key in both lists is blocked; repeated rows are judged alike; an empty table
@@ -19,7 +20,9 @@ and verdict are replaced.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakequill.llm.common import Store, table
+from lakequill.llm.common import FileWriter, RangeReader, Store, table
 
 #: (verdict, host and path)
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 MAX_BYTES, CHUNK = 64 << 20, 1 << 16
+#: Rules of a part where filters lie in files, and keys of one part that a task judges.
+PART_RULES, TASK_KEYS = 1 << 18, 1 << 20
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -82,10 +87,18 @@ class Cascade:
         return out
 
 
+def _size(n: int, rate: float) -> tuple[int, int]:
+    """Bits and hashes of a filter."""
+    return max(64, math.ceil(n * math.log2(1 / rate) / math.log(2))), max(1, round(math.log2(1 / rate)))
+
+
+def _first_rate(n: int, universe_size: int) -> float:
+    return min(0.5, max(1e-6, n / (math.sqrt(2) * max(1, universe_size))))
+
+
 def _bloom(keys: DataFrame, n: int, rate: float, level: int) -> tuple[int, int, bytes]:
     """A filter over the keys, its partial bit arrays merged by chunks; the bytes come to the driver."""
-    bits = max(64, math.ceil(n * math.log2(1 / rate) / math.log(2)))
-    k = max(1, round(math.log2(1 / rate)))
+    bits, k = _size(n, rate)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks: dict[int, np.ndarray] = {}
@@ -113,8 +126,7 @@ def build(universe: DataFrame, listed: DataFrame, store: Store, universe_size: i
     n = listed.count()
     if not n:
         return Cascade([])
-    rate = min(0.5, max(1e-6, n / (math.sqrt(2) * max(1, universe_size))))
-    cascade, ins, outs = Cascade([_bloom(listed, n, rate, 0)]), listed, None
+    cascade, ins, outs = Cascade([_bloom(listed, n, _first_rate(n, universe_size), 0)]), listed, None
     while True:
         level = len(cascade.levels) - 1
         asked = universe if level == 0 else outs
@@ -145,7 +157,7 @@ def universe_of(pages: DataFrame, lengths: list[int]) -> DataFrame:
     return pages.select(F.col("url").cast("string").alias("url")).mapInArrow(run, "key string").distinct()
 
 
-def judge(pages: DataFrame, rules: DataFrame, store: Store, max_bytes: int = MAX_BYTES) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, store: Store, max_bytes: int = MAX_BYTES, part_rules: int = PART_RULES) -> DataFrame:
     """pages with host, path, rule and verdict. rules: (verdict, rule), distinct; the lengths of their paths come to the driver."""
     pages = pages.drop("host", "path", "rule", "verdict")
     rules = store.save(rules.select("verdict", "rule").distinct(), "rules")
@@ -154,7 +166,7 @@ def judge(pages: DataFrame, rules: DataFrame, store: Store, max_bytes: int = MAX
     universe = store.save(universe_of(pages, lengths), "universe")
     size, n_rules = universe.count(), rules.count()
     if n_rules * (1.44 * max(1.0, math.log2(max(2, size) / max(1, n_rules))) + 6) / 8 > max_bytes:
-        return judge_by_join(pages, rules, lengths)
+        return judge_in_parts(pages, rules, lengths, universe, store, max(1, -(-n_rules // part_rules)), size)
     lists = [build(universe, rules.where(F.col("verdict") == v).select(F.col("rule").alias("key")), store, size) for v in ("allow", "block")]
     at, names = pages.columns.index("url"), [*pages.columns, "host", "path", "rule", "verdict"]
     schema = T.StructType([*pages.schema.fields, *(T.StructField(c, T.StringType()) for c in names[-4:])])
@@ -173,15 +185,105 @@ def judge(pages: DataFrame, rules: DataFrame, store: Store, max_bytes: int = MAX
     return pages.mapInArrow(run, schema)
 
 
-def judge_by_join(pages: DataFrame, rules: DataFrame, lengths: list[int]) -> DataFrame:
-    """The same results by a hash join, for rule lists that no broadcast should hold."""
-    split = F.udf(host_and_path, "host string, path string")
-    keys = F.udf(lambda h, p: keys_of(h, p, lengths), "array<string>")
-    urls = pages.select("url").distinct().withColumn("s", split("url")).select("url", "s.*")
-    asked = urls.withColumn("rule", F.explode(keys("host", "path")))
-    best = asked.join(rules, "rule").groupBy("url").agg(F.min(F.struct((-F.length("rule")).alias("n"), "rule", (F.col("verdict") == "allow").alias("ok"))).alias("b"))
-    urls = urls.join(best, "url", "left").select(F.col("url").alias("__url"), "host", "path", F.col("b.rule").alias("rule"), F.when(F.coalesce("b.ok", F.lit(True)), "allow").otherwise("block").alias("verdict"))
-    return pages.join(urls, F.col("url").eqNullSafe(F.col("__url")), "left").drop("__url")
+class _Building:
+    """The cascades (allow, block) of one part. The listed keys come first, so that the universe can stream past level 1."""
+
+    def __init__(self, universe_size: int):
+        self.size, self.listed, self.first, self.wrong = universe_size, (set(), set()), None, ([], [])
+
+    @staticmethod
+    def level(keys: list[str], rate: float, level: int) -> tuple[int, int, bytes]:
+        bits, k = _size(len(keys), rate)
+        data, at = np.zeros(-(-bits // 8), np.uint8), _positions(keys, level, bits, k).ravel().astype(np.int64)
+        np.bitwise_or.at(data, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return bits, k, data.tobytes()
+
+    def start(self) -> None:
+        self.first = [[self.level(sorted(x), _first_rate(len(x), self.size), 0)] if x else [] for x in self.listed]
+
+    def add(self, kind: int, keys: list[str]) -> None:
+        """kind: 0 and 1 are the lists, 2 is the universe."""
+        if kind < 2:
+            self.listed[kind].update(keys)
+            return
+        if self.first is None:
+            self.start()
+        for levels, listed, wrong in zip(self.first, self.listed, self.wrong, strict=True):
+            if levels:
+                wrong += [k for k, hit in zip(keys, Cascade(levels).passes(keys, 0), strict=True) if hit and k not in listed]
+
+    def done(self) -> bytes:
+        if self.first is None:
+            self.start()
+        for levels, listed, wrong in zip(self.first, self.listed, self.wrong, strict=True):
+            encoded, others = sorted(listed), wrong
+            while others:
+                levels.append(self.level(others, 0.5, len(levels)))
+                hit = Cascade(levels).passes(encoded, len(levels) - 1)
+                encoded, others = others, [k for k, h in zip(encoded, hit, strict=True) if h]
+        return pickle.dumps(self.first)
+
+
+def _cascade_files(universe: DataFrame, rules: DataFrame, folder: str, parts: int, universe_size: int) -> DataFrame:
+    """Builds every part's cascades in one task each: part, and where its file has them."""
+    kind = F.when(F.col("verdict") == "allow", 0).otherwise(1)
+    keys = rules.select(F.col("rule").alias("key"), kind.alias("kind")).unionByName(universe.select("key", F.lit(2).alias("kind")))
+    share = max(1, universe_size // parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, rows, part, now = FileWriter(folder, "cascade"), [], None, None
+        for b in batches:
+            columns = (b.column(c).to_pylist() for c in ("part", "kind", "key"))
+            for (p, k), group in groupby(zip(*columns, strict=True), lambda r: r[:2]):
+                if p != part:
+                    if now is not None:
+                        rows.append((part, *out.write(now.done())))
+                    part, now = p, _Building(share)
+                now.add(k, [r[2] for r in group])
+        if now is not None:
+            rows.append((part, *out.write(now.done())))
+        out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["part", "file", "at", "size"])
+
+    dealt = keys.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    return dealt.mapInArrow(run, "part long, file long, at long, size long")
+
+
+def judge_in_parts(pages: DataFrame, rules: DataFrame, lengths: list[int], universe: DataFrame, store: Store, parts: int, universe_size: int) -> DataFrame:
+    """The same results where no broadcast should hold the filters. A part that many urls ask is held by several tasks."""
+    folder = store.path("cascades")
+    files = store.save(_cascade_files(universe, rules, folder, parts, universe_size), "cascade-files")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            urls = [host_and_path(u) for u in b.column(0).to_pylist()]
+            new = [pa.array([h for h, _ in urls], pa.string()), pa.array([p for _, p in urls], pa.string()), pa.array([keys_of(h, p, lengths) for h, p in urls], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *new], names=["url", "host", "path", "keys"])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, part, lists = RangeReader(folder, "cascade"), None, ()
+        for b in batches:
+            columns = (b.column(c).to_pylist() for c in ("part", "file", "at", "size", "url", "key"))
+            rows = []
+            for (p, *place), group in groupby(zip(*columns, strict=True), lambda r: r[:4]):
+                if p != part:
+                    part, lists = p, [Cascade(levels) for levels in pickle.loads(reader.read(*place))]
+                group = list(group)
+                allow, block = (c.listed([r[5] for r in group]) for c in lists)
+                rows += [(r[4], r[5], not x) for r, a, x in zip(group, allow, block, strict=True) if a or x]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))], names=["url", "rule", "ok"])
+
+    urls = store.save(pages.select(F.col("url").cast("string").alias("url")).distinct().mapInArrow(split, "url string, host string, path string, keys array<string>"), "urls")
+    keys = urls.select("url", F.explode("keys").alias("key")).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    sizes = store.save(keys.groupBy("part").agg(F.count("*").alias("n")), "part-sizes").join(files, "part")  # one row a part
+    tasks = 1 + (sizes.agg(F.sum("n")).first()[0] or 0) // TASK_KEYS
+    salted = keys.join(sizes, "part").withColumn("salt", F.pmod(F.xxhash64("url"), 1 + F.expr(f"n div {TASK_KEYS}")))
+    found = salted.repartition(max(tasks, parts), "part", "salt").sortWithinPartitions("part").mapInArrow(asked, "url string, rule string, ok boolean")
+    best = found.groupBy("url").agg(F.min(F.struct((-F.length("rule")).alias("n"), "rule", "ok")).alias("b"))
+    told = urls.drop("keys").join(best, "url", "left")
+    verdict = F.when(F.coalesce("b.ok", F.lit(True)), "allow").otherwise("block").alias("verdict")
+    told = told.select(F.col("url").alias("__url"), "host", "path", F.col("b.rule").alias("rule"), verdict)
+    return pages.join(told, F.col("url").cast("string").eqNullSafe(F.col("__url")), "left").drop("__url")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,14 @@ class TestUrlFilter:
                 got = url_filter.judge(pages, table, Store(spark, "t"), max_bytes=most).collect()
                 assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: self.brute(u, rules) for i, u in rows}
 
+    def test_cascades_in_parts(self, spark):
+        rules = [("allow" if i % 3 else "block", f"h{i}.org/{'p' * (i % 4)}") for i in range(60)] + [("block", "org/pp"), ("allow", "org/pp")]
+        rows = list(enumerate(["http://h%d.org/%s" % (i % 90, "p" * (i % 6)) for i in range(400)] + ["http://h1.org/" + "p" * 100_000, None, ""]))
+        pages = spark.createDataFrame([(i, u) for i, u in rows], "page_id long, url string")
+        table = spark.createDataFrame(rules, "verdict string, rule string")
+        got = url_filter.judge(pages, table, Store(spark, "t"), max_bytes=0, part_rules=5).collect()
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: self.brute(u, rules) for i, u in rows}
+
     def test_cascade_is_exact_on_its_universe(self, spark):
         keys = [f"k{i}" for i in range(4000)]
         universe, listed = (spark.createDataFrame([(k,) for k in ks], "key string") for ks in (keys, keys[::40]))
