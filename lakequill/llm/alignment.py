@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -39,8 +41,8 @@ from lakequill.llm.common import Store, slices, table
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BROADCAST_PAIRS, SALTS = 500_000, 16
-#: Characters of a text taken at a time, segments counted at a time, segments and their characters that a task remembers.
-PART, SEGMENTS, KEPT, KEPT_CHARS = 1 << 21, 500_000, 350_000, 12 << 20
+#: Characters of a text taken at a time, segments counted and learnt at a time, segments and their characters that a task remembers.
+PART, SEGMENTS, LEARNT, KEPT, KEPT_CHARS = 1 << 21, 300_000, 40_000, 200_000, 6 << 20
 _CUT = re.compile(r"(?<=\S) ")
 _ADDED = [
     *(T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_groups", "n_links")), T.StructField("groups", T.StringType()),
@@ -52,6 +54,7 @@ class Tokens:
     """Both tokenizers, and the bytes of their ids. `free`: texts may be encoded segment by segment."""
 
     def __init__(self, a_path: str, b_path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
         vocabulary = self.a.get_vocab()
@@ -97,7 +100,9 @@ class Aligner:
         self.tokens = tokens
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         self.forget()
-        self.con.execute("CREATE TABLE sums (doc INT, n_a BIGINT, n_b BIGINT, n_groups BIGINT, n_links BIGINT); CREATE TABLE pairs (doc INT, a INT, b INT, n BIGINT)")
+
+    def begin(self) -> None:
+        self.con.execute("CREATE OR REPLACE TABLE sums (doc INT, n_a BIGINT, n_b BIGINT, n_groups BIGINT, n_links BIGINT); CREATE OR REPLACE TABLE pairs (doc INT, a INT, b INT, n BIGINT)")
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
@@ -106,14 +111,10 @@ class Aligner:
         self.con.execute("CREATE OR REPLACE TABLE seg (seg INT, n_a BIGINT, n_b BIGINT, n_groups BIGINT, n_links BIGINT); CREATE OR REPLACE TABLE link (seg INT, a INT, b INT, n BIGINT)")
 
     @staticmethod
-    def grouped(side: str) -> str:
-        """The ids of each group on one side. Groups are numbered by a running sum over their ends; most are one token alone."""
-        return f"""CREATE OR REPLACE TEMP TABLE grouped_{side} AS
-              WITH t AS (SELECT t.*, cut.e AS c FROM {side}_token t LEFT JOIN cut USING (e)),
-              u AS (SELECT seg, id, s, count(c) OVER w - (c IS NOT NULL)::INT AS g, c IS NOT NULL AND lag(c, 1, 0) OVER w IS NOT NULL AS alone FROM t WINDOW w AS (ORDER BY s ROWS UNBOUNDED PRECEDING))
-              SELECT seg, g, id::VARCHAR AS ids, 1 AS n FROM u WHERE alone
-              UNION ALL
-              SELECT seg, g, string_agg(id, ',' ORDER BY s), count(*) FROM u WHERE NOT alone GROUP BY seg, g;"""
+    def numbered(side: str) -> str:
+        """Tokens with the number of their group, by a running sum over the common ends; `alone`: the only one of its side."""
+        return f"""CREATE OR REPLACE TEMP TABLE {side}_num AS SELECT seg, id, s, e, count(c) OVER w - (c IS NOT NULL)::INT AS g, c IS NOT NULL AND lag(c, 1, 0) OVER w IS NOT NULL AS alone
+              FROM (SELECT t.*, cut.e AS c FROM {side}_token t LEFT JOIN cut USING (e)) WINDOW w AS (ORDER BY s ROWS UNBOUNDED PRECEDING);"""
 
     def learn(self, segments: list[str]) -> None:
         t, first = self.tokens, len(self.groups)
@@ -121,36 +122,48 @@ class Aligner:
         self.chars += sum(map(len, segments))
         self.groups += [None] * len(segments)
         a_ids, b_ids = [e.ids for e in t.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)], t.b.encode(segments, num_threads=1)
-        rows: list[list] = [[], [], [], []]  # segment and id of A tokens, of B tokens
-        for i, (s, a, b) in enumerate(zip(segments, a_ids, b_ids, strict=True)):
-            raw = (" " + s).encode("utf-8")
-            if b"".join(map(t.a_bytes.__getitem__, a)) == raw == b"".join(map(t.b_bytes.__getitem__, b)):
-                rows[0] += [first + i] * len(a)
-                rows[1] += a
-                rows[2] += [first + i] * len(b)
-                rows[3] += b
-        for name, seg, ids, size in (("a", rows[0], rows[1], t.lengths[0]), ("b", rows[2], rows[3], t.lengths[1])):
-            end = np.cumsum(size[np.array(ids, np.int64)])
-            start = np.append(0, end[:-1])[: len(end)]
-            self.con.register(name + "_in", pa.table({"seg": pa.array(seg, pa.int32()), "id": pa.array(ids, pa.int32()), "s": start, "e": end}))
+        raw = [(" " + s).encode("utf-8") for s in segments]
+        right = np.array([True] * len(raw))
+        sides = [(ids, size, tokens) for ids, size, tokens in ((a_ids, t.lengths[0], t.a_bytes), (b_ids, t.lengths[1], t.b_bytes))]
+        for ids, _, tokens in sides:  # all at once; one by one only where something differs
+            if [len(x) for x in raw] != [sum(map(len, map(tokens.__getitem__, x))) for x in ids] or b"".join(map(tokens.__getitem__, chain.from_iterable(ids))) != b"".join(raw):
+                right &= [b"".join(map(tokens.__getitem__, x)) == y for x, y in zip(ids, raw, strict=True)]
+        good = np.flatnonzero(right)
+        for name, (ids, size, _) in zip("ab", sides, strict=True):
+            own = ids if len(good) == len(ids) else [ids[k] for k in good.tolist()]
+            counts = np.fromiter(map(len, own), np.int64, len(own))
+            flat = np.fromiter(chain.from_iterable(own), np.int32, int(counts.sum()))
+            end = np.cumsum(size[flat])
+            kind = np.int32 if not len(end) or end[-1] < 2**31 else np.int64
+            start = end - size[flat]
+            self.con.register(name + "_in", pa.table({"seg": np.repeat(good + first, counts).astype(np.int32), "id": flat, "s": start.astype(kind), "e": end.astype(kind)}))
             self.con.execute(f"CREATE OR REPLACE TEMP TABLE {name}_token AS SELECT * FROM {name}_in")
             self.con.unregister(name + "_in")
         self.con.execute(f"""
-            CREATE OR REPLACE TEMP TABLE lap AS
-              SELECT a.seg, a.id AS a, b.id AS b FROM a_token a ASOF JOIN b_token b ON a.s >= b.s
-              UNION ALL
-              SELECT a.seg, a.id, b.id FROM a_token a JOIN b_token b ON b.s > a.s AND b.s < a.e;
-            INSERT INTO link SELECT seg, a, b, count(*) FROM lap GROUP BY ALL;
             CREATE OR REPLACE TEMP TABLE cut AS SELECT e FROM a_token SEMI JOIN b_token USING (e);
-            {self.grouped('a')}
-            {self.grouped('b')}
-            CREATE OR REPLACE TEMP TABLE part AS SELECT a.seg, a.g, a.ids || '|' || b.ids AS ids, a.n AS n_a, b.n AS n_b FROM grouped_a a JOIN grouped_b b USING (g);
-            CREATE OR REPLACE TEMP TABLE whole AS SELECT seg, sum(n_a)::BIGINT AS n_a, sum(n_b)::BIGINT AS n_b, count(*) AS n_groups, string_agg(ids, ';' ORDER BY g) AS groups FROM part GROUP BY seg;
-            INSERT INTO seg SELECT seg, n_a, n_b, n_groups, n FROM whole JOIN (SELECT seg, count(*) AS n FROM lap GROUP BY seg) USING (seg);
+            {self.numbered("a")}
+            {self.numbered("b")}
+            CREATE OR REPLACE TEMP TABLE one AS SELECT a.seg, g, a.id AS a, b.id AS b FROM a_num a JOIN b_num b USING (g) WHERE a.alone AND b.alone;
+            CREATE OR REPLACE TEMP TABLE a_rest AS FROM a_num ANTI JOIN one USING (g);
+            CREATE OR REPLACE TEMP TABLE b_rest AS FROM b_num ANTI JOIN one USING (g);
+            INSERT INTO link SELECT seg, a, b, count(*) FROM (
+              SELECT seg, a, b FROM one
+              UNION ALL
+              SELECT a.seg, a.id, b.id FROM a_rest a ASOF JOIN b_rest b ON a.s >= b.s
+              UNION ALL
+              SELECT a.seg, a.id, b.id FROM a_rest a JOIN b_rest b ON b.s > a.s AND b.s < a.e) GROUP BY ALL;
+            CREATE OR REPLACE TEMP TABLE part AS
+              SELECT seg, g, a || '|' || b AS ids, 1 AS n_a, 1 AS n_b FROM one
+              UNION ALL
+              SELECT seg, g, a.ids || '|' || b.ids, n_a, n_b FROM
+                (SELECT seg, g, string_agg(id, ',' ORDER BY s) AS ids, count(*) AS n_a FROM a_rest GROUP BY seg, g) a JOIN (SELECT g, string_agg(id, ',' ORDER BY s) AS ids, count(*) AS n_b FROM b_rest GROUP BY g) b USING (g);
+            INSERT INTO seg SELECT seg, n_a, n_b, n_groups, n FROM (SELECT seg, sum(n_a)::BIGINT AS n_a, sum(n_b)::BIGINT AS n_b, count(*) AS n_groups FROM part GROUP BY seg) JOIN (SELECT seg, sum(n) AS n FROM link WHERE seg >= {first} GROUP BY seg) USING (seg);
         """)
-        made = self.con.execute("SELECT seg, groups FROM whole").fetchnumpy()
-        for k, text in zip(made["seg"].tolist(), made["groups"].tolist(), strict=True):
-            self.groups[k] = text
+        made = self.con.execute("SELECT seg, ids FROM part ORDER BY g").fetchnumpy()
+        self.con.execute("".join(f"DROP TABLE {x};" for x in ("a_token", "b_token", "cut", "a_num", "b_num", "one", "a_rest", "b_rest", "part")))
+        ids, cut = made["ids"].tolist(), np.append(np.searchsorted(made["seg"], good + first), len(made["seg"])).tolist()
+        for k, i, j in zip((good + first).tolist(), cut, cut[1:], strict=False):
+            self.groups[k] = ";".join(ids[i:j])
 
     def segments(self, text: str) -> Iterator[list[str]]:
         """The segments of a text, each without its leading space; one list for each part of the text."""
@@ -172,8 +185,8 @@ class Aligner:
         if len(self.known) > KEPT or self.chars > KEPT_CHARS:
             self.forget()
         new = [s for s in dict.fromkeys(found) if s not in self.known]
-        if new:
-            self.learn(new)
+        for i in range(0, len(new), LEARNT):
+            self.learn(new[i : i + LEARNT])
         k = np.fromiter(map(self.known.__getitem__, found), np.int32, len(found))
         docs, sizes = np.array(parts, np.int32).T
         self.con.register("given", pa.table({"doc": np.repeat(docs, sizes), "seg": k}))
@@ -185,9 +198,9 @@ class Aligner:
         self.con.unregister("given")
         return list(map(self.groups.__getitem__, k.tolist()))
 
-    def batch(self, texts: list[str | None], hashed: bool) -> tuple[list[list], list[list]]:
-        """Result columns of each text, and the batch's partial counts of pairs as (a, b, n)."""
-        self.con.execute("DELETE FROM sums; DELETE FROM pairs")
+    def batch(self, texts: list[str | None], hashed: bool) -> tuple[list[list], list[pa.Array]]:
+        """Counts and groups of each text; lists a, b and n of its linked pairs, and one list more of the whole batch's."""
+        self.begin()
         say = [hashlib.sha256() if hashed else [] for _ in texts]
         begun, bad = [False] * len(texts), set()
         parts: list[tuple[int, int]] = []
@@ -224,12 +237,12 @@ class Aligner:
                 column[doc] = x
         done = [begun[i] and i not in bad for i in range(len(texts))]
         out.append([("" if not ok else x.hexdigest() if hashed else "".join(x)) for ok, x in zip(done, say, strict=True)])
-        links: list[list] = [[[]] * len(texts) for _ in range(3)]
-        for doc, *lists in self.con.execute("SELECT doc, list(a ORDER BY a, b), list(b ORDER BY a, b), list(n ORDER BY a, b) FROM (SELECT doc, a, b, sum(n)::BIGINT AS n FROM pairs GROUP BY ALL) GROUP BY doc").fetchall():
-            for column, x in zip(links, lists, strict=True):
-                column[doc] = x
-        total = self.con.execute("SELECT list(a), list(b), list(n) FROM (SELECT a, b, sum(n)::BIGINT AS n FROM pairs GROUP BY a, b)").fetchone()
-        return out + links, [x or [] for x in total]
+        links = self.con.execute("SELECT doc, a, b, sum(n)::BIGINT AS n FROM pairs GROUP BY ALL ORDER BY doc").fetchnumpy()
+        ends = np.append(np.searchsorted(links["doc"], np.arange(len(texts))), [len(links["doc"])] * 2)  # the last row is the batch's
+        total = self.con.execute("SELECT a, b, sum(n)::BIGINT AS n FROM pairs GROUP BY a, b").fetchnumpy()
+        ends[-1] += len(total["a"])
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([links[c], total[c]]).astype(kind))) for c, kind in (("a", "i4"), ("b", "i4"), ("n", "i8"))]
+        return out, lists
 
 
 @lru_cache(maxsize=1)
@@ -251,14 +264,13 @@ def aligned(df: DataFrame, column: str = "text", hashed: bool = False, a_path: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(*paths)
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.bool_()]
-        for b in slices((pa.RecordBatch.from_arrays(x.columns, [*(f"c{i}" for i in range(x.num_columns - 1)), "text"]) for x in batches), "text"):
+        for b in slices((pa.RecordBatch.from_arrays(x.columns, [*(f"c{i}" for i in range(x.num_columns - 1)), "text"]) for x in batches), "text", 4 << 20):
             try:
-                out, total = aligner.batch(b.column("text").to_pylist(), hashed)
+                out, lists = aligner.batch(b.column("text").to_pylist(), hashed)
             except BaseException:
                 _aligner.cache_clear()  # it may have stopped half-way
                 raise
-            made = [pa.array([*x, y], kind) for x, y, kind in zip([*out, [False] * b.num_rows], [None] * 5 + total + [True], kinds, strict=True)]
+            made = [*(pa.array([*x, None], pa.string() if i == 4 else pa.int64()) for i, x in enumerate(out)), *lists, pa.array([False] * b.num_rows + [True])]
             own = [pa.concat_arrays([c, pa.nulls(1, c.type)]) for c in b.columns[:-1]]
             yield pa.RecordBatch.from_arrays([*own, *made], names=[f.name for f in schema])
 

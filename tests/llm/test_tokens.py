@@ -175,9 +175,10 @@ class TestAlignment:
                 monkeypatch.setattr(alignment, name, value)
         texts = self.texts()[: 60 if small else None]
         rows, total = self.brute(texts)
-        out, sums = alignment.Aligner(self.tokens).batch(texts, False)
-        got = [(a, b, groups, dict(zip(zip(x, y, strict=True), n, strict=True))) for a, b, _, _, groups, x, y, n in zip(*out, strict=True)]
-        assert got == rows and dict(zip(zip(sums[0], sums[1], strict=True), sums[2], strict=True)) == total
+        out, lists = alignment.Aligner(self.tokens).batch(texts, False)
+        *links, sums = [dict(zip(zip(x, y, strict=True), n, strict=True)) for x, y, n in zip(*(x.to_pylist() for x in lists), strict=True)]
+        got = [(a, b, groups, own) for a, b, _, _, groups, own in zip(*out, links, strict=True)]
+        assert got == rows and sums == total
         assert out[2] == [len(r[2].split(";")) if r[2] else 0 for r in rows] and out[3] == [sum(r[3].values()) for r in rows]
 
     def test_whole_texts_where_segments_are_not_free(self, monkeypatch):
