@@ -42,7 +42,7 @@ from lakequill.llm.common import Store, slices, table
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BROADCAST_PAIRS, SALTS = 500_000, 16
 #: Characters of a text taken at a time, segments counted and learnt at a time, segments and their characters that a task remembers.
-PART, SEGMENTS, LEARNT, KEPT, KEPT_CHARS = 1 << 21, 300_000, 40_000, 200_000, 6 << 20
+PART, SEGMENTS, LEARNT, KEPT, KEPT_CHARS = 1 << 21, 300_000, 40_000, 300_000, 8 << 20
 _CUT = re.compile(r"(?<=\S) ")
 _ADDED = [
     *(T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_groups", "n_links")), T.StructField("groups", T.StringType()),

@@ -1,12 +1,16 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page becomes the tree of its block elements. Each node is content or not; a node's potentials come from its tag, class, id
-and role words, the length, link density and closing punctuation of its text, length and link density of all it contains, an edge's from the pair of states. Sum-product messages
+and role words and their beginnings, the length, link density, line breaks and closing punctuation of its text, length and link
+density of all it contains and brothers of its kind, an edge's from the pair of states. Sum-product messages
 passed upward and downward give every node's exact marginal. Weights are trained on labelled pages by the gradient of the
 exact log-likelihood, which needs those same marginals; labelled_pages() makes the pages from labelled building blocks.
 
+Tags, attributes and comments are read by the states of the HTML standard, each place of a page once; a tag or attribute that
+the page breaks off swallows the rest, as in browsers. Fallback text of videos, sound and drawings is not shown.
+
 Defined results: a null or empty page gives an empty text; unclosed, crossed and unknown tags are taken as browsers take them
-as far as blocks go; character references are decoded; each block's white space collapses and blocks join by one space; nulls
+as far as blocks go; a page without any block is judged as one block, so running text without tags is kept; character references are decoded; each block's white space collapses and blocks join by one space; nulls
 in other columns pass through; an empty table gives no rows. Pages are read whole and nothing is capped.
 """
 
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from math import exp
@@ -26,11 +31,14 @@ from pyspark.sql import types as T
 
 from lakequill.llm.common import Store, table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: White space and names as the HTML standard has them. Patterns never give back what they took, so each place is read once.
+_SP = r"[ \t\n\f\r]"
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)(>)?")
+_NEXT_ATTRIBUTE = re.compile(rf"""[ \t\n\f\r/]*+(?:(>)|(=?[^ \t\n\f\r/>=]*+)(?:{_SP}*+={_SP}*+(?:"([^"]*+)"?|'([^']*+)'?|(?=>)|([^ \t\n\f\r>]++)))?+)""")
+_COMMENT_END = re.compile(r"--!?>")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Elements whose text is never shown, or belongs to a form field.
-_SILENT = {"script", "style", "template", "noscript", "title", "textarea", "select", "svg", "iframe", "object", "option"}
+_SILENT = {"script", "style", "template", "noscript", "title", "textarea", "select", "svg", "iframe", "object", "option", "video", "audio", "canvas"}
 #: Elements whose content has no tags but their own end tag.
 _RAW = {k: re.compile(rf"</{k}(?=[\s/>])", re.I) for k in ("script", "style", "noscript", "title", "textarea", "iframe")}
 _BLOCK = set(
@@ -43,20 +51,74 @@ _BREAKS = set("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head li men
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
+#: Elements that hold blocks as a rule.
+_HOLDERS = {"root", "html", "body", "div", "section", "td", "center"}
+
+
 class Node:
-    """own and linked: words of its text, and those of them in links; below and below_linked: with all that it contains."""
+    """own and linked: words of its text, and those of them in links; below and below_linked: with all that it contains.
 
-    __slots__ = ("tag", "marks", "parent", "own", "linked", "last", "below", "below_linked")
+    twins: brothers of its tag and marks; breaks: places where a line of its text ends.
+    """
+
+    __slots__ = ("tag", "marks", "parent", "own", "linked", "last", "below", "below_linked", "twins", "breaks")
 
     def __init__(self, tag: str, marks: tuple[str, ...], parent: int):
         self.tag, self.marks, self.parent, self.own, self.linked, self.last = tag, marks, parent, 0, 0, ""
-        self.below = self.below_linked = 0
+        self.below = self.below_linked = self.twins = self.breaks = 0
+
+
+class _Pages:
+    """Reads a page's tokens: (end, name, closing, names and values that mark it, closes itself, text); name is None for text, '' for what shows nothing."""
+
+    def __init__(self, page: str):
+        self.page, self.sections = page, True
+
+    def token(self, at: int) -> tuple[int, str | None, bool, list[str], bool, str]:
+        page, nothing = self.page, ("", False, [], False, "")
+        m = _PLAIN.match(page, at)
+        if m:
+            return (m.end(), m[2].lower(), bool(m[1]), [], False, "") if m[3] else self.tag(m.end(), m[2].lower(), bool(m[1]))
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = len(page) if end < 0 else end
+            return end, None, False, [], False, page[at:end]
+        after = page[at + 1 : at + 2]
+        if page.startswith("<!--", at):
+            if page.startswith((">", "->"), at + 4):
+                return page.index(">", at + 4) + 1, *nothing
+            m = _COMMENT_END.search(page, at + 4)
+            return m.end() if m else len(page), *nothing
+        if self.sections and page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            if end >= 0:
+                return end + 3, *nothing
+            self.sections = False  # none follows
+        if after in ("!", "?") or after == "/" and at + 2 < len(page):  # a declaration, or a comment by mistake
+            end = page.find(">", at)
+            return end + 1 or len(page), *nothing
+        return at + 1, None, False, [], False, "<"
+
+    def tag(self, at: int, name: str, closing: bool) -> tuple[int, str, bool, list[str], bool, str]:
+        """From the end of its name; a tag that the page breaks off shows nothing, nor does what it swallowed."""
+        marks: list[str] = []
+        while at < len(self.page):
+            m = _NEXT_ATTRIBUTE.match(self.page, at)
+            at = m.end()
+            if m[1]:
+                return at, name, closing, marks, self.page[at - 2] == "/" and m.start(1) > m.start(), ""
+            if at < len(self.page) and len(m[2]) <= 5 and m[2].lower() in ("class", "id", "role"):
+                marks.append(m[3] or m[4] or m[5] or "")
+        return at, "", False, [], False, ""
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes in document order (node 0 is the root), and the runs of text as (node, text)."""
     nodes, runs, held = [Node("root", (), -1)], [], []
-    stack, links, silent, inside, at = [0], 0, "", [], 0
+    stack, links, silent, at = [0], 0, "", 0
+    inside: Counter[str] = Counter()  # blocks open in what is silent
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a tag are
+    reader = _Pages(page)
 
     def flush() -> None:
         if held:
@@ -68,72 +130,76 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 n.last = text[-1]
                 runs.append((stack[-1], text))
 
+    def top(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def cut(place: int) -> None:
+        while len(stack) > place:
+            places[nodes[stack.pop()].tag].pop()
+
     while at < len(page):
-        m = _TOKEN.match(page, at)
-        at, name = m.end(), m[2]
+        at, name, closing, values, alone, text = reader.token(at)
         if name is None:
-            text = m[0]
-            if silent or text.startswith(("<!", "<?")):
+            if silent:
                 continue
             text = html.unescape(text) if "&" in text else text
             held.append(text)
             if links:
                 nodes[stack[-1]].linked += len(text.split())
             continue
-        name = name.lower()
-        if name in _RAW and not m[1] and silent != "svg" and not m[3].endswith("/"):
+        if not name:
+            continue
+        if name in _RAW and not closing and silent != "svg" and not alone:
             end = _RAW[name].search(page, at)
             at = end.start() if end else len(page)
         if silent and name != silent and silent not in _RAW:  # its end tag may be left out
-            if m[1] and name in inside:
-                inside.remove(name)
-            elif m[1] and (silent == "option" and name in ("datalist", "select", "optgroup") or any(nodes[i].tag == name for i in stack)):
+            if closing and inside[name]:
+                inside[name] -= 1
+            elif closing and (silent == "option" and name in ("datalist", "select", "optgroup") or places.get(name)):
                 silent = ""
-            elif not m[1] and silent in ("svg", "select") and name in _BREAKS and not inside:
+            elif not closing and silent in ("svg", "select") and name in _BREAKS and not inside.total():
                 silent = ""
-            elif not m[1] and (name in _BLOCK or name == "foreignobject"):
-                inside.append(name)
+            elif not closing and (name in _BLOCK or name == "foreignobject"):
+                inside[name] += 1
         if silent:
-            if m[1] and name == silent:
+            if closing and name == silent:
                 silent = ""
             continue
-        if m[1]:
+        if closing:
             if name in _BLOCK:
                 flush()
-                for i in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[i]].tag == name:
-                        del stack[i:]
-                        links = 0
-                        break
+                if places.get(name):
+                    cut(places[name][-1])
+                    links = 0
             elif name == "a":
                 links = max(0, links - 1)
             continue
         if name in _SILENT:
-            if not m[3].endswith("/"):
+            if not alone:
                 silent = name
                 inside.clear()
         elif name in ("br", "hr"):
             flush()
+            nodes[stack[-1]].breaks += 1
         elif name == "a":
             links += 1
         elif name in _BLOCK:
             flush()
             if name in _ENDS_P and nodes[stack[-1]].tag == "p":
-                stack.pop()
+                cut(len(stack) - 1)
             if name in _CLOSES:
                 ends, stops = _CLOSES[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[i]].tag in stops:
-                        break
-                    if nodes[stack[i]].tag in ends:
-                        del stack[i:]
-                        break
-            marks = tuple(sorted({w.lower() for a in _ATTR.findall(m[3]) for w in _PART.findall("".join(a[1:]))})) if m[3] else ()
+                if top(ends) > top(stops):
+                    cut(top(ends))
+            marks = tuple(sorted({w.lower() for v in values for w in _PART.findall(v)})) if values else ()
+            places.setdefault(name, []).append(len(stack))
             nodes.append(Node(name, marks, stack[-1]))
             stack.append(len(nodes) - 1)
             links = 0
     flush()
+    like = Counter((n.parent, n.tag, n.marks) for n in nodes)
     for n in reversed(nodes):
+        n.twins = like[n.parent, n.tag, n.marks]
         n.below += n.own
         n.below_linked += n.linked
         if n.parent >= 0:
@@ -145,7 +211,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 def features(n: Node) -> tuple[str, ...]:
     words = n.own
     size = "none" if not words else "few" if words < 5 else "some" if words < 15 else "many"
-    out = ["bias", "t:" + n.tag, "n:" + size, *("m:" + m for m in n.marks)]
+    out = ["bias", "t:" + n.tag, "n:" + size, *("m:" + m for m in n.marks), *{"b:" + m[:5] for m in n.marks if len(m) > 5}]
+    if words >= 5 and n.tag in _HOLDERS:  # text that no paragraph holds
+        out.append(f"s:{n.tag} {size}" + (" lines" if n.breaks else ""))
+    if words < 5 and n.tag in ("root", "html", "body"):
+        out.append("s:page bare")
+    if n.marks and n.twins > 2:
+        out.append("twins")
     if n.below > words and n.below >= 40 and n.below_linked < 0.1 * n.below and n.tag not in ("root", "html", "body"):  # these hold the whole page
         out.append("holds text")
     if words:
@@ -172,14 +244,18 @@ class Model:
 
     def marginals(self, nodes: list[Node], pairs: bool = False) -> list[float] | tuple[list[float], np.ndarray]:
         """P(content) of every node by sum-product; nodes stand in document order, so children follow their parents."""
+        return self.passed([self.potential(features(x)) for x in nodes], [x.parent for x in nodes], pairs)
+
+    def passed(self, potentials: list[float], parents: list[int], pairs: bool = False) -> list[float] | tuple[list[float], np.ndarray]:
+        """The two passes over the tree."""
         e = [[exp(x) for x in row] for row in self.edge]
         (e00, e01), (e10, e11) = e
-        n = len(nodes)
-        local = [1 / (1 + exp(-max(-30.0, min(30.0, self.potential(features(x)))))) for x in nodes]
+        n = len(parents)
+        local = [1 / (1 + exp(-max(-30.0, min(30.0, x)))) for x in potentials]
         up0, up1 = [1 - x for x in local], local[:]
         m0, m1 = [1.0] * n, [1.0] * n
         for i in range(n - 1, 0, -1):
-            a, b, p = up0[i], up1[i], nodes[i].parent
+            a, b, p = up0[i], up1[i], parents[i]
             x, y = e00 * a + e01 * b, e10 * a + e11 * b
             s = x + y
             m0[i], m1[i] = x / s, y / s
@@ -189,7 +265,7 @@ class Model:
         out, joint = [0.0] * n, np.zeros((2, 2))
         out[0] = up1[0]
         for i in range(1, n):
-            p1 = out[nodes[i].parent]
+            p1 = out[parents[i]]
             q0, q1 = (1 - p1) / m0[i], p1 / m1[i]  # the parent without this child's message
             j00, j01, j10, j11 = q0 * e00 * up0[i], q0 * e01 * up1[i], q1 * e10 * up0[i], q1 * e11 * up1[i]
             s = j00 + j01 + j10 + j11
@@ -225,6 +301,8 @@ def labelled_pages(count: int = 320, seed: int = 7) -> list[tuple[str, list[int]
     plain = lambda: el("p", 1, pick(words(1, 40), " ".join([words(1, 2)] * rng.integers(2, 30)), line(1, 6)))
     para = lambda: plain() if maybe(0.2) else el("p", 1, pick("", "<b>", "<em>") + " ".join(line(4, 16) for _ in range(rng.integers(1, 6))) + (f" {link()} {words(3, 9)}." if maybe(0.3) else ""))
 
+    lines = lambda: pick("<br>", "<br><br>", "<br/>\n").join(" ".join(line(5, 18) for _ in range(rng.integers(1, 4))) for _ in range(rng.integers(2, 6)))
+
     def article() -> str:
         parts = [el(pick("h1", "h2"), 1, words(3, 14))]
         for _ in range(rng.integers(1, 9)):
@@ -239,6 +317,8 @@ def labelled_pages(count: int = 320, seed: int = 7) -> list[tuple[str, list[int]
                 parts.append(pick(el("blockquote", 1, para()), el("pre", 1, words(4, 20)), el("blockquote", 1, line(5, 20)), el("figure", 1, el("figcaption", 1, line(3, 10)))))
             else:
                 parts.append(el("table", 1, "".join(el("tr", 1, "".join(el("td", 1, words(1, 4)) for _ in range(3))) for _ in range(rng.integers(2, 4)))))
+        if maybe(0.12):  # verse, lists of names: short lines without a full stop
+            parts += [el("p", 1, words(1, 4) + pick("", "", ",", ".")) for _ in range(rng.integers(8, 40))]
         if maybe(0.25):
             parts.insert(rng.integers(1, len(parts) + 1), advert())
         if maybe(0.2):
@@ -246,7 +326,10 @@ def labelled_pages(count: int = 320, seed: int = 7) -> list[tuple[str, list[int]
         if maybe(0.35):
             parts.append(pick(comments, comments, comments, side, form, notice)())
         inner = "".join(parts)
-        shape = rng.integers(7)
+        shape = rng.integers(8)
+        if shape == 7:  # no paragraphs: lines in one block
+            head = el("h1", 1, words(3, 9)) if maybe(0.4) else ""
+            return el(pick("div", "div", "td", "section"), 1, head + lines(), pick("", words(1, 2), "text", "post"), pick("class", "id"))
         if shape < 3:
             return el("article", 1, inner, pick("", "", "post", "entry", "story"))
         if shape == 3:
@@ -259,17 +342,18 @@ def labelled_pages(count: int = 320, seed: int = 7) -> list[tuple[str, list[int]
 
     menu = lambda: el("ul", 0, "".join(el("li", 0, link()) for _ in range(rng.integers(2, 9))), pick("", "menu", "nav-list", "links"))
     nav = lambda: pick(el("nav", 0, menu()), el("nav", 0, " ".join(link() for _ in range(5))), el("div", 0, menu(), pick("nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "topnav"), pick("class", "id")))
-    advert = lambda: el(pick("div", "div", "aside", "section"), 0, pick(line(3, 18), el("p", 0, line(3, 18)), link()), pick("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "ad-slot", "sponsor"), pick("class", "id"))
+    advert = lambda: el(pick("div", "div", "aside", "section"), 0, pick(line(3, 18), el("p", 0, line(3, 18)), link()), pick("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "ad-slot", "sponsor", "anzeige", "werbung", "publicite", "publicidad"), pick("class", "id"))
     share = lambda: el("div", 0, pick(menu(), " ".join(link() for _ in range(3))), pick("share", "social", "related", "tags", "meta", "pagination", "author"))
-    notice = lambda: el(pick("div", "section", "aside"), 0, pick(line(5, 25), el("p", 0, line(5, 25))) + (el("button", 0, words(1, 2)) if maybe(0.5) else ""), pick("cookie", "cookie-notice", "notice", "consent", "gdpr", "banner", "alert", "popup", "modal", "newsletter", "subscribe"), pick("class", "id"))
+    notice = lambda: el(pick("div", "section", "aside"), 0, pick(line(5, 25), el("p", 0, line(5, 25))) + (el("button", 0, words(1, 2)) if maybe(0.5) else ""), pick("cookie", "cookie-notice", "notice", "consent", "gdpr", "banner", "alert", "popup", "modal", "newsletter", "subscribe", "hinweis", "avis", "aviso"), pick("class", "id"))
     form = lambda: el("form", 0, pick(words(1, 4), el("p", 0, line(2, 10)), f"<label>{words(1, 4)}</label>") + '<input type="text">' + el("button", 0, words(1, 2)), pick("", "search", "login", "signup"))
-    footer = lambda: pick(el("footer", 0, line(3, 18)), el("footer", 0, el("p", 0, line(3, 14)) + menu()), el("div", 0, pick(line(3, 16), el("p", 0, line(3, 16)), menu()), pick("footer", "site-footer", "copyright", "bottom"), pick("class", "id")))
+    footer = lambda: pick(el("footer", 0, line(3, 18)), el("footer", 0, words(1, 4)), el("footer", 0, words(1, 3)), el("footer", 0, el("p", 0, line(3, 14)) + menu()), el("div", 0, pick(line(3, 16), el("p", 0, line(3, 16)), menu()), pick("footer", "site-footer", "copyright", "bottom", "fusszeile", "pied-de-page"), pick("class", "id")))
     header = lambda: pick(el("header", 0, words(1, 6)), el("header", 0, el(pick("div", "p", "h2"), 0, words(1, 6)) + nav()), el("div", 0, el("p", 0, words(1, 6)), pick("header", "site-header", "masthead", "logo", "top"), pick("class", "id")))
-    side = lambda: pick(el("aside", 0, el("h3", 0, words(1, 4)) + pick(menu(), el("p", 0, line(4, 25)))), el("div", 0, el("h3", 0, words(1, 4)) + pick(menu(), el("p", 0, line(4, 25)), el("div", 0, line(4, 12))), pick("sidebar", "widget", "side", "related", "sidebar-widget", "recommended", "trending", "popular"), pick("class", "id")))
+    side = lambda: pick(el("aside", 0, el("h3", 0, words(1, 4)) + pick(menu(), el("p", 0, line(4, 25)))), el("div", 0, el("h3", 0, words(1, 4)) + pick(menu(), el("p", 0, line(4, 25)), el("div", 0, line(4, 12))), pick("sidebar", "widget", "side", "related", "sidebar-widget", "recommended", "trending", "popular", "seitenleiste", "barra-lateral", "colonne-laterale"), pick("class", "id")))
 
     def comments() -> str:
-        one = lambda: el(pick("div", "li", "article"), 0, el("p", 0, line(4, 30)) + (el("p", 0, line(3, 20)) if maybe(0.4) else ""), pick("comment", "comment-body", "reply", "comment"))
-        return el(pick("section", "div", "ol"), 0, el(pick("h2", "h3", "h3", "h4"), 0, words(1, 3)) + "".join(one() for _ in range(rng.integers(1, 5))), pick("comments", "comments", "comment-list", "user-comments", "responses", "discussion", "disqus", "replies"), pick("class", "id"))
+        said = lambda: el("p", 0, line(4, 30)) + (el("p", 0, line(3, 20)) if maybe(0.4) else "")
+        one = lambda: el("div", 0, said()) if maybe(0.08) else el(pick("div", "li", "article"), 0, said(), pick("comment", "comment-body", "reply", "comment", "kommentar", "commentaire", "comentario", "post-reply"))
+        return el(pick("section", "div", "ol"), 0, el(pick("h2", "h3", "h3", "h4"), 0, words(1, 3)) + "".join(one() for _ in range(rng.integers(1, 5))), pick("comments", "comments", "comment-list", "user-comments", "responses", "discussion", "disqus", "replies", "kommentare", "kommentarbereich", "commentaires", "comentarios", "commenti", "discussion-thread", "reader-opinions", "leserbriefe", "thread"), pick("class", "id"))
 
     out = []
     for _ in range(count):
@@ -282,42 +366,59 @@ def labelled_pages(count: int = 320, seed: int = 7) -> list[tuple[str, list[int]
             core = el("div", 1, core, pick("container", "wrapper", "page", "layout", "row", "site"), pick("class", "id"))
         if maybe(0.15):
             before.append(side())
-        page = el("html", 0, el("head", 0, f"<title>{words(2, 8)}</title>") + el("body", 0, "".join(before) + core + "".join(after)))
+        whole = "".join(before) + core + "".join(after) + (words(1, 3) if maybe(0.08) else "")  # a stray word
+        page = whole if maybe(0.25) else el("html", 0, el("head", 0, f"<title>{words(2, 8)}</title>") + el("body", 0, whole))  # tags that may be left out
         labels = [0, *(int(m == _GOOD) for m in re.findall(f"[{_GOOD}{_BAD}]", page))]
         out.append((re.sub(f"[{_GOOD}{_BAD}]", "", page), labels))
+    for _ in range(count // 20):  # text that no element holds, or the body alone
+        out.append((lines() if maybe(0.5) else line(5, 30) + " " + line(5, 30), [1]))
+        out.append((f"<html><head><title>{words(2, 5)}</title></head><body>{lines()}</body></html>", [0, 0, 0, 1]))
+    for page in _WRITTEN:
+        labels = [0, *(int(m == "+") for m in re.findall(r"<\w+([+-])", page))]
+        out += [(re.sub(r"(<\w+)[+-]", r"\1", page), labels)] * 3
     return out
 
 
+#: Pages written by hand to train on; + and - after a block's name tell whether it is content.
+_WRITTEN = (
+    "<html-><body-><div- class=oben><a href=1>Start</a> | <a href=2>Archiv</a> | <a href=3>Kontakt</a></div><div+ class=k1><h1+>Der Markt am Morgen</h1><p+>Um sechs Uhr stehen die ersten Wagen auf dem Platz, und es riecht nach Brot.</p><p+>Wer spät kommt, findet nur noch Rüben. Das war schon immer so.</p></div><div- class=kommentare><h3->2 Kommentare</h3><div- class=kommentar><p->Schöner Text, danke!</p></div><div- class=kommentar><p->Früher war der Markt größer, da gab es auch Fisch.</p></div></div><div- class=unten>Impressum und Datenschutz</div></body></html>",
+    "<html-><body-><table-><tr-><td-><a href=1>Accueil</a><br><a href=2>Photos</a></td><td+>Le vieux pont a été fermé hier soir.<br>Les travaux dureront trois mois, selon la mairie.<br>Un bac relie les deux rives en attendant.</td></tr></table><div->Mentions légales</div></body></html>",
+    "<html-><body-><header-><nav-><a href=1>Home</a> <a href=2>About</a></nav></header><main+><div+><h2+>How we count birds</h2>We stand on the hill at dawn and write down what we see.<br><br>Some mornings there is nothing but fog, and we drink tea.</div><div- class=discussion-thread><h4->Discussion</h4><div-><p->I have counted forty geese here in one hour.</p></div><div-><p->Which binoculars do you use for that?</p></div></div></main></body></html>",
+    "<html-><body-><div+ id=x7>La cosecha empezó tarde este año por las lluvias.<br>Los olivos más viejos dan menos, pero su aceite es mejor.</div><div- id=x8><a href=1>Anterior</a> <a href=2>Siguiente</a></div></body></html>",
+    "<div+ class=q>It snowed for nine days, and nobody could reach the village by road.<br>On the tenth day a man came over the pass on skis with the mail.</div>",
+)
+
+
 def fit(pages: list[tuple[str, list[int]]], epochs: int = 25, rate: float = 0.15, decay: float = 1e-3) -> Model:
     """Gradient ascent on the exact log-likelihood, page by page; expected counts are the marginals of nodes and edges."""
-    model, rng = Model({}, [[0.0, 0.0], [0.0, 0.0]]), np.random.default_rng(0)
-    trees = [(parse(page)[0], labels) for page, labels in pages]
-    seen: dict[str, float] = {}
+    numbers: dict[str, int] = {}
+    trees = []
+    for page, labels in pages:
+        nodes = parse(page)[0]
+        if len(nodes) != len(labels):
+            raise ValueError("labels don't fit the page's blocks")
+        own = [[numbers.setdefault(f, len(numbers)) for f in features(n)] for n in nodes]
+        used, place = np.unique(np.concatenate(own), return_inverse=True)
+        found = np.zeros((2, 2))
+        for n, t in zip(nodes[1:], labels[1:], strict=True):
+            found[labels[n.parent], t] += 1
+        trees.append(([n.parent for n in nodes], np.array(labels), used, place, np.array([len(x) for x in own]), found))
+    weights, seen = np.zeros(len(numbers)), np.full(len(numbers), 1e-6)
+    edge, edge_seen = np.zeros((2, 2)), np.full((2, 2), 1e-6)
+    model, rng = Model({}, []), np.random.default_rng(0)
     for _ in range(epochs):
         for k in rng.permutation(len(trees)):
-            nodes, y = trees[k]
-            if len(nodes) != len(y):
-                raise ValueError("labels don't fit the page's blocks")
-            p, joint = model.marginals(nodes, pairs=True)
-            grad: dict[str, float] = {}
-            for n, t, q in zip(nodes, y, p, strict=True):
-                for f in features(n):
-                    grad[f] = grad.get(f, 0.0) + t - q
-            found = np.zeros((2, 2))
-            for n, t in zip(nodes[1:], y[1:], strict=True):
-                found[y[n.parent], t] += 1
-            for f, g in grad.items():  # steps shrink with a weight's summed squared gradients
-                g -= decay * model.weights.get(f, 0.0)
-                seen[f] = seen.get(f, 1e-6) + g * g
-                model.weights[f] = model.weights.get(f, 0.0) + rate * g / seen[f] ** 0.5
-            for a in (0, 1):
-                for b in (0, 1):
-                    g = found[a, b] - joint[a, b] - decay * model.edge[a][b]
-                    key = f"edge{a}{b}"
-                    seen[key] = seen.get(key, 1e-6) + g * g
-                    model.edge[a][b] += rate * g / seen[key] ** 0.5
-            model.known.clear()
-    return Model({f: float(w) for f, w in model.weights.items()}, [[float(x) for x in row] for row in model.edge])
+            parents, y, used, place, count, found = trees[k]
+            model.edge = edge.tolist()
+            potentials = np.add.reduceat(weights[used][place], np.cumsum(count) - count)
+            p, joint = model.passed(potentials.tolist(), parents, pairs=True)
+            g = np.bincount(place, np.repeat(y - p, count)) - decay * weights[used]
+            seen[used] += g * g  # steps shrink with a weight's summed squared gradients
+            weights[used] += rate * g / np.sqrt(seen[used])
+            g = found - joint - decay * edge
+            edge_seen += g * g
+            edge += rate * g / np.sqrt(edge_seen)
+    return Model(dict(zip(numbers, weights.tolist(), strict=True)), edge.tolist())
 
 
 @lru_cache(maxsize=1)

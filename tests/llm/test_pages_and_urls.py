@@ -173,6 +173,40 @@ class TestHtml:
         right = [html_extract.extract(page, html_extract.trained()) == text for page, text in self.written_pages()]
         assert all(right), right
 
+    def test_broken_and_bare_pages(self):
+        first, second = "The storm reached the coast at noon and tore the roofs off. People hid in cellars.", "By evening the wind had dropped, and the boats went out again."
+        story, said = f"<article><h1>Storm at the coast</h1><p>{first}</p><p>{second}</p></article>", f"Storm at the coast {first} {second}"
+        replies = "<p>I was there and it was awful, really.</p><p>Me too, but my house is fine.</p>"
+        cases = [
+            *((f"{x}{story}", said) for x in ("<!-- a --!>", "<!-->", "<!--->", "<!---->", "</ x>", "<?php x ?>", "<![CDATA[ a > b ]]>", "<![CDATA[ a >", "<!x>")),
+            (f"<html><body><div class=zq>{first}<br>{second}</div></body></html>", f"{first} {second}"), (f"{first} {second}", f"{first} {second}"),
+            (f"<html><head><title>x</title></head><body>{first}<br><br>{second}</body></html>", f"{first} {second}"), (f"<div><a href=1>One</a> <a href=2>Two</a></div><div>{first}<br>{second}</div>", f"{first} {second}"),
+            (f'<html><body><nav><a href="x"">Home</a></nav>{story}</body></html>', said), (f"<div title=don't>{story}</div>", said), (f"<div a='>' b=\">\" c=/ >{story}</div>", said), (f"<div ==\"x\" / a>{story}</div>", said),
+            (story + f'<div class="kommentare">{replies}</div>', said), (story + f'<section class="commentaires"><h3>2 commentaires</h3>{replies}</section>', said),
+            (story.replace("</article>", f'<div class="discussion-thread">{replies}</div></article>'), said),
+            (story.replace("</h1>", "</h1><video src=x>Your browser does not support video.</video>"), said), (story.replace("</h1>", "</h1><p><audio controls>No sound here, sorry.</audio></p>"), said),
+            (story + "<footer>Copyright</footer><a href='", said),
+        ]
+        model = html_extract.trained()
+        assert [x for x in ((page, html_extract.extract(page, model)) for page, text in cases if html_extract.extract(page, model) != text)] == []
+
+    def test_time_is_linear(self):
+        import time
+
+        model = html_extract.trained()
+        parts = ['<a "', "<p x='", "b <c ", "<!--", "<![CDATA[", "</x", "<div><tr>", "<td><table>", "<svg><p>", "<x y=", "&amp", "<script>", '<div class="a', "<option>"]
+        pages = [x * 60_000 for x in parts] + ["<div>" * 30_000 + x * 30_000 for x in ("</p>", "<li></li>", "<dt>", "</x>")] + ["<td><table>" + "<div>" * 30_000 + "<td></td>" * 30_000, "<svg>" + "<p>" * 30_000 + "<div></div>" * 30_000]
+        for page in pages:
+            began = time.perf_counter()
+            html_extract.extract(page, model)
+            assert time.perf_counter() - began < 5, page[:40]
+
+    def test_query_with_clashing_columns(self, spark, tmp_path):
+        rows = [(1, "u", "<article><p>It goes on and on, as ever it did.</article>", "x", 5), (1, "u", "<article><p>It goes on and on, as ever it did.</article>", "x", 5), (None, None, None, None, None)]
+        spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int").write.parquet(str(tmp_path / "pages.parquet"))
+        got = sorted(map(tuple, html_extract.op9_html_extract(spark, str(tmp_path)).collect()), key=repr)
+        assert got == [(1, "u", "It goes on and on, as ever it did.", 34)] * 2 + [(None, None, "", 0)]
+
     def test_long_pages(self):
         page = "<html><body><article><h1>Long</h1>" + "".join(f"<p>This is paragraph {i} of a very long page, which goes on.</p>" for i in range(20_000)) + "</article><footer>End</footer></body></html>"
         text = html_extract.extract(page, html_extract.trained())
