@@ -214,6 +214,8 @@ def features(n: Node) -> tuple[str, ...]:
     out = ["bias", "t:" + n.tag, "n:" + size, *("m:" + m for m in n.marks), *{"b:" + m[:5] for m in n.marks if len(m) > 5}]
     if words >= 5 and n.tag in _HOLDERS:  # text that no paragraph holds
         out.append(f"s:{n.tag} {size}" + (" lines" if n.breaks else ""))
+    if not n.marks and n.tag in ("article", "main"):
+        out.append("u:" + n.tag)
     if words < 5 and n.tag in ("root", "html", "body"):
         out.append("s:page bare")
     if n.marks and n.twins > 2:
@@ -304,7 +306,7 @@ def labelled_pages(count: int = 320, seed: int = 7) -> list[tuple[str, list[int]
     lines = lambda: pick("<br>", "<br><br>", "<br/>\n").join(" ".join(line(5, 18) for _ in range(rng.integers(1, 4))) for _ in range(rng.integers(2, 6)))
 
     def article() -> str:
-        parts = [el(pick("h1", "h2"), 1, words(3, 14))]
+        parts = [el(pick("h1", "h2"), 1, words(3, 14))] if maybe(0.85) else []
         for _ in range(rng.integers(1, 9)):
             kind = rng.integers(10)
             if kind < 6:
@@ -320,7 +322,7 @@ def labelled_pages(count: int = 320, seed: int = 7) -> list[tuple[str, list[int]
         if maybe(0.12):  # verse, lists of names: short lines without a full stop
             parts += [el("p", 1, words(1, 4) + pick("", "", ",", ".")) for _ in range(rng.integers(8, 40))]
         if maybe(0.25):
-            parts.insert(rng.integers(1, len(parts) + 1), advert())
+            parts.insert(rng.integers(min(1, len(parts)), len(parts) + 1), advert())
         if maybe(0.2):
             parts.append(share())
         if maybe(0.35):
@@ -373,6 +375,7 @@ def labelled_pages(count: int = 320, seed: int = 7) -> list[tuple[str, list[int]
     for _ in range(count // 20):  # text that no element holds, or the body alone
         out.append((lines() if maybe(0.5) else line(5, 30) + " " + line(5, 30), [1]))
         out.append((f"<html><head><title>{words(2, 5)}</title></head><body>{lines()}</body></html>", [0, 0, 0, 1]))
+        out.append((f"<article><p>{line(4, 16)}</p></article>", [0, 1, 1]))
     for page in _WRITTEN:
         labels = [0, *(int(m == "+") for m in re.findall(r"<\w+([+-])", page))]
         out += [(re.sub(r"(<\w+)[+-]", r"\1", page), labels)] * 3
