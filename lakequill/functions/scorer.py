@@ -79,11 +79,18 @@ def scored(family: Column, gold: Column, answer: Column, accept: Column, toleran
     letter = conclusion(answer)
     right = F.array_contains(names, letter)
     by_letter = _result(~cut & right, F.when(~cut, F.coalesce(letter, F.right(answer, F.lit(40)))), F.when(cut, "truncated-excluded").when(right, "conclusion-letter-match").otherwise("conclusion-letter-mismatch"), cut)
-    words, empty = X.digitize(X.fold(answer)), F.size(X.digitize(X.fold(gold))) == 0
-    hit = F.get(F.filter(names, lambda n: X.contains_run(words, X.digitize(X.fold(n)))), F.lit(0))
-    heard, none = ~empty & hit.isNotNull(), F.size(words) == 0
-    rest = F.array_join(F.slice(words, F.greatest(F.size(words) - 7, F.lit(1)), 8), " ")
-    note = F.when(empty, "empty-gold").when(none, "empty-answer").when(heard, "token-run-match").when(cut, "truncated-excluded").otherwise("no-token-match")
-    by_words = _result(heard, F.when(heard, hit).when(~empty, rest), note, cut & ~empty & ~heard)
+
+    def heard(r: Column) -> Column:
+        """r: the answer's words, and the spellings with theirs; the gold comes first."""
+        hit = F.get(F.filter(r["runs"], lambda n: X.contains_run(r["words"], n["run"])), F.lit(0))["name"]
+        empty, found = F.size(F.get(r["runs"], F.lit(0))["run"]) == 0, hit.isNotNull()
+        ok = ~empty & found
+        rest = F.array_join(F.slice(r["words"], F.greatest(F.size(r["words"]) - 7, F.lit(1)), 8), " ")
+        note = F.when(empty, "empty-gold").when(F.size(r["words"]) == 0, "empty-answer").when(ok, "token-run-match").when(cut, "truncated-excluded").otherwise("no-token-match")
+        return _result(ok, F.when(ok, hit).when(~empty, rest), note, cut & ~empty & ~ok)
+
+    words = lambda c: X.digitize(X.fold(c))
+    read = F.struct(words(answer).alias("words"), F.transform(names, lambda n: F.struct(n.alias("name"), words(n).alias("run"))).alias("runs"))
+    by_words = F.get(F.transform(F.array(read), heard), F.lit(0))  # read once a row
     other = F.when(name.rlike(r"^[-+]?\d+\.?\d*$"), F.when(family == "factual", numeric(False)).otherwise(numeric(True))).when(name.rlike(r"^\p{L}$"), by_letter).otherwise(by_words)
     return F.when(family == "arithmetic", numeric(True)).when(family.isin("factual", "deduction"), other)

@@ -5,6 +5,9 @@ Character classes are ASCII on purpose; pass text through fold() first where dia
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,8 +18,16 @@ NUMBER_WORDS = (
 #: Words that carry no content.
 STOP_WORDS = ("a an the of to in on at by for and or is are was were be it its this that with as from what which how many much does do did").split()
 _NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
-_FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Letters that have no decomposition, as they are spelt without their stroke or dot.
+_LETTERS = {"ł": "l", "đ": "d", "ø": "o", "ß": "ss", "ı": "i"}
+#: Ligatures, which have none either.
+_LIGATURES = {"œ": "oe", "æ": "ae"}
+#: Keywords of a refusal, few and many.
+REFUSAL_FEW = ("cannot compute", "not provided", "no meter", "were not provided", "no values", "cannot calculate", "not specified", "declarations page", "unable to")
+REFUSAL_MANY = (
+    *REFUSAL_FEW, "missing", "not given", "need the", "were provided", "without the", "don't have", "do not have", "please provide", "isn't sufficient",
+    "is not sufficient", "provide the", "provide those",
+)
 
 
 def norm_exact(c: Column) -> Column:
@@ -42,12 +53,46 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
+@lru_cache(maxsize=1)
+def _decompositions() -> tuple[str, str, str, dict[str, str]]:
+    """What folding does to each code point that compatibility decomposition changes: ones that become one other, those
+    dropped (combining marks), and those that become several, lower-cased like the text.
+    """
+    one, dropped, several = dict[str, str](), [], _LIGATURES | {k: v for k, v in _LETTERS.items() if len(v) > 1}
+    one |= {k: v for k, v in _LETTERS.items() if len(v) == 1}
+    for code in range(128, 0x110000):
+        if 0xAC00 <= code < 0xD7A4 or 0xD800 <= code < 0xE000:  # syllables, which are made of letters outside Latin; surrogates
+            continue
+        c = chr(code)
+        out = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        if not out:
+            dropped.append(c)
+        elif out != c and c not in several:
+            (one if len(out) == 1 else several).setdefault(c, out)
+    return "".join(one), "".join(one.values()), "".join(dropped), several
+
+
 def fold(c: Column) -> Column:
-    """Lower-case Latin letters without their marks, and sharp s and ligatures spelt out."""
-    out = F.translate(F.lower(c), _FOLD_FROM, _FOLD_TO)
-    for a, b in (("ß", "ss"), ("œ", "oe"), ("æ", "ae"), ("ø", "o"), ("ł", "l")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    """Lower case, compatibility decomposition, no combining marks; strokes, sharp s and ligatures spelt out.
+
+    One translate does nearly all; code points that become several (ligatures, fractions, units) are looked up only in texts
+    that hold any.
+    """
+    was, now, dropped, several = _decompositions()
+    common = ("ß", "œ", "æ")
+    low = F.lower(c)
+    for a in common:
+        low = F.replace(low, F.lit(a), F.lit(several[a]))
+    rare = {k: v for k, v in several.items() if k not in common}
+    keys, inside = "".join(rare), "[" + "".join(f"\\x{{{ord(k):X}}}" for k in rare) + "]"
+    values = F.split(F.lit("\x01".join(rare.values())), "\x01")  # in the order of keys
+    spelt = F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(F.get(values, F.instr(F.lit(keys), x) - 1), x)), "")
+    return F.translate(F.when(low.rlike(inside), spelt).otherwise(low), was + dropped, now)
+
+
+def gold_key(c: Column) -> Column:
+    """Only the letters a to z, in lower case, and digits."""
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
 
 def numbers(c: Column) -> Column:
@@ -60,10 +105,27 @@ def number_set(c: Column) -> Column:
     return F.array_sort(F.array_distinct(numbers(c)))
 
 
+def _plain(n: Column) -> Column:
+    """A number without grouping, and without zeros at its end."""
+    return F.regexp_replace(F.replace(F.format_number(n.cast("double"), 10), F.lit(","), F.lit("")), r"\.?0+$", "")
+
+
 def number_forms(n: Column) -> Column:
-    """The spellings under which a whole number may stand in a text."""
+    """The spellings under which a number may stand in a text: whole ones also with zeros behind the point, others by their places."""
     whole = n.cast("long")
-    return F.array_distinct(F.array(whole.cast("string"), F.format_number(whole, 0), F.format_number(whole.cast("double"), 2), F.concat(whole.cast("string"), F.lit(".0"))))
+    d = n.cast("double")
+    two = F.format_number(d, 2)
+    of_whole = F.array(whole.cast("string"), F.format_number(whole, 0), two, F.concat(whole.cast("string"), F.lit(".0")))
+    tenth = F.when(F.round(d, 1) == d, F.replace(F.format_number(d, 1), F.lit(","), F.lit("")))
+    other = F.array_compact(F.array(_plain(d), F.replace(two, F.lit(","), F.lit("")), two, tenth))
+    return F.array_distinct(F.when(d == whole, of_whole).otherwise(other))
+
+
+def spellings(n: Column) -> Column:
+    """The spellings of a rewrite: a whole number plain and grouped, another also by two places, or one; each with and without $."""
+    whole, d = n.cast("long"), n.cast("double")
+    forms = F.when(d == whole, F.array(whole.cast("string"), F.format_number(whole, 0))).otherwise(number_forms(n))
+    return F.array_distinct(F.concat(forms, F.transform(forms, lambda x: F.concat(F.lit("$"), x))))
 
 
 def digitize(c: Column) -> Column:
@@ -115,6 +177,11 @@ def refusal(c: Column, broad: bool = False) -> Column:
     return mentions(c, narrow + (["insufficient", "not enough information", "cannot be determined", "unknown"] if broad else []))
 
 
+def declines(c: Column, many: bool = False) -> Column:
+    """Whether a keyword of refusal stands in the text; a null text declines nothing."""
+    return mentions(F.coalesce(c, F.lit("")), list(REFUSAL_MANY if many else REFUSAL_FEW))
+
+
 def presence_proxy(item: Column, text: Column, least: int = 2) -> Column:
     """The item's numbers meet the text's, or `least` content words do."""
     return F.arrays_overlap(number_set(item), number_set(text)) | (F.size(F.array_intersect(content_tokens(item), content_tokens(text))) >= least)
@@ -143,6 +210,15 @@ def only_superseded(premises: Column, needle: str, marker: str) -> Column:
     return (F.size(found) > 0) & F.forall(found, lambda p: F.contains(F.lower(p), F.lit(marker)))
 
 
+def stale_only_in_retraction(premises: Column, value: Column, markers: tuple[str, ...]) -> Column:
+    """Every premise with a spelling of the number (plain or grouped, with $ or not) has a marker; false without such a premise."""
+    whole, d = value.cast("long"), value.cast("double")
+    grouped = F.regexp_replace(F.format_number(d, 10), r"\.?0+$", "")
+    forms = F.when(d == whole, F.array(whole.cast("string"), F.format_number(whole, 0))).otherwise(F.array(_plain(d), grouped))  # with $ they hold these
+    found = F.filter(premises, lambda p: F.exists(forms, lambda f: F.contains(p, f)))
+    return F.coalesce((F.size(found) > 0) & F.forall(found, lambda p: mentions(p, list(markers))), F.lit(False))
+
+
 def conclusion(claims: Column, none: str = "No conclusion.") -> Column:
     """Claim texts joined by '; ', without their full stops."""
     return F.when(F.size(claims) > 0, F.concat(F.array_join(F.transform(claims, lambda x: F.rtrim(x, F.lit(" ."))), "; "), F.lit("."))).otherwise(F.lit(none))

@@ -1,4 +1,4 @@
-"""Record scans. Files have no order in Spark, so logs carry a sequence column where the last row counts."""
+"""Record scans. The order of a log is a sequence column of its own, or the place of its lines in their files."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,41 @@ def read_torn_log(spark: SparkSession, path: str, schema: str, seq: str) -> Data
     return rows.crossJoin(F.broadcast(first_bad)).where(F.col("_bad").isNull() | (F.col(seq) < F.col("_bad"))).drop("_bad")
 
 
+def read_positions(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files that aren't blank, with their place: _file, and _at, which rises through a file.
+
+    _at is the beginning of the split and a number that rises with the lines of one task; nothing in a line is trusted.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("_at"))
+    return lines.where(F.trim(F.translate("value", "\t\r", "  ")) != "")
+
+
+def number_lines(rows: DataFrame, name: str = "_line") -> DataFrame:
+    """rows of read_positions, each with its number in its file, from 0. Only counts by split meet in a window."""
+    splits = rows.groupBy("_file", "_at.block").agg(F.count("*").alias("_n"), F.min("_at.id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select(F.col("_file").alias("_f"), F.col("block").alias("_b"), before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_file", "_at.block").orderBy("_at.id")) - 1  # a split has maxPartitionBytes at most
+    out = rows.withColumn("_in", inside).join(splits, (F.col("_file") == F.col("_f")) & (F.col("_at.block") == F.col("_b")))
+    return out.withColumn(name, F.col("_before") + F.col("_in")).drop("_f", "_b", "_before", "_in")
+
+
+def read_log_until_torn(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines up to the first line of each file that is not one whole JSON object, with _file and _at.
+
+    A line is read as VARIANT inside brackets, so a second value behind the first one, or a key that stands twice, breaks it too;
+    a value of another type than the schema's is null and breaks nothing.
+    """
+    whole = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<variant>")
+    lines = read_positions(spark, path).select("_file", "_at", whole.alias("_w"))
+    one = F.when(F.size("_w") == 1, F.get("_w", F.lit(0)))
+    lines = lines.select("_file", "_at", F.when(F.schema_of_variant(one).startswith("OBJECT"), one).alias("_v"))
+    torn = lines.where("_v IS NULL").groupBy(F.col("_file").alias("_torn")).agg(F.min("_at").alias("_end"))
+    kept = lines.where("_v IS NOT NULL").join(torn, F.col("_file") == F.col("_torn"), "left").where(F.col("_end").isNull() | (F.col("_at") < F.col("_end")))
+    fields = T._parse_datatype_string(schema).fields
+    return kept.select(*(F.try_variant_get("_v", f"$['{f.name}']", f.dataType.simpleString()).alias(f.name) for f in fields), "_file", "_at")
+
+
 def read_result_dir(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A folder with one JSON record in each file; names that begin with _ are skipped, the file's stem is task_id."""
     df = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
