@@ -1,8 +1,10 @@
 """Positions and running sums in a global order, without a window that holds all rows.
 
-Rows are cut by the leading column of the order into buckets: by approximate quantiles of numbers, dates and times, by the
-beginning of texts. Sums by bucket are partial aggregates and meet in a window of a few dozen rows a key; windows over rows
-see one bucket only, and add what came before it. So a hot key, or a table without any, is dealt out like any other.
+Rows are cut into buckets by the whole order: cuts are places in the sorted rows of least hash, so they are the same wherever
+they are computed, and a column that is one value in all rows, or texts with a common beginning, are cut by what comes
+after. Sums by bucket are partial aggregates and meet in a window of a few dozen rows a key; windows over rows see one
+bucket only, and add what came before it. So a hot key, or a table without any, is dealt out like any other; only rows that
+are equal in all columns can't be parted.
 """
 
 from __future__ import annotations
@@ -13,16 +15,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS, LETTERS = 64, 3
+#: Buckets, in so many groups of so many; rows of least hash that the cuts are taken from.
+BUCKETS, GROUP, SAMPLE = 64, 8, 2048
 
 
-def bucketed(df: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
-    """df with _b, which rises with the column; nulls come first. The cuts are one row of at most `buckets` values."""
-    if df.schema[order].dataType.simpleString() == "string":
-        return df.withColumn("_b", F.coalesce(F.substring(order, 1, LETTERS), F.lit("")))
-    cuts = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    return df.crossJoin(F.broadcast(cuts)).withColumn("_b", F.when(F.col(order).isNull(), -1).otherwise(F.greatest(below, F.lit(0)))).drop("_cuts")
+def bucketed(df: DataFrame, order: str | list[str], buckets: int = BUCKETS) -> DataFrame:
+    """df with _b, which rises with the order (nulls first). The cuts are one row of at most `buckets` values."""
+    order = [order] if isinstance(order, str) else order
+    hashed = [f"`{c}`" for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    place = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)))
+    few = df.select(place.alias("_o"), F.xxhash64(*hashed).alias("_hash")).orderBy("_hash").limit(SAMPLE)
+    n = F.size("_s")
+    cuts = few.agg(F.sort_array(F.collect_list("_o")).alias("_s")).select(F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: F.get("_s", F.floor(i * n / buckets).cast("int"))).alias("_cuts"))
+    below = lambda c: F.coalesce(c < place, F.lit(False))
+    coarse = F.size(F.filter("_cuts", lambda c, i: ((i + 1) % GROUP == 0) & below(c)))  # a group's last cut first, then those of one group
+    fine = F.size(F.filter(F.slice("_cuts", F.col("_g") * GROUP + 1, F.lit(GROUP - 1)), below))
+    return df.crossJoin(F.broadcast(cuts)).withColumn("_g", coarse).withColumn("_b", F.col("_g") * GROUP + fine).drop("_cuts", "_g")
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, total: str | None = None, buckets: int = BUCKETS) -> DataFrame:
@@ -30,7 +38,9 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: Column, nam
 
     The order has to tell rows apart, or equal rows are numbered in any order.
     """
-    d = bucketed(df.withColumn("_v", value), order[0], buckets)
+    d = df.withColumn("_v", value)
+    d = bucketed(d.withColumn("_tie", F.xxhash64(*(f"`{c}`" for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind))), [*order, "_tie"], buckets)
+    order = [*order, "_tie"]
     sums = d.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
     w = Window.partitionBy(*keys)
     before = F.sum("_s").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
