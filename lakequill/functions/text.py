@@ -84,9 +84,15 @@ def fold(c: Column) -> Column:
     for a in common:
         low = F.replace(low, F.lit(a), F.lit(several[a]))
     rare = {k: v for k, v in several.items() if k not in common}
-    keys, inside = "".join(rare), "[" + "".join(f"\\x{{{ord(k):X}}}" for k in rare) + "]"
+    keys, spans = "".join(rare), list[list[int]]()
+    for code in sorted(map(ord, rare)):  # a few wide ranges: the test may let others through, it must not miss any
+        if spans and code - spans[-1][1] < 64:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    inside = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
     values = F.split(F.lit("\x01".join(rare.values())), "\x01")  # in the order of keys
-    spelt = F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(F.get(values, F.instr(F.lit(keys), x) - 1), x)), "")
+    spelt = F.array_join(F.transform(F.split(low, ""), lambda x: F.when(x < "\x80", x).otherwise(F.coalesce(F.get(values, F.instr(F.lit(keys), x) - 1), x))), "")
     return F.translate(F.when(low.rlike(inside), spelt).otherwise(low), was + dropped, now)
 
 
