@@ -23,7 +23,6 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import duckdb
 import numpy as np
@@ -41,8 +40,8 @@ from lakequill.llm.common import Store, slices, table
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BROADCAST_PAIRS, SALTS = 500_000, 16
-#: Characters of a text taken at a time, segments counted and learnt at a time, segments and their characters that a task remembers.
-PART, SEGMENTS, LEARNT, KEPT, KEPT_CHARS = 1 << 21, 300_000, 40_000, 300_000, 8 << 20
+#: Characters of a text taken at a time, segments counted, learnt and encoded at a time, segments and their characters that a task remembers.
+PART, SEGMENTS, LEARNT, JOINED, KEPT, KEPT_CHARS = 1 << 21, 300_000, 40_000, 500, 200_000, 6 << 20
 _CUT = re.compile(r"(?<=\S) ")
 _ADDED = [
     *(T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_groups", "n_links")), T.StructField("groups", T.StringType()),
@@ -110,6 +109,47 @@ class Aligner:
         self.chars = 0
         self.con.execute("CREATE OR REPLACE TABLE seg (seg INT, n_a BIGINT, n_b BIGINT, n_groups BIGINT, n_links BIGINT); CREATE OR REPLACE TABLE link (seg INT, a INT, b INT, n BIGINT)")
 
+    def encoded(self, segments: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Tokens of either side as (place of the segment, id), and the places whose bytes both sides hold.
+
+        Segments that end in no white space are joined again by spaces, JOINED at a time, as they are cut where neither
+        tokenizer merges; a block whose bytes or cuts differ, and other segments, are encoded one by one.
+        """
+        t = self.tokens
+        plain = [i for i, s in enumerate(segments) if t.free and s and not s[-1].isspace()]
+        blocks = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        alone = sorted(set(range(len(segments))) - set(plain))
+        texts = [" ".join(map(segments.__getitem__, block)) for block in blocks]
+        found: tuple[list, list] = ([], [])
+        for block, text, a, b in zip(blocks, texts, t.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False), t.b.encode(texts, num_threads=1), strict=True):
+            raw, ends = (" " + text).encode("utf-8"), np.cumsum([len(segments[i].encode("utf-8")) + 1 for i in block])
+            made = []
+            for ids, size, tokens in ((a.ids, t.lengths[0], t.a_bytes), (b, t.lengths[1], t.b_bytes)):
+                flat = np.array(ids, np.int32)
+                end = np.cumsum(size[flat])
+                if b"".join(map(tokens.__getitem__, ids)) == raw and (end[np.searchsorted(end, ends)] == ends).all():
+                    made.append((np.array(block)[np.searchsorted(ends, end)], flat))
+            if len(made) == 2:
+                for side, x in zip(found, made, strict=True):
+                    side.append(x)
+            else:
+                alone += block
+        good = np.array(sorted(set(range(len(segments))) - set(alone)), np.int64)
+        if alone:
+            some = [segments[i] for i in alone]
+            a_ids, b_ids = [e.ids for e in t.a.encode_batch_fast([" " + s for s in some], add_special_tokens=False)], t.b.encode(some, num_threads=1)
+            for i, s, a, b in zip(alone, some, a_ids, b_ids, strict=True):
+                if b"".join(map(t.a_bytes.__getitem__, a)) == (" " + s).encode("utf-8") == b"".join(map(t.b_bytes.__getitem__, b)):
+                    for side, ids in zip(found, (a, b), strict=True):
+                        side.append((np.full(len(ids), i), np.array(ids, np.int32)))
+                    good = np.append(good, i)
+        sides = []
+        for side in found:
+            own, flat = (np.concatenate([x[k] for x in side]) if side else np.empty(0, np.int64) for k in (0, 1))
+            order = np.argsort(own, kind="stable")
+            sides.append((own[order].astype(np.int64), flat[order].astype(np.int32)))
+        return sides, np.sort(good)
+
     @staticmethod
     def numbered(side: str) -> str:
         """Tokens with the number of their group, by a running sum over the common ends; `alone`: the only one of its side."""
@@ -121,22 +161,12 @@ class Aligner:
         self.known.update((s, first + i) for i, s in enumerate(segments))
         self.chars += sum(map(len, segments))
         self.groups += [None] * len(segments)
-        a_ids, b_ids = [e.ids for e in t.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)], t.b.encode(segments, num_threads=1)
-        raw = [(" " + s).encode("utf-8") for s in segments]
-        right = np.array([True] * len(raw))
-        sides = [(ids, size, tokens) for ids, size, tokens in ((a_ids, t.lengths[0], t.a_bytes), (b_ids, t.lengths[1], t.b_bytes))]
-        for ids, _, tokens in sides:  # all at once; one by one only where something differs
-            if [len(x) for x in raw] != [sum(map(len, map(tokens.__getitem__, x))) for x in ids] or b"".join(map(tokens.__getitem__, chain.from_iterable(ids))) != b"".join(raw):
-                right &= [b"".join(map(tokens.__getitem__, x)) == y for x, y in zip(ids, raw, strict=True)]
-        good = np.flatnonzero(right)
-        for name, (ids, size, _) in zip("ab", sides, strict=True):
-            own = ids if len(good) == len(ids) else [ids[k] for k in good.tolist()]
-            counts = np.fromiter(map(len, own), np.int64, len(own))
-            flat = np.fromiter(chain.from_iterable(own), np.int32, int(counts.sum()))
+        sides, good = self.encoded(segments)
+        for name, (own, flat), size in zip("ab", sides, t.lengths, strict=True):
             end = np.cumsum(size[flat])
             kind = np.int32 if not len(end) or end[-1] < 2**31 else np.int64
             start = end - size[flat]
-            self.con.register(name + "_in", pa.table({"seg": np.repeat(good + first, counts).astype(np.int32), "id": flat, "s": start.astype(kind), "e": end.astype(kind)}))
+            self.con.register(name + "_in", pa.table({"seg": (own + first).astype(np.int32), "id": flat, "s": start.astype(kind), "e": end.astype(kind)}))
             self.con.execute(f"CREATE OR REPLACE TEMP TABLE {name}_token AS SELECT * FROM {name}_in")
             self.con.unregister(name + "_in")
         self.con.execute(f"""
@@ -152,18 +182,29 @@ class Aligner:
               SELECT a.seg, a.id, b.id FROM a_rest a ASOF JOIN b_rest b ON a.s >= b.s
               UNION ALL
               SELECT a.seg, a.id, b.id FROM a_rest a JOIN b_rest b ON b.s > a.s AND b.s < a.e) GROUP BY ALL;
-            CREATE OR REPLACE TEMP TABLE part AS
-              SELECT seg, g, a || '|' || b AS ids, 1 AS n_a, 1 AS n_b FROM one
-              UNION ALL
-              SELECT seg, g, a.ids || '|' || b.ids, n_a, n_b FROM
-                (SELECT seg, g, string_agg(id, ',' ORDER BY s) AS ids, count(*) AS n_a FROM a_rest GROUP BY seg, g) a JOIN (SELECT g, string_agg(id, ',' ORDER BY s) AS ids, count(*) AS n_b FROM b_rest GROUP BY g) b USING (g);
-            INSERT INTO seg SELECT seg, n_a, n_b, n_groups, n FROM (SELECT seg, sum(n_a)::BIGINT AS n_a, sum(n_b)::BIGINT AS n_b, count(*) AS n_groups FROM part GROUP BY seg) JOIN (SELECT seg, sum(n) AS n FROM link WHERE seg >= {first} GROUP BY seg) USING (seg);
         """)
-        made = self.con.execute("SELECT seg, ids FROM part ORDER BY g").fetchnumpy()
-        self.con.execute("".join(f"DROP TABLE {x};" for x in ("a_token", "b_token", "cut", "a_num", "b_num", "one", "a_rest", "b_rest", "part")))
-        ids, cut = made["ids"].tolist(), np.append(np.searchsorted(made["seg"], good + first), len(made["seg"])).tolist()
+        # groups stand in the order of their numbers; most are one token on either side, and pairs of ids repeat
+        read = lambda sql: self.con.execute(sql).fetchnumpy()
+        one = read("SELECT seg, g, a, b FROM one")
+        more = read("""
+            SELECT seg, g, a.ids || '|' || b.ids AS ids, n_a, n_b FROM
+              (SELECT seg, g, string_agg(id, ',' ORDER BY s) AS ids, count(*) AS n_a FROM a_rest GROUP BY seg, g) a JOIN (SELECT g, string_agg(id, ',' ORDER BY s) AS ids, count(*) AS n_b FROM b_rest GROUP BY g) b USING (g)
+        """)
+        pairs, which = np.unique(one["a"].astype(np.int64) << 32 | one["b"], return_inverse=True)
+        said = np.empty(len(one["g"]) + len(more["g"]), object)
+        of, sizes = np.zeros(len(said), np.int64), np.ones((2, len(said)), np.int64)
+        said[one["g"]] = np.array([f"{x >> 32}|{x & 0xFFFFFFFF}" for x in pairs.tolist()], object)[which] if len(pairs) else []
+        said[more["g"]], of[one["g"]], of[more["g"]], sizes[0][more["g"]], sizes[1][more["g"]] = more["ids"], one["seg"], more["seg"], more["n_a"], more["n_b"]
+        ids, cut = said.tolist(), np.append(np.searchsorted(of, good + first), len(of)).tolist()
         for k, i, j in zip((good + first).tolist(), cut, cut[1:], strict=False):
             self.groups[k] = ";".join(ids[i:j])
+        own = (of - first).astype(np.int64)
+        n_a, n_b = (np.bincount(own, x, len(segments)).astype(np.int64)[good] for x in sizes)
+        made = pa.table({"seg": (good + first).astype(np.int32), "n_a": n_a, "n_b": n_b, "n_groups": np.bincount(own, minlength=len(segments))[good]})
+        self.con.register("made", made)
+        self.con.execute(f"INSERT INTO seg SELECT made.*, n FROM made JOIN (SELECT seg, sum(n) AS n FROM link WHERE seg >= {first} GROUP BY seg) USING (seg)")
+        self.con.unregister("made")
+        self.con.execute("".join(f"DROP TABLE {x};" for x in ("a_token", "b_token", "cut", "a_num", "b_num", "one", "a_rest", "b_rest")))
 
     def segments(self, text: str) -> Iterator[list[str]]:
         """The segments of a text, each without its leading space; one list for each part of the text."""
