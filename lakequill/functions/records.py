@@ -92,6 +92,14 @@ def leave_one_out(scores: Column, dropped: Column) -> Column:
     return F.when(ok, best(scores) - best(without)).otherwise(F.raise_error(F.lit("no such source")).cast("double"))
 
 
+def leave_set_out(scores: Column, dropped: Column) -> Column:
+    """Best score over all sources less the best without those of a set; an index out of range, or null, raises, a repeated one counts once."""
+    best = lambda a: F.coalesce(F.array_max(a), F.lit(0.0))
+    known = F.forall(dropped, lambda i: i.isNotNull() & (i >= 0) & (i < F.size(scores)))
+    contrast = best(scores) - best(F.filter(scores, lambda x, i: ~F.array_contains(dropped, i)))
+    return F.when(known, contrast).otherwise(F.raise_error(F.concat(F.lit("no such source: "), F.array_join(dropped.cast("array<string>"), ", ", "null"))).cast("double"))
+
+
 def entropy(p: Column) -> Column:
     """Of a probability array, in nats."""
     return F.aggregate(p, F.lit(0.0), lambda a, x: a - F.when(x > 0, x * F.ln(x)).otherwise(0.0))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakequill.functions import echo
+from lakequill.functions import records as R
 from lakequill.functions import text as X
 from lakequill.operators import latest as L
 from lakequill.plans.catalog import Tables, query, rounded
@@ -101,6 +102,16 @@ def stale_only_retracted(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", X.stale_only_in_retraction(F.array(first, second), price, echo.SUPERSESSION).alias("stale_only"))
 
 
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(l_discount, l_tax, 0.04::DOUBLE) - CASE l_linenumber % 3 WHEN 0 THEN greatest(l_tax, 0.04::DOUBLE) WHEN 1 THEN 0.04::DOUBLE ELSE l_tax END, 6) AS contrast FROM lineitem
+""")
+def leave_set_out_contrast(t: Tables) -> DataFrame:
+    """What the first source gives, alone or together with another."""
+    scores = F.array("l_discount", "l_tax", F.lit(0.04))
+    dropped = F.array(F.lit(0), (F.col("l_linenumber") % 3).cast("int"))
+    return rounded(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", R.leave_set_out(scores, dropped).alias("contrast")), "contrast")
+
+
 @query("""
 SELECT conv_id, turn, role, regexp_matches(coalesce(lower(text), ''), 'cannot compute|not provided|no meter|no values|cannot calculate|not specified|declarations page|unable to') AS few,
   regexp_matches(coalesce(lower(text), ''), 'cannot compute|not provided|no meter|no values|cannot calculate|not specified|declarations page|unable to|missing|not given|need the|were provided|without the|don''t have|do not have|please provide|isn''t sufficient|is not sufficient|provide the|provide those') AS many

@@ -81,3 +81,15 @@ def test_spellings_and_keys(spark):
     stale = lambda *p: one(text.stale_only_in_retraction(F.array(*map(F.lit, p)), F.lit(8000.0), echo.SUPERSESSION))
     assert stale("It was $8,000.", "Nothing") and not stale("It was $8,000.", "Pay 8000 now") and not stale("Nothing was") and stale("Corrected from 8000")
     assert one(text.declines(F.lit("Please PROVIDE the meter"), True)) and not one(text.declines(F.lit("Please provide the meter"))) and not one(text.declines(F.lit(None).cast("string"), True))
+
+
+def test_leave_set_out(spark):
+    import pytest
+
+    from lakequill.functions import records
+
+    one = lambda *dropped: spark.range(1).select(records.leave_set_out(F.array(F.lit(0.9), F.lit(0.5), F.lit(0.7)), F.array(*map(F.lit, dropped)).cast("array<int>")).alias("r")).first().r
+    assert [round(one(*x), 6) for x in ((), (0,), (0, 2), (0, 0), (1, 2), (0, 1, 2))] == [0.0, 0.2, 0.4, 0.2, 0.0, 0.9]
+    for bad in ((3,), (0, -1)):
+        with pytest.raises(Exception, match="no such source"):
+            one(*bad)
