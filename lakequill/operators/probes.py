@@ -1,4 +1,4 @@
-"""Vector operators: semantic volume, ridge and logistic probes, bootstraps. Numpy works inside Arrow batches, sums merge in Spark."""
+"""Vector operators: semantic volume, ridge and logistic probes. Numpy works inside Arrow batches, sums merge in Spark."""
 
 from __future__ import annotations
 
@@ -171,52 +171,3 @@ def logistic(df: DataFrame, vector: str, label: str, c: float = 1.0, steps: int
         if np.abs(move).max() < 1e-8:
             break
     return theta[:-1], float(theta[-1])
-
-
-def poisson_steps() -> list[float]:
-    """Distribution function of Poisson(1) at 0, 1, ..., as far as 52-bit numbers tell it from 1."""
-    out, p = [], float(np.exp(-1))
-    for k in range(1, 18):
-        out.append((out[-1] if out else 0.0) + p)
-        p /= k
-    return out
-
-
-def _keyed(df: DataFrame, key: str | None, *columns: str) -> DataFrame:
-    """Rows that have all the columns, with _key: the key's text, or that of the whole row."""
-    known = df
-    for c in columns:
-        known = known.where(F.col(c).isNotNull())
-    return known.select((F.col(key).cast("string") if key else F.to_json(F.struct(*df.columns))).alias("_key"), *dict.fromkeys(columns))
-
-
-def _resampled(known: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """known once for each replicate r (0 is the data itself) with a Poisson(1) weight w. The weight is drawn by the MD5 of seed,
-    replicate and _key, the same on any engine and any partitioning; rows of one key share it."""
-    draws = known.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), "_key")), 1, 13)
-    u = F.conv(digits, 16, 10).cast("double") / float(1 << 52)
-    weight = sum((F.when(u >= p, 1).otherwise(0) for p in poisson_steps()), F.lit(0))
-    return draws.withColumn("w", F.when(F.col("r") == 0, 1).otherwise(weight)).where("w > 0")
-
-
-def _interval(by_replicate: DataFrame, x: str) -> DataFrame:
-    """(observed, low, high): the data's own value and the percentile interval of the replicates."""
-    drawn = F.when(F.col("r") > 0, F.col(x))
-    return by_replicate.where(F.col(x).isNotNull()).agg(F.max(F.when(F.col("r") == 0, F.col(x))).alias("observed"), F.percentile(drawn, F.lit(0.025)).alias("low"), F.percentile(drawn, F.lit(0.975)).alias("high"))
-
-
-def bootstrap_auroc(df: DataFrame, score: str, label: str, replicates: int = 200, seed: int = 0, key: str | None = None) -> DataFrame:
-    """(observed, low, high) of one score's AUROC; replicates with a single class are left out."""
-    from lakequill.operators.stats import auroc
-
-    return _interval(auroc(_resampled(_keyed(df, key, score, label), replicates, seed), ["r"], score, label, "w"), "auroc")
-
-
-def bootstrap_auroc_difference(df: DataFrame, a: str, b: str, label: str, replicates: int = 200, seed: int = 0, key: str | None = None) -> DataFrame:
-    """(observed, low, high) of AUROC(a) - AUROC(b) over paired resamples; replicates with a single class are left out."""
-    from lakequill.operators.stats import auroc
-
-    draws = _resampled(_keyed(df, key, a, b, label), replicates, seed)
-    x, y = (auroc(draws, ["r"], c, label, "w").select("r", F.col("auroc").alias(n)) for c, n in ((a, "x"), (b, "y")))
-    return _interval(x.join(y, "r").select("r", (F.col("x") - F.col("y")).alias("d")), "d")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakequill.functions.records import dose, entropy, leave_one_out, softmax
 from lakequill.operators import aggregates as A
 from lakequill.operators import probes as P
+from lakequill.operators import resample as B
 from lakequill.operators import sampling as M
 from lakequill.operators import stats as S
 from lakequill.operators import votes as V
@@ -321,10 +322,44 @@ def logistic_median_split(t: Tables) -> DataFrame:
 
 
 _LABELLED_SQL = "SELECT d.doc_id, d.n_chars, d.doc_id % 97 AS other, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic IS NOT NULL"
-_DRAWN_SQL = f"""
-k AS ({_LABELLED_SQL}), r AS (SELECT unnest(range(0, 51)) AS r),
-u AS (SELECT *, ('0x' || substr(md5('0:' || r::VARCHAR || ':' || doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM k, r),
-w AS (SELECT *, CASE WHEN r = 0 THEN 1 ELSE {" + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in P.poisson_steps())} END AS w FROM u)"""
+_LEAF, _REPLICATES = 64, 50
+_SIZES_SQL = """
+size AS (SELECT count(*) FILTER (toxic = 1) AS np, count(*) AS n FROM k),
+cdf AS (SELECT j, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(np / n) + (n - j) * ln(1 - np / n))) OVER (ORDER BY j) AS f FROM (SELECT *, unnest(range(0, n + 1)) AS j FROM size)),
+tried AS (SELECT r, a, count(*) FILTER (f <= (h + 0.5) / 4294967296) AS m FROM (SELECT r, a, {hash} AS h FROM range(1, 51) x(r), range(0, 20) y(a)), cdf GROUP BY ALL),
+positives AS (SELECT r, arg_min(m, a) AS m FROM tried, size WHERE m > 0 AND m < n GROUP BY r),
+share AS (SELECT r, 1 AS c, m::BIGINT AS m FROM positives UNION ALL SELECT r, 0, (n - m)::BIGINT FROM positives, size)"""
+
+
+def _hash_sql(*parts: str) -> str:
+    x = "xor(h, p)"
+    for shift, times in ((16, 0x7FEB352D), (15, 0x2C1B3C6D)):
+        x = f"((xor({x}, ({x}) >> {shift}) * {times}) & 4294967295)"
+    return f"list_reduce([0::BIGINT, {', '.join(f'({p})::BIGINT' for p in parts)}], lambda h, p: xor({x}, ({x}) >> 16))"
+
+
+def _drawn_sql(share: str) -> str:
+    """w(r, w, toxic, ...): counts of rows drawn with replacement, `share` (r, c, m) of them from each class, by splits of blocks in two."""
+    u = _hash_sql("0", "r", "c", "level", "node")
+    pmf = "exp(lgamma(m + 1) - lgamma(b.j + 1) - lgamma(m - b.j + 1) + b.j * ln(greatest(q, 1e-300)) + (m - b.j) * ln(greatest(1 - q, 1e-300)))"
+    steps = f"list_reduce(list_prepend({{'j': -1::BIGINT, 's': 0::DOUBLE, 'n': 0::BIGINT}}, list_transform(range(0, m + 1), lambda x: {{'j': x, 's': 0::DOUBLE, 'n': 0::BIGINT}})), lambda a, b: {{'j': b.j, 's': a.s + {pmf}, 'n': a.n + (a.s + {pmf} <= u)::BIGINT}}).n"
+    return f"""
+k AS ({_LABELLED_SQL}), {share},
+row AS (SELECT *, (toxic = 1)::INT AS c, row_number() OVER (PARTITION BY toxic = 1 ORDER BY doc_id::VARCHAR) - 1 AS i FROM k),
+total AS (SELECT c, count(*) AS n, CASE WHEN count(*) <= {_LEAF} THEN 0 ELSE floor(log2(ceil(count(*) / {_LEAF}) - 1))::INT + 1 END AS depth FROM row GROUP BY c),
+node AS (SELECT r, s.c, n, depth, 0 AS level, 0::BIGINT AS node, m FROM share s JOIN total t ON s.c = t.c),
+tree AS (SELECT * FROM node UNION ALL
+  SELECT r, c, n, depth, level + 1, 2 * node + side, CASE WHEN side = 0 THEN ml ELSE m - ml END
+  FROM (SELECT *, CASE WHEN q >= 1 THEN m WHEN q <= 0 THEN 0 ELSE {steps} END AS ml
+    FROM (SELECT *, greatest(0, least(w, n - 2 * node * w)) / greatest(1, greatest(0, least(2 * w, n - 2 * node * w))) AS q, ({u} + 0.5) / 4294967296 AS u
+      FROM (SELECT *, ({_LEAF} << (depth - level - 1))::BIGINT AS w FROM tree WHERE level < depth))), range(0, 2) z(side)),
+dealt AS (SELECT r, c, node * {_LEAF} + (({_hash_sql("0", "r", "c", "100", "node", "d")} * least({_LEAF}, n - node * {_LEAF})) >> 32) AS i
+  FROM (SELECT *, unnest(range(0, m)) AS d FROM tree WHERE level = depth)),
+w AS (SELECT 0 AS r, 1 AS w, k.* FROM k UNION ALL SELECT g.r, g.w, row.* EXCLUDE (c, i) FROM (SELECT r, c, i, count(*) AS w FROM dealt GROUP BY ALL) g JOIN row ON g.c = row.c AND g.i = row.i)"""
+
+
+_DRAWN_SQL = _drawn_sql(_SIZES_SQL.format(hash=_hash_sql("0", "r", "2", "a")).strip())
+_MIXTURE_SQL = _drawn_sql("share AS (SELECT r, c, CASE c WHEN 1 THEN 94 ELSE 32 END::BIGINT AS m FROM range(1, 51) x(r), range(0, 2) y(c))")
 
 
 def _auroc_sql(score: str) -> str:
@@ -336,15 +371,22 @@ def _auroc_sql(score: str) -> str:
 _INTERVAL_SQL = "SELECT round(max(x) FILTER (r = 0), 6) AS observed, round(quantile_cont(x, 0.025) FILTER (r > 0), 6) AS low, round(quantile_cont(x, 0.975) FILTER (r > 0), 6) AS high FROM d WHERE x IS NOT NULL"
 
 
-@query(f"WITH {_DRAWN_SQL}, d AS (SELECT a.r, a.auroc - b.auroc AS x FROM {_auroc_sql('n_chars')} a JOIN {_auroc_sql('other')} b ON a.r = b.r) {_INTERVAL_SQL}")
+@query(f"WITH RECURSIVE {_DRAWN_SQL}, d AS (SELECT a.r, a.auroc - b.auroc AS x FROM {_auroc_sql('n_chars')} a JOIN {_auroc_sql('other')} b ON a.r = b.r) SELECT *, low > 0 OR high < 0 AS excludes_zero FROM ({_INTERVAL_SQL})")
 def bootstrap_auroc_interval(t: Tables) -> DataFrame:
     rows = _labelled(t).withColumn("other", F.col("doc_id") % 97)
-    return rounded(P.bootstrap_auroc_difference(rows, "n_chars", "other", "toxic", replicates=50, key="doc_id"), "observed", "low", "high")
+    return rounded(B.bootstrap_auroc_difference(rows, "n_chars", "other", "toxic", _REPLICATES, key="doc_id", leaf=_LEAF), "observed", "low", "high")
 
 
-@query(f"WITH {_DRAWN_SQL}, d AS (SELECT r, auroc AS x FROM {_auroc_sql('n_chars')}) {_INTERVAL_SQL}")
+@query(f"WITH RECURSIVE {_DRAWN_SQL}, d AS (SELECT r, auroc AS x FROM {_auroc_sql('n_chars')}) {_INTERVAL_SQL}")
 def bootstrap_single_interval(t: Tables) -> DataFrame:
-    return rounded(P.bootstrap_auroc(_labelled(t), "n_chars", "toxic", replicates=50, key="doc_id"), "observed", "low", "high")
+    return rounded(B.bootstrap_auroc(_labelled(t), "n_chars", "toxic", _REPLICATES, key="doc_id", leaf=_LEAF), "observed", "low", "high")
+
+
+@query(f"""WITH RECURSIVE {_MIXTURE_SQL}, d AS (SELECT r, auroc AS x FROM {_auroc_sql('n_chars')} WHERE r > 0), l AS (SELECT quantile_cont(x, 0.025) AS low, quantile_cont(x, 0.975) AS high, quantile_cont(x, 0.5) AS median FROM d)
+SELECT round(low, 6) AS low, round(high, 6) AS high, round(high - low, 6) AS width, round(median, 6) AS median, (SELECT count(*) FROM k WHERE toxic = 1) AS n_pos, (SELECT count(*) FROM k WHERE toxic <> 1) AS n_neg FROM l""")
+def bootstrap_mixture_interval(t: Tables) -> DataFrame:
+    """126 rows of which a quarter are negative, which the labels don't have."""
+    return rounded(B.mixture(_labelled(t), "n_chars", "toxic", 126, 0.25, _REPLICATES, key="doc_id", leaf=_LEAF), "low", "high", "width", "median")
 
 
 @query("""
