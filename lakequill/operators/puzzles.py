@@ -1,52 +1,95 @@
-"""Seating puzzles solved by joins, and a deterministic generator by integer arithmetic."""
+"""Seating puzzles as a table, all solved at once, and a deterministic generator by integer arithmetic.
 
-from __future__ import annotations
+A puzzle seats n names (0 to n-1) on seats 1 to n under clues (op, a, b). at: a sits at seat b; imm: directly before b; lt:
+somewhere before b; adj: beside b; nat: not at seat b. A seating is one number, four bits a name. What each of the n! seatings
+violates is a set of clues, a bit each; a set of clues leaves the solution alone exactly if it meets every other seating's
+set. So uniqueness, the shortest prefix that is enough and pruning need the seatings once, in the puzzle's own row: no join
+but that with the seatings, no shuffle, no job per clue.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def constraint(op: str, a: str, b: str | int | None = None) -> Column:
-    """at: a sits at seat b; imm: directly before b; lt: somewhere before b; adj: beside b; nat: not at seat b."""
-    x = F.col(a)
-    y = F.lit(b) if isinstance(b, int) else F.col(b)
-    return {"at": x == y, "nat": x != y, "imm": x + 1 == y, "lt": x < y, "adj": F.abs(x - y) == 1}[op]
-
-
-def solve(spark: SparkSession, names: list[str], constraints: list[tuple]) -> DataFrame:
-    """Every seating (a column a name) that meets the constraints.
-
-    Names join one at a time, each under the constraints whose names are all seated, so few partial seatings survive.
-    """
-    if len(names) > 8:
-        raise ValueError("more than eight seats")
-    seats = lambda n: spark.range(1, len(names) + 1).select(F.col("id").cast("int").alias(n))
-    out, placed = None, []
-    for name in names:
-        placed.append(name)
-        free = reduce(lambda p, q: p & q, (F.col(name) != F.col(o) for o in placed[:-1]), F.lit(True))
-        out = seats(name) if out is None else out.join(F.broadcast(seats(name)), free)
-        for op, a, *b in constraints:
-            own = [a, *(x for x in b if isinstance(x, str))]
-            if name in own and set(own) <= set(placed):
-                out = out.where(constraint(op, a, *b))
-    return out
-
-
-def is_unique(spark: SparkSession, names: list[str], constraints: list[tuple]) -> bool:
-    return len(solve(spark, names, constraints).limit(2).collect()) == 1
-
-
-def minimal(spark: SparkSession, names: list[str], constraints: list[tuple]) -> list[tuple]:
-    """Constraints dropped from the left while the solution stays unique."""
-    kept = list(constraints)
-    for c in constraints:
-        fewer = [x for x in kept if x is not c]
-        if is_unique(spark, names, fewer):
-            kept = fewer
-    return kept
+#: 8! seatings are 40,320 numbers; a set of clues is one number of 63 bits.
+SEATS, CLUES = 8, 63
+
+
+def seat(seating: Column, name: Column) -> Column:
+    return F.call_function("shiftright", seating, (name * 4).cast("int")).bitwiseAND(F.lit(15)).cast("int")
+
+
+def broken(seating: Column, clue: Column) -> Column:
+    """True where the clue doesn't hold; null for an operation that isn't known."""
+    x, b = seat(seating, clue["a"]), clue["b"]
+    y = seat(seating, b)
+    op = clue["op"]
+    return ~F.when(op == "at", x == b).when(op == "nat", x != b).when(op == "imm", x + 1 == y).when(op == "lt", x < y).when(op == "adj", F.abs(x - y) == 1)
+
+
+def seatings(spark: SparkSession, most: int = SEATS) -> DataFrame:
+    """(n, seatings) for n from 1 to most: names sit down one after another, each on a seat that is free."""
+    if not 1 <= most <= SEATS:
+        raise ValueError(f"one to {SEATS} seats")
+    n = spark.range(1, most + 1).select(F.col("id").cast("int").alias("n"))
+
+    def sit(held: Column, name: Column) -> Column:
+        seats = F.sequence(F.lit(1), F.col("n"))
+        taken = lambda s, k: F.exists(F.sequence(F.lit(0), F.col("n") - 1), lambda o: (o < name) & (seat(s, o) == k))
+        put = lambda s: F.transform(F.filter(seats, lambda k: ~taken(s, k)), lambda k: s + F.call_function("shiftleft", k.cast("long"), (name * 4).cast("int")))
+        return F.flatten(F.transform(held, put))
+
+    return n.select("n", F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.array(F.lit(0).cast("long")), sit).alias("seatings"))
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+
+
+def solved(puzzles: DataFrame, n: Column, clues: str, most: int = SEATS) -> DataFrame:
+    """puzzles with solutions (seatings as numbers, ascending), reason (null where there is just one; "seats", "clues" for a puzzle
+    that is not of this kind, "none", "several"), prefix (the fewest clues from the left that leave one) and minimal (the clues left
+    after dropping, from the left, each without which one solution is left; at least one stays). The last two are null beside a reason."""
+    table = seatings(puzzles.sparkSession, most).withColumnsRenamed({"n": "_n", "seatings": "_seatings"})
+    d = puzzles.join(F.broadcast(table), n == F.col("_n"), "left")
+    k = F.size(clues)
+    known = F.col("_n").isNotNull() & F.col(clues).isNotNull() & (k <= CLUES)
+    sets = F.transform("_seatings", lambda p: F.struct(p.alias("p"), F.aggregate(F.transform(clues, lambda c, i: broken(p, c).cast("long") * _bit(i)), F.lit(0).cast("long"), lambda m, x: m + x).alias("m")))
+    d = d.withColumn("_sets", F.when(known, sets))
+    d = d.withColumn("_others", F.array_distinct(F.filter(F.transform("_sets", lambda s: s["m"]), lambda m: m != 0)))
+    d = d.withColumn("solutions", F.array_sort(F.transform(F.filter("_sets", lambda s: s["m"] == 0), lambda s: s["p"])))
+    bad = F.exists("_sets", lambda s: s["m"].isNull())
+    d = d.withColumn("reason", F.when(F.col("_n").isNull(), "seats").when(~known | bad, "clues").when(F.size("solutions") == 0, "none").when(F.size("solutions") > 1, "several"))
+    first = lambda m: F.array_min(F.filter(F.sequence(F.lit(0), k - 1), lambda i: m.bitwiseAND(_bit(i)) != 0))
+    enough = lambda kept: (kept != 0) & ~F.exists("_others", lambda m: m.bitwiseAND(kept) == 0)
+    drop = lambda kept, i: F.when(enough(kept.bitwiseAND(F.bitwise_not(_bit(i)))), kept.bitwiseAND(F.bitwise_not(_bit(i)))).otherwise(kept)
+    whole = F.aggregate(F.sequence(F.lit(0), k - 1), F.lit(0).cast("long"), lambda m, i: m + _bit(i))
+    kept = F.aggregate(F.sequence(F.lit(0), k - 1), whole, drop)
+    fine = F.col("reason").isNull() & (k > 0)
+    d = d.withColumn("prefix", F.when(fine, F.coalesce(F.array_max(F.transform("_others", lambda m: first(m))) + 1, F.lit(0))))
+    d = d.withColumn("_kept", F.when(fine, kept))
+    d = d.withColumn("minimal", F.when(F.col("_kept").isNotNull(), F.filter(clues, lambda c, i: F.col("_kept").bitwiseAND(_bit(i)) != 0)))
+    return d.drop("_n", "_seatings", "_sets", "_others", "_kept")
+
+
+def hashed_puzzles(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """df with clues: a seating by the hash of (seed, key, name) and all that is true of it (pairs, seats taken, seats not taken), in the
+    order of a hash. Any row can be made alone."""
+    digest = lambda *x: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), *x))
+    places = [digest(F.lit(str(a))) for a in range(n)]
+    d = df.withColumn("_p", F.array(*places))
+    d = d.withColumn("_seat", F.transform("_p", lambda x: F.size(F.filter("_p", lambda y: y <= x))))
+    clue = lambda op, a, b: F.struct(op.alias("op"), a.cast("int").alias("a"), b.cast("int").alias("b"))
+    at = lambda a: F.col("_seat")[a]
+    all_ = [clue(F.when(at(a) == s, "at").otherwise("nat"), F.lit(a), F.lit(s)) for a in range(n) for s in range(1, n + 1)]
+    for a in range(n):
+        for b in range(a + 1, n):
+            first, second = F.least(at(a), at(b)), F.greatest(at(a), at(b))
+            x, y = F.when(at(a) < at(b), a).otherwise(b), F.when(at(a) < at(b), b).otherwise(a)
+            all_.append(clue(F.when(first + 1 == second, "imm").otherwise("lt"), x, y))
+    order = F.transform(F.array(*all_), lambda c: F.struct(digest(c["op"], c["a"].cast("string"), c["b"].cast("string")).alias("h"), c.alias("c")))
+    return d.withColumn("clues", F.transform(F.array_sort(order), lambda x: x["c"])).drop("_p", "_seat")
 
 
 def draws(spark: SparkSession, families: int, per_family: int, seed: int, low: int, high: int) -> DataFrame:

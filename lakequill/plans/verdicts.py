@@ -73,14 +73,39 @@ def scoped_case_counts(t: Tables) -> DataFrame:
     return C.by_dose(C.exploded(rows))
 
 
-@query("""
-WITH s AS (SELECT unnest(range(1, 6))::INT AS s)
-SELECT a.s AS a, b.s AS b, c.s AS c, d.s AS d, e.s AS e FROM s a, s b, s c, s d, s e
-WHERE a.s <> b.s AND a.s <> c.s AND a.s <> d.s AND a.s <> e.s AND b.s <> c.s AND b.s <> d.s AND b.s <> e.s AND c.s <> d.s AND c.s <> e.s AND d.s <> e.s
-  AND a.s < b.s AND abs(b.s - c.s) = 1 AND d.s <> 5 AND c.s + 1 = e.s
+_PUZZLE_SQL = """
+e AS (SELECT o_orderkey AS k, list_transform(range(0, 5), lambda a: md5('0:' || o_orderkey::VARCHAR || ':' || a::VARCHAR)) AS h FROM orders),
+t AS (SELECT k, list_transform(h, lambda x: len(list_filter(h, lambda y: y <= x))) AS s FROM e),
+c AS (SELECT k, CASE WHEN s[a + 1] = b THEN 'at' ELSE 'nat' END AS op, a, b FROM t, range(0, 5) x(a), range(1, 6) y(b)
+  UNION ALL SELECT k, CASE WHEN abs(s[a + 1] - s[b + 1]) = 1 THEN 'imm' ELSE 'lt' END, CASE WHEN s[a + 1] < s[b + 1] THEN a ELSE b END, CASE WHEN s[a + 1] < s[b + 1] THEN b ELSE a END FROM t, range(0, 5) x(a), range(0, 5) y(b) WHERE a < b),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY md5('0:' || k::VARCHAR || ':' || op || ':' || a::VARCHAR || ':' || b::VARCHAR)) - 1 AS i FROM c),
+p AS (SELECT [v, w, x, y, z] AS p, v + 16 * w + 256 * x + 4096 * y + 65536 * z AS code FROM range(1, 6) a(v), range(1, 6) b(w), range(1, 6) c(x), range(1, 6) d(y), range(1, 6) e(z) WHERE len(list_distinct([v, w, x, y, z])) = 5),
+m AS (SELECT k, code, sum(CASE WHEN CASE op WHEN 'at' THEN p[a + 1] = b WHEN 'nat' THEN p[a + 1] <> b WHEN 'imm' THEN p[a + 1] + 1 = p[b + 1] ELSE p[a + 1] < p[b + 1] END THEN 0 ELSE 1::BIGINT << i::INT END)::BIGINT AS m FROM o, p GROUP BY ALL)"""
+
+
+@query(f"""
+WITH {_PUZZLE_SQL},
+f AS (SELECT k, list(DISTINCT m) FILTER (m > 0) AS ms, (max(log2(m & -m)) FILTER (m > 0))::INT + 1 AS prefix FROM m GROUP BY k),
+g AS (SELECT k, prefix, list_reduce(list_prepend((1::BIGINT << 35) - 1, range(0, 35)), lambda s, i: CASE WHEN len(list_filter(ms, lambda x: x & (s & ~(1::BIGINT << i::INT)) = 0)) = 0 THEN s & ~(1::BIGINT << i::INT) ELSE s END) AS kept FROM f)
+SELECT g.k AS o_orderkey, any_value(prefix) AS prefix, string_agg(op || ' ' || a::VARCHAR || ' ' || b::VARCHAR, ', ' ORDER BY i) AS minimal,
+  (SELECT list_position(s, 2 + g.k % 3) - 1 FROM t WHERE t.k = g.k) AS gold
+FROM g JOIN o ON g.k = o.k AND (kept >> o.i::INT) & 1 = 1 GROUP BY g.k
+""")
+def seating_puzzles(t: Tables) -> DataFrame:
+    """A puzzle of five names from each order: how many clues from the left are enough, a minimal set of them, and who sits at a seat."""
+    done = Z.solved(Z.hashed_puzzles(t.orders.select("o_orderkey"), "o_orderkey", 5), F.lit(5), "clues", 5)
+    said = F.array_join(F.transform("minimal", lambda c: F.concat_ws(" ", c["op"], c["a"].cast("string"), c["b"].cast("string"))), ", ")
+    asked = F.filter(F.sequence(F.lit(0), F.lit(4)), lambda a: Z.seat(F.col("solutions")[0], a) == 2 + F.col("o_orderkey") % 3)[0]
+    return done.select("o_orderkey", "prefix", said.alias("minimal"), asked.alias("gold"))
+
+
+@query(f"""
+WITH {_PUZZLE_SQL} SELECT k AS o_orderkey, count(*) FILTER (m & 15 = 0)::INT AS solutions, min(code) FILTER (m & 15 = 0) AS first_solution, CASE WHEN count(*) FILTER (m & 15 = 0) > 1 THEN 'several' END AS reason FROM m GROUP BY 1
 """)
 def seating_solutions(t: Tables) -> DataFrame:
-    return Z.solve(t.spark, list("abcde"), [("lt", "a", "b"), ("adj", "b", "c"), ("nat", "d", 5), ("imm", "c", "e")])
+    """All seatings under the first four clues of each order's puzzle."""
+    rows = Z.hashed_puzzles(t.orders.select("o_orderkey"), "o_orderkey", 5).withColumn("clues", F.slice("clues", 1, 4))
+    return Z.solved(rows, F.lit(5), "clues", 5).select("o_orderkey", F.size("solutions").alias("solutions"), F.col("solutions")[0].alias("first_solution"), "reason")
 
 
 @query("""

@@ -102,12 +102,54 @@ def test_packets(spark):
         cases.blinded(df, "k", ["flag"], ["flag"])
 
 
+def plain_puzzle(n, clues):
+    """Solutions, shortest prefix and pruned clues by enumeration, one clue at a time."""
+    rule = {"at": lambda p, a, b: p[a] == b, "nat": lambda p, a, b: p[a] != b, "imm": lambda p, a, b: p[a] + 1 == p[b], "lt": lambda p, a, b: p[a] < p[b], "adj": lambda p, a, b: abs(p[a] - p[b]) == 1}
+    left = lambda cs: [p for p in itertools.permutations(range(1, n + 1)) if all(rule[o](p, a, b) for o, a, b in cs)]
+    found = left(clues)
+    if len(found) != 1:
+        return found, None, None
+    prefix = next(i for i in range(len(clues) + 1) if len(left(clues[:i])) == 1)
+    kept, i = list(clues), 0
+    while i < len(kept):
+        fewer = kept[:i] + kept[i + 1 :]
+        if fewer and len(left(fewer)) == 1:
+            kept, i = fewer, 0
+        else:
+            i += 1
+    return found, prefix, kept
+
+
 def test_puzzles(spark):
-    names, rules = ["a", "b", "c", "d"], [("at", "a", 2), ("imm", "c", "d"), ("lt", "b", "c"), ("nat", "b", 4)]
-    got = {tuple(r) for r in puzzles.solve(spark, names, rules).select(*names).collect()}
-    ok = lambda a, b, c, d: a == 2 and c + 1 == d and b < c and b != 4
-    assert got == {p for p in itertools.permutations(range(1, 5)) if ok(*p)} and puzzles.is_unique(spark, names, rules)
-    assert len(puzzles.minimal(spark, names, rules)) < len(rules)
+    import random
+
+    rng, made = random.Random(2), []
+    for i in range(60):
+        n = rng.choice([1, 2, 3, 4, 4, 5])
+        p = rng.sample(range(1, n + 1), n)
+        pairs = [(a, b) for a in range(n) for b in range(n) if a != b]
+        true = [("at", a, p[a]) for a in range(n)] + [("nat", a, s) for a in range(n) for s in range(1, n + 1) if p[a] != s] + [("lt", a, b) for a, b in pairs if p[a] < p[b]] + [("imm", a, b) for a, b in pairs if p[a] + 1 == p[b]] + [("adj", a, b) for a, b in pairs if abs(p[a] - p[b]) == 1]
+        clues = rng.sample(true, min(len(true), rng.randint(1, 12))) + ([("lt", 0, 1), ("lt", 1, 0)] if n > 1 and i % 9 == 0 else [])
+        made.append((i, n, clues))
+    schema = "id int, n int, clues array<struct<op string, a int, b int>>"
+    got = {r.id: r for r in puzzles.solved(spark.createDataFrame(made, schema), F.col("n"), "clues", 5).collect()}
+    assert {r.reason for r in got.values()} == {None, "none", "several"}
+    for i, n, clues in made:
+        found, prefix, kept = plain_puzzle(n, clues)
+        assert got[i].solutions == sorted(sum(s << 4 * a for a, s in enumerate(p)) for p in found)
+        assert got[i].prefix == prefix and (got[i].minimal is None if kept is None else [tuple(c) for c in got[i].minimal] == kept)
+
+
+def test_puzzles_of_another_kind(spark):
+    schema = "id int, n int, clues array<struct<op string, a int, b int>>"
+    rows = [(0, None, [("at", 0, 1)]), (1, 9, [("at", 0, 1)]), (2, 2, None), (3, 2, [("over", 0, 1)]), (4, 2, []), (5, 1, []), (6, 2, [("at", None, 1)])]
+    got = {r.id: (r.reason, r.prefix, r.minimal) for r in puzzles.solved(spark.createDataFrame(rows, schema), F.col("n"), "clues", 3).collect()}
+    assert [got[i][0] for i in range(7)] == ["seats", "seats", "clues", "clues", "several", None, "clues"] and all(got[i][1] is None for i in range(7))
+    assert puzzles.solved(spark.createDataFrame([], schema), F.col("n"), "clues").count() == 0
+    assert [len(r.seatings) for r in puzzles.seatings(spark, 6).orderBy("n").collect()] == [1, 2, 6, 24, 120, 720]
+
+
+def test_generated_families(spark):
     assert puzzles.families(spark, 30, 5, 3).where("reason IS NULL").where("size(totals) = 4").count() > 5
     assert puzzles.draws(spark, 3, 4, 9, 1, 6).collect() == puzzles.draws(spark, 3, 4, 9, 1, 6).repartition(1).orderBy("family", "k").collect()
 
