@@ -1,10 +1,10 @@
 """Seating puzzles as a table, all solved at once, and a deterministic generator by integer arithmetic.
 
 A puzzle seats n names (0 to n-1) on seats 1 to n under clues (op, a, b). at: a sits at seat b; imm: directly before b; lt:
-somewhere before b; adj: beside b; nat: not at seat b. A seating is one number, four bits a name. What each of the n! seatings
-violates is a set of clues, a bit each; a set of clues leaves the solution alone exactly if it meets every other seating's
-set. So uniqueness, the shortest prefix that is enough and pruning need the seatings once, in the puzzle's own row: no join
-but that with the seatings, no shuffle, no job per clue.
+somewhere before b; adj: beside b; nat: not at seat b. A seating is one number, four bits a name. There are few possible clues
+(360) and at most 8! seatings, so a small table tells once, as a bitmap over the seatings, where each clue holds. A set of clues
+is then the conjunction of bitmaps: solutions, the shortest prefix that is enough and pruning are found in the puzzle's own row,
+with no shuffle of puzzles and no job per clue.
 """
 
 from __future__ import annotations
@@ -12,20 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: 8! seatings are 40,320 numbers; a set of clues is one number of 63 bits.
-SEATS, CLUES = 8, 63
+#: 8! seatings are 40,320 numbers, or 630 words of a bitmap.
+SEATS = 8
+OPS = ("at", "nat", "imm", "lt", "adj")
 
 
 def seat(seating: Column, name: Column) -> Column:
     return F.call_function("shiftright", seating, (name * 4).cast("int")).bitwiseAND(F.lit(15)).cast("int")
 
 
-def broken(seating: Column, clue: Column) -> Column:
-    """True where the clue doesn't hold; null for an operation that isn't known."""
-    x, b = seat(seating, clue["a"]), clue["b"]
-    y = seat(seating, b)
-    op = clue["op"]
-    return ~F.when(op == "at", x == b).when(op == "nat", x != b).when(op == "imm", x + 1 == y).when(op == "lt", x < y).when(op == "adj", F.abs(x - y) == 1)
+def holds(seating: Column, op: Column, a: Column, b: Column) -> Column:
+    x, y = seat(seating, a), seat(seating, b)
+    return F.when(op == "at", x == b).when(op == "nat", x != b).when(op == "imm", x + 1 == y).when(op == "lt", x < y).when(op == "adj", F.abs(x - y) == 1)
 
 
 def seatings(spark: SparkSession, most: int = SEATS) -> DataFrame:
@@ -43,34 +41,67 @@ def seatings(spark: SparkSession, most: int = SEATS) -> DataFrame:
     return n.select("n", F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.array(F.lit(0).cast("long")), sit).alias("seatings"))
 
 
-def _bit(i: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+def _place(op: Column, a: Column, b: Column) -> Column:
+    """Where a clue stands among the 360."""
+    return ((F.array_position(F.array(*(F.lit(o) for o in OPS)), op) - 1) * 8 + a) * 9 + b
+
+
+def clue_table(spark: SparkSession, most: int = SEATS) -> DataFrame:
+    """(n, seatings, bits, all): where each clue holds, as bitmaps over the seatings; a row for each n, 2 MB for eight seats."""
+    table = seatings(spark, most)
+    codes = spark.range(len(OPS) * 72).select(F.array(*(F.lit(o) for o in OPS))[(F.col("id") / 72).cast("int")].alias("op"), (F.col("id") / 9 % 8).cast("int").alias("a"), (F.col("id") % 9).cast("int").alias("b"))
+    rows = table.select("n", F.posexplode("seatings").alias("i", "p")).join(F.broadcast(codes), F.lit(True))
+    bit = F.when(holds(F.col("p"), F.col("op"), F.col("a"), F.col("b")), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("i") % 64).cast("int"))).otherwise(0)
+    words = rows.groupBy("n", _place(F.col("op"), F.col("a"), F.col("b")).alias("c"), F.floor(F.col("i") / 64).alias("w")).agg(F.bit_or(bit).alias("x"))
+    each = words.groupBy("n", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "x"))), lambda s: s["x"]).alias("x"))
+    bits = each.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda s: s["x"]).alias("bits"))
+    # each seating has or has not a name 0 at seat 1
+    whole = F.zip_with(F.get("bits", F.lit(1)), F.get("bits", F.lit(73)), lambda x, y: x.bitwiseOR(y))
+    return table.join(bits, "n").withColumn("all", whole)
+
+
+def _both(x: Column, y: Column) -> Column:
+    return F.zip_with(x, y, lambda a, b: a.bitwiseAND(b))
+
+
+def _count(bits: Column) -> Column:
+    return F.aggregate(bits, F.lit(0), lambda n, w: n + F.bit_count(w))
 
 
 def solved(puzzles: DataFrame, n: Column, clues: str, most: int = SEATS) -> DataFrame:
     """puzzles with solutions (seatings as numbers, ascending), reason (null where there is just one; "seats", "clues" for a puzzle
     that is not of this kind, "none", "several"), prefix (the fewest clues from the left that leave one) and minimal (the clues left
-    after dropping, from the left, each without which one solution is left; at least one stays). The last two are null beside a reason."""
-    table = seatings(puzzles.sparkSession, most).withColumnsRenamed({"n": "_n", "seatings": "_seatings"})
+    after dropping, from the left, each without which one solution is left; at least one stays). The last two are null beside a
+    reason, solutions beside the first two reasons."""
+    table = clue_table(puzzles.sparkSession, most).withColumnsRenamed({"n": "_n", "seatings": "_seatings", "bits": "_bits", "all": "_all"})
     d = puzzles.join(F.broadcast(table), n == F.col("_n"), "left")
-    k = F.size(clues)
-    known = F.col("_n").isNotNull() & F.col(clues).isNotNull() & (k <= CLUES)
-    sets = F.transform("_seatings", lambda p: F.struct(p.alias("p"), F.aggregate(F.transform(clues, lambda c, i: broken(p, c).cast("long") * _bit(i)), F.lit(0).cast("long"), lambda m, x: m + x).alias("m")))
-    d = d.withColumn("_sets", F.when(known, sets))
-    d = d.withColumn("_others", F.array_distinct(F.filter(F.transform("_sets", lambda s: s["m"]), lambda m: m != 0)))
-    d = d.withColumn("solutions", F.array_sort(F.transform(F.filter("_sets", lambda s: s["m"] == 0), lambda s: s["p"])))
-    bad = F.exists("_sets", lambda s: s["m"].isNull())
-    d = d.withColumn("reason", F.when(F.col("_n").isNull(), "seats").when(~known | bad, "clues").when(F.size("solutions") == 0, "none").when(F.size("solutions") > 1, "several"))
-    first = lambda m: F.array_min(F.filter(F.sequence(F.lit(0), k - 1), lambda i: m.bitwiseAND(_bit(i)) != 0))
-    enough = lambda kept: (kept != 0) & ~F.exists("_others", lambda m: m.bitwiseAND(kept) == 0)
-    drop = lambda kept, i: F.when(enough(kept.bitwiseAND(F.bitwise_not(_bit(i)))), kept.bitwiseAND(F.bitwise_not(_bit(i)))).otherwise(kept)
-    whole = F.aggregate(F.sequence(F.lit(0), k - 1), F.lit(0).cast("long"), lambda m, i: m + _bit(i))
-    kept = F.aggregate(F.sequence(F.lit(0), k - 1), whole, drop)
+    pair = lambda c: c["op"].isin("imm", "lt", "adj")
+    fits = lambda c: c["op"].isin(*OPS) & c["a"].between(0, F.col("_n") - 1) & c["b"].between(0, F.when(pair(c), F.col("_n") - 1).otherwise(SEATS))
+    known = F.coalesce(F.forall(clues, lambda c: F.coalesce(fits(c), F.lit(False))), F.lit(False))
+    held = F.transform(clues, lambda c: F.get("_bits", _place(c["op"], c["a"], c["b"]).cast("int")))
+    d = d.withColumn("_held", F.when(F.col("_n").isNotNull() & known, held)).withColumn("_left", F.aggregate("_held", F.col("_all"), _both))
+    got = F.filter("_seatings", lambda p, i: F.getbit(F.get("_left", F.floor(i / 64).cast("int")), i % 64) == 1)
+    d = d.withColumn("solutions", F.when(F.col("_left").isNotNull(), F.array_sort(got)))
+    size = F.size("solutions")
+    d = d.withColumn("reason", F.when(F.col("_n").isNull(), "seats").when(F.col("_held").isNull(), "clues").when(size == 0, "none").when(size > 1, "several"))
+    state = F.struct(F.col("_all").alias("left"), F.lit(0).alias("used"))
+    more = lambda s, b: F.when(_count(s["left"]) == 1, s).otherwise(F.struct(_both(s["left"], b).alias("left"), (s["used"] + 1).alias("used")))
+    prefix = F.aggregate("_held", state, more, lambda s: s["used"])
+    # _after[i]: what the clues from i on leave together
+    d = d.withColumn("_after", F.aggregate(F.reverse("_held"), F.array("_all"), lambda s, b: F.concat(F.array(_both(s[0], b)), s)))
+    k = F.size("_held")
+    kept = F.struct(F.col("_all").alias("left"), F.array().cast("array<int>").alias("kept"))
+
+    def drop(s: Column, i: Column) -> Column:
+        rest = (F.size(s["kept"]) > 0) | (i < k - 1)
+        needless = rest & (_count(_both(s["left"], F.get("_after", i + 1))) == 1)
+        return F.when(needless, s).otherwise(F.struct(_both(s["left"], F.get("_held", i)).alias("left"), F.concat(s["kept"], F.array(i)).alias("kept")))
+
     fine = F.col("reason").isNull() & (k > 0)
-    d = d.withColumn("prefix", F.when(fine, F.coalesce(F.array_max(F.transform("_others", lambda m: first(m))) + 1, F.lit(0))))
-    d = d.withColumn("_kept", F.when(fine, kept))
-    d = d.withColumn("minimal", F.when(F.col("_kept").isNotNull(), F.filter(clues, lambda c, i: F.col("_kept").bitwiseAND(_bit(i)) != 0)))
-    return d.drop("_n", "_seatings", "_sets", "_others", "_kept")
+    d = d.withColumn("prefix", F.when(fine, prefix))
+    d = d.withColumn("_kept", F.when(fine, F.aggregate(F.sequence(F.lit(0), k - 1), kept, drop, lambda s: s["kept"])))
+    d = d.withColumn("minimal", F.transform("_kept", lambda i: F.get(clues, i)))
+    return d.drop("_n", "_seatings", "_bits", "_all", "_held", "_left", "_after", "_kept")
 
 
 def hashed_puzzles(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
