@@ -123,18 +123,24 @@ def hashed_puzzles(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return d.withColumn("clues", F.transform(F.array_sort(order), lambda x: x["c"])).drop("_p", "_seat")
 
 
-def draws(spark: SparkSession, families: int, per_family: int, seed: int, low: int, high: int) -> DataFrame:
-    """(family, k, value): a linear congruential step from family, k and seed, so that any row can be made alone."""
-    rows = spark.range(families * per_family).select((F.col("id") / per_family).cast("long").alias("family"), (F.col("id") % per_family).alias("k"))
-    state = F.pmod((F.col("family") * per_family + F.col("k") + seed) * F.lit(1103515245) + F.lit(12345), F.lit(1 << 31))
-    return rows.withColumn("value", (low + F.pmod(F.floor(state / 65536), F.lit(high - low + 1))).cast("long"))
-
-
-def families(spark: SparkSession, n: int, seed: int, corrections: int) -> DataFrame:
-    """(family, base, corrections, totals, reason): a base quantity, corrections in turn and the total after each; families
-    whose corrections leave the total unchanged or negative get a reason and are meant to be left out."""
-    d = draws(spark, n, corrections + 1, seed, -20, 60)
-    by = d.groupBy("family").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda s: s["value"]).alias("v"))
+def _draw(family: Column, k: Column, per_family: int, seed: int, low: int, high: int) -> Column:
+    """A linear congruential step from family, k and seed, so that any draw can be made alone."""
+    at = F.pmod(family.cast("long") * per_family + k + seed, F.lit(1 << 31))
+    state = F.pmod(at * F.lit(1103515245) + F.lit(12345), F.lit(1 << 31))
+    return (low + F.pmod(F.floor(state / 65536), F.lit(high - low + 1))).cast("long")
+
+
+def draws(keys: DataFrame, family: str, per_family: int, seed: int, low: int, high: int) -> DataFrame:
+    """(family, k, value): per_family draws for each row of keys, without a shuffle."""
+    rows = keys.select(F.col(family).cast("long").alias("family"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(per_family - 1).cast("long"))).alias("k"))
+    return rows.withColumn("value", _draw(F.col("family"), F.col("k"), per_family, seed, low, high))
+
+
+def families(keys: DataFrame, family: str, seed: int, corrections: int) -> DataFrame:
+    """(family, base, corrections, totals, reason) for each row of keys: a base quantity, corrections in turn and the total after
+    each; families whose corrections leave the total unchanged or negative get a reason and are meant to be left out."""
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(corrections)), lambda k: _draw(F.col("family"), k, corrections + 1, seed, -20, 60))
+    by = keys.select(F.col(family).cast("long").alias("family")).withColumn("v", drawn)
     by = by.select("family", (F.col("v")[0] + 100).alias("base"), F.slice("v", 2, corrections).alias("corrections"))
     totals = F.transform(F.sequence(F.lit(0), F.size("corrections")), lambda t: F.col("base") + F.aggregate(F.when(t > 0, F.slice("corrections", 1, F.greatest(t, F.lit(1)))).otherwise(F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, x: a + x))
     by = by.withColumn("totals", totals)

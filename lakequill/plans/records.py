@@ -342,17 +342,17 @@ def statement_topics(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT f.f AS family, k.k AS k, 5 + (((f.f * 4 + k.k + 11) * 1103515245::BIGINT + 12345) % 2147483648 // 65536) % 16 AS value FROM range(50) f(f), range(4) k(k)
+SELECT f.f AS family, k.k AS k, 5 + (((f.f * 4 + k.k + 11) * 1103515245::BIGINT + 12345) % 2147483648 // 65536) % 16 AS value FROM (SELECT s_suppkey AS f FROM supplier) f, range(4) k(k)
 """)
 def generated_draws(t: Tables) -> DataFrame:
-    return puzzles.draws(t.spark, 50, 4, 11, 5, 20)
+    return puzzles.draws(t.supplier, "s_suppkey", 4, 11, 5, 20)
 
 
 @query("""
-WITH d AS (SELECT f.f AS family, k.k AS k, -20 + (((f.f * 3 + k.k + 7) * 1103515245::BIGINT + 12345) % 2147483648 // 65536) % 81 AS v FROM range(200) f(f), range(3) k(k)),
+WITH d AS (SELECT f.f AS family, k.k AS k, -20 + (((f.f * 3 + k.k + 7) * 1103515245::BIGINT + 12345) % 2147483648 // 65536) % 81 AS v FROM (SELECT c_custkey AS f FROM customer) f, range(3) k(k)),
 p AS (SELECT family, max(v) FILTER (k = 0) + 100 AS base, max(v) FILTER (k = 1) AS c1, max(v) FILTER (k = 2) AS c2 FROM d GROUP BY 1)
 SELECT family, base, base + c1 + c2 AS final, CASE WHEN c1 = 0 OR c2 = 0 THEN 'no change' WHEN least(base, base + c1, base + c1 + c2) < 0 THEN 'negative' WHEN c1 + c2 = 0 THEN 'repeated total' END AS reason FROM p
 """)
 def generated_families(t: Tables) -> DataFrame:
-    """Quantities with two corrections each, and why some are to be left out."""
-    return puzzles.families(t.spark, 200, 7, 2).select("family", "base", F.element_at("totals", -1).alias("final"), "reason")
+    """Quantities with two corrections each, one for each customer, and why some are to be left out."""
+    return puzzles.families(t.customer, "c_custkey", 7, 2).select("family", "base", F.element_at("totals", -1).alias("final"), "reason")

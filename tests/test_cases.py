@@ -150,8 +150,15 @@ def test_puzzles_of_another_kind(spark):
 
 
 def test_generated_families(spark):
-    assert puzzles.families(spark, 30, 5, 3).where("reason IS NULL").where("size(totals) = 4").count() > 5
-    assert puzzles.draws(spark, 3, 4, 9, 1, 6).collect() == puzzles.draws(spark, 3, 4, 9, 1, 6).repartition(1).orderBy("family", "k").collect()
+    made = puzzles.families(spark.range(30), "id", 5, 3)
+    assert made.where("reason IS NULL").where("size(totals) = 4").count() > 5
+    drawn = {(r.family, r.k): r.value for r in puzzles.draws(spark.range(30).repartition(3), "id", 4, 5, -20, 60).collect()}
+    assert len(drawn) == 120 and min(drawn.values()) < 0 < max(drawn.values())
+    for r in made.collect():
+        v = [drawn[r.family, k] for k in range(4)]
+        assert (r.base, r.corrections, r.totals) == (v[0] + 100, v[1:], [v[0] + 100 + sum(v[1 : t + 1]) for t in range(4)])
+    far = spark.createDataFrame([(10**15,), (None,)], "id long")
+    assert all(r.family is None or -20 <= r.value <= 60 for r in puzzles.draws(far, "id", 4, 5, -20, 60).collect())
 
 
 @pytest.mark.parametrize(
