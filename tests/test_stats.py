@@ -134,79 +134,7 @@ class TestProbes:
             assert got[g] == pytest.approx(np.linalg.slogdet(z @ z.T + 1e-3 * np.eye(len(z)))[1], rel=1e-6)
 
 
-class TestRanks:
-    def test_auroc_and_spearman(self, spark):
-        rng = np.random.default_rng(0)
-        x, y = rng.integers(0, 12, 200), rng.integers(0, 2, 200)
-        df = spark.createDataFrame([(int(a), int(b), float(a * 2 + c)) for a, b, c in zip(x, y, rng.normal(size=200), strict=True)], "x int, y int, w double")
-        pos, neg = x[y == 1], x[y == 0]
-        brute = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
-        assert stats.auroc(df, [], "x", "y").first().auroc == pytest.approx(brute)
-        assert stats.auroc(df.where("y = 1"), [], "x", "y").first().auroc is None
-        import pandas as pd
-
-        p = df.toPandas()
-        assert stats.spearman(df, [], "x", "w").first().spearman == pytest.approx(pd.Series(p.x).rank().corr(p.w.rank()))
-        assert stats.spearman(df.withColumn("x", stats.F.lit(1)), [], "x", "w").first().spearman is None
-
-    def test_two_column_residuals(self, spark):
-        rng = np.random.default_rng(1)
-        a, b = rng.normal(size=(2, 50))
-        y = 3 + 2 * a - b + rng.normal(size=50)
-        df = spark.createDataFrame([tuple(map(float, r)) for r in zip(y, a, b, strict=True)], "y double, a double, b double")
-        got = np.array([r.e for r in stats.residuals(df, "y", ["a", "b"], "e").orderBy("y").collect()])
-        m = np.c_[a, b, np.ones(50)]
-        expected = (y - m @ np.linalg.lstsq(m, y, rcond=None)[0])[np.argsort(y)]
-        assert np.allclose(got, expected)
-
-
-class TestProbes:
-    def table(self, spark, n=120, d=5):
-        rng = np.random.default_rng(2)
-        x = rng.normal(size=(n, d)) * [1, 2, 3, 1, 0]
-        y = x @ [1.0, -0.5, 0.2, 0, 0] + 4 + 0.1 * rng.normal(size=n)
-        return x, y, spark.createDataFrame([(i, v.tolist(), float(t), int(t > 4), i % 3) for i, (v, t) in enumerate(zip(x, y, strict=True))], "id long, v array<double>, y double, c int, g int")
-
-    def test_ridge_closed_form(self, spark):
-        x, y, df = self.table(spark)
-        w, b, alpha = probes.ridge(df, "v", "y", "id", alphas=(0.5,))
-        sd = x.std(0)
-        sd[sd == 0] = 1
-        z = (x - x.mean(0)) / sd
-        expected = np.linalg.solve(z.T @ z + 0.5 * np.eye(5), z.T @ (y - y.mean())) / sd
-        assert alpha == 0.5 and np.allclose(w, expected) and b == pytest.approx(y.mean() - x.mean(0) @ expected)
-
-    def test_out_of_fold_is_accurate(self, spark):
-        _, _, df = self.table(spark)
-        out = probes.out_of_fold(df, "v", "y", "id")
-        assert out.count() == 120 and stats.r_squared(out, [], "y", "predicted").first().r2 > 0.95
-
-    def test_logistic_gradient_vanishes(self, spark):
-        x, _, df = self.table(spark)
-        w, b = probes.logistic(df, "v", "c")
-        c = np.array([r.c for r in df.orderBy("id").collect()])
-        p = 1 / (1 + np.exp(-(x @ w + b)))
-        assert np.abs(np.append(x.T @ (p - c) + w, (p - c).sum())).max() < 1e-6
-
-    def test_volume(self, spark):
-        x, _, df = self.table(spark, 40)
-        got = {r.g: r.volume for r in probes.semantic_volume(df, "g", "v").collect()}
-        for g in range(3):
-            z = x[np.arange(40) % 3 == g]
-            z = z - z.mean(0)
-            z /= np.linalg.norm(z, axis=1, keepdims=True)
-            assert got[g] == pytest.approx(np.linalg.slogdet(z @ z.T + 1e-3 * np.eye(len(z)))[1], rel=1e-6)
-
-    def test_bootstrap_covers_the_observed_value(self, spark):
-        _, _, df = self.table(spark)
-        df = df.withColumn("s", stats.F.col("v")[0])
-        one = probes.bootstrap_auroc(df, "s", "c", replicates=60).first()
-        assert one.low < one.observed < one.high and one.high - one.low < 0.4
-        same = probes.bootstrap_auroc_difference(df, "s", "s", "c", replicates=20).first()
-        assert (same.observed, same.low, same.high) == (0.0, 0.0, 0.0)
-
-
-class TestRanks:
+class TestPositions:
     def test_row_numbers_and_sums(self, spark):
         import random
 
