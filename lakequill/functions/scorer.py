@@ -18,9 +18,14 @@ _NUMBER = r"[-+]?\d[\d,]*\.?\d*"
 
 def spelt_out(c: Column) -> Column:
     """Number words from zero to twenty as digits, in place."""
-    for n, word in enumerate(X.NUMBER_WORDS):
-        c = F.regexp_replace(c, rf"(?i)\b{word}\b", f" {n} ")
-    return c
+
+    def spelt(c: Column) -> Column:
+        out = c
+        for n, word in enumerate(X.NUMBER_WORDS):
+            out = F.regexp_replace(out, rf"(?i)\b{word}\b", f" {n} ")
+        return F.when(c.rlike(rf"(?i)\b(?:{'|'.join(X.NUMBER_WORDS)})\b"), out).otherwise(c)  # most texts hold none
+
+    return X.once(c, spelt)
 
 
 def _numbers(c: Column) -> Column:
@@ -29,31 +34,43 @@ def _numbers(c: Column) -> Column:
 
 def _cuts(c: Column, last: bool) -> Column:
     """Position of the first or last marker, 0 without one."""
+
+    def latest(r: Column) -> Column:
+        return F.greatest(*(F.when(F.contains(r["low"], F.lit(m)), F.length(r["low"]) - F.instr(r["back"], m[::-1]) - len(m) + 2).otherwise(0) for m in MARKERS))
+
+    def earliest(low: Column) -> Column:
+        return F.coalesce(F.least(*(F.nullif(F.instr(low, m), F.lit(0)) for m in MARKERS)), F.lit(0))
+
     low = F.lower(c)
-    if last:
-        back = F.reverse(low)
-        at = [F.when(F.contains(low, F.lit(m)), F.length(low) - F.instr(back, m[::-1]) - len(m) + 2).otherwise(0) for m in MARKERS]
-        return F.greatest(*at)
-    return F.coalesce(F.least(*(F.nullif(F.instr(low, m), F.lit(0)) for m in MARKERS)), F.lit(0))
+    return X.once(low, lambda x: X.once(F.struct(x.alias("low"), F.reverse(x).alias("back")), latest)) if last else X.once(low, earliest)
 
 
 def final_number(answer: Column, last: bool = True) -> Column:
     """(number, how): the first number after the last marker, else the last of all; for facts the first marker and number."""
-    said = spelt_out(answer)
-    at, every = _cuts(said, last), _numbers(said)
-    after = F.get(_numbers(F.substring(said, at, F.length(said))), F.lit(0))
-    other = F.try_element_at(every, F.lit(-1 if last else 1))
-    how = F.when((at > 0) & after.isNotNull(), "after-marker" if last else "first-after-marker").when(other.isNotNull(), "last-number-fallback" if last else "first-number").otherwise("no-number")
-    return F.struct(F.coalesce(F.when(at > 0, after), other).alias("number"), how.alias("how"))
+
+
+    def told(r: Column) -> Column:
+        how = F.when(r["after"].isNotNull(), "after-marker" if last else "first-after-marker").when(r["other"].isNotNull(), "last-number-fallback" if last else "first-number").otherwise("no-number")
+        return F.struct(F.coalesce(r["after"], r["other"]).alias("number"), how.alias("how"))
+
+    def read(said: Column) -> Column:
+        after = X.once(_cuts(said, last), lambda at: F.when(at > 0, F.get(_numbers(F.substring(said, at, F.length(said))), F.lit(0))))
+        return X.once(F.struct(after.alias("after"), F.try_element_at(_numbers(said), F.lit(-1 if last else 1)).alias("other")), told)
+
+    return X.once(spelt_out(answer), read)
 
 
 def conclusion(answer: Column) -> Column:
     """The first capital that stands alone after the last marker, else the last one of all."""
     alone = r"(?<![A-Za-z])[A-Z](?![A-Za-z])"
-    at = _cuts(answer, True)
-    # one character more, so that a letter at the cut is seen with what stands before it
-    tail = F.regexp_extract_all(F.substring(answer, F.greatest(at - 1, F.lit(1)), F.length(answer)), F.lit(alone), F.lit(0))
-    return F.coalesce(F.when(at > 0, F.get(tail, F.lit(0))), F.try_element_at(F.regexp_extract_all(answer, F.lit(alone), F.lit(0)), F.lit(-1)))
+
+
+    def after(at: Column) -> Column:
+        # one character more, so that a letter at the cut is seen with what stands before it
+        tail = F.regexp_extract_all(F.substring(answer, F.greatest(at - 1, F.lit(1)), F.length(answer)), F.lit(alone), F.lit(0))
+        return F.when(at > 0, F.get(tail, F.lit(0)))
+
+    return F.coalesce(X.once(_cuts(answer, True), after), F.try_element_at(F.regexp_extract_all(answer, F.lit(alone), F.lit(0)), F.lit(-1)))
 
 
 def _result(correct: Column, extracted: Column, note: Column, truncated: Column) -> Column:
@@ -68,29 +85,38 @@ def scored(family: Column, gold: Column, answer: Column, accept: Column, toleran
     cut = ~finished
 
     def numeric(last: bool) -> Column:
-        found, want = final_number(answer, last), F.try_element_at(_numbers(gold), F.lit(-1))
-        got = found["number"].cast("string")
-        near = F.abs(found["number"] - want) <= F.greatest(F.lit(1e-9), F.coalesce(tolerance, F.lit(0.0)))
-        note = F.when(cut, "truncated-excluded").when(got.isNull(), "no-number-parsed").when(want.isNull(), "gold-not-numeric").otherwise(F.concat(F.lit("numeric["), found["how"], F.lit("]tol="), F.coalesce(tolerance, F.lit(0.0)).cast("string")))
-        return _result(~cut & near, got, note, cut)
+        def judged(r: Column) -> Column:
+            found, want = r["found"], r["want"]
+            got = found["number"].cast("string")
+            near = F.abs(found["number"] - want) <= F.greatest(F.lit(1e-9), F.coalesce(tolerance, F.lit(0.0)))
+            note = F.when(cut, "truncated-excluded").when(got.isNull(), "no-number-parsed").when(want.isNull(), "gold-not-numeric").otherwise(F.concat(F.lit("numeric["), found["how"], F.lit("]tol="), F.coalesce(tolerance, F.lit(0.0)).cast("string")))
+            return _result(~cut & near, got, note, cut)
+
+        return X.once(F.struct(final_number(answer, last).alias("found"), F.try_element_at(_numbers(gold), F.lit(-1)).alias("want")), judged)
 
     name = F.trim(gold)
     names = F.array_union(F.array(name), F.transform(F.coalesce(accept, F.array().cast("array<string>")), lambda a: F.trim(a)))
-    letter = conclusion(answer)
-    right = F.array_contains(names, letter)
-    by_letter = _result(~cut & right, F.when(~cut, F.coalesce(letter, F.right(answer, F.lit(40)))), F.when(cut, "truncated-excluded").when(right, "conclusion-letter-match").otherwise("conclusion-letter-mismatch"), cut)
+
+    def lettered(letter: Column) -> Column:
+        right = F.array_contains(names, letter)
+        return _result(~cut & right, F.when(~cut, F.coalesce(letter, F.right(answer, F.lit(40)))), F.when(cut, "truncated-excluded").when(right, "conclusion-letter-match").otherwise("conclusion-letter-mismatch"), cut)
+
+    by_letter = X.once(conclusion(answer), lettered)
 
     def heard(r: Column) -> Column:
         """r: the answer's words, and the spellings with theirs; the gold comes first."""
         hit = F.get(F.filter(r["runs"], lambda n: X.contains_run(r["words"], n["run"])), F.lit(0))["name"]
-        empty, found = F.size(F.get(r["runs"], F.lit(0))["run"]) == 0, hit.isNotNull()
-        ok = ~empty & found
+        return X.once(hit, lambda name: found(r, name))
+
+    def found(r: Column, hit: Column) -> Column:
+        empty = F.size(F.get(r["runs"], F.lit(0))["run"]) == 0
+        ok = ~empty & hit.isNotNull()
         rest = F.array_join(F.slice(r["words"], F.greatest(F.size(r["words"]) - 7, F.lit(1)), 8), " ")
         note = F.when(empty, "empty-gold").when(F.size(r["words"]) == 0, "empty-answer").when(ok, "token-run-match").when(cut, "truncated-excluded").otherwise("no-token-match")
         return _result(ok, F.when(ok, hit).when(~empty, rest), note, cut & ~empty & ~ok)
 
     words = lambda c: X.digitize(X.fold(c))
     read = F.struct(words(answer).alias("words"), F.transform(names, lambda n: F.struct(n.alias("name"), words(n).alias("run"))).alias("runs"))
-    by_words = F.get(F.transform(F.array(read), heard), F.lit(0))  # read once a row
+    by_words = X.once(read, heard)
     other = F.when(name.rlike(r"^[-+]?\d+\.?\d*$"), F.when(family == "factual", numeric(False)).otherwise(numeric(True))).when(name.rlike(r"^\p{L}$"), by_letter).otherwise(by_words)
     return F.when(family == "arithmetic", numeric(True)).when(family.isin("factual", "deduction"), other)

@@ -6,6 +6,7 @@ Character classes are ASCII on purpose; pass text through fold() first where dia
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -30,6 +31,11 @@ REFUSAL_MANY = (
 )
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c evaluated once a row however often f uses it: an expression that a lambda or several branches name is evaluated anew each time."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def norm_exact(c: Column) -> Column:
     """Lower case, every run of other characters one space."""
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
@@ -75,12 +81,12 @@ def _decompositions() -> tuple[str, str, str, dict[str, str]]:
 def fold(c: Column) -> Column:
     """Lower case, compatibility decomposition, no combining marks; strokes, sharp s and ligatures spelt out.
 
-    One translate does nearly all; code points that become several (ligatures, fractions, units) are looked up only in texts
+    ASCII stays as it is. One translate does nearly all; code points that become several (ligatures, fractions, units) are looked up only in texts
     that hold any.
     """
     was, now, dropped, several = _decompositions()
     common = ("ß", "œ", "æ")
-    low = F.lower(c)
+    lower = low = F.lower(c)
     for a in common:
         low = F.replace(low, F.lit(a), F.lit(several[a]))
     rare = {k: v for k, v in several.items() if k not in common}
@@ -93,7 +99,8 @@ def fold(c: Column) -> Column:
     inside = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
     values = F.split(F.lit("\x01".join(rare.values())), "\x01")  # in the order of keys
     spelt = F.array_join(F.transform(F.split(low, ""), lambda x: F.when(x < "\x80", x).otherwise(F.coalesce(F.get(values, F.instr(F.lit(keys), x) - 1), x))), "")
-    return F.translate(F.when(low.rlike(inside), spelt).otherwise(low), was + dropped, now)
+    folded = F.translate(F.when(low.rlike(inside), spelt).otherwise(low), was + dropped, now)
+    return F.when(lower.rlike(r"[^\x00-\x7F]"), folded).otherwise(lower)  # ASCII is not looked up
 
 
 def gold_key(c: Column) -> Column:
