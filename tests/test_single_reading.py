@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lakequill.functions import scorer
+from lakequill.functions import echo, scorer
 
 
 @pytest.fixture
@@ -27,3 +27,7 @@ def test_number_words_are_spelt_out_once(plan):
 def test_texts_without_number_words(spark):
     rows = spark.createDataFrame([("It is Seven",), ("the seventh: 8",), ("ONE and twenty-two",), ("",)], "t string").select(scorer.spelt_out(F.col("t")))
     assert [r[0] for r in rows.collect()] == ["It is  7 ", "the seventh: 8", " 1  and  20 -two".replace("20 -two", "20 - 2 "), ""]
+
+
+def test_stale_value_reads_the_statement_once(plan):
+    assert plan(echo.stale_value(F.col("t"))).count("regexp_extract_all") == 1
