@@ -31,3 +31,8 @@ def test_texts_without_number_words(spark):
 
 def test_stale_value_reads_the_statement_once(plan):
     assert plan(echo.stale_value(F.col("t"))).count("regexp_extract_all") == 1
+
+
+def test_classes_read_each_text_once(plan):
+    # statement, premises and the right state; the texts of the premises were read anew for each number and each reason
+    assert plan(echo.classified(F.col("t"), F.col("ts"), F.col("t"))).count("regexp_extract_all") == 3
