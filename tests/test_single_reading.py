@@ -36,3 +36,7 @@ def test_stale_value_reads_the_statement_once(plan):
 def test_classes_read_each_text_once(plan):
     # statement, premises and the right state; the texts of the premises were read anew for each number and each reason
     assert plan(echo.classified(F.col("t"), F.col("ts"), F.col("t"))).count("regexp_extract_all") == 3
+
+
+def test_acknowledged_reads_both_sides_once(plan):
+    assert plan(echo.acknowledged(F.col("ts"), F.col("ids"), F.col("ids"), F.col("ts"))).count("regexp_extract_all") == 2
