@@ -40,3 +40,7 @@ def test_classes_read_each_text_once(plan):
 
 def test_acknowledged_reads_both_sides_once(plan):
     assert plan(echo.acknowledged(F.col("ts"), F.col("ids"), F.col("ids"), F.col("ts"))).count("regexp_extract_all") == 2
+
+
+def test_money_reads_its_text_once(plan):
+    assert plan(echo.money(F.col("t"))).count("regexp_extract_all") == 1
