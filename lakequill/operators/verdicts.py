@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakequill.functions.text import once
+
 #: Terms that a tail is summed over: beyond so many deviations and terms they add nothing that a double holds.
 DEVIATIONS, LEAST_TERMS, STEPS = 40, 60, 60
+#: Tasks that different pairs of counts are dealt out to.
+PAIR_TASKS = 24
 
 
 def _log_factorial(n: Column) -> Column:
@@ -63,7 +67,17 @@ def critical_count(n: Column, p: Column, alpha: Column) -> Column:
 def upper_bound(x: Column, n: Column, level: float = 0.95) -> Column:
     """One-sided exact bound of a proportion: where x or fewer of n are as likely as 1 - level; 1 if all are, null of none."""
     found = _bisected(F.lit(0.0), F.lit(1.0), lambda a, b: (a + b) / 2, lambda p: upper_tail(x + 1, n, p) >= level, STEPS)
-    return F.when(n > 0, F.when(x >= n, 1.0).otherwise((found["low"] + found["high"]) / 2))
+    return F.when(n > 0, F.when(x >= n, 1.0).otherwise(once(found, lambda f: (f["low"] + f["high"]) / 2)))
+
+
+def upper_bounds(rows: DataFrame, x: str, n: str, level: float = 0.95) -> DataFrame:
+    """rows with bound (upper_bound) and tail (what it leaves above x, null where all of n are successes). Each different (x, n) is
+    bisected once, however many rows have it."""
+    pairs = rows.select(F.col(x).alias("_x"), F.col(n).alias("_n")).distinct()
+    # in shares by hash: few pairs are much work, and come in partitions that would be coalesced by their bytes
+    bounds = pairs.repartition(PAIR_TASKS, "_x", "_n").withColumn("bound", upper_bound(F.col("_x"), F.col("_n"), level))
+    bounds = bounds.withColumn("tail", F.when(F.col("_x") < F.col("_n"), upper_tail(F.col("_x") + 1, F.col("_n"), F.col("bound"))))
+    return rows.join(bounds, F.col(x).eqNullSafe(F.col("_x")) & F.col(n).eqNullSafe(F.col("_n")), "left").drop("_x", "_n")
 
 
 def axis_verdicts(counts: DataFrame, axes: DataFrame) -> DataFrame:

@@ -55,6 +55,5 @@ SELECT l_partkey, x, n, CASE WHEN x >= n THEN NULL ELSE 0.95 END AS tail, CASE W
 def exact_bounds_by_part(t: Tables) -> DataFrame:
     """Upper bounds of a share for each part: the tail they leave for all, and the bound where it has a closed form."""
     g = t.lineitem.groupBy("l_partkey").agg(F.count_if(F.col("l_quantity") > 45).alias("x"), F.count("*").alias("n"))
-    rows = g.withColumn("b", V.upper_bound(F.col("x"), F.col("n")))
-    closed = F.when(F.col("x").isin(0) | (F.col("x") >= F.col("n") - 1), r6(F.col("b")))
-    return rows.select("l_partkey", "x", "n", F.when(F.col("x") < F.col("n"), r6(V.upper_tail(F.col("x") + 1, F.col("n"), F.col("b")))).alias("tail"), closed.alias("bound"))
+    closed = F.when(F.col("x").isin(0) | (F.col("x") >= F.col("n") - 1), r6(F.col("bound")))
+    return V.upper_bounds(g, "x", "n").select("l_partkey", "x", "n", r6(F.col("tail")).alias("tail"), closed.alias("bound"))

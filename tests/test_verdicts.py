@@ -48,3 +48,15 @@ def test_buckets_are_even(spark):
         assert len(sizes) > 50 and max(sizes) < 4_000, order
     got = ranks.running(df.select("x"), [], ["x"], F.col("x"), "s").agg(F.count("*"), F.count_distinct("s"), F.max("s")).first()
     assert tuple(got) == (40_000, 40_000, 40_000.0)
+
+
+def test_bounds_of_different_pairs_only(spark):
+    rows = spark.range(600).selectExpr("id", "id % 3 AS x", "if(id % 7 = 0, NULL, 5) AS n")
+    got = verdicts.upper_bounds(rows, "x", "n")
+    assert "Aggregate [_x" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert str(verdicts.upper_bound(F.col("x"), F.col("n"))).count("sequence(1, 60") == 1  # not once for each end of the interval
+    alone = {r["id"]: r for r in rows.limit(21).select("id", verdicts.upper_bound(F.col("x"), F.col("n")).alias("b")).collect()}
+    out = got.collect()
+    assert len(out) == 600 and all((r["bound"] is None) == (r["n"] is None) for r in out)
+    assert all(r["bound"] == alone[r["id"]]["b"] for r in out if r["id"] in alone)
+    assert all(abs(r["tail"] - 0.95) < 1e-9 for r in out if r["n"] is not None)
