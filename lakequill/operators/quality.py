@@ -16,6 +16,14 @@ def constraints(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return row.select(F.explode(pairs).alias("c"), "_n").select("c.name", "c.violations", F.col("_n").alias("checked"))
 
 
+def exact_mean(x: Column) -> Column:
+    """The mean of doubles as they are written, to 12 places, from a decimal sum: the same in any order of rows, so that equal means are
+    equal and a mean on a threshold reaches it. Values or sums of over 14 digits before the point, NaN and infinities: avg."""
+    d = x.try_cast("decimal(26,12)")
+    mean = F.try_divide(F.try_sum(d).try_cast("decimal(26,12)"), F.count(d).cast("decimal(10,0)")).cast("double")
+    return F.when(F.count(d) == F.count(x), F.coalesce(mean, F.avg(x))).otherwise(F.avg(x))
+
+
 def compare(left: DataFrame, right: DataFrame, keys: list[str], value: str, flip: float | None = None) -> DataFrame:
     """(key.., status, delta): only_left, only_right, flip, differs or equal; a flip crosses the threshold."""
     a, b = left.select(*keys, F.col(value).alias("_a"), F.lit(True).alias("_l")), right.select(*keys, F.col(value).alias("_b"), F.lit(True).alias("_r"))

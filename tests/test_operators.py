@@ -178,3 +178,12 @@ def test_stream_ingest_resumes(spark, tmp_path):
     put("b.json", [row("t", 5, 7), row("u", 6, 3)])
     ingest.ingest(ingest.read_log_stream(spark, src, schema), out, ck, ["task"], "seq", "h").awaitTermination()
     assert {r.task: r.v for r in spark.read.parquet(out).collect()} == {"t": 2, "u": 3}
+
+
+def test_means_in_any_order(spark):
+    from lakequill.operators import quality
+
+    # 0.1 ten times is 0.9999999999999999 as a running sum; the others are out of a decimal's reach
+    rows = [("a", 0.1)] * 10 + [("b", 0.1)] * 3 + [("c", 1e300), ("c", 1e300), ("d", float("nan")), ("e", None)]
+    got = dict(spark.createDataFrame(rows, "k string, x double").groupBy("k").agg(quality.exact_mean(F.col("x"))).collect())
+    assert got["a"] == got["b"] == 0.1 and got["c"] == 1e300 and got["d"] != got["d"] and got["e"] is None
