@@ -46,6 +46,8 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Positions inside a slice of text fit the low bits of a packed hash.
 _LOW_BITS = 20
 _SLICE = 1 << 19
+#: Bytes of short texts that are hashed together; with a slice they fit the low bits.
+_TOGETHER = 1 << 16
 
 
 def _double(h: np.ndarray, step: int) -> np.ndarray:
@@ -66,10 +68,12 @@ def _spread(h: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     return f(out[: len(out) - (width - step)], out[width - step :]) if width > step else out
 
 
-def runs(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbouring windows with one anchor: anchor hash, piece hash, first window, number of windows. data: uint8."""
-    n = len(data) - length + 1
-    if n <= 0:
+def runs(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring windows with one anchor: anchor hash, piece hash, first window, number of windows. data: uint8, of texts of these
+    sizes one behind another (one text if none are given), none of whose windows reach into the next."""
+    sizes = np.array([len(data)]) if sizes is None else sizes
+    windows = np.maximum(sizes - length + 1, 0)
+    if not windows.sum():
         return (np.empty(0, np.int64),) * 4
     h, step = (data.astype(np.uint64) + np.uint64(1)) * _M2, 1
     while step < anchor:
@@ -78,8 +82,10 @@ def runs(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[
     low = np.uint64((1 << _LOW_BITS) - 1)
     packed = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     least = _spread(packed, length - anchor + 1, np.minimum)
-    first = np.nonzero(np.concatenate([[True], least[1:] != least[:-1]]))[0]
-    count = np.diff(np.append(first, n))
+    inside = np.arange(windows.sum()) + np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(windows) - windows), windows)
+    own = least[inside]
+    head = np.nonzero(np.concatenate([[True], own[1:] != own[:-1]]))[0]
+    first, count = inside[head], np.diff(np.append(head, len(own)))
     end = first + count + length - 1 - 2 * anchor
     piece = wide[first] * _M1 + wide[np.minimum(first + 52, end)]
     piece = (piece ^ (piece >> np.uint64(31))) * _M2 + wide[end] + count.astype(np.uint64)
@@ -87,6 +93,49 @@ def runs(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[
     return (least[first] >> np.uint64(_LOW_BITS)).astype(np.int64), piece.view(np.int64), first, count
 
 
+def _ranks(data: np.ndarray, gram: int) -> tuple[np.ndarray, int]:
+    """The rank of the `gram` bytes that begin at each byte, among all there are, and how many differ; 1, 4 or 20 bytes, zeros behind the end."""
+    wide = np.concatenate([data, np.zeros(gram, np.uint8)]).astype(np.uint64)
+
+    def packed(k: int) -> np.ndarray:
+        x = wide
+        for step in (1, 2, 4):
+            if step < k:
+                x = x[:-step] << np.uint64(8 * step) | x[step:]
+        return x
+
+    def ranked(x: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+        """Of values below 2 ** bits."""
+        own = np.uint64(max(len(x) - 1, 1).bit_length())
+        if bits + int(own) <= 64:  # sorted with their places, which is faster by far
+            y = np.sort(x << own | np.arange(len(x), dtype=np.uint64))
+            order, y = (y & ((np.uint64(1) << own) - np.uint64(1))).astype(np.int64), y >> own
+        else:
+            order = np.argsort(x)
+            y = x[order]
+        number = np.cumsum(np.concatenate([np.zeros(min(len(y), 1), bool), y[1:] != y[:-1]]))
+        out = np.empty(len(x), np.uint64)
+        out[order] = number
+        return out, int(number[-1]) + 1 if len(y) else 0
+
+    if gram < 20:
+        return ranked(packed(gram)[: len(data)], 8 * gram)
+    # ranks of 4, 8, 16, then 20 bytes: pairs of ranks of shorter strings, which are in the order of the longer
+    four = ranked(packed(4), 32)[0]
+    wide_rank = len(four).bit_length()
+    pair = lambda x, y: ranked(x[: len(y)] << np.uint64(wide_rank) | y, 2 * wide_rank)
+    eight = pair(four, four[4:])[0]
+    sixteen = pair(eight, eight[8:])[0]
+    return pair(sixteen, four[16 : 16 + len(data)])
+
+
+def _stable_order(a: np.ndarray) -> np.ndarray:
+    """As a stable argsort; wide values are sorted with their places, which is faster by far."""
+    if a.dtype.itemsize < 4 or len(a) >= 1 << 32:
+        return np.argsort(a, kind="stable")
+    return (np.sort(a.astype(np.uint64) << np.uint64(32) | np.arange(len(a), dtype=np.uint64)) & np.uint64((1 << 32) - 1)).astype(np.int64)
+
+
 class Construction:
     """Transform and common prefixes of a collection, built column by column from the right.
 
@@ -101,15 +150,11 @@ class Construction:
             self._build(pieces, length)
 
     def _build(self, pieces: list[bytes], length: int) -> None:
-        gram = 4 if length % 4 == 0 else 1
+        gram = 20 if length % 20 == 0 and length > 20 else 4 if length % 4 == 0 else 1
         whole_symbols = length // gram
         lengths = np.array([len(p) for p in pieces])
-        raw = np.frombuffer(b"".join(pieces) + bytes(gram), np.uint8).astype(np.uint32)
-        packed = raw[: len(raw) - gram].copy()
-        for k in range(1, gram):
-            packed = packed << np.uint32(8) | raw[k : len(raw) - gram + k]
-        distinct, text = np.unique(packed, return_inverse=True)
-        kind = np.uint8 if len(distinct) < 255 else np.uint16 if len(distinct) < 65535 else np.uint32
+        text, symbols = _ranks(np.frombuffer(b"".join(pieces), np.uint8), gram)
+        kind = np.uint8 if symbols < 255 else np.uint16 if symbols < 65535 else np.uint32
         text = (text + 1).astype(kind)  # 0 ends a member
         piece, phase = np.repeat(np.arange(len(pieces)), gram), np.tile(np.arange(gram), len(pieces))
         sizes = np.maximum(0, (lengths[piece] - phase) // gram)
@@ -124,7 +169,7 @@ class Construction:
         while len(active):
             column += 1
             symbol = read("symbol")
-            order = np.argsort(symbol, kind="stable")
+            order = _stable_order(symbol)
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             mine, c = rank[at], symbol[at]
@@ -250,14 +295,28 @@ def anchored(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     doc_id; done marks repeats of a piece that the same task has earlier, so that hot pieces shrink before they are dealt out."""
     names = ["m", "piece", "absent", "doc_id", "alt", "place"]
 
+    def told(held: list[tuple]) -> pa.RecordBatch:
+        """held: (absent, doc_id, alt, place of the slice, slice)."""
+        sizes = np.array([len(r[4]) for r in held])
+        m, piece, first, count = runs(np.frombuffer(b"".join(r[4] for r in held), np.uint8), length, anchor, sizes)
+        begin = np.cumsum(sizes) - sizes
+        own = np.searchsorted(begin, first, "right") - 1
+        absent, doc, alt, at = (np.array([r[k] for r in held], np.int64) for k in range(4))
+        place = (first - begin[own] + at[own]) * 128 + count - 1
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (m, piece, absent[own].astype(np.int32), doc[own], alt[own], place)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
             for absent, doc, alt, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = np.frombuffer(data, np.uint8)
                 for at in range(0, max(0, len(data) - length + 1), _SLICE):
-                    m, piece, first, count = runs(data[at : at + _SLICE + length - 1], length, anchor)
-                    k = len(m)
-                    yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(piece), pa.array(np.full(k, absent, np.int32)), pa.array(np.full(k, doc, np.int64)), pa.array(np.full(k, alt, np.int64)), pa.array((first + at) * 128 + count - 1)], names=names)
+                    held.append((absent, doc, alt, at, data[at : at + _SLICE + length - 1]))
+                    size += len(held[-1][4])
+                    if size >= _TOGETHER:
+                        yield told(held)
+                        held, size = [], 0
+        if held:
+            yield told(held)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -342,12 +401,15 @@ def constructed(docs: DataFrame, chosen: DataFrame, folder: str, length: int, ho
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: dict[bytes, tuple] = {}  # the earliest place of each window of hot anchors
         for b in batches:
-            for absent, doc, alt, data, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out = []
-                for p in parts:
-                    at, n = p["place"] >> 7, (p["place"] & 127) + 1
-                    if p["pieces"] <= hot:
-                        out.append((p["m"], absent, doc, alt, p["place"], data[at : at + n + length - 1]))
+            parts = b.column("cut").flatten()
+            all_parts = list(zip(*(parts.field(c).to_pylist() for c in ("place", "m", "pieces")), strict=True))
+            sizes, end, out = b.column("cut").value_lengths().to_pylist(), 0, []
+            for absent, doc, alt, data, k in zip(*(b.column(c).to_pylist() for c in ("absent", "doc_id", "alt", "data")), sizes, strict=True):
+                begin, end = end, end + k
+                for whole, m, pieces in all_parts[begin:end]:
+                    at, n = whole >> 7, (whole & 127) + 1
+                    if pieces <= hot:
+                        out.append((m, absent, doc, alt, whole, data[at : at + n + length - 1]))
                         continue
                     for i in range(at, at + n):
                         place, held = (absent, doc, alt, i << 7), windows.get(x := data[i : i + length])
@@ -356,10 +418,13 @@ def constructed(docs: DataFrame, chosen: DataFrame, folder: str, length: int, ho
                         if held is not None:  # the later of both is a repeat, and goes its way without bytes
                             late = max(place, held)
                             out.append((hash_window(repr(late).encode()), *late, None))
-                yield dealt(out)
+                if len(out) >= 10_000:
+                    yield dealt(out)
+                    out = []
                 if len(windows) >= WINDOWS:
                     yield dealt([(hash_window(x), *place, x) for x, place in windows.items()])
                     windows.clear()
+            yield dealt(out)
         if windows:
             yield dealt([(hash_window(x), *place, x) for x, place in windows.items()])
 

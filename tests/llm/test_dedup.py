@@ -275,6 +275,31 @@ class TestSuffixes:
             got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, DOC), Store(spark, "t"), hot=hot, bucket=3000).collect()
             assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == expected
 
+    def test_construction_of_wide_symbols_has_few_columns(self, monkeypatch):
+        rng = random.Random(5)
+        text = bytes(rng.choice(b"ab") for _ in range(400))
+        pieces = [text[i : i + rng.randint(90, 168)] for i in (rng.randint(0, 200) for _ in range(50))] + [b"", b"\xff" * 168, b"\0" * 120]
+        columns, keep = [], suffix_dedup._Columns.keep
+        monkeypatch.setattr(suffix_dedup._Columns, "keep", lambda self, name, a, column: columns.append(column) or keep(self, name, a, column))
+        for spill in (1 << 30, 1):
+            c = suffix_dedup.Construction(pieces, 100, spill)
+            groups = defaultdict(set)
+            for m, o, g in zip(c.member, c.offset, c.group, strict=True):
+                groups[int(g)].add(pieces[m][o : o + 100])
+            assert all(len(v) == 1 for v in groups.values())
+            assert len(groups) == len({p[i : i + 100] for p in pieces for i in range(len(p) - 99)})
+            assert len(c.member) == sum(max(0, len(p) - 99) for p in pieces)
+        assert max(columns) <= 9  # 42 by symbols of four bytes
+
+    def test_anchors_of_texts_together_and_alone(self):
+        rng = random.Random(6)
+        texts = [bytes(rng.choice(b"abc") for _ in range(rng.choice([0, 50, 99, 100, 101, 300, 2000]))) for _ in range(60)] + [b"z" * 500]
+        sizes = np.array([len(t) for t in texts])
+        got = list(zip(*suffix_dedup.runs(np.frombuffer(b"".join(texts), np.uint8), sizes=sizes), strict=True))
+        begin = np.cumsum(sizes) - sizes
+        expected = [(m, p, f + a, c) for t, a in zip(texts, begin, strict=True) for m, p, f, c in zip(*suffix_dedup.runs(np.frombuffer(t, np.uint8)), strict=True)]
+        assert got == expected
+
     def test_edge_cases(self, spark):
         long = "0123456789" * 30
         rows = [(None, long), (5, long), (5, long), (5, "other " + long), (9, "")]
