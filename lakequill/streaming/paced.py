@@ -1,8 +1,8 @@
 """Calls paced by a token bucket for each key, retried with back-off, and shards released when complete: state and timers of a stream.
 
 Everything is told by event time, so that a stream gives the same rows whenever it runs and however it is cut into batches.
-State must lie in RocksDB (`with_state` sets it); a key's waiting calls are entries of a map, none of which is read before its
-time, so a hot key costs as much state as it has calls within the watermark, and no more memory.
+State must lie in RocksDB (`with_state` sets it); the waiting calls of a hot key are entries of a map, none of which is read before
+its time, so it costs as much state as it has calls within the watermark, and no more memory.
 """
 
 from __future__ import annotations
@@ -29,68 +29,124 @@ def with_state(spark: SparkSession) -> Iterator[None]:
 
 
 class _Paced(StatefulProcessor):
-    """A call waits for its turn until the watermark is past its arrival, then for its last attempt; timers wake it up."""
+    """A call waits for its turn until the watermark is past its arrival, then for its last attempt; timers wake it up.
 
-    def __init__(self, every: int, capacity: int, backoff: int, retries: int):
-        self.every, self.capacity, self.backoff, self.retries = every, capacity, backoff, retries
+    A key with at most `most` calls on their way has them in one value, which a batch reads and writes once, and one timer. Of a key with
+    more, each instant is an entry of a map with a timer of its own, so that memory stays bounded; it stays that way from then on.
+    """
+
+    def __init__(self, every: int, capacity: int, backoff: int, retries: int, most: int):
+        self.every, self.capacity, self.backoff, self.retries, self.most = every, capacity, backoff, retries, most
 
     def init(self, handle) -> None:  # noqa: ANN001
         self.handle = handle
-        # when the bucket is full again, if nobody calls
-        self.full = handle.getValueState("full", "at long")
+        # full: when the bucket is full again, if nobody calls (null: nobody has); wake: the timer that is set; hot: calls lie in the maps
+        self.head = handle.getValueState("head", "full long, wake long, hot boolean, waiting array<struct<at: long, id: long, failures: int>>, running array<struct<done: long, id: long, arrived: long, released: long, attempts: int, ok: boolean>>")
         self.waiting = handle.getMapState("waiting", "at long", "ids array<long>, failures array<int>")
         self.running = handle.getMapState("running", "at long", "ids array<long>, arrived array<long>, released array<long>, attempts array<int>, ok array<boolean>")
 
+    def _read(self) -> tuple:
+        full, wake, hot, waiting, running = self.head.get() if self.head.exists() else (None, None, False, [], [])
+        return full, wake, hot, [tuple(x) for x in waiting or ()], [tuple(x) for x in running or ()]
+
     def _add(self, state, at: int, *new) -> None:  # noqa: ANN001
         old = state.getValue((at,)) if state.containsKey((at,)) else [()] * len(new)
         state.updateValue((at,), tuple([*(o or ()), x] for o, x in zip(old, new, strict=True)))
 
+    def _wait(self, at: int, i: int, failures: int) -> None:
+        self._add(self.waiting, at, i, failures)
+        self.handle.registerTimer(at)
+
+    def _run(self, done: int, *call) -> None:  # noqa: ANN002
+        self._add(self.running, done, *call)
+        self.handle.registerTimer(done)
+
+    def _keep(self, full: int | None, wake: int | None, waiting: list, running: list, woken: bool) -> None:
+        """Writes a key that is not hot, with a timer for what comes first, unless an earlier one is set and still to come."""
+        first = min((x[0] for x in (*waiting, *running)), default=None)
+        if first is not None and (woken or wake is None or first < wake):
+            self.handle.registerTimer(first)
+            wake = first
+        self.head.update((full, None if first is None else wake, False, waiting, running))
+
     def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802, N803
+        full, wake, hot, waiting, running = self._read()
         for r in rows:
-            self._add(self.waiting, r["at"], r["id"], r["failures"] or 0)
-            self.handle.registerTimer(r["at"])
+            call = r["at"], r["id"], r["failures"] or 0
+            if hot:
+                self._wait(*call)
+                continue
+            waiting.append(call)
+            if len(waiting) + len(running) > self.most:
+                hot = True
+                for x in waiting:
+                    self._wait(*x)
+                for x in running:
+                    self._run(*x)
+                self.head.update((full, None, True, [], []))
+        if not hot:
+            self._keep(full, wake, waiting, running, False)
         yield from ()
 
+    def _released(self, full: int | None, at: int, i: int, failures: int) -> tuple[int, int, tuple]:
+        full = at if full is None else full
+        released = max(at, full - (self.capacity - 1) * self.every)
+        slept = min(failures, self.retries)
+        return max(full, released) + self.every, released + self.backoff * (2**slept - 1), (i, at, released, slept + 1, failures <= self.retries)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201, N802, N803
-        now, past = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        past = timerValues.getCurrentWatermarkInMs()
+        full, wake, hot, waiting, running = self._read()
+        if hot:
+            yield from self._instant(key, expiredTimerInfo.getExpiryTimeInMs(), past, full)
+            return
+        if wake is None or wake > past:  # an earlier timer of this batch has done all
+            return
+        later = [x for x in running if x[0] > past]
+        yield from (self._row(key, *x[1:], x[0]) for x in running if x[0] <= past)
+        for at, i, failures in sorted(x for x in waiting if x[0] <= past):
+            full, done, call = self._released(full, at, i, failures)
+            if done <= past:
+                yield self._row(key, *call, done)
+            else:
+                later.append((done, *call))
+        self._keep(full, wake, [x for x in waiting if x[0] > past], later, True)
+
+    def _instant(self, key, now: int, past: int, full: int | None):  # noqa: ANN001, ANN202
+        """What a hot key has at a time."""
         if self.running.containsKey((now,)):
             ids, arrived, released, attempts, ok = self.running.getValue((now,))
             self.running.removeKey((now,))
             yield from (self._row(key, *x, now) for x in zip(ids, arrived, released, attempts, ok, strict=True))
         if not self.waiting.containsKey((now,)):
             return
-        full = self.full.get()[0] if self.full.exists() else now
         for i, failures in sorted(zip(*self.waiting.getValue((now,)), strict=True)):
-            released = max(now, full - (self.capacity - 1) * self.every)
-            full = max(full, released) + self.every
-            slept = min(failures, self.retries)
-            done = released + self.backoff * (2**slept - 1)
-            call = (i, now, released, slept + 1, failures <= self.retries)
+            full, done, call = self._released(full, now, i, failures)
             if done <= past:
                 yield self._row(key, *call, done)
             else:
-                self._add(self.running, done, *call)
-                self.handle.registerTimer(done)
+                self._run(done, *call)
         self.waiting.removeKey((now,))
-        self.full.update((full,))
+        self.head.update((full, None, True, [], []))
 
     @staticmethod
     def _row(key, i, arrived, released, attempts, ok, done) -> Row:  # noqa: ANN001
         return Row(key=key[0], id=i, arrived=arrived, released=released, attempts=attempts, ok=ok, done=done)
 
 
-def paced(stream: DataFrame, ts: str, key: str, id_: str, failures: str, every: int, capacity: int = 1, backoff: int = 1000, retries: int = 3, late: str = "10 minutes") -> DataFrame:
+def paced(stream: DataFrame, ts: str, key: str, id_: str, failures: str, every: int, capacity: int = 1, backoff: int = 1000, retries: int = 3, late: str = "10 minutes", most: int = 50_000) -> DataFrame:
     """(key, id, arrived, released, attempts, ok, done), times in milliseconds, of each call once the watermark has passed its end.
 
     A key's bucket holds `capacity` tokens, at first all of them, and gets one each `every` milliseconds; calls take one in order of
     arrival, then of id. A call that fails is tried again after backoff, 2 backoff, 4 backoff, ...; `failures` says how often it fails
     (null: never), and after `retries` more attempts it is given up (ok is false). Rows without key, id or time are left out.
+    A task holds `most` calls of a key at once; a key with more on their way is paced from entries of the state.
     """
     at = F.unix_millis(ts)
     rows = stream.withWatermark(ts, late).where(F.col(key).isNotNull() & F.col(id_).isNotNull() & F.col(ts).isNotNull())
     rows = rows.select(F.col(key).cast("long").alias("key"), F.col(id_).cast("long").alias("id"), ts, at.alias("at"), F.col(failures).cast("int").alias("failures"))
     out = "key long, id long, arrived long, released long, attempts int, ok boolean, done long"
-    return rows.groupBy("key").transformWithState(_Paced(every, capacity, backoff, retries), out, "append", "eventTime")
+    return rows.groupBy("key").transformWithState(_Paced(every, capacity, backoff, retries, most), out, "append", "eventTime")
 
 
 class _Shards(StatefulProcessor):

@@ -56,6 +56,71 @@ def test_paced(spark, tmp_path, cuts):
         assert {r.id: (r.arrived - zero, r.released - zero, r.attempts, r.ok, r.done - zero) for r in got if r.key == k} == expected
 
 
+class _State:
+    """A value of state and the timers, with what is asked of them counted."""
+
+    def __init__(self):
+        self.value, self.timers, self.asked = None, [], 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def getMapState(self, name, keys, values):  # noqa: N802
+        return None  # keys with few calls have none
+
+    def exists(self):
+        self.asked += 1
+        return self.value is not None
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def update(self, value):
+        self.asked += 1
+        self.value = value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.asked += 1
+        self.timers.append(at)
+
+
+class _At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs  # noqa: N815
+
+
+def test_a_batch_asks_the_state_a_few_times_for_each_key():
+    state, processor = _State(), C._Paced(1000, 2, 10, 3, 1000)
+    processor.init(state)
+    calls = [(10 * i, i, i % 6) for i in range(300)]
+    list(processor.handleInputRows((1,), iter([{"at": at, "id": i, "failures": f} for at, i, f in reversed(calls)]), _At(0)))
+    assert state.timers == [0]
+    got, past = [], 100_000
+    got += processor.handleExpiredTimer((1,), _At(past), _At(0))
+    assert state.asked <= 8  # several for each call before
+    got += processor.handleExpiredTimer((1,), _At(10**9), _At(state.timers[-1]))
+    assert {r.id: (r.arrived, r.released, r.attempts, r.ok, r.done) for r in got} == simulated(calls, 1000, 2, 10, 3)
+
+
+@pytest.mark.parametrize("most", [0, 10])
+def test_hot_keys_are_paced_from_maps(spark, tmp_path, most):
+    rng = random.Random(most)
+    calls = [(k, 100 * k + i, rng.randrange(0, 3_600_000), rng.choice([0, 0, 1, 3, 5])) for k, n in ((0, 30), (1, 4)) for i in range(n)]
+    rows = sorted(((k, i, START + dt.timedelta(milliseconds=at), f) for k, i, at, f in calls), key=lambda r: r[2])
+    rows.append((7, 999, START + dt.timedelta(hours=9), None))
+    got = run(spark, tmp_path, [rows[:12], rows[12:]], "k long, id long, ts timestamp, f int", lambda s: C.paced(s, "ts", "k", "id", "f", 200_000, 2, 10_000, 3, "0 seconds", most))
+    zero = int(START.timestamp() * 1000)
+    for k in range(2):
+        expected = simulated([(at, i, f) for c, i, at, f in calls if c == k], 200_000, 2, 10_000, 3)
+        assert {r.id: (r.arrived - zero, r.released - zero, r.attempts, r.ok, r.done - zero) for r in got if r.key == k} == expected
+
+
 def test_shards(spark, tmp_path):
     at = lambda s: START + dt.timedelta(seconds=s)
     batches = [
