@@ -3,18 +3,26 @@
 A puzzle seats n names (0 to n-1) on seats 1 to n under clues (op, a, b). at: a sits at seat b; imm: directly before b; lt:
 somewhere before b; adj: beside b; nat: not at seat b. A seating is one number, four bits a name. There are few possible clues
 (360) and at most 8! seatings, so a small table tells once, as a bitmap over the seatings, where each clue holds. A set of clues
-is then the conjunction of bitmaps: solutions, the shortest prefix that is enough and pruning are found in the puzzle's own row,
-with no shuffle of puzzles and no job per clue.
+is then the conjunction of bitmaps: solutions, the shortest prefix that is enough and pruning are found for a batch of puzzles at
+once, clue by clue, with no shuffle of puzzles and no job per clue.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 #: 8! seatings are 40,320 numbers, or 630 words of a bitmap.
 SEATS = 8
 OPS = ("at", "nat", "imm", "lt", "adj")
+#: Words of bitmaps that a task holds at once.
+WORDS = 1 << 22
 
 
 def seat(seating: Column, name: Column) -> Column:
@@ -60,12 +68,25 @@ def clue_table(spark: SparkSession, most: int = SEATS) -> DataFrame:
     return table.join(bits, "n").withColumn("all", whole)
 
 
-def _both(x: Column, y: Column) -> Column:
-    return F.zip_with(x, y, lambda a, b: a.bitwiseAND(b))
-
-
-def _count(bits: Column) -> Column:
-    return F.aggregate(bits, F.lit(0), lambda n, w: n + F.bit_count(w))
+def _solve(whole: np.ndarray, held: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of puzzles with one number of seats: the bitmaps of what is left, how many seatings that is, the length of the prefix, and which
+    clues are kept. whole: bitmap of all seatings; held: (puzzle, clue, word), all seatings behind a puzzle's last clue."""
+    count = lambda x: np.bitwise_count(x).sum(-1, dtype=np.int64)
+    puzzles, most = held.shape[:2]
+    after = np.empty((puzzles, most + 1, len(whole)), np.uint64)  # after[i]: what the clues from i on leave together
+    after[:, most] = whole
+    for i in reversed(range(most)):
+        np.bitwise_and(after[:, i + 1], held[:, i], out=after[:, i])
+    left, prefix = np.broadcast_to(whole, after[:, 0].shape), np.zeros(puzzles, np.int64)
+    for i in range(most):
+        prefix += count(left) > 1
+        left = left & held[:, i]
+    kept, own = np.zeros((puzzles, most), bool), np.broadcast_to(whole, left.shape)
+    for i in range(most):
+        needless = (kept.any(1) | (i < sizes - 1)) & (count(own & after[:, i + 1]) == 1)
+        kept[:, i] = ~needless & (i < sizes)
+        own = np.where(needless[:, None], own, own & held[:, i])
+    return after[:, 0], count(after[:, 0]), prefix, kept
 
 
 def solved(puzzles: DataFrame, n: Column, clues: str, most: int = SEATS) -> DataFrame:
@@ -73,54 +94,85 @@ def solved(puzzles: DataFrame, n: Column, clues: str, most: int = SEATS) -> Data
     that is not of this kind, "none", "several"), prefix (the fewest clues from the left that leave one) and minimal (the clues left
     after dropping, from the left, each without which one solution is left; at least one stays). The last two are null beside a
     reason, solutions beside the first two reasons."""
-    table = clue_table(puzzles.sparkSession, most).withColumnsRenamed({"n": "_n", "seatings": "_seatings", "bits": "_bits", "all": "_all"})
-    d = puzzles.join(F.broadcast(table), n == F.col("_n"), "left")
-    pair = lambda c: c["op"].isin("imm", "lt", "adj")
-    fits = lambda c: c["op"].isin(*OPS) & c["a"].between(0, F.col("_n") - 1) & c["b"].between(0, F.when(pair(c), F.col("_n") - 1).otherwise(SEATS))
-    known = F.coalesce(F.forall(clues, lambda c: F.coalesce(fits(c), F.lit(False))), F.lit(False))
-    held = F.transform(clues, lambda c: F.get("_bits", _place(c["op"], c["a"], c["b"]).cast("int")))
-    d = d.withColumn("_held", F.when(F.col("_n").isNotNull() & known, held)).withColumn("_left", F.aggregate("_held", F.col("_all"), _both))
-    got = F.filter("_seatings", lambda p, i: F.getbit(F.get("_left", F.floor(i / 64).cast("int")), i % 64) == 1)
-    d = d.withColumn("solutions", F.when(F.col("_left").isNotNull(), F.array_sort(got)))
+    table = {  # 2 MB at most
+        r["n"]: (np.array(r["seatings"]), np.array(r["bits"], np.int64).view(np.uint64), np.array(r["all"], np.int64).view(np.uint64))
+        for r in clue_table(puzzles.sparkSession, most).collect()
+    }
+
+    def told(b: pa.RecordBatch, rows: np.ndarray, solutions: pa.Array, prefix: np.ndarray | None = None, kept: np.ndarray | None = None) -> pa.RecordBatch:
+        """kept has a row for each puzzle, without a clue where there is no prefix."""
+        b = b.take(pa.array(rows)).drop_columns(["_n", "_clues"])
+        nothing = pa.nulls(len(rows), pa.int32())
+        which = pa.nulls(len(rows), pa.list_(pa.int32()))
+        if prefix is not None:
+            nothing = pa.array(prefix.astype(np.int32), mask=prefix < 0)
+            offsets = np.concatenate([[0], np.cumsum(kept.sum(1))]).astype(np.int32)
+            which = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(kept)[1].astype(np.int32)), mask=pa.array(prefix < 0))
+        return pa.RecordBatch.from_arrays([*b.columns, solutions, nothing, which], names=[*b.schema.names, "solutions", "prefix", "_kept"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seats = b.column("_n").fill_null(0).to_numpy()
+            every, sizes = b.column("_clues"), b.column("_clues").value_lengths().fill_null(0).to_numpy()
+            begin, parts = np.cumsum(sizes) - sizes, every.flatten()
+            # a null clue has null fields
+            op, x, y = (c.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in (pc.index_in(parts.field("op"), pa.array(OPS)), *(pc.struct_field(parts, k) for k in "ab")))
+            own = np.repeat(seats, sizes)
+            fits = (op >= 0) & (x >= 0) & (x < own) & (y >= 0) & (y <= np.where(op >= 2, own - 1, SEATS))
+            unfit = np.zeros(len(seats), bool)
+            unfit[np.repeat(np.arange(len(seats)), sizes)[~fits]] = True
+            place = (op * 8 + x) * 9 + y
+            known = np.isin(seats, list(table)) & ~unfit & every.is_valid().to_numpy(zero_copy_only=False)
+            if not known.all():
+                rows = np.nonzero(~known)[0]
+                yield told(b, rows, pa.nulls(len(rows), pa.list_(pa.int64())))
+            for size, (numbers, bits, whole) in table.items():
+                rows, order = np.nonzero(known & (seats == size))[0], np.argsort(numbers)
+                step = max(1, WORDS // (len(whole) * max(64, int(sizes[rows].max(initial=0)))))
+                for at in range(0, len(rows), step):
+                    part = rows[at : at + step]
+                    k = sizes[part]
+                    filled = np.arange(k.max()) < k[:, None]
+                    held = np.broadcast_to(whole, (*filled.shape, len(whole))).copy()
+                    held[filled] = bits[place[(begin[part][:, None] + np.arange(k.max()))[filled]]]
+                    left, count, prefix, kept = _solve(whole, held, k)
+                    fine = (count == 1) & (k > 0)
+                    kept[~fine] = False
+                    found = np.unpackbits(left.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, order]
+                    offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                    solutions = pa.ListArray.from_arrays(pa.array(offsets), pa.array(numbers[order][np.nonzero(found)[1]]))
+                    yield told(b, part, solutions, np.where(fine, prefix, -1), kept)
+
+    bare = F.transform(clues, lambda c: F.struct(c["op"].alias("op"), c["a"].cast("long").alias("a"), c["b"].cast("long").alias("b")))
+    d = puzzles.withColumns({"_n": n.cast("int"), "_clues": bare})
+    schema = StructType([*puzzles.schema.fields]).add("solutions", ArrayType(LongType())).add("prefix", IntegerType()).add("_kept", ArrayType(IntegerType()))
+    d = d.mapInArrow(run, schema)
     size = F.size("solutions")
-    d = d.withColumn("reason", F.when(F.col("_n").isNull(), "seats").when(F.col("_held").isNull(), "clues").when(size == 0, "none").when(size > 1, "several"))
-    state = F.struct(F.col("_all").alias("left"), F.lit(0).alias("used"))
-    more = lambda s, b: F.when(_count(s["left"]) == 1, s).otherwise(F.struct(_both(s["left"], b).alias("left"), (s["used"] + 1).alias("used")))
-    prefix = F.aggregate("_held", state, more, lambda s: s["used"])
-    # _after[i]: what the clues from i on leave together
-    d = d.withColumn("_after", F.aggregate(F.reverse("_held"), F.array("_all"), lambda s, b: F.concat(F.array(_both(s[0], b)), s)))
-    k = F.size("_held")
-    kept = F.struct(F.col("_all").alias("left"), F.array().cast("array<int>").alias("kept"))
-
-    def drop(s: Column, i: Column) -> Column:
-        rest = (F.size(s["kept"]) > 0) | (i < k - 1)
-        needless = rest & (_count(_both(s["left"], F.get("_after", i + 1))) == 1)
-        return F.when(needless, s).otherwise(F.struct(_both(s["left"], F.get("_held", i)).alias("left"), F.concat(s["kept"], F.array(i)).alias("kept")))
-
-    fine = F.col("reason").isNull() & (k > 0)
-    d = d.withColumn("prefix", F.when(fine, prefix))
-    d = d.withColumn("_kept", F.when(fine, F.aggregate(F.sequence(F.lit(0), k - 1), kept, drop, lambda s: s["kept"])))
-    d = d.withColumn("minimal", F.transform("_kept", lambda i: F.get(clues, i)))
-    return d.drop("_n", "_seatings", "_bits", "_all", "_held", "_left", "_after", "_kept")
+    reason = F.when(F.col("solutions").isNull(), F.when(F.coalesce(n.between(1, most), F.lit(False)), "clues").otherwise("seats")).when(size == 0, "none").when(size > 1, "several")
+    minimal = F.transform("_kept", lambda i: F.get(clues, i))
+    return d.select(*puzzles.columns, "solutions", reason.alias("reason"), "prefix", minimal.alias("minimal"))
 
 
 def hashed_puzzles(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """df with clues: a seating by the hash of (seed, key, name) and all that is true of it (pairs, seats taken, seats not taken), in the
     order of a hash. Any row can be made alone."""
-    digest = lambda *x: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), *x))
-    places = [digest(F.lit(str(a))) for a in range(n)]
-    d = df.withColumn("_p", F.array(*places))
-    d = d.withColumn("_seat", F.transform("_p", lambda x: F.size(F.filter("_p", lambda y: y <= x))))
-    clue = lambda op, a, b: F.struct(op.alias("op"), a.cast("int").alias("a"), b.cast("int").alias("b"))
+    d = df.withColumn("_k", F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.col(key).cast("string"), F.lit(":")), F.lit(""))))
+    digest = lambda *x: F.md5(F.concat("_k", *x))
+    d = d.withColumn("_p", F.array(*(digest(F.lit(str(a))) for a in range(n))))
     at = lambda a: F.col("_seat")[a]
-    all_ = [clue(F.when(at(a) == s, "at").otherwise("nat"), F.lit(a), F.lit(s)) for a in range(n) for s in range(1, n + 1)]
+    # no lambdas, so that code is generated for all of it
+    d = d.withColumn("_seat", F.array(*(sum((F.when(F.col("_p")[b] <= F.col("_p")[a], 1).otherwise(0) for b in range(n)), F.lit(0)) for a in range(n))))
+
+    def clue(op: Column, a: Column, b: Column, said: Column) -> Column:
+        return F.struct(digest(op, said).alias("h"), F.struct(op.alias("op"), a.cast("int").alias("a"), b.cast("int").alias("b")).alias("c"))
+
+    all_ = [clue(F.when(at(a) == s, "at").otherwise("nat"), F.lit(a), F.lit(s), F.lit(f":{a}:{s}")) for a in range(n) for s in range(1, n + 1)]
     for a in range(n):
         for b in range(a + 1, n):
-            first, second = F.least(at(a), at(b)), F.greatest(at(a), at(b))
-            x, y = F.when(at(a) < at(b), a).otherwise(b), F.when(at(a) < at(b), b).otherwise(a)
-            all_.append(clue(F.when(first + 1 == second, "imm").otherwise("lt"), x, y))
-    order = F.transform(F.array(*all_), lambda c: F.struct(digest(c["op"], c["a"].cast("string"), c["b"].cast("string")).alias("h"), c.alias("c")))
-    return d.withColumn("clues", F.transform(F.array_sort(order), lambda x: x["c"])).drop("_p", "_seat")
+            before = at(a) < at(b)
+            op = F.when(F.abs(at(a) - at(b)) == 1, "imm").otherwise("lt")
+            all_.append(clue(op, F.when(before, a).otherwise(b), F.when(before, b).otherwise(a), F.when(before, f":{a}:{b}").otherwise(f":{b}:{a}")))
+    return d.withColumn("clues", F.sort_array(F.array(*all_))["c"]).drop("_k", "_p", "_seat")
 
 
 def _draw(family: Column, k: Column, per_family: int, seed: int, low: int, high: int) -> Column:

@@ -83,6 +83,11 @@ p AS (SELECT [v, w, x, y, z] AS p, v + 16 * w + 256 * x + 4096 * y + 65536 * z A
 m AS (SELECT k, code, sum(CASE WHEN CASE op WHEN 'at' THEN p[a + 1] = b WHEN 'nat' THEN p[a + 1] <> b WHEN 'imm' THEN p[a + 1] + 1 = p[b + 1] ELSE p[a + 1] < p[b + 1] END THEN 0 ELSE 1::BIGINT << i::INT END)::BIGINT AS m FROM o, p GROUP BY ALL)"""
 
 
+def _puzzles(t: Tables) -> DataFrame:
+    """A puzzle costs far more than its key, so keys are dealt to all cores."""
+    return Z.hashed_puzzles(t.orders.select("o_orderkey").repartition(4 * t.spark.sparkContext.defaultParallelism, "o_orderkey"), "o_orderkey", 5)
+
+
 @query(f"""
 WITH {_PUZZLE_SQL},
 f AS (SELECT k, list(DISTINCT m) FILTER (m > 0) AS ms, (max(log2(m & -m)) FILTER (m > 0))::INT + 1 AS prefix FROM m GROUP BY k),
@@ -93,7 +98,7 @@ FROM g JOIN o ON g.k = o.k AND (kept >> o.i::INT) & 1 = 1 GROUP BY g.k
 """)
 def seating_puzzles(t: Tables) -> DataFrame:
     """A puzzle of five names from each order: how many clues from the left are enough, a minimal set of them, and who sits at a seat."""
-    done = Z.solved(Z.hashed_puzzles(t.orders.select("o_orderkey"), "o_orderkey", 5), F.lit(5), "clues", 5)
+    done = Z.solved(_puzzles(t), F.lit(5), "clues", 5)
     said = F.array_join(F.transform("minimal", lambda c: F.concat_ws(" ", c["op"], c["a"].cast("string"), c["b"].cast("string"))), ", ")
     asked = F.filter(F.sequence(F.lit(0), F.lit(4)), lambda a: Z.seat(F.col("solutions")[0], a) == 2 + F.col("o_orderkey") % 3)[0]
     return done.select("o_orderkey", "prefix", said.alias("minimal"), asked.alias("gold"))
@@ -104,7 +109,7 @@ WITH {_PUZZLE_SQL} SELECT k AS o_orderkey, count(*) FILTER (m & 15 = 0)::INT AS
 """)
 def seating_solutions(t: Tables) -> DataFrame:
     """All seatings under the first four clues of each order's puzzle."""
-    rows = Z.hashed_puzzles(t.orders.select("o_orderkey"), "o_orderkey", 5).withColumn("clues", F.slice("clues", 1, 4))
+    rows = _puzzles(t).withColumn("clues", F.slice("clues", 1, 4))
     return Z.solved(rows, F.lit(5), "clues", 5).select("o_orderkey", F.size("solutions").alias("solutions"), F.col("solutions")[0].alias("first_solution"), "reason")
 
 

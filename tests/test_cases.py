@@ -140,6 +140,19 @@ def test_puzzles(spark):
         assert got[i].prefix == prefix and (got[i].minimal is None if kept is None else [tuple(c) for c in got[i].minimal] == kept)
 
 
+def test_puzzles_are_solved_in_batches(spark):
+    made = puzzles.hashed_puzzles(spark.range(40), "id", 4)
+    done = puzzles.solved(made, F.lit(4), "clues", 4)
+    plan = done._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan  # clue by clue in lambdas of a row before
+    assert "lambda" not in made._jdf.queryExecution().analyzed().toString()
+    got = done.collect()
+    assert len(got) == 40
+    for r in got:
+        found, prefix, kept = plain_puzzle(4, [tuple(c) for c in r.clues])
+        assert r.reason is None and len(r.solutions) == len(found) == 1 and r.prefix == prefix and [tuple(c) for c in r.minimal] == kept
+
+
 def test_puzzles_of_another_kind(spark):
     schema = "id int, n int, clues array<struct<op string, a int, b int>>"
     rows = [(0, None, [("at", 0, 1)]), (1, 9, [("at", 0, 1)]), (2, 2, None), (3, 2, [("over", 0, 1)]), (4, 2, []), (5, 1, []), (6, 2, [("at", None, 1)])]
