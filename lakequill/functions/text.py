@@ -100,7 +100,7 @@ def fold(c: Column) -> Column:
     values = F.split(F.lit("\x01".join(rare.values())), "\x01")  # in the order of keys
     spelt = F.array_join(F.transform(F.split(low, ""), lambda x: F.when(x < "\x80", x).otherwise(F.coalesce(F.get(values, F.instr(F.lit(keys), x) - 1), x))), "")
     folded = F.translate(F.when(low.rlike(inside), spelt).otherwise(low), was + dropped, now)
-    return F.when(lower.rlike(r"[^\x00-\x7F]"), folded).otherwise(lower)  # ASCII is not looked up
+    return F.when(F.octet_length(lower) > F.length(lower), folded).otherwise(lower)  # ASCII is not looked up
 
 
 def gold_key(c: Column) -> Column:
@@ -141,12 +141,39 @@ def spellings(n: Column) -> Column:
     return F.array_distinct(F.concat(forms, F.transform(forms, lambda x: F.concat(F.lit("$"), x))))
 
 
+def _digits(words: Column) -> Column:
+    names = F.array(*map(F.lit, NUMBER_WORDS))
+    return F.transform(words, lambda w: F.when(w.isin(*NUMBER_WORDS), (F.array_position(names, w) - 1).cast("string")).otherwise(w))
+
+
 def digitize(c: Column) -> Column:
     """Word list with number words as digits and without articles."""
-    names = F.array(*map(F.lit, NUMBER_WORDS))
-    words = F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    kept = F.filter(words, lambda w: ~w.isin("a", "an", "the"))
-    return F.transform(kept, lambda w: F.when(F.array_contains(names, w), (F.array_position(names, w) - 1).cast("string")).otherwise(w))
+    kept = F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    for article in ("a", "an", "the"):
+        kept = F.array_remove(kept, article)
+    return _digits(kept)
+
+
+def spaced(c: Column) -> Column:
+    """The words of a text in lower case, without articles, a space before each and at the end: a run of words is a part of the string."""
+    gap = "[^a-z0-9]+"
+    return F.regexp_replace(F.concat(F.lit(" "), c, F.lit(" ")), f"{gap}(?:(?:an?|the){gap})*+", " ")  # possessive, so that many articles need no stack
+
+
+def digit_line(line: Column) -> Column:
+    """Number words of a spaced line as digits."""
+    spelt = rf" (?=[{initials(NUMBER_WORDS)}])(?:{'|'.join(NUMBER_WORDS)}) "
+    return F.when(line.rlike(spelt), F.array_join(_digits(F.split(line, " ")), " ")).otherwise(line)
+
+
+def word_line(c: Column) -> Column:
+    """The words of digitize as a spaced line; c in lower case."""
+    return once(spaced(c), digit_line)
+
+
+def initials(words: tuple[str, ...] | list[str]) -> str:
+    """The first letters of the words in either case, for a character class that a pattern tries before the words."""
+    return "".join(sorted({x for w in words for x in (w[0].lower(), w[0].upper())}))
 
 
 def number_after_marker(c: Column, marker: str) -> Column:

@@ -47,6 +47,12 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt to four tasks a core by its keys, if it comes in few splits: a file of few row groups leaves most cores idle. Inputs of many splits stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > 2 * cores else df.repartition(4 * cores, *keys)
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Sums of doubles depend on the order of rows in the last places."""
     return df.select(*(F.round(F.col(c), digits).alias(c) if c in columns else F.col(c) for c in df.columns))

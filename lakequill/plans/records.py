@@ -10,7 +10,7 @@ from lakequill.functions import records as R
 from lakequill.functions import text as X
 from lakequill.operators import cases, pairs, puzzles
 from lakequill.operators import stats as S
-from lakequill.plans.catalog import Tables, query, rounded
+from lakequill.plans.catalog import Tables, query, rounded, spread
 from lakequill.sources import readers, writers
 
 _KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -324,8 +324,9 @@ def scored_answers(t: Tables) -> DataFrame:
     gold = F.when(kind == 0, _int("l_quantity")).when(kind == 1, "N").otherwise("Lake Van")
     word = F.when(F.col("l_suppkey") % 2 == 0, "It lies at the Van lake, or Lake Van").otherwise("It lies at Lake Tuz")
     answer = F.when(kind == 0, F.concat(F.lit("Of 99 things, the answer is "), (F.col("l_suppkey") % 50).cast("string"))).when(kind == 1, F.concat(F.lit("X and Y, therefore "), F.col("l_returnflag"))).otherwise(word)
-    got = scorer.scored(family, gold, answer, F.array().cast("array<string>"), F.lit(2.0), F.col("l_returnflag") != "R")
-    return t.lineitem.select(*_KEY, got.alias("s")).select(*_KEY, "s.correct", "s.note")
+    lines = spread(t.lineitem.select(*_KEY, "l_quantity", "l_returnflag"), *_KEY)
+    said = scorer.score(lines, "s", family, gold, answer, F.array().cast("array<string>"), F.lit(2.0), F.col("l_returnflag") != "R")
+    return said.select(*_KEY, "s.correct", "s.note")
 
 
 @query(f"SELECT {_SQL_KEY}, CASE WHEN l_linenumber > 1 THEN l_quantity END::DOUBLE AS value, CASE WHEN l_linenumber > 1 THEN 150 END::DOUBLE AS threshold FROM lineitem")
